@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,3 +95,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_row_id(docs: DataFrame, name: str, id_col: str = "__row") -> DataFrame:
     """docs written to the shared folder with a stable number per row, so that repeated rows stay apart."""
     return materialize(docs.withColumn(id_col, F.monotonically_increasing_id()), name)
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch with at most `limit` bytes of text each (a longer text alone), to bound memory."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    first = total = 0
+    for i, n in enumerate(sizes):
+        if i > first and total + n > limit:
+            yield batch.slice(first, i - first)
+            first, total = i, 0
+        total += n
+    if first < len(sizes):
+        yield batch.slice(first)
