@@ -108,3 +108,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 2
         total += n
     if first < len(sizes):
         yield batch.slice(first)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, rules, simhash
-from .common import documents
+from . import bpe, exact_dedup, packing, rules, simhash, toxicity
+from .common import documents, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -23,6 +23,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -35,6 +39,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
