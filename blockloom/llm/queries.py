@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, rules, simhash, toxicity
+from . import bpe, exact_dedup, packing, quality, rules, simhash, toxicity
 from .common import documents, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
@@ -36,6 +40,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op6_simhash": op6_simhash,
