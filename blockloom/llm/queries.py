@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, quality, rules, simhash, toxicity
+from . import bpe, exact_dedup, langid, packing, quality, rules, sharding, simhash, toxicity
 from .common import documents, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,6 +19,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(documents(spark, sf_dir))
 
@@ -39,14 +43,20 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
+    "op3_sharding": op3_sharding,
     "op4_quality_rules": op4_quality_rules,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_language": op10_language,
 }
 
 ORACLES = {
