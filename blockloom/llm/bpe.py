@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
 from .common import map_batches
@@ -172,6 +173,27 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+class LibraryCodec(Codec):
+    """The same ids, with new short words merged by a compiled library where the file's ids are in merge order."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        self.library = None
+        if all(a < b for a, b in zip(self.merged, self.merged[1:])):
+            self.library = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=self.ids, special_tokens={})
+
+    def merge(self, word: bytes) -> list[int]:
+        if self.library is None or len(word) > LONG:
+            return super().merge(word)
+        return self.library._encode_single_piece(word)
+
+
+@lru_cache(maxsize=2)
+def library_codec(path: str) -> LibraryCodec:
+    """One library codec per worker and file, for operators that only need the ids."""
+    return LibraryCodec(path)
+
+
 def roundtrip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: each text is encoded, then decoded from its ids."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, packing, quality, rules, sharding, simhash, toxicity
+from . import bpe, exact_dedup, langid, lm, packing, quality, rules, sharding, simhash, toxicity
 from .common import documents, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,6 +27,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(documents(spark, sf_dir))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), end=50256)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_sharding": op3_sharding,
     "op4_quality_rules": op4_quality_rules,
+    "op5_language_model": op5_language_model,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
