@@ -34,6 +34,8 @@ from .toxicity import fit_logistic
 SAMPLE, BLOCK_LINES = 3_000, 64
 #: Fixed: characters that count as symbols.
 SYMBOLS = b"#*$%&|<>~^=_{}[]\\@"
+#: Bytes of text whose arrays are held at once (about forty bytes of arrays for each byte of text).
+SLICE = 1 << 20
 OWN = 9
 WIDTH = 3 * OWN + 3
 
@@ -226,7 +228,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: in
     sample = docs.select("doc_id", "text").join(drawn, "doc_id").select("doc_id", "text", "label")
 
     def blocks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(b):
+        for part in text_slices(b, limit=SLICE):
             x, _, per_text = line_features(part.column("text"))
             out, first = [], 0
             for doc, n in zip(part.column("doc_id").to_pylist(), per_text.tolist()):
@@ -245,7 +247,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: in
     field = fit_field([np.frombuffer(r["block"], dtype=np.float32).reshape(-1, WIDTH) for r in rows], y)
 
     def means(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(b):
+        for part in text_slices(b, limit=SLICE):
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(field.quality(part.column("text")), pa.float64())], names=["label", "q"])
 
     got = map_batches(sample.select("text", "label"), means, "label int, q double").limit(SAMPLE).collect()
@@ -259,7 +261,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataF
     field = learn(docs, labels)
 
     def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(b):
+        for part in text_slices(b, limit=SLICE):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(field.score(part.column("text")), pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -272,7 +274,7 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
     field = learn(docs, labels)
 
     def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(b):
+        for part in text_slices(b, limit=SLICE):
             yield part.filter(pa.array(field.score(part.column("text")) >= threshold))
 
     return docs.mapInArrow(lambda it: (x for b in it for x in batch(b)), docs.schema)
