@@ -32,6 +32,7 @@ from .common import map_batches
 LONG = 256
 #: Entries of the word memory of a worker; when it is full it starts again.
 WORDS_KEPT = 1_000_000
+LIBRARY_WORDS_KEPT = 250_000
 #: Fixed: the pre-token pattern that byte-level tokenizer files leave to the library.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -46,6 +47,9 @@ def byte_letters() -> dict[str, int]:
 class Codec:
     """Encoder and decoder of one tokenizer file (byte-level BPE, no normalizer, no added prefix space)."""
 
+    #: Words remembered.
+    keep = WORDS_KEPT
+
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -114,7 +118,7 @@ class Codec:
             if got is None:
                 got = array("I", self.merge(w.encode())).tobytes()
                 if len(w) <= LONG:
-                    if len(known) >= WORDS_KEPT:
+                    if len(known) >= self.keep:
                         known.clear()
                         known[""] = b""
                     known[w] = got
@@ -174,7 +178,12 @@ def codec(path: str) -> Codec:
 
 
 class LibraryCodec(Codec):
-    """The same ids, with new short words merged by a compiled library where the file's ids are in merge order."""
+    """The same ids, with new short words merged by a compiled library where the file's ids are in merge order.
+
+    New words cost little here, so fewer are remembered.
+    """
+
+    keep = LIBRARY_WORDS_KEPT
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
