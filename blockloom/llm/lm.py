@@ -54,7 +54,7 @@ FREQUENT = 1 << 17
 #: Partial counts a task holds before it hands them on.
 HELD = 400_000
 #: Words a worker remembers.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 300_000
 
 
 #: Weight of the network beside the corpus shares of words.
