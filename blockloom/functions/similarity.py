@@ -5,35 +5,36 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..kernels import distance, elements, matching, tokens
 from ..kernels.lines import align, word_diff
 from . import columns as C
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def osa_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Restricted Damerau-Levenshtein distance of the UTF-8 bytes; null if either is null."""
     return pd.Series([None if x is None or y is None else distance.osa(x.encode(), y.encode()) for x, y in zip(a, b)], dtype="Int64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def element_text(source: pd.Series) -> pd.Series:
     return source.map(lambda s: None if s is None else elements.element_text(s))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def lexical_tokens(source: pd.Series, language: pd.Series) -> pd.Series:
     return pd.Series([None if s is None else [t.encode("latin-1").decode("utf-8", "replace") for t in tokens.tokens(s.encode().decode("latin-1"), v or "")] for s, v in zip(source, language)])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two arrays."""
     return pd.Series([None if x is None or y is None else sum(i >= 0 <= j for i, j in align(list(x), list(y))) for x, y in zip(a, b)], dtype="Int64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def marked_words(old: pd.Series, new: pd.Series) -> pd.Series:
     """A line's word diff as text, ~removed~ and +added+."""
     marks = {"del": "~", "add": "+", "ctx": ""}

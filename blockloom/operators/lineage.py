@@ -1,0 +1,16 @@
+"""Cutting the lineage of iterative plans in the cluster's shared folder."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and kept in spark.checkpoint.dir, where every executor finds it; a temporary folder only where none is set."""
+    context = df.sparkSession.sparkContext
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="blockloom-"))
+    return df.checkpoint(eager=True)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import kinds
 from ..functions import columns as C
+from .lineage import cut
 from .spans import around, smallest_around
 
 DOC = ["pair_id", "side"]
@@ -39,12 +40,14 @@ def ancestors(blocks: DataFrame, most: int = 64) -> DataFrame:
 
     `most` bounds the levels against parents that form a ring.
     """
-    nodes = blocks.select(*DOC, F.col("id").alias("up_id"), F.col("kind").alias("up_kind"), F.col("name").alias("up_name"), F.col("parent").alias("up_parent"))
-    level = blocks.filter("parent IS NOT NULL AND parent <> ''").select(*DOC, "id", F.col("parent").alias("up_id")).join(nodes, [*DOC, "up_id"]).withColumn("depth", F.lit(1))
+    slim = cut(blocks.select(*DOC, "id", "kind", "name", "parent"))
+    nodes = slim.select(*DOC, *(F.col(c).alias(f"up_{c}") for c in ("id", "kind", "name", "parent")))
+    step = lambda rows, up: rows.select(*DOC, "id", F.col(up).alias("up_id")).join(nodes, [*DOC, "up_id"])
+    level = cut(step(slim.filter("parent <> ''"), "parent").withColumn("depth", F.lit(1)))
     out, depth = level, 1
-    while depth < most and not (up := level.filter("up_parent IS NOT NULL AND up_parent <> ''")).isEmpty():
+    while depth < most and not (up := level.filter("up_parent <> ''")).isEmpty():
         depth += 1
-        level = up.select(*DOC, "id", F.col("up_parent").alias("up_id")).join(nodes, [*DOC, "up_id"]).withColumn("depth", F.lit(depth))
+        level = cut(step(up, "up_parent").withColumn("depth", F.lit(depth)))
         out = out.unionByName(level)
     return out.drop("up_parent")
 

@@ -20,17 +20,16 @@ LEVELS = 40
 def _celled(spans: DataFrame, start: str, end: str) -> DataFrame:
     level = F.greatest(F.ceil(F.log2(F.greatest(F.col(end) - F.col(start), F.lit(1)))), F.lit(0)).cast("int")
     at = spans.filter(F.col(start) < F.col(end)).withColumn("__level", level)
-    first, last = F.shiftright(F.col(start).cast("long"), F.col("__level")), F.shiftright((F.col(end) - 1).cast("long"), F.col("__level"))
+    first, last = (F.expr(f"shiftright(CAST({x} AS BIGINT), __level)") for x in (start, f"{end} - 1"))
     return at.withColumn("__cell", F.explode(F.array_distinct(F.array(first, last))))
 
 
 def around(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, start: str, end: str) -> DataFrame:
     """Rows of points joined with every span [start, end) around point. Columns other than keys must differ."""
     cells = _celled(spans, start, end)
-    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
-    used = cells.agg(F.collect_set("__level").alias("__used"))  # one row of at most LEVELS numbers
-    probe = points.crossJoin(F.broadcast(used)).withColumn("__level", levels).filter(F.array_contains("__used", F.col("__level"))).drop("__used")
-    probe = probe.withColumn("__cell", F.shiftright(F.col(point).cast("long"), F.col("__level")))
+    used = sorted(r["__level"] for r in cells.select("__level").distinct().limit(LEVELS).collect())  # at most LEVELS small numbers
+    levels = F.array(*map(F.lit, used)).cast("array<int>")
+    probe = points.withColumn("__level", F.explode(levels)).withColumn("__cell", F.expr(f"shiftright(CAST({point} AS BIGINT), __level)"))
     met = probe.join(cells, [*keys, "__level", "__cell"])
     return met.filter((F.col(start) <= F.col(point)) & (F.col(point) < F.col(end))).drop("__level", "__cell")
 

@@ -2,10 +2,551 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .. import kinds
+from ..functions import columns as C
+from ..functions import similarity as S
+
+from ..operators import relational as R
+from ..options import Options
+from ..scan import EXTENSIONS
+from ..scan.ecma import LIFECYCLE
+from . import review as V
+from .fixtures import code_pairs
+from .inputs import BLOCKS, DOCUMENT_PAIRS, LINES, NAMES, PAIRS, document_pairs, made, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+_blocks = BLOCKS.format(lineitem="lineitem")
+_lines = LINES.format(lineitem="lineitem")
+_pairs = PAIRS.format(lineitem="lineitem")
+_names = NAMES.format(part="part")
+WITH = f"WITH RECURSIVE b AS ({_blocks}), "
+_in = lambda values: "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def query(sql: str = "") -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL of the same result if there is one."""
+
+    def put(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Query]:
+    return QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return ORACLES
+
+
+def blocks(spark: SparkSession, d: str) -> DataFrame:
+    return made(spark, d, BLOCKS, "lineitem")
+
+
+# -- sources and scalar functions ----------------------------------------------------------
+
+
+@query(f"""SELECT p_partkey, file, CASE WHEN e = '.C' THEN 'cpp' {' '.join(f"WHEN lower(e) = '{k}' THEN '{v}'" for k, v in EXTENSIONS.items())} END AS language
+    FROM (SELECT *, regexp_extract(regexp_extract(file, '[^/]*$'), '(\\.[^.]*)$', 1) AS e FROM ({_names}))""")
+def language_by_name(spark, d):
+    """IO4: language by file name."""
+    return made(spark, d, NAMES, "part").select("p_partkey", "file", C.language("file").alias("language"))
+
+
+@query(f"""WITH l AS (SELECT *, p_partkey % 2 AS side, p_partkey // 2 AS k, regexp_extract(file, '(\\.[^./]*)$', 1) AS e FROM ({_names}))
+    SELECT a.k AS pair_id, coalesce((a.e = '.C' OR lower(a.e) IN ('.c', '.h', '.h++')) AND (b.e = '.C' OR lower(b.e) IN ('.c', '.h', '.h++')), false) AS macros
+    FROM l a JOIN l b ON a.k = b.k AND a.side = 0 AND b.side = 1""")
+def macro_kinds(spark, d):
+    """Macro kinds apply only where both languages are C or C++."""
+    n = made(spark, d, NAMES, "part").select(F.floor(F.col("p_partkey") / 2).cast("long").alias("pair_id"), (F.col("p_partkey") % 2).alias("s"), C.language("file").alias("v"))
+    both = n.groupBy("pair_id").agg(F.max(F.when(F.col("s") == 0, F.struct("v"))).alias("a"), F.max(F.when(F.col("s") == 1, F.struct("v"))).alias("b"))
+    return both.filter("a IS NOT NULL AND b IS NOT NULL").select("pair_id", C.has_macros("a.v", "b.v").alias("macros"))
+
+
+@query("""SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls)))::BIGINT AS line_no FROM (
+    SELECT doc_id, CASE WHEN ls[-1] = '' THEN ls[:len(ls) - 1] ELSE ls END AS ls FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))""")
+def document_lines(spark, d):
+    """Lines of whole texts at line feeds."""
+    return table(spark, d, "documents").select("doc_id", F.posexplode(C.split_lines("text")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed, md5(translate(text, chr(32) || chr(9) || chr(13) || chr(10), '')) AS squeezed FROM documents""")
+def distance_texts(spark, d):
+    """White space collapsed, and left out."""
+    return table(spark, d, "documents").select("doc_id", F.md5(C.collapsed("text")).alias("collapsed"), F.md5(C.squeezed("text")).alias("squeezed"))
+
+
+@query(r"""SELECT conv_id, turn, len(ws) AS words, md5(array_to_string(ws, '|')) AS joined FROM (
+    SELECT conv_id, turn, regexp_extract_all(text, '[ \t\n\r(){}\[\];,=:]|[^ \t\n\r(){}\[\];,=:]+') AS ws FROM conversations)""")
+def diff_words(spark, d):
+    """Words of a line, boundary characters each alone."""
+    w = table(spark, d, "conversations").select("conv_id", "turn", C.split_words("text").alias("ws"))
+    return w.select("conv_id", "turn", F.size("ws").cast("long").alias("words"), F.md5(F.array_join("ws", "|")).alias("joined"))
+
+
+@query("""SELECT p_partkey, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS folded, p_name IN """ + _in(sorted(LIFECYCLE)) + """ AS lifecycle,
+    CASE WHEN isnan(t) OR t > 1 THEN 1.0::DOUBLE WHEN t < 0 THEN 0.0::DOUBLE ELSE t END AS threshold FROM (SELECT *, CASE WHEN p_partkey % 50 = 0 THEN 'nan'::DOUBLE ELSE (p_retailprice - 1000) / 700 END AS t FROM part)""")
+def folded_names(spark, d):
+    """S2, P7, EX17: names folded, thresholds clamped, framework method names."""
+    t = F.when(F.col("p_partkey") % 50 == 0, F.lit(float("nan"))).otherwise((F.col("p_retailprice") - 1000) / 700)
+    return table(spark, d, "part").select("p_partkey", C.folded_name("p_name").alias("folded"), C.is_lifecycle("p_name").alias("lifecycle"), C.clamped(t).alias("threshold"))
+
+
+@query(WITH + r"""x AS (SELECT 1) SELECT pair_id, side, block_ix, id, regexp_replace(id, '^(.+):[0-9]+$', '\1') AS scope_key, starts_with(n, kind || '.') AND regexp_full_match(substr(n, length(kind) + 2), '[0-9]*') AS is_ordinal,
+    CASE WHEN name = '' THEN '<anonymous>' ELSE name END AS shown, start_line + 1 AS first_line, end_line - start_line + 1 AS lines
+    FROM (SELECT *, CASE WHEN block_ix % 3 = 0 THEN kind || '.0' || block_ix WHEN block_ix % 3 = 1 THEN kind || '.' ELSE name END AS n FROM b)""")
+def block_labels(spark, d):
+    """Scope keys, ordinal names, shown names and ranges."""
+    b = blocks(spark, d).withColumn("n", F.when(F.col("block_ix") % 3 == 0, F.concat("kind", F.lit(".0"), F.col("block_ix").cast("string"))).when(F.col("block_ix") % 3 == 1, F.concat("kind", F.lit("."))).otherwise(F.col("name")))
+    first, lines = C.block_range("start_byte", "end_byte", "start_line", "end_line", "source")
+    return b.select("pair_id", "side", "block_ix", "id", C.scope_key("id").alias("scope_key"), C.is_ordinal("kind", "n").alias("is_ordinal"), C.display_name("name").alias("shown"), first.alias("first_line"), lines.alias("lines"))
+
+
+_kinds = "(VALUES " + ", ".join(f"('{k}')" for k, _, _ in kinds.KINDS) + ")"
+_same_set = " OR ".join(f"(a.k IN {_in(s)} AND b.k IN {_in(s)})" for s in (kinds.CALLABLE, kinds.VALUE, kinds.ELEMENT))
+
+
+@query(f"""SELECT a.k AS a, b.k AS b, a.k = b.k OR NOT (a.k IN {_in(kinds.ISOLATED)} OR b.k IN {_in(kinds.ISOLATED)}) AS eligible, a.k = b.k OR {_same_set} AS compatible,
+    CASE WHEN a.k = b.k THEN 1.0::DOUBLE WHEN {_same_set} THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END AS similarity FROM {_kinds} a(k), {_kinds} b(k)""")
+def kind_matrix(spark, d):
+    """Which kinds may pair, and how alike they are (a fixed table of 22 kinds)."""
+    names = F.array(*(F.lit(k) for k, _, _ in kinds.KINDS))
+    rows = spark.range(1).select(F.explode(names).alias("a")).select("a", F.explode(names).alias("b"))
+    return rows.select("a", "b", C.eligible("a", "b").alias("eligible"), C.compatible("a", "b").alias("compatible"), C.kind_similarity("a", "b").alias("similarity"))
+
+
+@query(r"""SELECT doc_id, pos, regexp_full_match(regexp_extract(substr(text, 1, pos), '[^\n]*$'), '[ \t\r]*') AS own_line
+    FROM (SELECT *, (CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN length(split_part(text, chr(10), 1)) + 1 ELSE 5 END)::BIGINT AS pos FROM documents) WHERE strlen(text) = length(text)""")
+def own_line_positions(spark, d):
+    """Whether only blanks are before an offset on its line."""
+    docs = table(spark, d, "documents").filter(F.length("text") == F.octet_length("text"))
+    at = F.when(F.col("doc_id") % 3 == 0, 0).when(F.col("doc_id") % 3 == 1, F.length(F.substring_index("text", "\n", 1)) + 1).otherwise(5).cast("long")
+    return docs.withColumn("pos", at).select("doc_id", "pos", C.own_line("text", "pos").alias("own_line"))
+
+
+#: Exact restricted edit distance of short strings in SQL: one list per row of the table, row after row.
+_OSA = """
+    s AS (SELECT k, a, b, string_split(a, '') AS x, string_split(b, '') AS y FROM n),
+    t AS (
+        SELECT k, 0 AS i, range(len(y) + 1) AS r1, range(len(y) + 1) AS r2, x, y FROM s
+        UNION ALL
+        SELECT k, i + 1, list_reduce(range(1, len(y) + 1), lambda acc, j: list_append(acc, least(
+                   r1[j + 1] + 1, acc[-1] + 1, r1[j] + CASE WHEN x[i + 1] = y[j] THEN 0 ELSE 1 END,
+                   CASE WHEN i > 0 AND j > 1 AND x[i + 1] = y[j - 1] AND x[i] = y[j] AND x[i + 1] <> y[j] THEN r2[j - 1] + 1 ELSE 1000000 END)), [i + 1]) AS r1,
+               r1 AS r2, x, y
+        FROM t WHERE i < len(x)
+    )
+"""
+_name_pairs = "SELECT p_partkey AS k, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS a, lower(regexp_replace(p_brand || p_type, '[^A-Za-z0-9]', '', 'g')) AS b FROM part"
+
+
+@query(f"WITH RECURSIVE n AS ({_name_pairs}), {_OSA} SELECT k AS p_partkey, r1[-1]::BIGINT AS distance, CASE WHEN n.a = '' AND n.b = '' THEN 0.5 WHEN n.a = '' OR n.b = '' THEN 0.0 WHEN n.a = n.b THEN 1.0 ELSE round(1 - r1[-1] / greatest(length(n.a), length(n.b)), 9) END AS similarity FROM t JOIN n USING (k) WHERE i = len(x)")
+def name_similarities(spark, d):
+    """Restricted edit distance and similarity of folded names."""
+    p = table(spark, d, "part").withColumn("b", F.concat("p_brand", "p_type"))
+    return p.select("p_partkey", S.osa_distance(C.folded_name("p_name"), C.folded_name("b")).alias("distance"), F.round(S.name_similarity("p_name", "b"), 9).alias("similarity"))
+
+
+@query()
+def turn_similarities(spark, d):
+    """Similarity of consecutive turns as blocks and as comments; pairs that can't reach 0.5 never reach the kernel."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, d, "conversations").withColumn("before", F.lag("text").over(w)).withColumn("r0", F.lag("role").over(w)).filter("before IS NOT NULL")
+    c = c.select("conv_id", "turn", F.col("r0").alias("name0"), F.col("role").alias("name1"), C.collapsed("before").alias("body0"), C.collapsed("text").alias("body1"), F.lit("function").alias("kind0"), F.lit("method").alias("kind1"))
+    a, b = ({k: f"{k}{i}" for k in ("name", "body", "kind")} for i in (0, 1))
+    c = c.filter(S.similarity_bound(a, b) >= 0.5)
+    return c.select("conv_id", "turn", F.round(S.block_similarity(a, b), 9).alias("similarity"), F.round(S.block_similarity(a, b, False), 9).alias("as_comments"))
+
+
+# -- forests -------------------------------------------------------------------------------
+
+_up = WITH + """up AS (
+    SELECT c.pair_id, c.side, c.id, 1 AS depth, p.id AS up_id, p.kind AS up_kind, p.name AS up_name, p.parent AS up_parent FROM b c JOIN b p ON p.pair_id = c.pair_id AND p.side = c.side AND p.id = c.parent
+    UNION ALL SELECT u.pair_id, u.side, u.id, u.depth + 1, p.id, p.kind, p.name, p.parent FROM up u JOIN b p ON p.pair_id = u.pair_id AND p.side = u.side AND p.id = u.up_parent)"""
+
+
+@query(_up + """ SELECT b.pair_id, b.side, b.id, coalesce(string_agg(up_kind || ':' || up_name, '>' ORDER BY depth DESC) FILTER (up_kind <> 'namespace'), '') AS scope_path
+    FROM b LEFT JOIN up USING (pair_id, side, id) GROUP BY ALL""")
+def scope_paths(spark, d):
+    """Ancestor paths without namespaces."""
+    return R.scope_paths(blocks(spark, d))
+
+
+@query(_up + """ SELECT b.pair_id, b.side, b.id, coalesce(string_agg(up_name, '::' ORDER BY depth DESC) FILTER (up_kind IN ('namespace', 'class') AND up_name <> ''), '') AS scope
+    FROM b LEFT JOIN up USING (pair_id, side, id) GROUP BY ALL""")
+def scope_stamps(spark, d):
+    """EX14: enclosing namespaces and classes."""
+    return R.scope_stamps(blocks(spark, d))
+
+
+@query(_up + """ SELECT b.pair_id, b.side, b.id, NOT coalesce(bool_or(up_kind <> 'namespace'), false) AND NOT coalesce(bool_or(up_parent <> '' AND NOT EXISTS (SELECT 1 FROM b x WHERE x.pair_id = up.pair_id AND x.side = up.side AND x.id = up.up_parent)), false)
+      AND (b.parent = '' OR EXISTS (SELECT 1 FROM b x WHERE x.pair_id = b.pair_id AND x.side = b.side AND x.id = b.parent)) AS is_root
+    FROM b LEFT JOIN up ON up.pair_id = b.pair_id AND up.side = b.side AND up.id = b.id GROUP BY b.pair_id, b.side, b.id, b.parent""")
+def root_level(spark, d):
+    """Blocks with nothing but namespaces above."""
+    return R.root_level(blocks(spark, d))
+
+
+_paths = _up + """, sp AS (SELECT b.pair_id, b.side, b.id, b.kind, b.name, coalesce(string_agg(up_kind || ':' || up_name, '>' ORDER BY depth DESC) FILTER (up_kind <> 'namespace'), '') AS scope_path
+    FROM b LEFT JOIN up USING (pair_id, side, id) GROUP BY ALL),
+    ep AS (SELECT pair_id, kind, name, scope_path, min(id) FILTER (side = 'old') AS old_id, min(id) FILTER (side = 'new') AS new_id FROM sp WHERE name <> '' GROUP BY ALL
+           HAVING count(*) FILTER (side = 'old') = 1 AND count(*) FILTER (side = 'new') = 1),
+    used AS (SELECT pair_id, 'old' AS side, old_id AS id FROM ep UNION SELECT pair_id, 'new', new_id FROM ep)"""
+
+
+@query(_paths + " SELECT pair_id, old_id, new_id, kind, name, scope_path FROM ep")
+def exact_name_pairs(spark, d):
+    """Equi-join on kind, name and scope path, where an identity is unique on each side."""
+    return R.unique_exact_pairs(blocks(spark, d))
+
+
+@query(_paths + " SELECT DISTINCT b.pair_id, b.side, b.id, CASE WHEN b.side = 'new' THEN 'added' ELSE 'removed' END AS state FROM b ANTI JOIN used USING (pair_id, side, id)")
+def residual_blocks(spark, d):
+    """Blocks without a partner."""
+    b = blocks(spark, d)
+    return R.residual(b, R.unique_exact_pairs(b)).distinct()
+
+
+@query(_paths + """ SELECT pair_id, old_id, new_id, 'matched' AS state FROM ep UNION ALL
+    SELECT b.pair_id, CASE WHEN side = 'old' THEN id END, CASE WHEN side = 'new' THEN id END, CASE WHEN side = 'new' THEN 'added' ELSE 'removed' END FROM b ANTI JOIN used USING (pair_id, side, id)""")
+def correlation(spark, d):
+    """Every block once, matched, added or removed."""
+    b = blocks(spark, d)
+    return R.correlated(b, R.unique_exact_pairs(b))
+
+
+@query(_paths + """ SELECT c.pair_id, c.side, c.id FROM (SELECT pair_id, side, id, arg_min(up_id, depth) AS near FROM up WHERE up_kind <> 'namespace' GROUP BY ALL) c
+    ANTI JOIN used u ON u.pair_id = c.pair_id AND u.side = c.side AND u.id = c.near""")
+def orphaned_blocks(spark, d):
+    """Blocks whose container found no partner."""
+    b = blocks(spark, d)
+    p = R.unique_exact_pairs(b)
+    used = p.select("pair_id", F.lit("old").alias("side"), F.col("old_id").alias("id")).union(p.select("pair_id", F.lit("new").alias("side"), F.col("new_id").alias("id")))
+    return R.orphaned(b, used)
+
+
+@query(WITH + """x AS (SELECT 1) SELECT pair_id, min(id) FILTER (side = 'old') AS old_id, min(id) FILTER (side = 'new') AS new_id FROM b WHERE kind = 'comment' AND source <> ''
+    GROUP BY pair_id, source HAVING count(*) FILTER (side = 'old') = 1 AND count(*) FILTER (side = 'new') = 1""")
+def exact_comment_pairs(spark, d):
+    """Comments of equal text, unique on each side."""
+    return R.unique_comment_pairs(blocks(spark, d))
+
+
+@query(WITH + """o AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY block_ix) AS n FROM b WHERE kind = 'comment')
+    SELECT x.pair_id, x.id AS old_id, arg_min(y.id, abs(x.n - y.n) * 1000 + y.n) AS new_id FROM o x JOIN o y ON x.pair_id = y.pair_id AND x.source = y.source AND x.side = 'old' AND y.side = 'new' GROUP BY ALL""")
+def nearest_comments(spark, d):
+    """Nearest by order, then lowest."""
+    return R.nearest_comment_pairs(blocks(spark, d))
+
+
+# -- spans ---------------------------------------------------------------------------------
+
+
+def _owner(tie: str, where: str, points: str) -> str:
+    return WITH + f"""x AS (SELECT 1) SELECT pair_id, side, id, up_id FROM (SELECT c.pair_id, c.side, c.id, u.id AS up_id, row_number() OVER (PARTITION BY c.pair_id, c.side, c.id ORDER BY u.end_byte - u.start_byte, u.{tie}) AS r
+        FROM b c JOIN b u ON u.pair_id = c.pair_id AND u.side = c.side AND u.start_byte < u.end_byte AND u.start_byte <= c.start_byte AND c.start_byte < u.end_byte AND {where} WHERE {points}) WHERE r = 1"""
+
+
+@query(_owner("id", "u.kind <> 'comment'", "c.kind = 'comment'"))
+def comment_owners(spark, d):
+    """Smallest block around a comment's start, by cells instead of a nested loop."""
+    return R.comment_owners(blocks(spark, d))
+
+
+@query(_owner("block_ix", "u.kind <> 'comment'", "c.kind = 'comment'"))
+def comment_scopes(spark, d):
+    """The same with ties in order of extraction."""
+    return R.comment_scopes(blocks(spark, d))
+
+
+@query(_owner("id", "c.end_byte <= u.end_byte AND u.id <> c.id", "c.kind IN ('jsx', 'template') AND c.parent = ''"))
+def element_owners(spark, d):
+    """Smallest block that holds all of a parentless element."""
+    return R.element_owners(blocks(spark, d))
+
+
+@query(_owner("id", f"u.kind IN {_in(kinds.FUNCTION_LIKE)} AND c.end_byte <= u.end_byte AND NOT (c.start_byte = u.start_byte AND c.end_byte = u.end_byte)", "c.kind = 'comment'"))
+def enclosing_functions(spark, d):
+    """Smallest function around all of a comment."""
+    return R.enclosing_functions(blocks(spark, d))
+
+
+_moved = WITH + """p AS (SELECT o.pair_id, o.id AS old_id, n.id AS new_id, o.kind, o.start_byte AS os, o.end_byte AS oe, n.start_byte AS ns, n.end_byte AS ne FROM b o JOIN b n ON n.pair_id = o.pair_id AND o.side = 'old' AND n.side = 'new' AND n.block_ix = o.block_ix WHERE (o.kind = 'comment') = (n.kind = 'comment')),
+    h AS (SELECT c.pair_id, c.old_id, c.new_id, (SELECT x.old_id || '|' || x.new_id FROM p x WHERE x.pair_id = c.pair_id AND x.kind <> 'comment' AND x.os <= c.os AND c.os < x.oe ORDER BY x.oe - x.os, x.old_id || '|' || x.new_id LIMIT 1) AS a,
+          (SELECT x.old_id || '|' || x.new_id FROM p x WHERE x.pair_id = c.pair_id AND x.kind <> 'comment' AND x.ns <= c.ns AND c.ns < x.ne ORDER BY x.ne - x.ns, x.old_id || '|' || x.new_id LIMIT 1) AS z FROM p c WHERE c.kind = 'comment')
+    SELECT pair_id, old_id, new_id, a IS DISTINCT FROM z AS moved FROM h"""
+
+
+@query(_moved)
+def moved_comments(spark, d):
+    """Comments whose smallest matched block around differs between sides."""
+    b = blocks(spark, d)
+    o, n = (b.filter(F.col("side") == s).select("pair_id", "block_ix", F.col("id").alias(f"{s}_id"), (F.col("kind") == "comment").alias("c")) for s in ("old", "new"))
+    return R.moved_comments(b, o.join(n, ["pair_id", "block_ix", "c"]).select("pair_id", "old_id", "new_id"))
+
+
+@query(WITH + """x AS (SELECT 1) SELECT DISTINCT c.pair_id, c.side, c.id FROM b c JOIN b k ON k.pair_id = c.pair_id AND k.id = c.parent AND k.kind = 'class' AND k.start_byte <= c.start_byte AND c.end_byte <= k.end_byte WHERE c.block_ix % 2 = 0""")
+def nested_members(spark, d):
+    """One-sided members that show inside their class."""
+    b = blocks(spark, d)
+    return R.nested_members(b, b.filter("block_ix % 2 = 0").select("pair_id", "side", "id"))
+
+
+@query(WITH + """x AS (SELECT 1) SELECT DISTINCT l.pair_id, l.side, l.block_ix AS line_no FROM b l JOIN b s ON s.pair_id = l.pair_id AND s.side = l.side AND s.block_ix % 2 = 1 AND s.start_byte <= l.start_byte + 2 AND l.start_byte + 6 <= s.end_byte""")
+def skipped_lines(spark, d):
+    """Lines whose text lies inside a block that was skipped as unchanged."""
+    b = blocks(spark, d)
+    lines = b.select("pair_id", "side", F.col("block_ix").alias("line_no"), (F.col("start_byte") + 2).alias("lo"), (F.col("start_byte") + 6).alias("hi"))
+    return R.skipped_lines(lines, b.filter("block_ix % 2 = 1").select("pair_id", "side", F.col("start_byte").alias("s"), F.col("end_byte").alias("e")))
+
+
+@query(WITH + """x AS (SELECT 1) SELECT c.pair_id, c.side, c.id, c.parent AS up_id, p.kind AS up_kind FROM b c JOIN b p ON p.pair_id = c.pair_id AND p.side = c.side AND p.id = c.parent""")
+def parent_lookup(spark, d):
+    """Parents by id."""
+    b = blocks(spark, d)
+    up = b.select("pair_id", "side", F.col("id").alias("up_id"), F.col("kind").alias("up_kind"))
+    return b.select("pair_id", "side", "id", F.col("parent").alias("up_id")).join(up, ["pair_id", "side", "up_id"])
+
+
+# -- windows and order ---------------------------------------------------------------------
+
+
+@query(WITH + "x AS (SELECT 1) SELECT pair_id, side, id, CASE WHEN kind = 'comment' THEN row_number() OVER (PARTITION BY pair_id, side, kind = 'comment' ORDER BY block_ix) - 1 ELSE -1 END AS ordinal FROM b")
+def comment_ordinals(spark, d):
+    """Numbers of comments."""
+    return R.comment_ordinals(blocks(spark, d))
+
+
+@query(WITH + f"""x AS (SELECT *, name = '' AND kind IN {_in(kinds.COLLAPSIBLE)} AS u FROM b)
+    SELECT pair_id, side, id, CASE WHEN u THEN printf('%s.%02d', kind, row_number() OVER (PARTITION BY pair_id, side, kind, u ORDER BY start_byte, id)) ELSE name END AS name FROM x""")
+def numbered_names(spark, d):
+    """Ordinal names of unnamed blocks."""
+    return R.numbered_names(blocks(spark, d))
+
+
+@query(WITH + """x AS (SELECT *, lead(id) OVER w AS ni, lead(kind) OVER w AS nk, lead(start_line) OVER w AS nl FROM b WINDOW w AS (PARTITION BY pair_id, side ORDER BY start_byte, id))
+    SELECT pair_id, side, id, ni AS next_id FROM x WHERE kind = 'comment' AND nk <> 'comment' AND end_line + 1 = nl""")
+def comment_successors(spark, d):
+    """The block directly below a comment."""
+    return R.comment_successors(blocks(spark, d))
+
+
+@query(WITH + """x AS (SELECT *, kind = 'comment' AND lag(kind) OVER w = 'comment' AND lag(end_line) OVER w + 1 = start_line AS j FROM b WINDOW w AS (PARTITION BY pair_id, side ORDER BY start_byte, id))
+    SELECT pair_id, side, id, run FROM (SELECT *, sum(CASE WHEN j THEN 0 ELSE 1 END) OVER (PARTITION BY pair_id, side ORDER BY start_byte, id)::BIGINT AS run FROM x) WHERE kind = 'comment'""")
+def comment_runs(spark, d):
+    """Runs of comments without a gap."""
+    return R.comment_runs(blocks(spark, d)).withColumn("run", F.col("run").cast("long"))
+
+
+@query(WITH + """x AS (SELECT *, kind = 'comment' AND own_line AS ok FROM b),
+    y AS (SELECT *, ok AND lag(ok) OVER w AND lag(end_line) OVER w + 1 = start_line AS j FROM x WINDOW w AS (PARTITION BY pair_id, side ORDER BY block_ix)),
+    z AS (SELECT *, sum(CASE WHEN j THEN 0 ELSE 1 END) OVER (PARTITION BY pair_id, side ORDER BY block_ix) AS run FROM y)
+    SELECT pair_id, side, arg_min(id, block_ix) AS id, min(start_line) AS start_line, max(end_line) AS end_line, string_agg(source, chr(10) ORDER BY block_ix) AS source FROM z WHERE kind = 'comment' GROUP BY pair_id, side, run""")
+def merged_comments(spark, d):
+    """EX13: one-line comments without a gap as one block."""
+    return R.merged_comments(blocks(spark, d))
+
+
+@query(f"""WITH l AS ({_lines}), x AS (SELECT *, CASE WHEN lag(type) OVER (PARTITION BY pair_id ORDER BY line_seq) = type THEN 0 ELSE 1 END AS e FROM l),
+    y AS (SELECT *, sum(e) OVER (PARTITION BY pair_id ORDER BY line_seq) AS run FROM x), z AS (SELECT *, row_number() OVER (PARTITION BY pair_id, run ORDER BY line_seq) AS k FROM y)
+    SELECT a.pair_id, a.line_seq AS del_seq, c.line_seq AS add_seq FROM z a JOIN z c ON c.pair_id = a.pair_id AND c.run = a.run + 1 AND c.k = a.k AND a.type = 'del' AND c.type = 'add'""")
+def replaced_lines(spark, d):
+    """The k-th removed line with the k-th added one."""
+    return R.replaced_lines(made(spark, d, LINES, "lineitem"))
+
+
+@query("""WITH RECURSIVE v AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS i, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_linenumber) AS r FROM lineitem),
+    c AS (SELECT l_orderkey, i, r, 1 AS n FROM v UNION SELECT v.l_orderkey, v.i, v.r, c.n + 1 FROM c JOIN v ON v.l_orderkey = c.l_orderkey AND v.i > c.i AND v.r > c.r)
+    SELECT l_orderkey, (SELECT count(*) FROM v WHERE v.l_orderkey = c.l_orderkey)::BIGINT AS blocks, max(n)::BIGINT AS kept FROM c GROUP BY 1""")
+def order_kept(spark, d):
+    """How many blocks keep their order (longest increasing subsequence of new ranks)."""
+    rest = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    old, new = W.partitionBy("l_orderkey").orderBy("l_linenumber", *rest, "l_shipdate"), W.partitionBy("l_orderkey").orderBy("l_shipdate", *rest, "l_linenumber")
+    ranks = table(spark, d, "lineitem").select("l_orderkey", F.row_number().over(old).alias("i"), F.row_number().over(new).alias("r"))
+    seq = ranks.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]).alias("seq"))
+    # The piles of patience sorting, kept in the plan: each value replaces the first top that isn't smaller.
+    piles = F.aggregate("seq", F.array().cast("array<int>"), lambda p, v: F.concat(F.filter(p, lambda x: x < v), F.array(v), F.slice(F.filter(p, lambda x: x >= v), 2, 1_000_000_000)))
+    return seq.select("l_orderkey", F.size("seq").cast("long").alias("blocks"), F.size(piles).cast("long").alias("kept"))
+
+
+# -- aggregates ----------------------------------------------------------------------------
+
+
+@query(f"WITH l AS ({_lines}) SELECT pair_id, floor(100 * count(*) FILTER (type = 'ctx') / count(*))::BIGINT AS similarity, bool_or(type <> 'ctx') AS has_changes FROM l GROUP BY 1")
+def line_similarities(spark, d):
+    """Percent of context lines, and whether anything changed."""
+    return R.line_similarity(made(spark, d, LINES, "lineitem"))
+
+
+@query(f"""WITH p AS ({_pairs}) SELECT pair_id, count(*) FILTER (state = 'added') AS added, count(*) FILTER (state = 'removed') AS removed, count(*) FILTER (state = 'matched') AS matched,
+    count(*) FILTER (m AND ws_only AND (NOT has_changes OR NOT is_rename)) AS whitespace, count(*) FILTER (m AND has_changes AND NOT (ws_only AND NOT is_rename)) AS changed,
+    count(*) FILTER (m AND is_rename AND (has_changes OR NOT ws_only)) AS renamed, count(*) FILTER (m AND NOT has_changes AND NOT ws_only AND NOT is_rename AND (NOT same_source OR moved)) AS moved,
+    count(*) FILTER (m AND NOT has_changes AND NOT ws_only AND NOT is_rename AND same_source AND NOT moved) AS unchanged FROM (SELECT *, state = 'matched' AS m FROM p) WHERE NOT supplemental GROUP BY 1""")
+def summary_counters(spark, d):
+    """A3: the counters of the summary."""
+    return R.summary(made(spark, d, PAIRS, "lineitem"))
+
+
+@query(f"WITH p AS ({_pairs}) SELECT pair_id, old_id, new_id, state = 'matched' AND NOT supplemental AND same_source AND NOT has_changes AND (kind = 'unknown' OR NOT (is_rename OR moved)) AS unchanged FROM p")
+def unchanged_pairs(spark, d):
+    """P10: pairs with nothing to review."""
+    return R.unchanged_pairs(made(spark, d, PAIRS, "lineitem"))
+
+
+_headers = " ".join(f"WHEN '{k}' THEN '{h}'" for k, h in kinds.HEADER.items())
+_ranks = " ".join(f"WHEN '{k}' THEN {r}" for k, r in kinds.RANK.items())
+
+
+@query(f"WITH p AS (SELECT *, CASE WHEN coalesce(new_kind, old_kind) = '' THEN 'unknown' ELSE coalesce(new_kind, old_kind) END AS k FROM ({_pairs})) SELECT pair_id, CASE k {_headers} END AS section, CASE k {_ranks} END AS rank, count(*) AS blocks FROM p WHERE k IS NOT NULL GROUP BY pair_id, k")
+def report_sections(spark, d):
+    """A4, O3: sections by kind in report order."""
+    return R.sections(made(spark, d, PAIRS, "lineitem"))
+
+
+@query(f"WITH l AS ({_lines}), n AS (SELECT pair_id, content, 1 AS n FROM l WHERE type = 'add' GROUP BY 1, 2) SELECT pair_id, content, line_seq FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, content ORDER BY line_seq) AS k FROM l) JOIN n USING (pair_id, content) WHERE k <= n")
+def absorbed_lines(spark, d):
+    """A5: occurrences consumed one by one."""
+    lines = made(spark, d, LINES, "lineitem")
+    counts = lines.filter("type = 'add'").groupBy("pair_id", "content").agg(F.lit(1).alias("n"))
+    return R.absorbed(lines.select("pair_id", "content", "line_seq"), counts, ["pair_id", "content"], "line_seq")
+
+
+@query(f"WITH l AS ({_lines}) SELECT pair_id, side, content, min(line_seq) AS seq FROM l GROUP BY ALL")
+def first_shown(spark, d):
+    """The first pair that shows a line."""
+    return R.first_shown(made(spark, d, LINES, "lineitem").withColumnRenamed("line_seq", "seq"))
+
+
+@query(f"WITH l AS ({_lines}), s AS (SELECT DISTINCT pair_id, side, content FROM l WHERE type <> 'ctx') SELECT l.pair_id, l.side, l.line_seq AS line_no, l.content FROM l WHERE NOT (l.line_seq % 2 = 0 AND EXISTS (SELECT 1 FROM s WHERE s.pair_id = l.pair_id AND s.side = l.side AND s.content = l.content))")
+def supplement_lines(spark, d):
+    """Lines that no pair shows at a place it owns."""
+    lines = made(spark, d, LINES, "lineitem").withColumnRenamed("line_seq", "line_no")
+    shown = lines.filter("type <> 'ctx'")
+    return R.supplement(lines.select("pair_id", "side", "line_no", "content"), shown, lines.filter("line_no % 2 = 0"))
+
+
+@query(WITH + "x AS (SELECT 1) SELECT pair_id, side, name, min(id) AS id FROM b WHERE kind = 'class' AND name <> '' GROUP BY 1, 2, 3 HAVING count(DISTINCT id) = 1")
+def unique_class_names(spark, d):
+    """Names that only one class has."""
+    return R.unique_names(blocks(spark, d))
+
+
+@query(f"WITH l AS ({_lines}) SELECT pair_id, content FROM l WHERE side = 'old' EXCEPT ALL SELECT pair_id, content FROM l WHERE side = 'new'")
+def missing_lines(spark, d):
+    """Lines of one side beyond their occurrences on the other."""
+    lines = made(spark, d, LINES, "lineitem")
+    return lines.filter("side = 'old'").select("pair_id", "content").exceptAll(lines.filter("side = 'new'").select("pair_id", "content"))
+
+
+# -- kernels over whole documents ----------------------------------------------------------
+
+
+@query(DOCUMENT_PAIRS.replace("SELECT d.doc_id AS pair_id, o.text AS old_src, d.text AS new_src, f.first_id", "SELECT d.doc_id AS pair_id, f.first_id, o.text = d.text AS same, abs(strlen(o.text) - strlen(d.text)) AS bytes_apart"))
+def doc_pairs(spark, d):
+    """Near copies: each document with the first that opens alike."""
+    p = document_pairs(spark, d)
+    return p.select("pair_id", "first_id", (F.col("old_src") == F.col("new_src")).alias("same"), F.abs(F.octet_length("old_src") - F.octet_length("new_src")).cast("long").alias("bytes_apart"))
+
+
+@query()
+def doc_pair_diff(spark, d):
+    """Whole-file line diff of near copies, one row per line."""
+    return V.line_diff(document_pairs(spark, d)).drop("words", "paired")
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT pair_id, string_split(rtrim(old_src, chr(10)), chr(10)) AS x, string_split(rtrim(new_src, chr(10)), chr(10)) AS y FROM ({DOCUMENT_PAIRS}) WHERE old_src <> new_src),
+    t AS (SELECT pair_id, 0 AS i, list_transform(range(len(y) + 1), lambda v: 0) AS r, x, y FROM p
+          UNION ALL SELECT pair_id, i + 1, list_reduce(range(1, len(y) + 1), lambda acc, j: list_append(acc, CASE WHEN x[i + 1] = y[j] THEN r[j] + 1 ELSE greatest(r[j + 1], acc[-1]) END), [0]), x, y FROM t WHERE i < len(x))
+    SELECT pair_id, len(x)::BIGINT AS old_lines, len(y)::BIGINT AS new_lines, r[-1]::BIGINT AS common FROM t WHERE i = len(x)""")
+def doc_pair_lcs(spark, d):
+    """Length of the longest common subsequence of lines."""
+    p = document_pairs(spark, d).filter("old_src <> new_src")
+    lines = lambda c: F.split(F.regexp_replace(c, r"\n+$", ""), "\n", -1)
+    p = p.select("pair_id", lines("old_src").alias("x"), lines("new_src").alias("y"))
+    return p.select("pair_id", F.size("x").cast("long").alias("old_lines"), F.size("y").cast("long").alias("new_lines"), S.lcs_length("x", "y").alias("common"))
+
+
+@query()
+def doc_pair_words(spark, d):
+    """Word diffs of replaced lines of near copies."""
+    rows = V.line_diff(document_pairs(spark, d), Options(word_diff=True)).filter(F.size("words") > 0)
+    return rows.select("pair_id", "line_seq", "type", F.array_join(F.transform("words", lambda w: F.concat(w["type"], F.lit(":"), w["text"])), "|").alias("words"))
+
+
+@query()
+def doc_pair_summary(spark, d):
+    """Summaries of whole-file reviews."""
+    return V.summaries(document_pairs(spark, d))
+
+
+@query()
+def page_elements(spark, d):
+    """EX15, IO5: elements of pages by the markup scanner, as templates of one script each."""
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("pair_id"), F.lit("").alias("old_name"), F.lit("").alias("old_src"), F.lit("p.ts").alias("new_name"), F.concat(F.lit("x(html`"), F.regexp_replace("html", "[`\\\\$]", " "), F.lit("`)")).alias("new_src"))
+    return V.blocks(pages).filter("kind = 'template'").select("pair_id", "block_ix", "name", "start_byte", "end_byte", "start_line", F.md5("source").alias("source_md5"))
+
+
+@query()
+def page_element_texts(spark, d):
+    """Canonical texts of markup."""
+    return table(spark, d, "pages").select("page_id", F.md5(S.element_text("html")).alias("canonical"))
+
+
+@query()
+def turn_tokens(spark, d):
+    """Lexical tokens of turns, and whether a turn differs from the one before in formatting only."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, d, "conversations").withColumn("before", F.lag("text").over(w))
+    t = S.lexical_tokens("text", F.lit(""))
+    return c.select("conv_id", "turn", F.size(t).alias("tokens"), ((F.col("text") != F.col("before")) & (t == S.lexical_tokens("before", F.lit("")))).alias("formatting_only"))
+
+
+@query()
+def matched_blocks(spark, d):
+    """All matching stages over tables of blocks."""
+    b = blocks(spark, d)
+    return V.match_blocks(b).select("pair_id", "pair_seq", "stage", "old_ix", "new_ix", F.round("confidence", 9).alias("confidence"), "match_type")
+
+
+# -- code ----------------------------------------------------------------------------------
+
+
+@query()
+def code_blocks(spark, d):
+    """EX1-EX23, IO5-IO7: blocks of sources in every language."""
+    return V.blocks(code_pairs(spark)).select("pair_id", "side", "block_ix", "kind", "name", "scope", "parent", "start_byte", "end_byte", "start_line", "end_line")
+
+
+@query()
+def code_review(spark, d):
+    """Entry A: whole reviews of code, one row per pair of blocks."""
+    rows = V.review(code_pairs(spark)).select("pair_id", F.explode("pairs").alias("p"))
+    return rows.select("pair_id", "p.pair_seq", "p.stage", "p.match_type", "p.old_kind", "p.new_kind", "p.old_name", "p.new_name", "p.similarity", F.array_join("p.tags", ",").alias("tags"), "p.has_changes", "p.supplemental")
+
+
+@query()
+def code_reports(spark, d):
+    """IO8, M1-M9: the text reports, line by line."""
+    return V.reports(code_pairs(spark), Options(skip_unchanged=True))
+
+
+@query()
+def code_summaries(spark, d):
+    """A3: summaries of code reviews."""
+    return V.summaries(code_pairs(spark))
+
+
+__all__ = ["QUERIES", "ORACLES", "oracles", "queries"]
