@@ -135,7 +135,7 @@ class Codec:
                     got = self._new([w])
                 else:
                     got = self._new(self.pattern.findall(w))
-                    if len(w) <= LONG:
+                    if len(w) <= LONG and len(known) < self.keep:
                         known[w] = got
             out.append(got)
         return b"".join(out)
