@@ -227,7 +227,7 @@ class EcmaScanner(Scanner):
 
     def word(self, ts: list[Token], i: int, lo: int, hi: int, parent: str, inner: bool) -> int:
         """Handle a construct that begins with the word at i; its end, or i if there is none."""
-        t, at_start = ts[i], self.statement_start(ts, i, lo)
+        t, at_start = ts[i], ts[i].start != self.value_at and self.statement_start(ts, i, lo)
         nxt = ts[i + 1] if i + 1 < hi else None
         if at_start and t.text == "import" and nxt and nxt.text not in ("(", "."):
             end = self.statement_end(ts, i + 1, hi)
@@ -298,6 +298,7 @@ class EcmaScanner(Scanner):
         self.tokens(ts, body + 1, end, parent, True, "block")
         return end + 1
 
+    value_at = -1  # offset of the value of a declarator or member, which begins an expression and no statement
     is_value = False  # whether the function or arrow met next is the value of a declarator, which is its block
 
     def arrow(self, ts: list[Token], i: int, k: int, lo: int, hi: int, parent: str, inner: bool) -> int:
@@ -349,6 +350,7 @@ class EcmaScanner(Scanner):
         parts = [(a, b) for a, b in parts if a < b]
         for a, b in parts:
             eq = next((j for j in self.flat(ts, a, b) if ts[j].text == "="), b)
+            self.value_at = ts[eq + 1].start if eq + 1 < b else -1
             name = next((ts[j].text for j in range(a, eq) if ts[j].type == "word"), "")
             if inner:
                 self.is_value = self.value_kind(ts, eq + 1, b) != ""
@@ -359,6 +361,7 @@ class EcmaScanner(Scanner):
             span = (ts[start].start, ts[end - 1].end) if len(parts) == 1 else (ts[a].start, ts[b - 1].end)
             block = self.add(kind, name, *span, parent)
             self.tokens(ts, a + 1, eq, block.id, inner, "types")
+            self.value_at = ts[eq + 1].start if eq + 1 < b else -1
             self.is_value = kind in ("arrow_function", "function")
             self.tokens(ts, eq + 1, b, block.id, inner, "block" if eq + 1 < b and ts[eq + 1].text != "{" else "value")
             self.is_value = False
@@ -477,6 +480,7 @@ class EcmaScanner(Scanner):
         if where == "object" and value < end and ts[value].text == "{" and ts[value].mate > value:
             self.tokens(ts, value + 1, ts[value].mate, parent, inner, "object")
             value = ts[value].mate + 1
+        self.value_at = ts[value].start if value < end else -1
         self.tokens(ts, value, end, parent, inner, "block")
         return max(end, i + 1)
 

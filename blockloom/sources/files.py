@@ -13,7 +13,7 @@ def read_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     full = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
-    return rows.select(F.substring_index("path", full + "/", -1).alias("path"), F.decode("content", F.lit("utf-8")).alias("src"))
+    return rows.select(F.substring_index("path", full + "/", -1).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("src"))
 
 
 def read_pairs(spark: SparkSession, old_root: str, new_root: str, glob: str = "*") -> DataFrame:
