@@ -32,5 +32,6 @@ def table_pairs(old: DataFrame, new: DataFrame, key: str, text: str, name: str |
 
 def write_reports(reports: DataFrame, path: str) -> None:
     """One text file per pair_id folder, its lines in order. reports: pair_id, line_seq, text."""
-    whole = reports.groupBy("pair_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_seq", "text"))), lambda x: x["text"]), "\n").alias("value"))
-    whole.write.partitionBy("pair_id").option("lineSep", "").text(path)
+    ordered = reports.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("line_seq", "text"))).alias("l"))
+    lines = F.slice("l.text", 1, F.size("l") - 1)  # a report ends with a line feed, which the writer adds
+    ordered.select("pair_id", F.array_join(lines, "\n").alias("value")).write.partitionBy("pair_id").text(path)
