@@ -60,6 +60,7 @@ class Lexicon:
         self.next: list[dict[str, int]] = [{}]
         self.term: list[int] = [0]  # 0 none, 1 whole term, 2 stem
         self.edits: list[int] = [0]  # largest number of edits of a term below
+        self.loose: set[int] = set()  # ends of terms that may be misspelled
         for kind, words in ((1, terms), (2, stems)):
             for w in words:
                 at, path = 0, [0]
@@ -73,6 +74,8 @@ class Lexicon:
                     path.append(at)
                 self.term[at] = max(self.term[at], kind)
                 k = int(kind == 1 and len(w) >= FUZZY_LETTERS)
+                if k:
+                    self.loose.add(at)
                 for p in path:
                     self.edits[p] = max(self.edits[p], k)
         self.fuzzy = {n for n in range(len(self.next)) if self.edits[n]}
@@ -98,7 +101,7 @@ class Lexicon:
             self.steps.append({})
             best = 0
             for node, k, swap in full:
-                if not swap and self.term[node] and (k == 0 or self.term[node] == 1):
+                if not swap and self.term[node] and (k == 0 or node in self.loose):
                     best = max(best, 2 if k == 0 else 1)
             self.ends.append(best)
         return self.known[full]
@@ -111,7 +114,7 @@ class Lexicon:
                     out.add((node, 1, ""))
                 continue
             after = self.next[node].get(c)
-            if after is not None:
+            if after is not None and (k == 0 or after in self.fuzzy):
                 out.add((after, k, ""))
             if self.term[node] == 2 and k == 0:
                 out.add((node, 0, ""))  # a stem takes any ending
