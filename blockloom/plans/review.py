@@ -20,6 +20,8 @@ from ..kernels.report import COUNTERS
 from ..options import Options
 from ..scan import detect, extension, extract
 
+#: Characters of sources whose results are handed on together.
+HELD_CHARS = 1 << 19
 #: Columns of a table of pairs.
 PAIR_COLUMNS = ["pair_id", "old_name", "old_src", "new_name", "new_src"]
 WORD = "struct<text:string,type:string,side:string>"
@@ -52,11 +54,18 @@ def _per_pair(pairs: DataFrame, fields: str, rows_of) -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            for row in b.to_pylist():  # one pair at a time: a pair's own size bounds memory
+            for row in b.to_pylist():
                 found = rows_of(row["old_name"] or "", row["old_src"] or "", row["new_name"] or "", row["new_src"] or "")
-                if found:
-                    yield pa.RecordBatch.from_pylist([{"pair_id": row["pair_id"], **r} for r in found], schema=arrow)
+                held += [{"pair_id": row["pair_id"], **r} for r in found]
+                size += len(row["old_src"] or "") + len(row["new_src"] or "")
+                if size > HELD_CHARS:  # one pair at least: memory is bounded by the largest pair
+                    if held:
+                        yield pa.RecordBatch.from_pylist(held, schema=arrow)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=arrow)
 
     return pairs.select(*PAIR_COLUMNS).mapInArrow(run, schema)
 
@@ -102,34 +111,53 @@ def blocks(pairs: DataFrame) -> DataFrame:
 def match_blocks(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Correlate tables of hand-made or scanned blocks: pair_id, pair_seq, stage, old_ix, new_ix, confidence, match_type.
 
-    One task per pair_id holds the blocks of one pair of documents, as the assignment over their
-    similarity table needs; a document's blocks are bounded by the document.
+    Blocks are dealt out by pair_id and sorted, then read as a stream: memory holds the blocks of
+    one pair at a time, as the assignment over their similarity table needs.
     """
     from ..kernels.matching import Matcher
 
-    def run(t: pa.Table) -> pa.Table:
+    need = ["pair_id", "side", "block_ix", "id", "kind", "name", "parent", "start_byte", "end_byte", "source"]
+    names = ["pair_id", "pair_seq", "stage", "old_ix", "new_ix", "confidence", "match_type"]
+    kind = rows.schema["pair_id"].dataType.simpleString()
+
+    def match(pair_id, found: list[dict]) -> Iterator[tuple]:
         sides: dict[str, list[Block]] = {"old": [], "new": []}
         ix: dict[Block, int] = {}
-        for r in sorted(t.to_pylist(), key=lambda r: r["block_ix"]):
+        for r in found:
             b = Block(r["kind"], raw(r["name"] or ""), r["start_byte"], r["end_byte"], raw(r["source"] or ""), raw(r["parent"] or ""), id=raw(r["id"]))
             ix[b] = r["block_ix"]
             sides[r["side"]].append(b)
-        found = Matcher(sides["old"], sides["new"], threshold).run()
-        n = len(found)
-        return pa.table({
-            "pair_id": pa.array([t.column("pair_id")[0].as_py()] * n, t.schema.field("pair_id").type),
-            "pair_seq": pa.array(range(n), pa.int32()),
-            "stage": pa.array([p.stage or ("added" if p.old is None else "removed") for p in found], pa.string()),
-            "old_ix": pa.array([ix.get(p.old) for p in found], pa.int32()),
-            "new_ix": pa.array([ix.get(p.new) for p in found], pa.int32()),
-            "confidence": pa.array([p.confidence for p in found], pa.float64()),
-            "match_type": pa.array([p.match_type for p in found], pa.string()),
-        })
+        for i, p in enumerate(Matcher(sides["old"], sides["new"], threshold).run()):
+            yield pair_id, i, p.stage or ("added" if p.old is None else "removed"), ix.get(p.old), ix.get(p.new), p.confidence, p.match_type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        held: list[dict] = []
+        at = None
+
+        def batch() -> pa.RecordBatch:
+            types = (id_type, pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+        for b in batches:
+            id_type = b.schema.field("pair_id").type
+            for r in b.to_pylist():
+                if held and r["pair_id"] != at:
+                    out += match(at, held)
+                    held = []
+                at = r["pair_id"]
+                held.append(r)
+            if len(out) > 10_000:
+                yield batch()
+                out = []
+        if held:
+            out += match(at, held)
+        if out:
+            yield batch()
 
-    kind = rows.schema["pair_id"].dataType.simpleString()
-    need = ["pair_id", "side", "block_ix", "id", "kind", "name", "parent", "start_byte", "end_byte", "source"]
     schema = f"pair_id {kind}, pair_seq int, stage string, old_ix int, new_ix int, confidence double, match_type string"
-    return rows.select(*need).withColumn("block_ix", F.col("block_ix").cast("int")).groupBy("pair_id").applyInArrow(run, schema)
+    sorted_rows = rows.select(*need).withColumn("block_ix", F.col("block_ix").cast("int")).repartition("pair_id").sortWithinPartitions("pair_id", "block_ix")
+    return sorted_rows.mapInArrow(run, schema)
 
 
 def line_diff(pairs: DataFrame, options: Options = Options()) -> DataFrame:
