@@ -26,7 +26,7 @@ class CScanner(Scanner):
         self.language, self.macros = language, macros
         self.classes: dict[str, str] = {}  # qualified class name -> id
         self.bare: dict[str, set[str]] = defaultdict(set)
-        self.late: list[tuple[Block, str, str]] = []  # definitions outside their class
+        self.late: list[tuple[Block, str, str]] = []  # definitions outside their class: block, class, name of a method
 
     def lex(self) -> list[Token]:
         out, at, fresh = [], 0, True
@@ -55,10 +55,13 @@ class CScanner(Scanner):
         self.ts = self.lex()
         self.scope(0, len(self.ts), "", (), "file")
         for b, path, member in self.late:
-            ids = self.classes.get(path) or next(iter(self.bare[path.split("::")[-1]]), "") if path in self.classes or len(self.bare[path.split("::")[-1]]) == 1 else ""
-            if ids:
+            bare = self.bare[path.split("::")[-1]]
+            owner = self.classes.get(path) or (next(iter(bare)) if len(bare) == 1 else "")
+            if owner:
                 old = b.id
-                b.kind, b.name, b.parent = "method", member, ids
+                b.parent = owner
+                if member:
+                    b.kind, b.name = "method", member
                 b.id = f"{b.kind}:{b.name}:{b.start}"
                 for x in self.blocks:
                     if x.parent == old:
@@ -157,7 +160,9 @@ class CScanner(Scanner):
             self.typedef(i, end, parent)
         elif (k := self.type_keyword(i, end)) >= 0 and self.own_body(k, end) >= 0:
             return self.type_definition(start, i, k, end, parent, path, where)
-        elif (call := self.call(i, body if body >= 0 else end)) >= 0 and not any(t.text == "=" for t in ts[i:call]):
+        elif (k := self.type_keyword(i, end)) >= 0 and all(t.type == "word" or t.text in ("::", ";") for t in ts[k:end]) and sum(t.type == "word" for t in ts[k + 1 : end]) == 1:
+            pass  # a type named without a body
+        elif (call := self.call(i, body if body >= 0 else end)) >= 0 and not any(t.text == "=" and ts[j - 1].text != "operator" for j, t in enumerate(ts[i:call], i)):
             self.function(start, i, call, body, end, parent, path, where)
             return end
         elif where != "class" or any(t.text == "[" for t in ts[i:end]):
@@ -356,7 +361,13 @@ class CScanner(Scanner):
             const = "constexpr" in head or ("const" in head and not pointer) or (pointer and ts[words[-1] - 1].text == "const")
             kind = "lambda" if is_lambda else "constant" if const else "variable"
             span = (ts[start].start, ts[end - 1].end) if len(parts) == 1 else (ts[words[-1]].start, ts[b - 1].end)
-            self.add(kind, ts[words[-1]].text, *span, parent)
+            b = self.add(kind, ts[words[-1]].text, *span, parent)
+            scope, k = [], words[-1]
+            while k - 2 >= a and ts[k - 1].text == "::" and ts[k - 2].type == "word":
+                k -= 2
+                scope.insert(0, ts[k].text)
+            if scope:
+                self.late.append((b, "::".join(scope), ""))
 
 
 def scan_c(src: str, language: str, macros: bool) -> Document:

@@ -221,6 +221,8 @@ class EcmaScanner(Scanner):
                 kind = "object" if p.text == ":" and where == "object" else kind
             elif t.text == "{" and where == "value":
                 kind = "object"
+            if t.text in "([" and t.mate > i + 1:
+                self.value_at = ts[i + 1].start
             self.tokens(ts, i + 1, t.mate, parent, inner, kind)
             return t.mate + 1
         return i + 1
@@ -345,6 +347,8 @@ class EcmaScanner(Scanner):
             if ts[j].text == "," and ts[j].type == "mark":
                 parts.append((at, j))
                 at = j + 1
+            if ts[j].text == "<" and ts[j - 1].text == "=":  # type parameters of an arrow function
+                j = next((k for k in range(j, last) if ts[k].text == ">"), j)
             j = ts[j].mate + 1 if ts[j].mate > j else j + 1
         parts.append((at, last))
         parts = [(a, b) for a, b in parts if a < b]
@@ -379,6 +383,8 @@ class EcmaScanner(Scanner):
         if ts[a].text == "function" or (ts[a].text == "async" and a + 1 < b and ts[a + 1].text == "function"):
             return "function"
         k = a + 1 if ts[a].text == "async" else a
+        if ts[k : k + 1] and ts[k].text == "<":
+            k = next((j + 1 for j in range(k, b) if ts[j].text == ">"), k)
         arrow = next((j for j in self.flat(ts, k, b) if ts[j].text == "=>"), -1)
         simple = k < b and (ts[k].text == "(" or (ts[k].type == "word" and arrow == k + 1))
         return "arrow_function" if arrow > 0 and simple else ""

@@ -168,3 +168,39 @@ def test_long_lines_and_odd_bytes():
     assert review(long, long + "y", "a.txt", "b.txt").report.summary()["changed"] == 1
     bad = b"const a = '\xff\xfe';\n".decode("utf-8", "surrogateescape")
     assert review(bad, bad, "a.ts", "a.ts").report.summary()["unchanged"] == 1
+
+
+CPP = [
+    ("class C {\n  C& operator=(const C&);\n  operator bool() const;\n  void operator()();\n};\n", ["C", "operator=", "operator bool", "operator()"]),
+    ("class Forward;\nstruct Node;\nclass Box {\n  int v;\n};\n", ["Box"]),
+    ("typedef int A, B;\ntypedef int (*F)(int), (*G)(int);\n", ["A", "B", "F", "G"]),
+    ("int x;\nint a, b;\nvoid (*handler)(int);\nint prototype(int);\n", ["x", "a", "b", "handler", "prototype"]),
+    ("void f() {\n  class Local { void m() {} };\n}\n", ["f"]),
+    ("struct S {\n  auto cb = []() { return 1; };\n  int v = 1;\n};\n", ["S", "cb"]),
+]
+
+
+@pytest.mark.parametrize("src,want", CPP)
+def test_more_of_cpp(src, want):
+    assert [b.name for b in extract(src, "cpp").blocks] == want
+
+
+def test_members_outside_their_class():
+    src = "namespace A { class C { void f(); static int v; }; }\nnamespace B { class C { void f(); }; }\nnamespace A { void C::f() {} }\nvoid B::C::f() {}\nint A::C::v = 1;\n"
+    found = [(b.kind, b.name, b.scope) for b in extract(src, "cpp").blocks if b.kind in ("method", "variable")]
+    assert found == [("method", "f", "A::C"), ("method", "f", "B::C"), ("method", "f", "A::C"), ("method", "f", "B::C"), ("variable", "v", "A::C")]
+
+
+def test_constness_follows_the_declarator():
+    src = "const int *p = 0;\nint * const q = 0;\nconst int (*r)() = 0;\nconstexpr int X = 1;\n"
+    assert [(b.kind, b.name) for b in extract(src, "cpp").blocks] == [("variable", "p"), ("constant", "q"), ("variable", "r"), ("constant", "X")]
+
+
+def test_inline_types_and_objects_do_not_overlap():
+    b = extract("struct S { int x; } s = {1};\nenum E { A } e = A;\n", "c").blocks
+    assert [(x.name, x.source) for x in b] == [("S", "struct S { int x; }"), ("s", "s = {1};"), ("E", "enum E { A }"), ("e", "e = A;")]
+
+
+def test_script_expressions():
+    src = "foo(function () { return 1; });\nexport default () => 3;\nconst g = <T,>(x: T): T => x;\nconst a = 1\n;\n"
+    assert [(b.kind, b.name) for b in extract(src, "tsx").blocks] == [("function", "<anonymous>"), ("arrow_function", ""), ("arrow_function", "g"), ("constant", "a")]
