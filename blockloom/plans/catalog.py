@@ -128,13 +128,13 @@ def kind_matrix(spark, d):
     return rows.select("a", "b", C.eligible("a", "b").alias("eligible"), C.compatible("a", "b").alias("compatible"), C.kind_similarity("a", "b").alias("similarity"))
 
 
-@query(r"""SELECT doc_id, pos, regexp_full_match(regexp_extract(substr(text, 1, pos), '[^\n]*$'), '[ \t\r]*') AS own_line
-    FROM (SELECT *, (CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN length(split_part(text, chr(10), 1)) + 1 ELSE 5 END)::BIGINT AS pos FROM documents) WHERE strlen(text) = length(text)""")
+@query(r"""SELECT doc_id, strlen(head)::BIGINT AS pos, regexp_full_match(regexp_extract(head, '[^\n]*$'), '[ \t\r]*') AS own_line FROM (
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 AND contains(text, chr(10)) THEN split_part(text, chr(10), 1) || chr(10) ELSE split_part(text, chr(10), 1) END AS head FROM documents)""")
 def own_line_positions(spark, d):
-    """Whether only blanks are before an offset on its line."""
-    docs = table(spark, d, "documents").filter(F.length("text") == F.octet_length("text"))
-    at = F.when(F.col("doc_id") % 3 == 0, 0).when(F.col("doc_id") % 3 == 1, F.length(F.substring_index("text", "\n", 1)) + 1).otherwise(5).cast("long")
-    return docs.withColumn("pos", at).select("doc_id", "pos", C.own_line("text", "pos").alias("own_line"))
+    """Whether only blanks are before a byte offset on its line: at the start, after the first line, and before its end."""
+    first = F.octet_length(F.substring_index("text", "\n", 1))
+    pos = F.when(F.col("doc_id") % 3 == 0, 0).when((F.col("doc_id") % 3 == 1) & F.contains("text", F.lit("\n")), first + 1).otherwise(first).cast("long")
+    return table(spark, d, "documents").withColumn("pos", pos).select("doc_id", "pos", C.own_line("text", "pos").alias("own_line"))
 
 
 #: Exact restricted edit distance of short strings in SQL: one list per row of the table, row after row.
@@ -298,19 +298,21 @@ def moved_comments(spark, d):
     return R.moved_comments(b, o.join(n, ["pair_id", "block_ix", "c"]).select("pair_id", "old_id", "new_id"))
 
 
-@query(WITH + """x AS (SELECT 1) SELECT DISTINCT c.pair_id, c.side, c.id FROM b c JOIN b k ON k.pair_id = c.pair_id AND k.id = c.parent AND k.kind = 'class' AND k.start_byte <= c.start_byte AND c.end_byte <= k.end_byte WHERE c.block_ix % 2 = 0""")
+@query(_paths + """ SELECT DISTINCT c.pair_id, c.side, c.id FROM (SELECT * FROM b ANTI JOIN used USING (pair_id, side, id)) c JOIN b k ON k.pair_id = c.pair_id AND k.id = c.parent AND k.kind = 'class' AND k.start_byte <= c.start_byte AND c.end_byte <= k.end_byte""")
 def nested_members(spark, d):
     """One-sided members that show inside their class."""
     b = blocks(spark, d)
-    return R.nested_members(b, b.filter("block_ix % 2 = 0").select("pair_id", "side", "id"))
+    return R.nested_members(b, R.residual(b, R.unique_exact_pairs(b)))
 
 
-@query(WITH + """x AS (SELECT 1) SELECT DISTINCT l.pair_id, l.side, l.block_ix AS line_no FROM b l JOIN b s ON s.pair_id = l.pair_id AND s.side = l.side AND s.block_ix % 2 = 1 AND s.start_byte <= l.start_byte + 2 AND l.start_byte + 6 <= s.end_byte""")
+@query(_paths + """ SELECT DISTINCT l.pair_id, l.side, l.block_ix AS line_no FROM b l JOIN (SELECT b.* FROM b SEMI JOIN used USING (pair_id, side, id)) s ON s.pair_id = l.pair_id AND s.side = l.side AND s.start_byte <= l.start_byte + 2 AND l.start_byte + 6 <= s.end_byte""")
 def skipped_lines(spark, d):
-    """Lines whose text lies inside a block that was skipped as unchanged."""
+    """Lines whose text lies inside a block that was matched and skipped as unchanged."""
     b = blocks(spark, d)
     lines = b.select("pair_id", "side", F.col("block_ix").alias("line_no"), (F.col("start_byte") + 2).alias("lo"), (F.col("start_byte") + 6).alias("hi"))
-    return R.skipped_lines(lines, b.filter("block_ix % 2 = 1").select("pair_id", "side", F.col("start_byte").alias("s"), F.col("end_byte").alias("e")))
+    rest = R.residual(b, R.unique_exact_pairs(b)).select("pair_id", "side", "id")
+    kept = b.join(rest, ["pair_id", "side", "id"], "left_anti")
+    return R.skipped_lines(lines, kept.select("pair_id", "side", F.col("start_byte").alias("s"), F.col("end_byte").alias("e")))
 
 
 @query(WITH + """x AS (SELECT 1) SELECT c.pair_id, c.side, c.id, c.parent AS up_id, p.kind AS up_kind FROM b c JOIN b p ON p.pair_id = c.pair_id AND p.side = c.side AND p.id = c.parent""")
@@ -430,12 +432,12 @@ def first_shown(spark, d):
     return R.first_shown(made(spark, d, LINES, "lineitem").withColumnRenamed("line_seq", "seq"))
 
 
-@query(f"WITH l AS ({_lines}), s AS (SELECT DISTINCT pair_id, side, content FROM l WHERE type <> 'ctx') SELECT l.pair_id, l.side, l.line_seq AS line_no, l.content FROM l WHERE NOT (l.line_seq % 2 = 0 AND EXISTS (SELECT 1 FROM s WHERE s.pair_id = l.pair_id AND s.side = l.side AND s.content = l.content))")
+@query(f"WITH l AS ({_lines}), s AS (SELECT DISTINCT pair_id, side, content FROM l WHERE type <> 'ctx') SELECT l.pair_id, l.side, l.line_seq AS line_no, l.content FROM l WHERE NOT (l.type <> 'add' AND EXISTS (SELECT 1 FROM s WHERE s.pair_id = l.pair_id AND s.side = l.side AND s.content = l.content))")
 def supplement_lines(spark, d):
     """Lines that no pair shows at a place it owns."""
     lines = made(spark, d, LINES, "lineitem").withColumnRenamed("line_seq", "line_no")
     shown = lines.filter("type <> 'ctx'")
-    return R.supplement(lines.select("pair_id", "side", "line_no", "content"), shown, lines.filter("line_no % 2 = 0"))
+    return R.supplement(lines.select("pair_id", "side", "line_no", "content"), shown, lines.filter("type <> 'add'"))
 
 
 @query(WITH + "x AS (SELECT 1) SELECT pair_id, side, name, min(id) AS id FROM b WHERE kind = 'class' AND name <> '' GROUP BY 1, 2, 3 HAVING count(DISTINCT id) = 1")
