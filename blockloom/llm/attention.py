@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
-T, STRIDE, D = 32, 24, 32
-GROUPS, MEMBERS = 32, 64
+T, STRIDE, D = 24, 20, 24
+GROUPS, MEMBERS = 32, 32
 SLOTS = GROUPS * MEMBERS
 #: Windows of a batch: bounds the memory of the forward pass.
 BATCH = 128

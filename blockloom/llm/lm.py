@@ -67,23 +67,31 @@ class Reader:
     def __init__(self, path: str) -> None:
         self.codec, self.memory = codec(path), {}
 
-    def words(self, text: str | None) -> list[str]:
-        got = b" ".join((text or "").encode().lower().split()).decode()
-        return got.split(" ") if got else []
+    def words(self, text: str | None) -> list[bytes]:
+        return (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
 
-    def packed(self, words: list[str]) -> list[bytes]:
+    def packed(self, words: list[bytes]) -> list[bytes]:
+        memory = self.memory
         try:
-            return list(map(self.memory.__getitem__, words))
+            return list(map(memory.__getitem__, words))
         except KeyError:
             pass
-        memory, c = self.memory, self.codec
         if len(memory) > WORDS_KEPT:
             memory.clear()
-        for w in set(words):
+        for w in words:
             if w not in memory:
-                memory[w] = array("I", c.merge((" " + w).encode()) if w.isalpha() else [i for p in c.pattern.findall(" " + w) for i in c.merge(p.encode())]).tobytes()
+                memory[w] = self.encode(w)
         return list(map(memory.__getitem__, words))
 
+    def encode(self, word: bytes) -> bytes:
+        """Packed ids of one word led by a space."""
+        c, text = self.codec, word.decode()
+        if text.isalpha():
+            return array("I", c.merge(b" " + word)).tobytes()
+        if word[-1:] in b".,!" and text[:-1].isalpha():  # letters and one mark are two pre-tokens
+            return (self.memory.get(word[:-1]) or array("I", c.merge(b" " + word[:-1])).tobytes()) + array("I", c.merge(word[-1:])).tobytes()
+        return array("I", [i for p in c.pattern.findall(" " + text) for i in c.merge(p.encode())]).tobytes()
+
     def ids(self, text: str | None) -> bytes:
         return b"".join(self.packed(self.words(text)))
 
@@ -99,17 +107,20 @@ def counts(training: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rd, words, ends = reader(path), Counter(), 0
 
-        def rows(found: dict[str, int]) -> pa.RecordBatch:
+        ids = np.zeros(max(rd.codec.bytes_of) + 1, dtype=np.int64)
+
+        def rows(found: dict[bytes, int]) -> pa.RecordBatch:
+            """The counts held so far; each distinct word's ids are counted as often as the word."""
+            coded = [rd.encode(w) for w in found]
+            times = np.repeat(np.fromiter(found.values(), dtype=np.int64, count=len(found)), np.fromiter(map(len, coded), dtype=np.int64, count=len(found)) // 4)
+            np.add.at(ids, np.frombuffer(b"".join(coded), dtype="<u4"), times)
             return pa.RecordBatch.from_arrays(
-                [pa.array([0] * len(found), pa.int32()), pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["kind", "token", "n"]
+                [pa.array([0] * len(found), pa.int32()), pa.array(found.keys(), pa.binary()).cast(pa.string()), pa.array(found.values(), pa.int64())], names=["kind", "token", "n"]
             )
 
-        ids = np.zeros(max(rd.codec.bytes_of) + 1, dtype=np.int64)
         for b in batches:
             for text in b.column("text").to_pylist():
-                ws = rd.words(text)
-                words.update(ws)
-                np.add.at(ids, np.frombuffer(b"".join(rd.packed(ws)), dtype="<u4"), 1)
+                words.update(rd.words(text))
                 ends += 1
                 if len(words) >= HELD:
                     yield rows(words)
@@ -272,7 +283,7 @@ def score(docs: DataFrame, path: str, end: int, folds: int = 7, held_out: int =
     frequent = octave >= least
     base_of = lambda n: math.log10((n + 1) / (total + distinct + 1))
     share_of = lambda n: n / max(1, total)
-    known = {r["token"]: r["n"] for r in words.filter(frequent).collect()}  # FREQUENT words at most
+    known = {r["token"].encode(): r["n"] for r in words.filter(frequent).collect()}  # FREQUENT words at most
     shared = spark.sparkContext.broadcast((table, flat, known))
     none = len(known)
 
@@ -299,7 +310,7 @@ def score(docs: DataFrame, path: str, end: int, folds: int = 7, held_out: int =
                 rare.append([ws[i] for i in np.flatnonzero(missing).tolist()])
                 rare_net.append(net[far] / math.log(10))
             rows = [p.column("doc_id"), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), *(pa.array(c, pa.float64()) for c in (base, mixed, network))]
-            yield pa.RecordBatch.from_arrays([*rows, pa.array(rare, pa.list_(pa.string())), pa.array(rare_net, pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "n_known", "base", "mixed", "network_score", "rare", "rare_net"])
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(rare_net, pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "n_known", "base", "mixed", "network_score", "rare", "rare_net"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     one = map_batches(src, batch, f"doc_id {kind}, n_tokens bigint, n_known bigint, base double, mixed double, network_score double, rare array<string>, rare_net array<double>")
