@@ -9,8 +9,10 @@ inside and outside of quotation.
 Matching. The lexicon is a trie. A word is run through the product of the trie and a
 Levenshtein automaton: a state is a set of (trie node, edits so far), so one walk over the
 word's letters finds every term within the allowed number of edits (insert, delete, replace,
-swap of neighbours), which is none for short terms and stems and one from FUZZY_LETTERS on.
-States and transitions are built when first met and kept, so words walk through a plain DFA.
+swap of neighbours), which is one for terms from FUZZY_LETTERS on. Stems from FUZZY_LETTERS on
+take one edit and terms of SHORT letters one replaced or swapped letter, each only if the words
+that this adds leave it as pure in the sample as a term has to be. A stem takes nothing from the
+terms that begin with it. States and transitions are built when first met and kept, so words walk through a plain DFA.
 
 Context. Around each hit a window of WINDOW words is looked at: hits inside quotation marks or
 close to a word of reporting count as quotation. Both shares are features, so how much
@@ -25,13 +27,14 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, map_batches
+from .common import bounded_sample, fold, map_batches, materialize
 
 #: Labelled rows of the sample at most.
 SAMPLE = 12_000
@@ -42,6 +45,8 @@ MIN_STEM, MAX_STEM = 4, 8
 SUPPORT, RATIO = 4, 20.0
 #: Letters from which a term may be misspelled by one edit.
 FUZZY_LETTERS = 5
+#: Letters of the shorter terms that may have one letter replaced or swapped.
+SHORT = 4
 WINDOW = 8
 #: Distinct words whose result a worker keeps.
 WORDS_KEPT = 400_000
@@ -54,13 +59,21 @@ _word = re.compile(r"[^\W\d_]+|[" + QUOTES + "]")
 
 
 class Lexicon:
-    """Trie of terms with a lazily built automaton of all words within the allowed edits."""
+    """Trie of terms with a lazily built automaton of all words within the allowed edits.
 
-    def __init__(self, terms: list[str], stems: list[str]) -> None:
+    A state's members are (node, edit, letter that a swap waits for); edit is 0 none, 1 a replaced
+    or swapped letter, 2 a letter too many or missing.
+    """
+
+    def __init__(self, terms: list[str], stems: list[str], tolerant: Iterable[str] = ()) -> None:
+        """tolerant: the stems, and the terms under FUZZY_LETTERS, that may be misspelled."""
+        tolerant = frozenset(tolerant)
         self.next: list[dict[str, int]] = [{}]
         self.term: list[int] = [0]  # 0 none, 1 whole term, 2 stem
         self.edits: list[int] = [0]  # largest number of edits of a term below
         self.loose: set[int] = set()  # ends of terms that may be misspelled
+        self.open: set[int] = set()  # ends of stems that may be misspelled
+        self.short: set[int] = set()  # ends of terms that allow no letter more or less
         for kind, words in ((1, terms), (2, stems)):
             for w in words:
                 at, path = 0, [0]
@@ -73,9 +86,9 @@ class Lexicon:
                     at = self.next[at][c]
                     path.append(at)
                 self.term[at] = max(self.term[at], kind)
-                k = int(kind == 1 and len(w) >= FUZZY_LETTERS)
+                k = int(w in tolerant or kind == 1 and len(w) >= FUZZY_LETTERS)
                 if k:
-                    self.loose.add(at)
+                    (self.open if kind == 2 else self.loose if len(w) >= FUZZY_LETTERS else self.short).add(at)
                 for p in path:
                     self.edits[p] = max(self.edits[p], k)
         self.fuzzy = {n for n in range(len(self.next)) if self.edits[n]}
@@ -90,7 +103,7 @@ class Lexicon:
         out = set(members)
         for node, k, swap in members:
             if k == 0 and not swap:
-                out.update((n, 1, "") for n in self.next[node].values() if n in self.fuzzy)
+                out.update((n, 2, "") for n in self.next[node].values() if n in self.fuzzy)
         return frozenset(out)
 
     def _state(self, members) -> int:
@@ -101,7 +114,7 @@ class Lexicon:
             self.steps.append({})
             best = 0
             for node, k, swap in full:
-                if not swap and self.term[node] and (k == 0 or node in self.loose):
+                if not swap and (self.term[node] if k == 0 else node in self.loose or node in self.open or k == 1 and node in self.short):
                     best = max(best, 2 if k == 0 else 1)
             self.ends.append(best)
         return self.known[full]
@@ -118,8 +131,10 @@ class Lexicon:
                 out.add((after, k, ""))
             if self.term[node] == 2 and k == 0:
                 out.add((node, 0, ""))  # a stem takes any ending
+            if node in self.open and k:
+                out.add((node, k, ""))
             if k == 0 and node in self.fuzzy:
-                out.add((node, 1, ""))  # one letter too many
+                out.add((node, 2, ""))  # one letter too many
                 for letter, n in self.next[node].items():
                     if n in self.fuzzy:
                         out.add((n, 1, ""))  # another letter
@@ -203,6 +218,45 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 5
     return w
 
 
+def misspellings(unit: str, stem: bool) -> Iterator[str]:
+    """What a word (for a stem, a beginning of it) within the edits of unit looks like; a NUL stands for any letter."""
+    for i in range(len(unit)):
+        yield unit[:i] + "\0" + unit[i + 1 :]
+        if i:
+            yield unit[: i - 1] + unit[i] + unit[i - 1] + unit[i + 1 :]
+        if stem:
+            yield unit[:i] + unit[i + 1 :]
+            yield unit[:i] + "\0" + unit[i:]
+
+
+def tolerated(counts: DataFrame, units: list[tuple[str, bool]], pure) -> list[str]:
+    """The units, (term of SHORT letters or stem, whether a stem), that stay pure with all words of the sample within their edits."""
+    looks: dict[tuple[str, bool], list[int]] = defaultdict(list)
+    for n, (unit, stem) in enumerate(units):
+        for look in set(misspellings(unit, stem)):
+            looks[look, stem].append(n)
+    lengths = sorted({(len(look), stem) for look, stem in looks})
+
+    def met(b: pa.RecordBatch) -> pa.RecordBatch:
+        sums: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+        for w, bad, good in zip(*(b.column(c).to_pylist() for c in ("w", "bad", "good"))):
+            found: set[int] = set()
+            for n, stem in lengths:
+                if len(w) == n or stem and len(w) > n:
+                    for look in (w[:n], *(w[:i] + "\0" + w[i + 1 : n] for i in range(n))):
+                        found.update(looks.get((look, stem), ()))
+            for unit in found:
+                sums[unit][0] += bad
+                sums[unit][1] += good
+        cols = [pa.array(list(sums), pa.int64()), *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in (0, 1))]
+        return pa.RecordBatch.from_arrays(cols, names=["unit", "bad", "good"])
+
+    words = counts.filter("w <> '' AND NOT stem").select("w", "bad", "good")
+    got = map_batches(words, met, "unit bigint, bad bigint, good bigint").groupBy("unit").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    sums = {r["unit"]: r for r in got.collect()}  # a row per unit
+    return sorted(u for n, (u, _) in enumerate(units) if n not in sums or pure(sums[n]))
+
+
 def lexicon_of(sample: DataFrame) -> Lexicon:
     """Learn terms and stems from (doc_id, text, toxic): counted in Spark, at most TERMS rows reach the driver."""
 
@@ -224,6 +278,7 @@ def lexicon_of(sample: DataFrame) -> Lexicon:
 
     counts = map_batches(sample.select("text", "toxic"), spread, "w string, stem boolean, bad bigint, good bigint")
     counts = counts.groupBy("w", "stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    counts = materialize(counts, "word-labels")
     rows = counts.filter(f"w = '' OR bad >= {SUPPORT} AND bad >= {RATIO / 4} * good").orderBy((F.col("w") != ""), F.desc("bad"), "w", "stem").limit(TERMS + 1).collect()
     total = next((r for r in rows if r["w"] == "" and not r["stem"]), None)
     if total is None or not total["bad"]:
@@ -237,7 +292,8 @@ def lexicon_of(sample: DataFrame) -> Lexicon:
         endings = [t for t in terms if t.startswith(s)]
         if len(endings) >= 3 and not any(s.startswith(x) for x in stems):
             stems.append(s)
-    return Lexicon([t for t in terms if not any(t.startswith(s) for s in stems)], stems)
+    units = [(t, False) for t in terms if len(t) == SHORT] + [(s, True) for s in stems if len(s) >= FUZZY_LETTERS]
+    return Lexicon(terms, stems, tolerated(counts, units, pure) if units else ())
 
 
 def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = 5, held_out: int = 0) -> Scorer:

@@ -179,3 +179,15 @@ def test_language_model(spark, labelled, tokenizer_path, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) * 1.1
     nothing = lm.score(docs.filter("doc_id is null or doc_id = 1000").drop("lang"), tokenizer_path, 50256).collect()
     assert len(nothing) == 2
+
+
+def test_terms_and_stems_take_misspellings(spark):
+    """A stem leaves its terms tolerant; long stems and short terms are tolerant unless clean words come with it."""
+    lexicon = toxicity.Lexicon(["idiot", "scum"], ["idio", "wretch"], ["wretch", "scum"])
+    for word, want in {"idiotic": 2, "idoit": 1, "idjot": 1, "wretchedly": 2, "wrechedly": 1, "wertches": 1, "scmu": 1, "skum": 1, "scu": 0, "scumm": 0, "idoo": 0}.items():
+        assert lexicon.match(word) == want, word
+    rows = [(f"you {w} of a man", 1) for w in ("scum", "dolt", "idiot", "idiots", "idiotic") for _ in range(8)]
+    rows += [("some bolt and colt here", 0), *[("a kind word to the other", 0)] * 60]
+    learned = toxicity.lexicon_of(spark.createDataFrame(rows, "text string, toxic int"))
+    for word, want in {"idoit": 1, "idjot": 1, "idiotically": 2, "skum": 1, "dolt": 2, "bolt": 0, "delt": 0}.items():
+        assert learned.match(word) == want, word
