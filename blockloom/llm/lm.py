@@ -11,7 +11,7 @@ Passes over the corpus:
    then one shuffle by word).
 2. Training: a first network is fitted on the driver on a sample of bounded size (WARM_DOCS),
    which only fixes the starting point. Then every task trains a copy on its own share of all
-   training texts (one text in SHARE, so the work grows with the corpus), and the copies are
+   training texts, every one of which is in exactly one share, and the copies are
    averaged, weighted by how much each has seen. Networks have one fixed size.
 3. Scoring: the ids of a text are cut into overlapping windows that score every id once;
    windows of many texts go through masked attention together.
@@ -46,8 +46,8 @@ from .common import bounded_sample, fold, map_batches, materialize, text_slices
 
 #: Texts of the driver's first model, and ids taken from each, at most.
 WARM_DOCS, WARM_IDS, WARM_STEPS = 400, 800, 500
-#: One training text in SHARE trains the tasks' copies.
-SHARE = 64
+#: One training text in SHARE trains the tasks' copies: all of them.
+SHARE = 1
 WARM_RATE, TASK_RATE = 0.01, 0.001
 #: Words in the broadcast table at most.
 FREQUENT = 1 << 17

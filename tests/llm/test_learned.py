@@ -191,3 +191,12 @@ def test_terms_and_stems_take_misspellings(spark):
     learned = toxicity.lexicon_of(spark.createDataFrame(rows, "text string, toxic int"))
     for word, want in {"idoit": 1, "idjot": 1, "idiotically": 2, "skum": 1, "dolt": 2, "bolt": 0, "delt": 0}.items():
         assert learned.match(word) == want, word
+
+
+def test_every_training_text_trains_the_network(spark, tokenizer_path, monkeypatch):
+    """Even a corpus of one text moves the network from its starting point."""
+    monkeypatch.setattr(lm, "WARM_STEPS", 0)
+    for i in range(3):
+        docs = spark.createDataFrame([(i, "some words that are all there is")], "doc_id long, text string")
+        table, flat = lm.train(docs, {257: 4, 262: 2}, tokenizer_path, 50256)
+        assert (flat != attention.start(table.counts)).any()
