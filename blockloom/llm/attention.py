@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-T, STRIDE, D = 24, 20, 24
+T, STRIDE, D = 32, 16, 32
 GROUPS, MEMBERS = 32, 32
 SLOTS = GROUPS * MEMBERS
 #: Windows of a batch: bounds the memory of the forward pass.

@@ -200,3 +200,7 @@ def test_every_training_text_trains_the_network(spark, tokenizer_path, monkeypat
         docs = spark.createDataFrame([(i, "some words that are all there is")], "doc_id long, text string")
         table, flat = lm.train(docs, {257: 4, 262: 2}, tokenizer_path, 50256)
         assert (flat != attention.start(table.counts)).any()
+
+
+def test_windows_overlap_by_half():
+    assert attention.T >= 32 and attention.T - attention.STRIDE >= attention.T // 2
