@@ -3,30 +3,44 @@
 One layer of one-head attention with a residual, over windows of T ids. The output is a
 two-level softmax: ids are sorted by their bytes and cut into GROUPS groups of MEMBERS, so the
 probability of an id is that of its group times that of its place in the group, both from the
-same state. Ids beyond the table share one entry and are told apart by their corpus counts.
+same state. There are as many groups as members; the table is as large as the ids in use need, up
+to GROUPS, which holds every id of the tokenizer.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 T, STRIDE, D = 32, 16, 32
-GROUPS, MEMBERS = 32, 32
+#: At most; GROUPS * MEMBERS is over the tokenizer's 50,257 ids.
+GROUPS = MEMBERS = 225
 SLOTS = GROUPS * MEMBERS
 #: Windows of a batch: bounds the memory of the forward pass.
 BATCH = 128
 _CAUSAL = np.where(np.tri(T, dtype=bool), 0.0, -1e9).astype(np.float32)
-#: Name -> shape of the parameters.
-SHAPES = {"e": (SLOTS, D), "pos": (T, D), "q": (D, D), "k": (D, D), "v": (D, D), "o": (D, D), "gw": (D, GROUPS), "gb": (GROUPS,), "mw": (GROUPS, D, MEMBERS), "mb": (GROUPS, MEMBERS)}
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+
+
+def shapes(g: int) -> dict[str, tuple[int, ...]]:
+    """Name -> shape of the parameters with g groups of g members."""
+    return {"e": (g * g, D), "pos": (T, D), "q": (D, D), "k": (D, D), "v": (D, D), "o": (D, D), "gw": (D, g), "gb": (g,), "mw": (g, D, g), "mb": (g, g)}
+
+
+def size(g: int) -> int:
+    return sum(math.prod(s) for s in shapes(g).values())
+
+
+SIZE = size(GROUPS)
+_groups = {size(g): g for g in range(1, GROUPS + 1)}
 
 Params = dict[str, np.ndarray]
 
 
 def unpack(flat: np.ndarray) -> Params:
     out, at = {}, 0
-    for name, shape in SHAPES.items():
-        n = int(np.prod(shape))
+    for name, shape in shapes(_groups[len(flat)]).items():
+        n = math.prod(shape)
         out[name] = flat[at : at + n].reshape(shape)
         at += n
     return out
@@ -35,9 +49,10 @@ def unpack(flat: np.ndarray) -> Params:
 def start(slot_counts: np.ndarray, seed: int = 11) -> np.ndarray:
     """Initial parameters; output biases begin at the ids' own frequencies."""
     r = np.random.default_rng(seed)
-    flat = (r.standard_normal(SIZE) * 0.1).astype(np.float32)
+    groups = math.isqrt(len(slot_counts))
+    flat = (r.standard_normal(size(groups)) * 0.1).astype(np.float32)
     p = unpack(flat)
-    c = (slot_counts + 0.5).reshape(GROUPS, MEMBERS)
+    c = (slot_counts + 0.5).reshape(groups, groups)
     p["gb"][:] = np.log(c.sum(axis=1) / c.sum())
     p["mb"][:] = np.log(c / c.sum(axis=1, keepdims=True))
     return flat
@@ -99,8 +114,8 @@ def log_probs(p: Params, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> np.n
     state = np.matmul(s, h @ p["vo"])
     state /= s.sum(axis=2, keepdims=True)
     state += h
-    slot = y[mask]
-    group = slot // MEMBERS
+    slot, groups = y[mask], len(p["gb"])
+    group = slot // groups
     order = np.argsort(group.astype(np.uint8), kind="stable")
     slot, group = slot[order], group[order]
     state = state.reshape(-1, D)[np.flatnonzero(mask)[order]]
@@ -109,13 +124,13 @@ def log_probs(p: Params, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> np.n
     got = z[rows, group]
     z = np.exp(z, out=z)
     sums = z.sum(axis=1)
-    bounds = np.searchsorted(group, np.arange(GROUPS + 1))
-    for g in range(GROUPS):
+    bounds = np.searchsorted(group, np.arange(groups + 1))
+    for g in range(groups):
         at = slice(bounds[g], bounds[g + 1])
         if at.start < at.stop:
             z = state[at] @ p["mw"][g]
             z += p["mb"][g]
-            got[at] += z[rows[: at.stop - at.start], slot[at] - g * MEMBERS]
+            got[at] += z[rows[: at.stop - at.start], slot[at] - g * groups]
             np.exp(z, out=z)
             sums[at] *= z.sum(axis=1)
     out = np.empty(len(slot), dtype=np.float64)
@@ -125,12 +140,13 @@ def log_probs(p: Params, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> np.n
 
 def gradient(p: Params, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, np.ndarray]:
     """Mean negative log-likelihood of the masked targets and its gradient, flat."""
-    flat = np.zeros(SIZE, dtype=np.float32)
+    groups = len(p["gb"])
+    flat = np.zeros(size(groups), dtype=np.float32)
     g = unpack(flat)
     full, (h, q, k, v, s, a) = forward(p, x)
     state, slot = full[mask], y[mask]
     n = max(1, len(slot))
-    group, member = slot // MEMBERS, slot % MEMBERS
+    group, member = slot // groups, slot % groups
     rows = np.arange(len(slot))
     z = _log_softmax(state @ p["gw"] + p["gb"])
     loss = -z[rows, group].sum()
@@ -141,8 +157,8 @@ def gradient(p: Params, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple
     g["gb"] += d.sum(axis=0)
     ds = d @ p["gw"].T
     order = np.argsort(group, kind="stable")
-    bounds = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    for i in range(GROUPS):
+    bounds = np.searchsorted(group[order], np.arange(groups + 1))
+    for i in range(groups):
         at = order[bounds[i] : bounds[i + 1]]
         if not len(at):
             continue

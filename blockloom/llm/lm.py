@@ -12,7 +12,7 @@ Passes over the corpus:
 2. Training: a first network is fitted on the driver on a sample of bounded size (WARM_DOCS),
    which only fixes the starting point. Then every task trains a copy on its own share of all
    training texts, every one of which is in exactly one share, and the copies are
-   averaged, weighted by how much each has seen. Networks have one fixed size.
+   averaged, weighted by how much each has seen. Every subword id in use has its own entry.
 3. Scoring: the ids of a text are cut into overlapping windows that score every id once;
    windows of many texts go through masked attention together.
 
@@ -136,24 +136,20 @@ def counts(training: DataFrame, path: str) -> DataFrame:
 
 
 class Table:
-    """Slots of the model for subword ids, and the share of each id within the shared last slot."""
+    """Slots of the model: one for each subword id that training texts hold, a last one for those they never hold."""
 
     def __init__(self, id_counts: dict[int, int], bytes_of: dict[int, bytes], end: int) -> None:
         n = dict(id_counts)
         n[end] = n.get(end, 0) + 1
-        top = sorted(n, key=lambda i: (-n[i], i))[: A.SLOTS - 1]
-        if end not in top:
-            top[-1] = end
-        top.sort(key=lambda i: (bytes_of[i], i))
-        self.other, self.end = A.SLOTS - 1, end
+        top = sorted(n, key=lambda i: (bytes_of[i], i))
+        slots = (math.isqrt(len(top)) + 1) ** 2  # the least square over len(top)
+        self.other, self.end = slots - 1, end
         self.slot = np.full(max(bytes_of) + 1, self.other, dtype=np.int32)
         self.slot[top] = np.arange(len(top))
         rest = [i for i in bytes_of if self.slot[i] == self.other]
-        total = sum(n.get(i, 0) + 1 for i in rest)
         self.within = np.zeros(len(self.slot))
-        for i in rest:
-            self.within[i] = math.log((n.get(i, 0) + 1) / total)
-        self.counts = np.bincount(self.slot[list(n)], weights=list(n.values()), minlength=A.SLOTS)
+        self.within[rest] = -math.log(max(1, len(rest)))
+        self.counts = np.bincount(self.slot[list(n)], weights=list(n.values()), minlength=slots)
 
     def sequence(self, packed: bytes) -> np.ndarray:
         """Slots of end, the ids, end."""
@@ -205,7 +201,7 @@ def train(training: DataFrame, id_counts: dict[int, int], path: str, end: int) -
     # A window of at most WARM_IDS ids needs no more than its first bytes; the tasks below read whole texts.
     sample = training.join(F.broadcast(drawn), "doc_id").select(F.substring("text", 1, 16 * WARM_IDS).alias("text"), "doc_id").orderBy("doc_id", "text").limit(WARM_DOCS)
     flat = warm_up([r["text"] or "" for r in sample.collect()], table, path)
-    shared = spark.sparkContext.broadcast((table, flat))  # one fixed size
+    shared = spark.sparkContext.broadcast((table, flat))  # bounded by the tokenizer's ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (table, flat), rd, seen = shared.value, reader(path), 0
@@ -218,7 +214,7 @@ def train(training: DataFrame, id_counts: dict[int, int], path: str, end: int) -
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([seen], pa.int64()), pa.array([trainer.flat.tobytes()], pa.binary())], names=["k", "seen", "params"])
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(A.SIZE), 0
+        total, seen = np.zeros(A.size(math.isqrt(len(table.counts)))), 0
         for b in batches:
             for n, raw in zip(b.column("seen").to_pylist(), b.column("params").to_pylist()):
                 total += n * np.frombuffer(raw, dtype=np.float32).astype(np.float64)

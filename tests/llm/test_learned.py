@@ -204,3 +204,11 @@ def test_every_training_text_trains_the_network(spark, tokenizer_path, monkeypat
 
 def test_windows_overlap_by_half():
     assert attention.T >= 32 and attention.T - attention.STRIDE >= attention.T // 2
+
+
+@pytest.mark.parametrize("met", [1, 3000, 50256])
+def test_every_id_in_use_has_its_own_slot(met):
+    table = lm.Table({i: met - i + 1 for i in range(met)}, {i: i.to_bytes(2) for i in range(50257)}, 50256)
+    used = [*range(met), 50256]
+    assert len(set(table.slot[used].tolist())) == len(used) and table.other not in table.slot[used]
+    assert (table.slot[met:50256] == table.other).all() and len(attention.start(table.counts)) <= attention.SIZE
