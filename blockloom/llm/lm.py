@@ -9,8 +9,8 @@ share of the corpus (nothing for words that training never met).
 Passes over the corpus:
 1. Counts of every word and every subword id over all training texts (partial counts per task,
    then one shuffle by word).
-2. Training: a first network is fitted on the driver on a sample of bounded size (WARM_DOCS),
-   which only fixes the starting point. Then every task trains a copy on its own share of all
+2. Training: a first network is fitted on the driver on windows drawn from all places of all
+   training texts (WARM_STEPS * WARM_BATCH at most), which only fixes the starting point. Then every task trains a copy on its own share of all
    training texts, every one of which is in exactly one share, and the copies are
    averaged, weighted by how much each has seen. Every subword id in use has its own entry.
 3. Scoring: the ids of a text are cut into overlapping windows that score every id once;
@@ -34,6 +34,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +43,10 @@ from pyspark.sql import functions as F
 
 from . import attention as A
 from .bpe import library_codec as codec
-from .common import bounded_sample, fold, map_batches, materialize, text_slices
+from .common import fold, map_batches, materialize, text_slices
 
-#: Texts of the driver's first model, and ids taken from each, at most.
-WARM_DOCS, WARM_IDS, WARM_STEPS = 400, 800, 500
+#: Steps of the driver's first model, and windows of a step.
+WARM_STEPS, WARM_BATCH = 500, 64
 #: One training text in SHARE trains the tasks' copies: all of them.
 SHARE = 1
 WARM_RATE, TASK_RATE = 0.01, 0.001
@@ -177,30 +178,48 @@ def _batches(sequences: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.n
         yield tuple(np.concatenate(c) for c in zip(*held))
 
 
-def warm_up(texts: list[str], table: Table, path: str) -> np.ndarray:
-    """The starting point: a model fitted on the bounded sample."""
-    rd, r = reader(path), np.random.default_rng(5)
-    parts = [A.windows(table.sequence(rd.ids(t)[: 4 * WARM_IDS])) for t in texts]
+def warm_up(rows: list[np.ndarray], table: Table) -> np.ndarray:
+    """The starting point: a model fitted once on the drawn windows (T inputs, T targets and T marks each)."""
     flat = A.start(table.counts)
-    if not parts:
+    if not rows:
         return flat
-    x, y, m = (np.concatenate(p) for p in zip(*parts))
-    trainer = A.Trainer(flat, WARM_RATE)
+    x, y, m = np.stack(rows).reshape(-1, 3, A.T).transpose(1, 0, 2)
+    trainer, r = A.Trainer(flat, WARM_RATE), np.random.default_rng(5)
     for i in range(WARM_STEPS):
         trainer.rate = WARM_RATE * (1 - 0.9 * i / WARM_STEPS)
-        at = r.integers(0, len(x), size=min(64, len(x)))
-        trainer.step(x[at], y[at], m[at])
+        at = r.integers(0, len(x), size=min(WARM_BATCH, len(x)))
+        trainer.step(x[at], y[at], m[at].astype(bool))
     return trainer.flat
 
 
+def drawn_windows(training: DataFrame, table: Table, path: str, cap: int) -> DataFrame:
+    """(at, cells): about cap windows from all places of all texts of (doc_id, text), drawn by a hash that a rerun repeats."""
+    spark = training.sparkSession
+    shared = spark.sparkContext.broadcast(table)
+    chance = cap / max(1.0, table.counts.sum() / A.STRIDE)  # texts have a window for each STRIDE ids and at most one more
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rd, table = reader(path), shared.value
+        for p in text_slices(b, limit=1 << 20):
+            for doc_id, text in zip(p.column("doc_id").to_pylist(), p.column("text").to_pylist()):
+                w = A.windows(table.sequence(rd.ids(text)))
+                r = np.random.default_rng(crc32(f"{doc_id} {text}".encode()))
+                at = r.random(len(w[0]))
+                mine = np.flatnonzero(at < chance)
+                if len(mine):
+                    cells = np.stack([c[mine] for c in w], axis=1).astype("<i4")
+                    yield pa.RecordBatch.from_arrays([pa.array(at[mine]), pa.array([c.tobytes() for c in cells], pa.binary())], names=["at", "cells"])
+
+    return map_batches(training.select("doc_id", "text"), run, "at double, cells binary")
+
+
 def train(training: DataFrame, id_counts: dict[int, int], path: str, end: int) -> tuple[Table, np.ndarray]:
     """The model's table and its averaged parameters."""
     spark = training.sparkSession
     table = Table(id_counts, codec(path).bytes_of, end)
-    drawn = bounded_sample(training.select("doc_id"), "doc_id", WARM_DOCS).distinct()
-    # A window of at most WARM_IDS ids needs no more than its first bytes; the tasks below read whole texts.
-    sample = training.join(F.broadcast(drawn), "doc_id").select(F.substring("text", 1, 16 * WARM_IDS).alias("text"), "doc_id").orderBy("doc_id", "text").limit(WARM_DOCS)
-    flat = warm_up([r["text"] or "" for r in sample.collect()], table, path)
+    cap = WARM_STEPS * WARM_BATCH
+    drawn = drawn_windows(training, table, path, cap).orderBy("at", "cells").limit(cap).collect()
+    flat = warm_up([np.frombuffer(bytes(r["cells"]), dtype="<i4") for r in drawn], table)
     shared = spark.sparkContext.broadcast((table, flat))  # bounded by the tokenizer's ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -212,3 +212,14 @@ def test_every_id_in_use_has_its_own_slot(met):
     used = [*range(met), 50256]
     assert len(set(table.slot[used].tolist())) == len(used) and table.other not in table.slot[used]
     assert (table.slot[met:50256] == table.other).all() and len(attention.start(table.counts)) <= attention.SIZE
+
+
+def test_first_windows_come_from_all_places(spark, tokenizer_path):
+    texts = [(i, " ".join(["alpha"] * 4000 + ["omega"] * 4000)) for i in range(4)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rd = lm.reader(tokenizer_path)
+    first, last = (np.frombuffer(rd.encode(w), dtype="<u4").tolist() for w in (b"alpha", b"omega"))
+    table = lm.Table({i: 16_000 for i in {*first, *last}}, rd.codec.bytes_of, 50256)
+    rows = [np.frombuffer(r.cells, dtype="<i4")[: attention.T] for r in lm.drawn_windows(docs, table, tokenizer_path, 400).collect()]
+    late = sum(bool(set(x.tolist()) & set(table.slot[last].tolist()) - set(table.slot[first].tolist())) for x in rows)
+    assert 300 < len(rows) < 700 and 0.35 < late / len(rows) < 0.75
