@@ -7,7 +7,8 @@ geometric mean of their sizes. Texts are compared with a bounded set of landmark
 times K^-1/2. A ridge regression per language, one against the rest, gives its score. Scoring
 a batch is one product of its presence matrix with the landmarks' and one with the weights.
 
-Learning draws about PER_LANGUAGE texts of each language by hash of the id; LANGUAGES at most.
+Learning draws about PER_LANGUAGE texts of each language by hash of the id. Every language is
+learned; where there are more than LANGUAGES the texts of each are fewer, LEAST or more.
 
 Defined results: `und` with score 0 where text is null or has no letter, or nothing could be
 learned; letters of any script count; whole texts are used; repeated rows are scored each.
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_batches, text_slices
+from .common import fold, map_batches, materialize, text_slices
 
 #: Hash table entries for n-grams of 1, 2 and 3 letters.
 TABLES = (1 << 9, 1 << 12, 1 << 13)
 WIDTH = sum(TABLES)
-PER_LANGUAGE, LANGUAGES = 400, 150
+PER_LANGUAGE, LANGUAGES, LEAST = 400, 150, 8
 #: Landmark texts of each language, and in all, at most.
 LANDMARKS_EACH, LANDMARKS = 24, 600
 RIDGE = 1e-2
@@ -111,11 +112,12 @@ def fit(x: np.ndarray, languages: list[str]) -> Model:
 def learn(docs: DataFrame, folds: int = 4, held_out: int = 2) -> Model:
     """Fit on texts with a language outside the held-out fold: about PER_LANGUAGE of each, drawn by hash."""
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", folds) >= 0) & (fold("doc_id", folds) != held_out))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return Model([], np.zeros((WIDTH, 0), dtype=np.float32), np.zeros((0, 0), dtype=np.float32))
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], int(min(1.0, PER_LANGUAGE / r["count"]) * (1 << 30)))))
-    drawn = usable.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("lang")), F.lit(1 << 30)) < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0)))
+    counts = materialize(usable.groupBy("lang").count(), "languages")
+    n = counts.count()
+    each = min(PER_LANGUAGE, max(LEAST, PER_LANGUAGE * LANGUAGES // max(1, n)))
+    shares = counts.select("lang", F.when(F.col("count") <= each, 1 << 30).otherwise((F.lit(each) / F.col("count") * (1 << 30)).cast("long")).alias("share"))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("lang")), F.lit(1 << 30))
+    drawn = usable.join(F.broadcast(shares), "lang").filter(place < F.col("share"))  # a row per language
 
     def pack(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in text_slices(b):
@@ -125,7 +127,7 @@ def learn(docs: DataFrame, folds: int = 4, held_out: int = 2) -> Model:
                 bits = [np.packbits(r).tobytes() for r in x[has].astype(bool)]
                 yield pa.RecordBatch.from_arrays([pa.array([v for v, h in zip(langs[at : at + ROWS], has) if h], pa.string()), pa.array(bits, pa.binary())], names=["lang", "bits"])
 
-    rows = map_batches(drawn.select("text", "lang"), pack, "lang string, bits binary").limit(2 * PER_LANGUAGE * LANGUAGES).collect()
+    rows = map_batches(drawn.select("text", "lang"), pack, "lang string, bits binary").limit(2 * each * max(1, n)).collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["bits"])[::-1]))
     if not rows:
         return Model([], np.zeros((WIDTH, 0), dtype=np.float32), np.zeros((0, 0), dtype=np.float32))

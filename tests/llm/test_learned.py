@@ -223,3 +223,9 @@ def test_first_windows_come_from_all_places(spark, tokenizer_path):
     rows = [np.frombuffer(r.cells, dtype="<i4")[: attention.T] for r in lm.drawn_windows(docs, table, tokenizer_path, 400).collect()]
     late = sum(bool(set(x.tolist()) & set(table.slot[last].tolist()) - set(table.slot[first].tolist())) for x in rows)
     assert 300 < len(rows) < 700 and 0.35 < late / len(rows) < 0.75
+
+
+def test_rarer_languages_are_learned_too(spark, labelled, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 1)
+    model = langid.learn(labelled[0])
+    assert model.languages == ["de", "en"]
