@@ -31,8 +31,8 @@ from .common import map_batches
 #: Bytes of a pre-token from which a heap replaces the scan.
 LONG = 256
 #: Entries of the word memory of a worker; when it is full it starts again.
-WORDS_KEPT = 1_000_000
-LIBRARY_WORDS_KEPT = 250_000
+WORDS_KEPT = 300_000
+LIBRARY_WORDS_KEPT = 100_000
 #: Fixed: the pre-token pattern that byte-level tokenizer files leave to the library.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 

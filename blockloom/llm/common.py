@@ -72,26 +72,67 @@ def bounded_sample(df: DataFrame, key: str, cap: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) < share).limit(cap)
 
 
+#: Rows that Spark hands to Python at once, where the session keeps Spark's own default: some MB of text.
+BATCH_ROWS = 512
+_ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch from Spark's default, which is meant for narrow rows; a user's own setting stays.
+
+    A batch of 10,000 documents is held by the JVM, by Arrow and as Python values at once.
+    """
+    if spark.conf.get(_ROWS_CONF) == "10000":
+        spark.conf.set(_ROWS_CONF, str(BATCH_ROWS))
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one record batch; None gives no rows."""
+    """mapInArrow with a function of one record batch; None gives no rows.
+
+    Batches have BATCH_ROWS rows, and those with a column `text` some MB of it (a longer text comes alone).
+    """
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = fn(b)
-            if out is None:
-                continue
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
+        for whole in batches:
+            for b in text_slices(whole) if "text" in whole.schema.names else (whole,):
+                out = fn(b)
+                if out is None:
+                    continue
+                if isinstance(out, pa.RecordBatch):
+                    yield out
+                else:
+                    yield from out
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
+def text_filter(docs: DataFrame, keep: Callable[[pa.Array], pa.Array], limit: int = 8 << 20) -> DataFrame:
+    """The rows of docs whose text passes, with all columns; Python sees the text alone, a slice at a time."""
+    small_batches(docs.sparkSession)
+
+    @F.arrow_udf("boolean")
+    def passes(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text], names=["text"])
+        return pa.concat_arrays([keep(part.column("text")) for part in text_slices(batch, limit=limit)] or [pa.array([], pa.bool_())])
+
+    return docs.filter(passes(F.col("text")))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or the first of name_1, name_2, ... that df has no column of."""
+    taken, got, n = {c.lower() for c in df.columns}, name, 0
+    while got.lower() in taken:
+        n += 1
+        got = f"{name}_{n}"
+    return got
+
+
 def with_row_id(docs: DataFrame, name: str, id_col: str = "__row") -> DataFrame:
     """docs written to the shared folder with a stable number per row, so that repeated rows stay apart."""
     return materialize(docs.withColumn(id_col, F.monotonically_increasing_id()), name)

@@ -21,10 +21,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, with_row_id
+from .common import free_name, map_batches, materialize, with_row_id
 
 #: Two primes just under 2^31 and a base for each.
 PRIMES = (2147483647, 2147483629)
@@ -37,6 +37,8 @@ SLAB = 2048
 COMPARE_BYTES = 1 << 16
 #: Rows of a group that are compared with one copy of the representative's chunks.
 ROWS_PER_COPY = 64
+#: Places over which the texts of one key are dealt when candidates are looked up.
+SALTS = 16
 
 _POWERS = np.array([[pow(b, CHUNK - 1 - i, p) for b, p in zip(BASES, PRIMES)] for i in range(CHUNK)], dtype=np.float64)
 
@@ -119,26 +121,35 @@ def _chunks(rows: DataFrame, *cols: str) -> DataFrame:
     return at.select(*cols, "idx", F.substring("__data", F.col("idx") * COMPARE_BYTES + 1, F.lit(COMPARE_BYTES)).alias("chunk"))
 
 
+def _shares(n: str) -> Column:
+    """Into how many shares a group of n rows is dealt."""
+    return F.ceil(F.col(n) / ROWS_PER_COPY).cast("int")
+
+
+def _dealt(groups: DataFrame) -> DataFrame:
+    """Rows of (..., n), one group each, repeated for every share of their group."""
+    return groups.withColumn("share", F.explode(F.sequence(F.lit(0), _shares("n") - 1)))
+
+
 def _verify(rows: DataFrame) -> DataFrame:
     """rows of equal length and fingerprint, with rep_id and rep_row of their group and same: whether the texts are equal.
 
-    Groups are dealt out in shares of about ROWS_PER_COPY rows, each with its own copy of the
-    representative's chunks, so that no group meets in one task.
+    n is the size of a row's group. Groups are dealt out in shares of about ROWS_PER_COPY rows,
+    each with its own copy of the representative's chunks, so that no group meets in one task.
     """
     key = ["n_bytes", "fp"]
-    reps = rows.groupBy(*key).agg(F.max(F.struct("doc_id", "row")).alias("rep"), F.count("*").alias("n"))
-    reps = reps.select(*key, F.col("rep.doc_id").alias("rep_id"), F.col("rep.row").alias("rep_row"), F.ceil(F.col("n") / ROWS_PER_COPY).cast("int").alias("shares"))
-    joined = rows.join(reps, key)
-    share = F.pmod(F.xxhash64("row"), F.col("shares")).cast("int")
-    mine = _chunks(joined.withColumn("share", share), "row", "doc_id", "text_sha256", "rep_id", "rep_row", "share")
-    its = joined.filter(F.col("row") == F.col("rep_row")).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    reps = rows.groupBy(*key).agg(F.max(F.struct("doc_id", "row")).alias("rep"), F.max("n").alias("n"))
+    reps = reps.select(*key, F.col("rep.doc_id").alias("rep_id"), F.col("rep.row").alias("rep_row"), "n")
+    joined = rows.withColumn("share", F.pmod(F.xxhash64("row"), _shares("n")).cast("int")).join(_dealt(reps).drop("n"), [*key, "share"])
+    mine = _chunks(joined, "row", "doc_id", "text_sha256", "rep_id", "rep_row", "share", "n")
+    its = _dealt(joined.filter(F.col("row") == F.col("rep_row")).drop("share"))
     its = _chunks(its, "rep_row", "share").withColumnRenamed("chunk", "rep_chunk")
     met = mine.join(its, ["rep_row", "idx", "share"])
-    return met.groupBy("row", "doc_id", "text_sha256", "rep_id", "rep_row").agg(F.min(F.col("chunk") == F.col("rep_chunk")).alias("same"))
+    return met.groupBy("row", "doc_id", "text_sha256", "rep_id", "rep_row", "share", "n").agg(F.min(F.col("chunk") == F.col("rep_chunk")).alias("same"))
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs, and row (a number per input row with copies, else null).
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs, keep_id being that of the row that stays.
 
     Three passes: fingerprints of all rows; texts of candidate rows, found by an equi-join on
     (length, fingerprint); their chunkwise comparison. Texts without a candidate partner are
@@ -148,9 +159,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     src = docs.select("doc_id", "text")
     key = ["n_bytes", "fp"]
     prints = materialize(with_fingerprints(src, ["doc_id"]), "fingerprints")
-    shared = materialize(prints.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key), "shared-fingerprints")
+    shared = materialize(prints.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1"), "shared-fingerprints")
     single = prints.join(shared, key, "left_anti")
-    rows = with_row_id(with_fingerprints(src, ["doc_id", "text"]).join(shared, key, "left_semi"), "candidates", "row")
+    # Texts meet the shared keys in SALTS places a key: a row of a few bytes per key and place, beside two texts or more.
+    salted = with_fingerprints(src, ["doc_id", "text"]).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    met = salted.join(shared.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*key, "salt"])
+    rows = with_row_id(met.drop("salt"), "candidates", "row")
     done, todo = None, rows
     while True:
         met = materialize(_verify(todo), "compared")
@@ -159,8 +173,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         if other.isEmpty():
             break
         todo = materialize(todo.join(other, "row", "left_semi"), "collided")
-    sizes = done.groupBy("rep_row").agg(F.count("*").alias("group_size"))
-    copies = done.join(sizes, "rep_row").select(
+    sizes = _dealt(done.groupBy("rep_row").agg(F.count("*").alias("group_size"), F.max("n").alias("n"))).drop("n")
+    copies = done.join(sizes, ["rep_row", "share"]).select(
         "doc_id", F.col("rep_id").alias("keep_id"), "group_size", (F.col("row") == F.col("rep_row")).alias("kept"), "text_sha256"
     )
     alone = single.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
@@ -172,7 +186,8 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows are numbered in a written copy, so repeated rows (same doc_id, same text) leave one.
     """
-    numbered = with_row_id(docs, "numbered", "__row")
-    as_id = numbered.select(F.struct(F.col("doc_id").alias("d"), F.col("__row").alias("r")).alias("doc_id"), "text")
-    kept = exact_groups(as_id).filter("kept").select(F.col("doc_id.r").alias("__row"))
-    return numbered.join(kept, "__row", "left_semi").drop("__row")
+    row = free_name(docs, "__row")
+    numbered = with_row_id(docs, "numbered", row)
+    as_id = numbered.select(F.struct(F.col("doc_id").alias("d"), F.col(row).alias("r")).alias("doc_id"), "text")
+    kept = exact_groups(as_id).filter("kept").select(F.col("doc_id.r").alias(row))
+    return numbered.join(kept, row, "left_semi").drop(row)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, map_batches, text_slices
+from .common import bounded_sample, fold, map_batches, text_filter, text_slices
 from .toxicity import fit_logistic
 
 #: Labelled documents of the training sample, and lines taken from each, at most.
@@ -272,9 +272,4 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataF
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """docs without the rows that score below the threshold; all columns are kept."""
     field = learn(docs, labels)
-
-    def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(b, limit=SLICE):
-            yield part.filter(pa.array(field.score(part.column("text")) >= threshold))
-
-    return docs.mapInArrow(lambda it: (x for b in it for x in batch(b)), docs.schema)
+    return text_filter(docs, lambda text: pa.array(field.score(text) >= threshold), SLICE)

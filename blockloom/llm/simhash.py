@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, with_row_id
+from .common import free_name, map_batches, materialize, with_row_id
 from .components import components
 
 SHINGLE = 3
@@ -135,7 +135,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component, the one with the smallest doc_id; all columns are kept."""
-    numbered = with_row_id(docs, "numbered", "__row")
-    keyed = numbered.select(F.struct(F.col("doc_id").alias("d"), F.col("__row").alias("r")).alias("key"), "text")
-    kept = near_groups(keyed, "key").filter(F.col("key") == F.col("component_id")).select(F.col("key.r").alias("__row"))
-    return numbered.join(kept, "__row", "left_semi").drop("__row")
+    row = free_name(docs, "__row")
+    numbered = with_row_id(docs, "numbered", row)
+    keyed = numbered.select(F.struct(F.col("doc_id").alias("d"), F.col(row).alias("r")).alias("key"), "text")
+    kept = near_groups(keyed, "key").filter(F.col("key") == F.col("component_id")).select(F.col("key.r").alias(row))
+    return numbered.join(kept, row, "left_semi").drop(row)

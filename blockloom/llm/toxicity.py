@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, map_batches, materialize
+from .common import bounded_sample, fold, map_batches, materialize, text_filter, text_slices
 
 #: Labelled rows of the sample at most.
 SAMPLE = 12_000
@@ -49,7 +49,7 @@ FUZZY_LETTERS = 5
 SHORT = 4
 WINDOW = 8
 #: Distinct words whose result a worker keeps.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 100_000
 #: Fixed: words that report what somebody else said, in the languages met.
 REPORTING = frozenset("said says say called calls quoted quote wrote writes reported alleged term word slur sagte nannte schrieb zitiert wort dit disait mot écrit cité dijo dice palabra escribió cita".split())
 #: Fixed: opening and closing quotation marks.
@@ -322,9 +322,10 @@ def scored(rows: DataFrame, scorer: Scorer, keep: list[str]) -> DataFrame:
     """The columns in keep, and score."""
     shared = rows.sparkSession.sparkContext.broadcast(scorer)  # TERMS terms at most
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+    def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        return pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([s.score(t) for t in b.column("text").to_pylist()], pa.float64())], names=[*keep, "score"])
+        for p in text_slices(b):
+            yield pa.RecordBatch.from_arrays([*(p.column(c) for c in keep), pa.array([s.score(t) for t in p.column("text").to_pylist()], pa.float64())], names=[*keep, "score"])
 
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     return map_batches(rows.select(*dict.fromkeys([*keep, "text"])), batch, f"{kept}, score double")
@@ -339,9 +340,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without the rows whose text scores as toxic; all columns are kept."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
-
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        s = shared.value
-        return b.filter(pa.array([s.score(t) < threshold for t in b.column(b.schema.get_field_index("text")).to_pylist()], pa.bool_()))
-
-    return docs.mapInArrow(lambda it: (batch(b) for b in it), docs.schema)
+    return text_filter(docs, lambda text: pa.array([shared.value.score(t) < threshold for t in text.to_pylist()], pa.bool_()))
