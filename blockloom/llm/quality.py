@@ -7,13 +7,16 @@ probability of being good, and the mean of these, weighted by line length, is th
 the document. A logistic curve over its log odds, fitted on the training sample, turns that
 mean into a probability.
 
-Learning uses a bounded sample of labelled rows (SAMPLE documents; from each one block of at
-most BLOCK_LINES lines, chosen by hash). Scoring reads every line of every text; features come
-from whole-array operations over the bytes of many texts at once.
+Learning uses a bounded sample of labelled rows: SAMPLE documents, cut whole into blocks of
+BLOCK_LINES lines, of which at most BLOCKS, from all places, are drawn by hash. Lines have no
+labels of their own: a good document says that its lines are good, a bad one that not all are.
+Scoring reads every line of every text; features come from whole-array operations over the
+bytes of many texts at once.
 
 Defined results: a null or empty text is one empty line; without usable labels every score is
-0.5; repeated rows are scored each; an empty table gives no rows; very long texts are scored
-line by line with memory in proportion to their own length.
+0.5; repeated rows are scored each, and rows of one doc_id train as one text, the largest; an
+empty table gives no rows; very long texts are scored line by line with memory in proportion to
+their own length; other columns may have any names, those of the result included.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, fold, map_batches, text_filter, text_slices
 from .toxicity import fit_logistic
 
-#: Labelled documents of the training sample, and lines taken from each, at most.
-SAMPLE, BLOCK_LINES = 3_000, 64
+#: Labelled documents of the training sample at most; their texts are cut into blocks of lines, of which BLOCKS at most are drawn by hash.
+SAMPLE, BLOCKS, BLOCK_LINES = 3_000, 4_000, 64
+#: Weight, beside the hidden labels, of giving every line its document's label.
+TRUST = 0.25
 #: Fixed: characters that count as symbols.
 SYMBOLS = b"#*$%&|<>~^=_{}[]\\@"
 #: Bytes of text whose arrays are held at once (about forty bytes of arrays for each byte of text).
@@ -167,8 +172,8 @@ def log_odds(q: np.ndarray) -> np.ndarray:
     return np.log(q / (1 - q))
 
 
-def forward_backward(score: np.ndarray, valid: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(good) of each line (texts x lines) and the expected label pairs (2 x 2) summed over all texts."""
+def _pass(score: np.ndarray, valid: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(good) of each line (texts x lines), the expected label pairs of each text (texts x 2 x 2), and log P(all lines good)."""
     n, t = score.shape
     shifted = np.clip(score, -30, 30)
     e = np.stack([np.ones((n, t)), np.exp(shifted)], axis=2)
@@ -181,7 +186,7 @@ def forward_backward(score: np.ndarray, valid: np.ndarray, pairs: np.ndarray) ->
         a /= a.sum(axis=1, keepdims=True)
         ahead[:, i] = np.where(valid[:, i, None], a, ahead[:, i - 1])
     back = np.ones((n, 2))
-    p, both = np.empty((n, t)), np.zeros((2, 2))
+    p, both, log_good = np.empty((n, t)), np.zeros((n, 2, 2)), np.zeros(n)
     for i in range(t - 1, -1, -1):
         m = ahead[:, i] * back
         p[:, i] = m[:, 1] / m.sum(axis=1)
@@ -190,33 +195,58 @@ def forward_backward(score: np.ndarray, valid: np.ndarray, pairs: np.ndarray) ->
             arrive = e[:, i] * back
             joint = ahead[:, i - 1][:, :, None] * step * arrive[:, None, :]
             joint /= joint.sum(axis=(1, 2), keepdims=True)
-            both += joint[v].sum(axis=0)
+            both += np.where(v[:, None, None], joint, 0.0)
+            # P(all good) is P(first good) times P(next good | this one good) of every line.
+            log_good += np.where(v, np.log(np.maximum(joint[:, 1, 1], 1e-300)) - np.log(np.maximum(joint[:, 1].sum(axis=1), 1e-300)), 0.0)
             b = arrive @ step.T
             back = np.where(v[:, None], b / b.sum(axis=1, keepdims=True), back)
-    return p, both
+    return p, both, log_good + np.log(np.maximum(p[:, 0], 1e-300))
+
 
+def forward_backward(score: np.ndarray, valid: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P(good) of each line (texts x lines) and the expected label pairs (2 x 2) summed over all texts."""
+    p, both, _ = _pass(score, valid, pairs)
+    return p, both.sum(axis=0)
 
-def fit_field(blocks: list[np.ndarray], labels: np.ndarray, rounds: int = 150, rate: float = 0.1, l2: float = 1e-3) -> Field:
-    """Maximum likelihood by Adam; each block's lines carry their document's label."""
+
+def fit_field(blocks: list[np.ndarray], labels: np.ndarray, docs: list | None = None, rounds: int = 100, rate: float = 0.1, l2: float = 1e-3) -> Field:
+    """Maximum likelihood by Adam, in two phases of `rounds`.
+
+    The labels of lines are hidden; only documents have one. In the first phase each line carries
+    its document's. In the second a good document says that all of its lines are good, a bad one
+    only that not all of them are, so that bad documents may hold good lines and steps between the
+    two labels are learned; the first phase's aim keeps the weight TRUST. docs names the document of each block (one each if left out).
+    """
     t = max(len(b) for b in blocks)
     x = np.zeros((len(blocks), t, WIDTH))
     valid = np.zeros((len(blocks), t), dtype=bool)
     for i, b in enumerate(blocks):
         x[i, : len(b)] = b
         valid[i, : len(b)] = True
+    doc_of = np.unique(np.arange(len(blocks)) if docs is None else np.array(docs), return_inverse=True)[1]
     y = np.repeat(labels[:, None], t, axis=1)
-    lengths = valid.sum(axis=1)
-    seen = np.zeros((2, 2))
-    for k in (0, 1):
-        seen[k, k] = (lengths[labels == k] - 1).sum()
+    steps = valid.sum(axis=1) - 1
+    seen = np.zeros((len(blocks), 2, 2))
+    seen[np.arange(len(blocks)), labels, labels] = steps
+    all_good = np.zeros_like(seen)
+    all_good[:, 1, 1] = steps
     total = valid.sum()
     w = np.zeros(WIDTH + 4)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for i in range(1, rounds + 1):
-        p, both = forward_backward(x @ w[:WIDTH], valid, w[WIDTH:].reshape(2, 2))
-        g = np.concatenate((np.einsum("ntk,nt->k", x, np.where(valid, p - y, 0.0)), (both - seen).ravel())) / total + l2 * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w = w - rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
+    for phase in (0, 1):
+        m, v = np.zeros_like(w), np.zeros_like(w)
+        for i in range(1, rounds + 1):
+            p, both, log_good = _pass(x @ w[:WIDTH], valid, w[WIDTH:].reshape(2, 2))
+            if phase:
+                # d log(1 - P) = -P / (1 - P) d log P, P being that all lines of the document are good
+                good = np.exp(np.minimum(np.bincount(doc_of, weights=log_good), -1e-3))[doc_of]
+                share = (1 - TRUST) * np.where(labels == 1, 1.0, -np.minimum(good / (1 - good), 20.0))
+                d_line = TRUST * (p - y) + (p - 1.0) * share[:, None]
+                d_pair = TRUST * (both - seen) + (both - all_good) * share[:, None, None]
+            else:
+                d_line, d_pair = p - y, both - seen
+            g = np.concatenate((np.einsum("ntk,nt->k", x, np.where(valid, d_line, 0.0)), d_pair.sum(axis=0).ravel())) / total + l2 * w
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            w = w - (rate / (1 + 4 * phase)) * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
     return Field(w[:WIDTH].astype(np.float32), w[WIDTH:].reshape(2, 2))
 
 
@@ -225,32 +255,34 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "quality", folds: in
     usable = labels.filter(F.col(column).isNotNull() & (fold("doc_id", folds) >= 0) & (fold("doc_id", folds) != held_out))
     usable = usable.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
     drawn = F.broadcast(bounded_sample(usable, "doc_id", SAMPLE))  # at most SAMPLE rows of two numbers
-    sample = docs.select("doc_id", "text").join(drawn, "doc_id").select("doc_id", "text", "label")
+    sample = docs.select("doc_id", "text").join(drawn, "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"), F.max("label").alias("label"))  # SAMPLE texts at most
 
     def blocks(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in text_slices(b, limit=SLICE):
             x, _, per_text = line_features(part.column("text"))
-            out, first = [], 0
-            for doc, n in zip(part.column("doc_id").to_pylist(), per_text.tolist()):
-                at = first + (doc * 2654435761 % (2**32)) * max(0, n - BLOCK_LINES) // 2**32
-                out.append(x[at : min(first + n, at + BLOCK_LINES)].tobytes())
+            out, row, first = [], [], 0
+            for i, n in enumerate(per_text.tolist()):
+                for at in range(first, first + n, BLOCK_LINES):
+                    out.append(x[at : min(first + n, at + BLOCK_LINES)].tobytes())
+                    row.append(i)
                 first += n
-            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(out, pa.binary())], names=["label", "block"])
+            of = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column("doc").take(of), part.column("label").take(of), pa.array(out, pa.binary())], names=["doc", "label", "block"])
 
-    as_number = sample.withColumn("doc_id", F.xxhash64(F.col("doc_id").cast("string")))
-    rows = map_batches(as_number, blocks, "label int, block binary").limit(SAMPLE).collect()
-    y = np.array([r["label"] for r in rows], dtype=float)
+    as_number = sample.select(F.xxhash64(F.col("doc_id").cast("string")).alias("doc"), "text", "label")
+    made = map_batches(as_number, blocks, "doc bigint, label int, block binary")
+    rows = made.orderBy(F.xxhash64("doc", "block"), "doc", "block").limit(BLOCKS).collect()
+    y = np.array([r["label"] for r in rows], dtype=int)
     if len(rows) == 0 or y.min() == y.max():
         return Field(np.zeros(WIDTH, dtype=np.float32), np.zeros((2, 2)))
-    rows.sort(key=lambda r: bytes(r["block"]))
-    y = np.array([r["label"] for r in rows], dtype=int)
-    field = fit_field([np.frombuffer(r["block"], dtype=np.float32).reshape(-1, WIDTH) for r in rows], y)
+    field = fit_field([np.frombuffer(r["block"], dtype=np.float32).reshape(-1, WIDTH) for r in rows], y, [r["doc"] for r in rows])
 
     def means(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in text_slices(b, limit=SLICE):
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(field.quality(part.column("text")), pa.float64())], names=["label", "q"])
 
-    got = map_batches(sample.select("text", "label"), means, "label int, q double").limit(SAMPLE).collect()
+    got = map_batches(sample.select("text", "label"), means, "label int, q double").orderBy("q", "label").collect()  # SAMPLE rows of two numbers at most
     q = log_odds(np.array([r["q"] for r in got]))
     field.curve = tuple(fit_logistic(np.stack([np.ones(len(q)), q], axis=1), np.array([float(r["label"]) for r in got]), l2=1e-5).tolist())
     return field
