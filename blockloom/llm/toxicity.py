@@ -18,8 +18,14 @@ Context. Around each hit a window of WINDOW words is looked at: hits inside quot
 close to a word of reporting count as quotation. Both shares are features, so how much
 quotation excuses is learned.
 
+Words may hold single digits or marks between letters (sc0undrel, s*um); where these stand for
+letters, the word is also read with the letters in place. A quotation mark left open ends with
+its line.
+
 Defined results: null and empty texts have no hits and get the score of such documents; with
-no usable labels every score is 0; repeated rows are scored each; texts are scored whole.
+no usable labels every score is 0; repeated rows are scored each; texts are scored whole; ties
+of terms go by count, then by letters; an empty table gives no rows; other columns may have any
+names, those of the result included.
 """
 
 from __future__ import annotations
@@ -38,8 +44,8 @@ from .common import bounded_sample, fold, map_batches, materialize, text_filter,
 
 #: Labelled rows of the sample at most.
 SAMPLE = 12_000
-#: Terms of the lexicon at most: those in most toxic documents stay.
-TERMS = 2_000
+#: Pure terms and stems of the lexicon at most: those in most toxic documents of the sample stay.
+TERMS = 20_000
 MIN_STEM, MAX_STEM = 4, 8
 #: Toxic documents that a term needs, and the least ratio of its shares among toxic and clean ones.
 SUPPORT, RATIO = 4, 20.0
@@ -55,7 +61,12 @@ REPORTING = frozenset("said says say called calls quoted quote wrote writes repo
 #: Fixed: opening and closing quotation marks.
 QUOTES = "\"“”„«»‹›"
 
-_word = re.compile(r"[^\W\d_]+|[" + QUOTES + "]")
+#: Fixed: digits and marks that stand for letters in masked words.
+MASKS = str.maketrans("013457@$", "oieastas")
+
+#: Words (letters, with single digits or marks between them), quotation marks and line ends.
+_word = re.compile(r"[^\W\d_]+(?:[\d*@$#][^\W\d_]+)*|[" + QUOTES + "]|\n")
+_no_words = frozenset(QUOTES) | {"\n"}
 
 
 class Lexicon:
@@ -173,7 +184,10 @@ class Scorer:
             if got is None:
                 if len(memory) >= WORDS_KEPT:
                     memory.clear()
-                got = memory[w] = match(w)
+                got = match(w)
+                if got < 2 and not w.isalpha():  # masked letters: as far as the plain word goes, a misspelling
+                    got = max(got, min(1, match(w.translate(MASKS))))
+                memory[w] = got
             if got:
                 found.add(w)
         return found
@@ -187,7 +201,9 @@ class Scorer:
         exact = fuzzy = quoted = n = 0
         inside = False
         for i, w in enumerate(words):
-            if w in QUOTES:
+            if w == "\n":
+                inside = False  # a mark that is left open ends with its line
+            elif w in QUOTES:
                 inside = not inside if w == '"' else w in "“„«‹"
             elif w in found:
                 n += 1
@@ -198,7 +214,7 @@ class Scorer:
                     exact += 1
                 else:
                     fuzzy += 1
-        return [1.0, math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), min(5.0, 100 * (exact + fuzzy) / len(words))]
+        return [1.0, math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), min(5.0, 100 * (exact + fuzzy) / (len(words) - words.count("\n")))]
 
     def score(self, text: str | None) -> float:
         z = sum(w * x for w, x in zip(self.weights, self.features(text)))
@@ -266,7 +282,7 @@ def lexicon_of(sample: DataFrame) -> Lexicon:
         total = [0, 0]
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
             total[toxic] += 1
-            words = {w for w in _word.findall((text or "").lower()) if w not in QUOTES}
+            words = set(_word.findall((text or "").lower())) - _no_words
             for w in words:
                 counts[w, False][toxic] += 1
             for stem in {w[:n] for w in words for n in range(MIN_STEM, min(MAX_STEM, len(w) - 1) + 1)}:
@@ -279,13 +295,13 @@ def lexicon_of(sample: DataFrame) -> Lexicon:
     counts = map_batches(sample.select("text", "toxic"), spread, "w string, stem boolean, bad bigint, good bigint")
     counts = counts.groupBy("w", "stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     counts = materialize(counts, "word-labels")
-    rows = counts.filter(f"w = '' OR bad >= {SUPPORT} AND bad >= {RATIO / 4} * good").orderBy((F.col("w") != ""), F.desc("bad"), "w", "stem").limit(TERMS + 1).collect()
-    total = next((r for r in rows if r["w"] == "" and not r["stem"]), None)
+    total = counts.filter("w = '' AND NOT stem").first()
     if total is None or not total["bad"]:
         return Lexicon([], [])
     n_bad, n_good = total["bad"], max(1, total["good"])
     pure = lambda r: (r["bad"] / n_bad) / ((r["good"] + 0.5) / n_good) >= RATIO
-    found = [r for r in rows if r["w"] and pure(r)]
+    found = counts.filter(f"w <> '' AND bad >= {SUPPORT} AND bad / {n_bad} >= {RATIO} * (good + 0.5) / {n_good}")
+    found = found.orderBy(F.desc("bad"), "w", "stem").limit(TERMS).collect()
     terms = sorted(r["w"] for r in found if not r["stem"])
     stems: list[str] = []
     for s in sorted((r["w"] for r in found if r["stem"]), key=lambda s: (len(s), s)):
