@@ -7,11 +7,15 @@ geometric mean of their sizes. Texts are compared with a bounded set of landmark
 times K^-1/2. A ridge regression per language, one against the rest, gives its score. Scoring
 a batch is one product of its presence matrix with the landmarks' and one with the weights.
 
-Learning draws about PER_LANGUAGE texts of each language by hash of the id. Every language is
-learned; where there are more than LANGUAGES the texts of each are fewer, LEAST or more.
+Learning draws about PER_LANGUAGE texts of each language by hash of the id, and takes the
+landmarks in the order of that hash. Every language is learned; where there are more than
+LANGUAGES the texts of each are fewer, LEAST or more. The driver holds the drawn texts' packed
+presence rows (1.6 KB each) and unpacks ROWS at a time.
 
 Defined results: `und` with score 0 where text is null or has no letter, or nothing could be
-learned; letters of any script count; whole texts are used; repeated rows are scored each.
+learned; letters of any script count; whole texts are used; repeated rows are scored each; of
+equal scores the language first by name is taken; an empty table gives no rows; other columns
+may have any names, those of the result included.
 """
 
 from __future__ import annotations
@@ -91,22 +95,34 @@ class Model:
         return names, scores
 
 
-def fit(x: np.ndarray, languages: list[str]) -> Model:
-    """Landmarks evenly from each language, then ridge regressions on their Nystrom features."""
+def _unit(bits: list[bytes]) -> np.ndarray:
+    """Presence rows of unit length from packed ones."""
+    x = np.unpackbits(np.frombuffer(b"".join(bits), dtype=np.uint8).reshape(len(bits), -1), axis=1)[:, :WIDTH].astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+
+def fit(bits: list[bytes], languages: list[str]) -> Model:
+    """Landmarks, the first texts of each language in the order given, then ridge regressions on Nystrom features.
+
+    bits are packed presence rows; ROWS of them are unpacked at a time.
+    """
     names = sorted(set(languages))
-    y = np.array([names.index(v) for v in languages])
+    at_name = {v: k for k, v in enumerate(names)}
+    y = np.array([at_name[v] for v in languages])
     each = max(1, min(LANDMARKS_EACH, LANDMARKS // len(names)))
-    marks = np.concatenate([np.flatnonzero(y == k)[:each] for k in range(len(names))])
-    unit = x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    values, vectors = np.linalg.eigh((unit[marks] @ unit[marks].T).astype(np.float64))
+    marks = _unit([bits[i] for k in range(len(names)) for i in np.flatnonzero(y == k)[:each]])
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = (unit @ unit[marks].T).astype(np.float64) @ root
     weight = 1.0 / np.bincount(y)[y]  # languages count alike, however many texts each has
-    gram = phi.T @ (phi * weight[:, None]) + RIDGE * np.eye(phi.shape[1])
-    target = (y[:, None] == np.arange(len(names))).astype(np.float64)
-    w = np.linalg.solve(gram, phi.T @ (target * weight[:, None]))
-    return Model(names, np.ascontiguousarray(unit[marks].T.astype(np.float32)), (root @ w).astype(np.float32))
+    gram, cross = RIDGE * np.eye(root.shape[1]), np.zeros((root.shape[1], len(names)))
+    for at in range(0, len(bits), ROWS):
+        phi = (_unit(bits[at : at + ROWS]) @ marks.T).astype(np.float64) @ root
+        scaled = phi * weight[at : at + ROWS, None]
+        gram += phi.T @ scaled
+        np.add.at(cross.T, y[at : at + ROWS], scaled)
+    w = np.linalg.solve(gram, cross)
+    return Model(names, np.ascontiguousarray(marks.T), (root @ w).astype(np.float32))
 
 
 def learn(docs: DataFrame, folds: int = 4, held_out: int = 2) -> Model:
@@ -117,22 +133,23 @@ def learn(docs: DataFrame, folds: int = 4, held_out: int = 2) -> Model:
     each = min(PER_LANGUAGE, max(LEAST, PER_LANGUAGE * LANGUAGES // max(1, n)))
     shares = counts.select("lang", F.when(F.col("count") <= each, 1 << 30).otherwise((F.lit(each) / F.col("count") * (1 << 30)).cast("long")).alias("share"))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("lang")), F.lit(1 << 30))
-    drawn = usable.join(F.broadcast(shares), "lang").filter(place < F.col("share"))  # a row per language
+    drawn = usable.withColumn("place", place).join(F.broadcast(shares), "lang").filter("place < share")  # a row per language
 
     def pack(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in text_slices(b):
-            texts, langs = part.column("text").to_pylist(), part.column("lang").to_pylist()
+            texts, langs, places = (part.column(c).to_pylist() for c in ("text", "lang", "place"))
             for at in range(0, len(texts), ROWS):
                 x, has = presence(texts[at : at + ROWS])
-                bits = [np.packbits(r).tobytes() for r in x[has].astype(bool)]
-                yield pa.RecordBatch.from_arrays([pa.array([v for v, h in zip(langs[at : at + ROWS], has) if h], pa.string()), pa.array(bits, pa.binary())], names=["lang", "bits"])
+                mine = np.flatnonzero(has)
+                rows = [[v[at + i] for i in mine] for v in (langs, places)] + [[np.packbits(x[i].astype(bool)).tobytes() for i in mine]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.string(), pa.int64(), pa.binary()))], names=["lang", "place", "bits"])
 
-    rows = map_batches(drawn.select("text", "lang"), pack, "lang string, bits binary").limit(2 * each * max(1, n)).collect()
-    rows.sort(key=lambda r: (r["lang"], bytes(r["bits"])[::-1]))
+    # In order of the id's hash: `each` of a language in expectation, and a bound for tables whose ids repeat.
+    made = map_batches(drawn.select("text", "lang", "place"), pack, "lang string, place bigint, bits binary")
+    rows = made.orderBy("place", "lang", "bits").limit(2 * each * max(1, n)).collect()
     if not rows:
         return Model([], np.zeros((WIDTH, 0), dtype=np.float32), np.zeros((0, 0), dtype=np.float32))
-    x = np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in rows), dtype=np.uint8).reshape(len(rows), -1), axis=1)[:, :WIDTH]
-    return fit(x.astype(np.float32), [r["lang"] for r in rows])
+    return fit([bytes(r["bits"]) for r in rows], [r["lang"] for r in rows])
 
 
 def language(docs: DataFrame) -> DataFrame:
