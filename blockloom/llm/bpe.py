@@ -9,7 +9,9 @@ than a heap; pre-tokens over LONG bytes use a heap over the same ranks with the
 Encoded words are kept in a dictionary of bounded size per Python worker.
 
 Defined results: null and empty texts have no tokens; texts of any length and without a
-single space are encoded whole; the strings of special tokens inside a text become their ids.
+single space are encoded whole; the strings of special tokens inside a text become their ids;
+repeated rows are encoded each; of pairs with the same rank the leftmost merges first; an empty
+table gives no rows; other columns may have any names, those of the result included.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 
 from .common import map_batches
@@ -189,12 +190,15 @@ class LibraryCodec(Codec):
         super().__init__(path)
         self.library = None
         if all(a < b for a, b in zip(self.merged, self.merged[1:])):
-            self.library = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=self.ids, special_tokens={})
+            import tiktoken
+
+            made = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=self.ids, special_tokens={})
+            self.library = getattr(made, "_encode_single_piece", None)  # not a public name: without it words are merged here
 
     def merge(self, word: bytes) -> list[int]:
         if self.library is None or len(word) > LONG:
             return super().merge(word)
-        return self.library._encode_single_piece(word)
+        return self.library(word)
 
 
 @lru_cache(maxsize=2)

@@ -12,7 +12,7 @@ arithmetic. No task ever holds all pieces, or all of one length.
 
 Defined results: null and empty texts have the end token alone; texts longer than the
 capacity are cut into full pieces with the remainder first; ties and repeated rows get places
-of their own; an empty table gives no pieces.
+of their own; an empty table gives no pieces; other columns of documents are ignored.
 """
 
 from __future__ import annotations
@@ -135,7 +135,8 @@ def _ranked(rows: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     counts = materialize(tagged.groupBy("length", "task").agg(F.count("*").alias("n")), "piece-counts")
     starts = counts.selectExpr("length", "task", "sum(n) OVER (PARTITION BY length ORDER BY task) - n AS before")
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    ranked = tagged.join(starts, ["length", "task"]).withColumn("rank", F.col("before") + F.col("local")).drop("before", "local", "task")
+    # The starts grow with tasks x lengths, which a file size does not show: never broadcast.
+    ranked = tagged.join(starts.hint("shuffle_merge"), ["length", "task"]).withColumn("rank", F.col("before") + F.col("local")).drop("before", "local", "task")
     return ranked, totals
 
 
