@@ -96,6 +96,69 @@ def test_forward_backward_against_all_labellings():
     assert both == pytest.approx(total)
 
 
+def test_lines_of_mixed_documents():
+    """In bad documents that are partly good, the good lines are the likelier good ones; P(all good) against all labellings."""
+    r = random.Random(4)
+    good = lambda: prose(r, n=12)
+    junk = lambda: "$$$ BUY NOW!!! " * r.randint(2, 4)
+    texts, bad = [], []
+    for i in range(200):
+        marks = [bool(i % 2) and r.random() < 0.6 for _ in range(10)]
+        texts.append("\n".join((junk if m else good)() for m in marks))
+        bad.append(marks)
+    labels = np.array([int(not any(m)) for m in bad])
+    field = quality.fit_field([quality.line_features(pa.array([t]))[0] for t in texts], labels)
+    x, _, per_text = quality.line_features(pa.array(texts))
+    p, m = field.marginals(x, per_text), np.array(bad).ravel()
+    mixed = np.repeat(labels == 0, 10)
+    assert p[mixed & ~m].mean() > 5 * p[m].mean() and p[~mixed].mean() > 0.9
+    assert np.isfinite(field.pairs).all() and field.pairs[0, 1] > -2.5
+    log_good = quality._pass(np.array([[0.3, -0.2, 0.1]]), np.ones((1, 3), dtype=bool), np.array([[0.4, 0.1], [-0.3, 0.2]]))[2]
+    score, pairs = [0.3, -0.2, 0.1], [[0.4, 0.1], [-0.3, 0.2]]
+    weights = {y: math.exp(sum(a * b for a, b in zip(score, y)) + pairs[y[0]][y[1]] + pairs[y[1]][y[2]]) for y in itertools.product((0, 1), repeat=3)}
+    assert log_good[0] == pytest.approx(math.log(weights[1, 1, 1] / sum(weights.values())))
+
+
+def test_line_features_against_plain_counts():
+    x, size, per_text = quality.line_features(pa.array(["Ab CD ab!\n\nword word 12 $", None, "É"]))
+    assert per_text.tolist() == [3, 1, 1] and size.tolist() == [9, 0, 14, 0, 2]
+    assert x[0, 1] == pytest.approx(3 / 6) and x[0, 3] == pytest.approx(min(1 / 9 * 8, 2)) and x[1, 8] == 1
+    assert x[2, 6] == pytest.approx(1 / 4) and x[2, 4] == pytest.approx(2 / 14) and x[2, 2] == pytest.approx(1 / 14 * 8)
+    assert x[1, quality.OWN : 2 * quality.OWN] == pytest.approx(x[0, : quality.OWN]) and (x[0, quality.OWN : 2 * quality.OWN] == 0).all()
+    field = quality.Field(np.zeros(quality.WIDTH, dtype=np.float32), np.zeros((2, 2)))
+    field.marginals = lambda x, per_text: np.array([1.0, 0.0, 0.5, 0.25, 0.75])
+    assert field.quality(pa.array(["Ab CD ab!\n\nword word 12 $", None, "É"])) == pytest.approx([(9 * 1 + 1 * 0 + 14 * 0.5) / 24, 0.25, 0.75])
+
+
+def test_masked_words_and_open_quotes():
+    s = toxicity.Scorer(toxicity.Lexicon(["scoundrel", "scum"], [], ["scum"]), [0.0] * 5)
+    for text in ("you sc0undrel", "you sc*undrel", "you scoundre1s scoundr3l", "5 s0undrel sc0undr3l"):
+        assert s.features(text)[2] > 0, text
+    assert s.features("room 12 a1b2 covid19x")[1:] == [0.0, 0.0, 0.0, 0.0]
+    assert s.features('he is 6" tall\nyou scoundrel')[1] > 0 and s.features('the "scoundrel" of the play')[3] > 0
+
+
+def test_language_kernel_against_sets_and_an_explicit_ridge():
+    """Shared n-grams over the geometric mean of the sets' sizes, and the dual ridge over the landmarks, written out."""
+    r = random.Random(7)
+    texts = [prose(r, lang, 8) for lang in ("en", "de") * 6]
+    langs = ["en", "de"] * 6
+    slots = lambda t: set(np.flatnonzero(langid.presence([t])[0][0]).tolist())
+    pieces = lambda t: {c[i : i + n] for c in ["".join(x if x.isalpha() else " " for x in t.lower())] for n in (1, 2, 3) for i in range(len(c) - n + 1)}
+    assert all(len(pieces(t)) * 0.97 <= len(slots(t)) <= len(pieces(t)) for t in texts)
+    kernel = lambda a, b: len(slots(a) & slots(b)) / math.sqrt(len(slots(a)) * len(slots(b)))
+    model = langid.fit([np.packbits(langid.presence([t])[0][0].astype(bool)).tobytes() for t in texts], langs)
+    k = np.array([[kernel(a, b) for b in texts] for a in texts])  # every text is a landmark here
+    weight = np.full(len(texts), 1 / 6)
+    target = np.array([[x == n for n in model.languages] for x in langs], dtype=float)
+    dual = np.linalg.solve(k @ np.diag(weight) @ k + langid.RIDGE * k, k @ np.diag(weight) @ target)
+    asked = [prose(r, "en", 5), prose(r, "de", 5), "und the"]
+    want = np.array([[kernel(a, b) for b in texts] for a in asked]) @ dual
+    names, scores = model.predict(asked)
+    assert names == [model.languages[i] for i in want.argmax(axis=1)]
+    assert scores == pytest.approx(np.clip(want.max(axis=1), 0, 1), abs=2e-3)
+
+
 def test_marginals_do_not_depend_on_the_other_texts():
     texts = ["one line", "A\nB!!\n$$$ x\n\nlong line of words here", "", "x\n" * 70]
     r = np.random.default_rng(0)
