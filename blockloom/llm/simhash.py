@@ -4,18 +4,20 @@ Fingerprints: 64 bits over the 3-word shingles of the lower-cased text (a bit is
 set in over half of the shingles' hashes). Links join fingerprints that differ in at most
 RADIUS bits; equal fingerprints are one vertex from the start, so copies cost nothing.
 
-Candidates by the pigeonring principle: the bits form a ring of RADIUS + 1 segments. If two
+Candidates by the pigeonring principle: the bits form a ring of m = PARTS segments. If two
 fingerprints differ in at most r bits, there is a segment from which every chain of l
-consecutive segments has at most l * r / m differences. So a pair is a candidate only by a
-segment with no difference (the join key) whose next chains stay within their budgets; only
-then is the whole distance taken.
-
-A segment value that many fingerprints share (a large group of near copies) would give pairs
-with the square of the group. Such buckets are linked without pairs, and exactly: within a
-bucket each fingerprint emits itself and its one-bit changes outside the segment; two members
-differ in at most 2 bits exactly if they share one of these (for 2 bits, the point halfway),
-and all that share one are within 2 bits of each other. A shared point has at most 65 members,
-so linking them to the smallest is bounded. The result is the same either way.
+consecutive segments has at most l * r / m differences. So the first KEY segments from there
+(those with l * r < m) have none: they are the join key, 28 of the 64 bits, so that even 10^10
+fingerprints leave buckets of some dozens. A pair of a bucket is a candidate only if its longer
+chains stay within their budgets too; only then is the whole distance taken.
+
+A bucket of more than BUCKET fingerprints is split by the same principle: the bits outside its
+key form a ring of PARTS segments of their own, and pairs are drawn from (key, second key).
+Only what still shares 44 bits with more than BUCKET others, a dense group of near copies, is
+linked without pairs, and exactly: each member emits itself and its one-bit changes outside the
+keys; two members differ in at most 2 bits exactly if they share one of these (for 2 bits, the
+point halfway), and all that share one are within 2 bits of each other. The links are those of
+all pairs in every case.
 
 Defined results: null, empty and blank texts have the fingerprint zero; one or two words are
 one shingle; texts are used whole; rows with the same doc_id are rows of one document id (its
@@ -27,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, map_batches, materialize, with_row_id
@@ -37,9 +39,10 @@ SHINGLE = 3
 SEED = 42
 #: Largest number of differing bits of a link; the bucket rule for large groups needs it to be 2.
 RADIUS = 2
-#: Bits of the ring's segments, in order from the lowest.
-SEGMENTS = (22, 21, 21)
-#: Fingerprints sharing a segment value beyond which a bucket is linked through one-bit changes: beside so many pairs those are fewer rows.
+#: Segments of a ring, and how many of them, side by side, are a key: those with fewer differences than one by proportion.
+PARTS = 9
+KEY = -(-PARTS // RADIUS) - 1
+#: Fingerprints of a bucket up to which its pairs are compared; beyond, it is split, and at last linked through one-bit changes.
 BUCKET = 64
 #: Hashes whose bits are unpacked at once.
 BLOCK = 1 << 16
@@ -73,47 +76,74 @@ def with_fingerprint(rows: DataFrame, key: str) -> DataFrame:
     return map_batches(rows.select(key, "text"), batch, f"`{key}` {rows.schema[key].dataType.simpleString()}, fp bigint")
 
 
-def _segments() -> list[tuple[int, int]]:
-    """(lowest bit, bits) of each segment."""
-    return [(sum(SEGMENTS[:i]), n) for i, n in enumerate(SEGMENTS)]
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _mask(i: int) -> int:
-    low, n = _segments()[i % len(SEGMENTS)]
-    return _signed(((1 << n) - 1) << low)
+def _ring(bits: list[int]) -> list[int]:
+    """Masks of PARTS segments of a ring of bits."""
+    cuts = [len(bits) * i // PARTS for i in range(PARTS + 1)]
+    return [sum(1 << b for b in bits[a:z]) for a, z in zip(cuts, cuts[1:])]
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(x, y): links that connect exactly the fingerprints within RADIUS bits of each other. fps: distinct values in fp."""
-    m = len(SEGMENTS)
-    keys = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("seg"), F.col("fp").bitwiseAND(F.lit(_mask(i))).alias("val")) for i in range(m)))).alias("k"))
-    keys = keys.select("fp", "k.seg", "k.val")
-    sizes = keys.groupBy("seg", "val").agg(F.count("*").alias("n")).filter("n > 1")
-    keys = materialize(keys.join(sizes, ["seg", "val"]), "segments")
-    small, large = keys.filter(F.col("n") <= BUCKET).select("seg", "val", "fp"), keys.filter(F.col("n") > BUCKET)
+def _chain(ring: list[int], first: int, length: int) -> int:
+    """Mask of consecutive segments of a ring."""
+    return sum(ring[(first + k) % PARTS] for k in range(length))
+
+
+_ALL = (1 << 64) - 1
+_OUTER = _ring(list(range(64)))
+#: For each first segment: its key; the ring of the bits outside it, in ring order; for each of those segments the longer key.
+_KEYS = [_chain(_OUTER, i, KEY) for i in range(PARTS)]
+_starts = [sum(m.bit_count() for m in _OUTER[: (i + KEY) % PARTS]) for i in range(PARTS)]
+_INNER = [_ring([(_starts[i] + k) % 64 for k in range(64 - _KEYS[i].bit_count())]) for i in range(PARTS)]
+
+
+def _budgets(diff: Column, ring_of: list[list[int]], place: Column) -> Column:
+    """Whether all chains longer than the key that start at `place` (ring * PARTS + segment) stay within their budgets."""
+    near = F.lit(True)
+    for length in range(KEY + 1, PARTS):
+        if length + 1 < PARTS and length * RADIUS // PARTS == (length + 1) * RADIUS // PARTS:
+            continue  # the next longer chain has the same budget
+        masks = F.array(*(F.lit(_signed(_chain(ring, i, length))) for ring in ring_of for i in range(PARTS)))
+        near = near & (F.bit_count(diff.bitwiseAND(F.element_at(masks, place + 1))) <= length * RADIUS // PARTS)
+    return near
 
+
+def _sized(keys: DataFrame, name: str) -> DataFrame:
+    """Rows of (place, val, fp) whose (place, val) has more than one, with their number n."""
+    sizes = keys.groupBy("place", "val").agg(F.count("*").alias("n")).filter("n > 1")
+    return materialize(keys.join(sizes, ["place", "val"]), name)
+
+
+def _pairs(keys: DataFrame, test) -> DataFrame:
+    """Pairs (x, y) of buckets of at most BUCKET that pass the chains' test and the whole distance."""
+    small = keys.filter(F.col("n") <= BUCKET).select("place", "val", "fp")
     diff = F.col("x").bitwiseXOR(F.col("y"))
-    near = F.bit_count(diff) <= RADIUS
-    for chain in range(m - 1, 1, -1):  # budgets of the chains of 2 to m - 1 segments that start at seg
-        masks = [_signed(sum(_mask(i + k) & (2**64 - 1) for k in range(chain))) for i in range(m)]
-        part = F.element_at(F.array(*(F.lit(x) for x in masks)), F.col("seg") + 1)
-        near = (F.bit_count(diff.bitwiseAND(part)) <= chain * RADIUS // m) & near
-    pairs = small.withColumnRenamed("fp", "x").join(small.withColumnRenamed("fp", "y"), ["seg", "val"])
-    pairs = pairs.filter((F.col("x") < F.col("y")) & near).select("x", "y")
-
-    outside = [F.array(F.lit(0), *(F.lit(_signed(1 << b)) for b in range(64) if not (low <= b < low + n))) for low, n in _segments()]
-    flips = F.when(F.col("seg") == 0, outside[0])
-    for i in range(1, m):
-        flips = flips.when(F.col("seg") == i, outside[i])
-    points = large.select("seg", "fp", F.explode(flips).alias("bit"))
-    points = points.select("seg", "fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("point"))
-    stars = points.groupBy("seg", "point").agg(F.collect_set("fp").alias("near")).filter(F.size("near") > 1)
-    stars = stars.select(F.array_min("near").alias("x"), F.explode("near").alias("y")).filter("x <> y")
-    return pairs.unionByName(stars).distinct()
+    met = small.withColumnRenamed("fp", "x").join(small.withColumnRenamed("fp", "y"), ["place", "val"]).filter("x < y")
+    return met.filter(test(diff)).filter(F.bit_count(diff) <= RADIUS).select("x", "y")
+
+
+def _stars(keys: DataFrame) -> DataFrame:
+    """Links (x, y) of the buckets of over BUCKET, through the one-bit changes outside both keys."""
+    outside = [_ALL & ~(_KEYS[i] | _chain(_INNER[i], j, KEY)) for i in range(PARTS) for j in range(PARTS)]
+    flips = F.array(*(F.array(F.lit(0), *(F.lit(_signed(1 << b)) for b in range(64) if m >> b & 1)) for m in outside))
+    points = keys.filter(F.col("n") > BUCKET).select("place", "fp", F.explode(F.element_at(flips, F.col("place") + 1)).alias("bit"))
+    points = points.select("place", "fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("point"))
+    met = points.groupBy("place", "point").agg(F.collect_set("fp").alias("near")).filter(F.size("near") > 1)  # a point and its neighbours: 65 at most
+    return met.select(F.array_min("near").alias("x"), F.explode("near").alias("y")).filter("x <> y")
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """(x, y): links that connect exactly the fingerprints within RADIUS bits of each other. fps: distinct values in fp."""
+    spread = lambda rows, at, masks: rows.select("fp", F.explode(F.array(*(F.struct(at(i).alias("place"), F.col("fp").bitwiseAND(m).alias("val")) for i, m in enumerate(masks)))).alias("k")).select("fp", "k.place", "k.val")
+    outer = _sized(spread(fps, F.lit, [F.lit(_signed(k)) for k in _KEYS]), "segments")
+    first = F.col("place")
+    longer = [F.element_at(F.array(*(F.lit(_signed(_KEYS[i] | _chain(_INNER[i], j, KEY))) for i in range(PARTS))), first + 1) for j in range(PARTS)]
+    inner = _sized(spread(outer.filter(F.col("n") > BUCKET), lambda j: (first * PARTS + j).cast("int"), longer), "inner-segments")
+    short = _pairs(outer, lambda diff: _budgets(diff, [_OUTER], first))
+    split = _pairs(inner, lambda diff: _budgets(diff, [_OUTER], F.floor(first / PARTS).cast("int")) & _budgets(diff, _INNER, first))
+    return short.unionByName(split).unionByName(_stars(inner)).distinct()
 
 
 def near_groups(rows: DataFrame, key: str) -> DataFrame:
