@@ -1,21 +1,27 @@
 """Size-tiered compaction of immutable shards under a versioned manifest.
 
-A store is a folder of immutable Parquet shards and of manifest files `manifest-<version>.json`.
-Each manifest lists every live shard with its rows, bytes and tier. Arrivals are appended as
-small shards. Compaction takes, in each size tier that has enough of them, the shards of that
-tier and merges them into files of about the target size; a tier is a power of FANOUT of the
-byte size, so shards are only merged with others of similar size and a row is rewritten once
-per tier. Merging needs no shuffle: Spark reads the shards of a tier and coalesces to as many
-tasks as there are target files.
-
-Commit: new shards are written first, then the manifest with the next version is written to a
-temporary name and renamed, which fails if that version exists. Readers use the highest
-version, so they see either all of a commit or nothing; a lost race is reported and leaves
-only files that no manifest lists. (On stores without atomic rename, give a `commit` that has
-a conditional put.)
+A store is a folder of immutable Parquet shards, of immutable parts of the list of shards, and
+of manifests `manifest-<version>.json` that name the parts of a version. A part tells path, rows,
+bytes and tier of up to PART shards. A commit writes parts for new shards only, and again those
+parts that lose shards, so a manifest stays a few lines and an append costs what it brings.
+Arrivals are appended as small immutable shards, one for each task that reads them, so their
+number follows the bytes that arrive. Compaction takes, in each size tier that has enough of
+them, the shards of that tier and merges them into files of about the target size; a tier is a
+power of FANOUT of the byte size, so shards are only merged with others of similar size and a row
+is rewritten once per tier. Merging needs no shuffle: Spark reads the shards of a tier and
+coalesces to as many tasks as there are target files. The driver holds a line per live shard
+(about 200 bytes for each 128 MB at rest).
+
+Commit: new shards and parts are written first, then the manifest with the next version is
+written to a temporary name and renamed, which fails if that version exists. Readers use the
+highest version, so they see either all of a commit or nothing; a lost race is reported and
+leaves only files that no manifest lists. On stores without such a rename, give the Store a
+`publish` function with a conditional put.
 
 Defined results: rows are kept whole and unchanged with all columns and nulls; an empty
-arrival adds no shard; texts of any length stay in one row; repeated rows are kept.
+arrival adds no shard; texts of any length stay in one row; repeated rows are kept; shards of
+equal size stay in the order of their paths; columns of rows may have any names, those of the
+result included.
 """
 
 from __future__ import annotations
@@ -23,7 +29,8 @@ from __future__ import annotations
 import json
 import uuid
 from collections import defaultdict
-from dataclasses import asdict, dataclass
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +39,8 @@ from .common import scratch_path
 
 #: Bytes of a full shard and of the smallest tier; shards a tier needs before it is merged.
 TARGET, SMALLEST, FANOUT = 128 << 20, 1 << 20, 4
-#: Rows of a shard of an arrival at most.
-ARRIVAL_ROWS = 2_000
+#: Shards listed in one part of a manifest.
+PART = 10_000
 
 
 @dataclass(frozen=True)
@@ -42,6 +49,7 @@ class Shard:
     bytes: int
     rows: int
     tier: int
+    part: str = ""
 
 
 class CommitConflict(RuntimeError):
@@ -51,8 +59,10 @@ class CommitConflict(RuntimeError):
 class Store:
     """One store of shards."""
 
-    def __init__(self, spark: SparkSession, root: str, target: int = TARGET) -> None:
+    def __init__(self, spark: SparkSession, root: str, target: int = TARGET, publish: Callable[[str, bytes], bool] | None = None) -> None:
+        """publish(path, data) writes a file that must not exist yet, all or nothing, and tells whether it did."""
         self.spark, self.root, self.target = spark, root.rstrip("/"), target
+        self.publish = publish or self._rename
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
         self.fs.mkdirs(self._path(self.root))
@@ -76,29 +86,50 @@ class Store:
             version = (self.versions() or [0])[-1]
         if not version:
             return []
-        stream = self.fs.open(self._path(f"{self.root}/manifest-{version:010d}.json"))
+        parts = json.loads(self._get(f"manifest-{version:010d}.json"))["parts"]
+        return [Shard(*x, part) for part in parts for x in json.loads(self._get(part))]
+
+    def _get(self, name: str) -> str:
+        stream = self.fs.open(self._path(f"{self.root}/{name}"))
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return [Shard(**x) for x in json.loads(text)["shards"]]
 
-    def commit(self, base: int, shards: list[Shard]) -> int:
-        """Publish a list of live shards as version base + 1."""
-        final = self._path(f"{self.root}/manifest-{base + 1:010d}.json")
-        part = self._path(f"{self.root}/.{uuid.uuid4().hex}.tmp")
-        out = self.fs.create(part, False)
-        out.write(bytearray(json.dumps({"version": base + 1, "shards": [asdict(s) for s in shards]}).encode()))
+    def _put(self, path: str, data: bytes) -> None:
+        out = self.fs.create(self._path(path), False)
+        out.write(bytearray(data))
         out.close()
-        if self.fs.exists(final) or not self.fs.rename(part, final):
-            self.fs.delete(part, False)
+
+    def _rename(self, path: str, data: bytes) -> bool:
+        """Publish by a rename that does not replace; what it could not publish is deleted."""
+        part = f"{self.root}/.{uuid.uuid4().hex}.tmp"
+        self._put(part, data)
+        if not self.fs.exists(self._path(path)) and self.fs.rename(self._path(part), self._path(path)):
+            return True
+        self.fs.delete(self._path(part), False)
+        return False
+
+    def commit(self, base: int, shards: list[Shard]) -> int:
+        """Publish a list of live shards as version base + 1; parts of version base that are still whole are used again."""
+        before, now = defaultdict(set), defaultdict(set)
+        for s in self.manifest(base):
+            before[s.part].add(s.path)
+        for s in shards:
+            now[s.part].add(s.path)
+        parts = [p for p in before if before[p] == now[p]]
+        fresh = [s for s in shards if s.part not in parts]
+        for at in range(0, len(fresh), PART):
+            parts.append(f"part-{uuid.uuid4().hex}.json")
+            self._put(f"{self.root}/{parts[-1]}", json.dumps([[s.path, s.bytes, s.rows, s.tier] for s in fresh[at : at + PART]]).encode())
+        if not self.publish(f"{self.root}/manifest-{base + 1:010d}.json", json.dumps({"version": base + 1, "parts": parts}).encode()):
             raise CommitConflict(f"version {base + 1} exists")
         return base + 1
 
-    def _write(self, rows: DataFrame, most: int = 0) -> list[Shard]:
-        """Write rows, one shard per task that has any, or several of `most` rows; their rows are counted from the files' own footers."""
+    def _write(self, rows: DataFrame) -> list[Shard]:
+        """Write rows, one shard per task that has any; their rows are counted from the files' own footers."""
         folder = f"{self.root}/shards-{uuid.uuid4().hex}"
-        rows.write.option("compression", "zstd").option("maxRecordsPerFile", most).parquet(folder)
+        rows.write.option("compression", "zstd").parquet(folder)
         files = {}
         for s in self.fs.listStatus(self._path(folder)):
             if s.getPath().getName().startswith("part-"):
@@ -107,10 +138,9 @@ class Store:
         return [Shard(*files[r["f"]], r["count"], self.tier(files[r["f"]][1])) for r in sorted(found, key=lambda r: r["f"])]
 
     def append(self, rows: DataFrame) -> int:
-        """Add an arrival as small immutable shards of ARRIVAL_ROWS rows at most."""
+        """Add an arrival as small immutable shards, one for each task that reads it."""
         base = (self.versions() or [0])[-1]
-        live = self.manifest(base)
-        return self.commit(base, live + self._write(rows, ARRIVAL_ROWS))
+        return self.commit(base, self.manifest(base) + self._write(rows))
 
     def compact(self) -> int:
         """Merge every tier that has FANOUT shards or more, until none has; one commit per round."""
@@ -139,10 +169,11 @@ class Store:
         return self._read(live) if live else None
 
     def vacuum(self) -> None:
-        """Delete shard folders that no manifest lists."""
-        used = {s.path.rsplit("/", 1)[0] for v in self.versions() for s in self.manifest(v)}
+        """Delete shard folders and parts that no manifest lists."""
+        listed = [s for v in self.versions() for s in self.manifest(v)]
+        used = {s.path.rsplit("/", 1)[0] for s in listed} | {self.fs.makeQualified(self._path(f"{self.root}/{s.part}")).toString() for s in listed}
         for s in self.fs.listStatus(self._path(self.root)):
-            if s.getPath().getName().startswith("shards-") and s.getPath().toString() not in used:
+            if s.getPath().getName().startswith(("shards-", "part-")) and s.getPath().toString() not in used:
                 self.fs.delete(s.getPath(), True)
 
 

@@ -33,6 +33,50 @@ def test_a_lost_race_changes_nothing(spark, tmp_path):
     assert store.read().count() == 3
 
 
+def test_two_writers_that_both_pass_the_test(spark, tmp_path, monkeypatch):
+    """Both find no version 2 and write their shards; the rename lets one of them through, and a given publish may do so instead."""
+    root = str(tmp_path / "s")
+    one = Store(spark, root)
+    one.append(docs(spark, range(3)))
+    two = Store(spark, root)
+    real = two.fs
+
+    class Blind:
+        def __getattr__(self, name):
+            return (lambda path: False) if name == "exists" else getattr(real, name)
+
+    two.fs = Blind()
+    one.append(docs(spark, range(3, 6)))
+    with pytest.raises(CommitConflict):
+        two.commit(1, two.manifest(1))
+    assert one.versions() == [1, 2] and sorted(r.doc_id for r in two.read().collect()) == list(range(6))
+    taken = []
+    with pytest.raises(CommitConflict):
+        Store(spark, root, publish=lambda path, data: taken.append(path)).append(docs(spark, [9]))
+    assert taken[0].endswith("manifest-0000000003.json") and one.read().count() == 6
+
+
+def test_contents_against_brute_force(spark, tmp_path, monkeypatch):
+    """After every commit each version holds exactly the rows appended before it; parts that lost nothing are used again."""
+    monkeypatch.setattr(sharding, "SMALLEST", 64)
+    monkeypatch.setattr(sharding, "PART", 2)
+    store, want, seen = Store(spark, str(tmp_path / "s"), target=4000), [], {}
+    for k in range(7):
+        arrival = docs(spark, [*range(9 * k, 9 * k + k + 2), 3]).coalesce(1 + k % 2)
+        want += [(r.doc_id, r.text) for r in arrival.collect()]
+        seen[store.append(arrival)] = list(want)
+        if k % 3 == 2:
+            seen[store.compact()] = list(want)
+    long = spark.createDataFrame([(1, "x" * 3_000_000, None)], "doc_id long, text string, shard string")
+    parts = {s.part for s in store.manifest()}
+    seen[store.append(long)] = want + [(1, "x" * 3_000_000)]
+    assert parts < {s.part for s in store.manifest()}
+    key = lambda r: (r[0], r[1] or "")
+    for version, rows in seen.items():
+        assert sorted(((r.doc_id, r.text) for r in store.read(version).collect()), key=key) == sorted(rows, key=key)
+        assert sum(s.rows for s in store.manifest(version)) == len(rows)
+
+
 def test_query_shape_for_clashing_columns_nulls_and_empty_tables(spark):
     rows = docs(spark, [1, 1, 7, 8])
     got = sharding.shard_documents(rows)
