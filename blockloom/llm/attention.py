@@ -18,7 +18,9 @@ T, STRIDE, D = 32, 16, 32
 GROUPS = MEMBERS = 225
 SLOTS = GROUPS * MEMBERS
 #: Windows of a batch: bounds the memory of the forward pass.
-BATCH = 128
+BATCH = 512
+#: Parameters that Adam takes at once.
+CELLS = 1 << 15
 _CAUSAL = np.where(np.tri(T, dtype=bool), 0.0, -1e9).astype(np.float32)
 
 
@@ -74,6 +76,15 @@ def windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids[at], ids[at + 1], mask
 
 
+def training_windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same side by side: each target once, with whatever is before it in its window."""
+    n = len(ids) - 1
+    at = (np.arange(-(-n // T)) * T)[:, None] + np.arange(T)
+    inside = at < n
+    at = np.minimum(at, n - 1)
+    return ids[at], ids[at + 1], inside
+
+
 def forward(p: Params, x: np.ndarray) -> tuple:
     """States (windows x T x D) and what backward needs."""
     h = p["e"][x] + p["pos"]
@@ -184,7 +195,10 @@ def gradient(p: Params, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple
     for name, dx in (("q", dq), ("k", dk), ("v", dv)):
         g[name] += flat_of(h).T @ flat_of(dx)
     g["pos"] += dh.sum(axis=0)
-    np.add.at(g["e"], x.reshape(-1), flat_of(dh))
+    ids = x.reshape(-1)
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+    g["e"][ids[order[first]]] = np.add.reduceat(flat_of(dh)[order], first, axis=0)
     return float(loss) / n, flat
 
 
@@ -198,8 +212,18 @@ class Trainer:
     def step(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> float:
         loss, g = gradient(unpack(self.flat), x, y, mask)
         self.steps += 1
-        self.m = 0.9 * self.m + 0.1 * g
-        self.v = 0.98 * self.v + 0.02 * g * g
         fix = (1 - 0.98**self.steps) ** 0.5 / (1 - 0.9**self.steps)
-        self.flat -= (self.rate * fix * self.m / (np.sqrt(self.v) + 1e-6)).astype(np.float32)
+        for at in range(0, len(g), CELLS):  # pieces that stay in the processor's memory
+            part = slice(at, at + CELLS)
+            d, m, v = g[part], self.m[part], self.v[part]
+            m *= 0.9
+            m += 0.1 * d
+            d *= d
+            v *= 0.98
+            v += 0.02 * d
+            d = np.sqrt(v)
+            d += 1e-6
+            np.divide(m, d, out=d)
+            d *= np.float32(self.rate * fix)
+            self.flat[part] -= d
         return loss

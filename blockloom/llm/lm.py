@@ -2,28 +2,30 @@
 
 A text is the sequence of its words (cut at ASCII white space, A-Z lower-cased) and an end.
 The model reads each word, led by a space, as subword ids. A causal self-attention network
-(attention.py) gives the probability of every id from the ids before it, so of every word; the
-model's probability of a word is the mean, with weight MIX, of the network's and of the word's
-share of the corpus (nothing for words that training never met).
+(attention.py) gives the probability of every id from the ids before it; a text's score is the
+log10 of the product of its ids' and its end's. The probabilities of all next ids sum to 1: ids
+in use have an entry each, and those that training never met share one evenly.
 
 Passes over the corpus:
 1. Counts of every word and every subword id over all training texts (partial counts per task,
    then one shuffle by word).
 2. Training: a first network is fitted on the driver on windows drawn from all places of all
-   training texts (WARM_STEPS * WARM_BATCH at most), which only fixes the starting point. Then every task trains a copy on its own share of all
-   training texts, every one of which is in exactly one share, and the copies are
-   averaged, weighted by how much each has seen. Every subword id in use has its own entry.
+   training texts (WARM_STEPS * WARM_BATCH at most), which only fixes the starting point. Then
+   every task trains a copy on its own training texts, all of them whole, and the copies are
+   averaged, weighted by how much each has seen.
 3. Scoring: the ids of a text are cut into overlapping windows that score every id once;
    windows of many texts go through masked attention together.
 
-Word counts are needed for the base and for the mean. Words at or above a count threshold,
-chosen so that there are at most FREQUENT of them, are looked up in a broadcast table of that
-bounded size; the occurrences of all other words, none of them frequent, are joined by word.
-So a word's count is always its whole count and no vocabulary is collected.
+Word counts are needed for the base only. Words at or above a count threshold, chosen so that
+there are at most FREQUENT of them, are looked up in a broadcast table of that bounded size; all
+other words are joined by word, one row for each text and distinct word. So a word's count is
+always its whole count and no vocabulary is collected.
 
 Defined results: a null or empty text is the end alone; a row with a null doc_id is scored but
 never learned from; repeated rows are scored each; without training texts every base term is
-log10(1) = 0 and the network is at its starting point.
+log10(1) = 0 and the network is at its starting point; words of equal count are on the same side
+of the threshold; an empty table gives no rows; other columns may have any names, those of the
+result included; very long texts are scored some windows at a time.
 """
 
 from __future__ import annotations
@@ -43,23 +45,21 @@ from pyspark.sql import functions as F
 
 from . import attention as A
 from .bpe import library_codec as codec
-from .common import fold, map_batches, materialize, text_slices
+from .common import fold, map_batches, materialize, small_batches, text_slices
 
 #: Steps of the driver's first model, and windows of a step.
 WARM_STEPS, WARM_BATCH = 500, 64
-#: One training text in SHARE trains the tasks' copies: all of them.
-SHARE = 1
 WARM_RATE, TASK_RATE = 0.01, 0.001
 #: Words in the broadcast table at most.
 FREQUENT = 1 << 17
 #: Partial counts a task holds before it hands them on.
 HELD = 400_000
 #: Words a worker remembers.
-WORDS_KEPT = 300_000
-
-
-#: Weight of the network beside the corpus shares of words.
-MIX = 0.5
+WORDS_KEPT = 150_000
+#: Parameters in one row of the table of models: bounds a batch of such rows.
+PIECE = 1 << 14
+#: Tasks that average the models.
+FOLDS = 8
 
 
 class Reader:
@@ -162,11 +162,11 @@ class Table:
 
 
 def _batches(sequences: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Full batches of windows from sequences, then the rest."""
+    """Full batches of training windows from sequences, then the rest."""
     held: list[tuple] = []
     n = 0
     for s in sequences:
-        held.append(A.windows(s))
+        held.append(A.training_windows(s))
         n += len(held[-1][0])
         if n >= A.BATCH:
             x, y, m = (np.concatenate(c) for c in zip(*held))
@@ -196,13 +196,13 @@ def drawn_windows(training: DataFrame, table: Table, path: str, cap: int) -> Dat
     """(at, cells): about cap windows from all places of all texts of (doc_id, text), drawn by a hash that a rerun repeats."""
     spark = training.sparkSession
     shared = spark.sparkContext.broadcast(table)
-    chance = cap / max(1.0, table.counts.sum() / A.STRIDE)  # texts have a window for each STRIDE ids and at most one more
+    chance = cap / max(1.0, table.counts.sum() / A.T)  # texts have a window for each T ids and at most one more
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rd, table = reader(path), shared.value
         for p in text_slices(b, limit=1 << 20):
             for doc_id, text in zip(p.column("doc_id").to_pylist(), p.column("text").to_pylist()):
-                w = A.windows(table.sequence(rd.ids(text)))
+                w = A.training_windows(table.sequence(rd.ids(text)))
                 r = np.random.default_rng(crc32(f"{doc_id} {text}".encode()))
                 at = r.random(len(w[0]))
                 mine = np.flatnonzero(at < chance)
@@ -230,51 +230,54 @@ def train(training: DataFrame, id_counts: dict[int, int], path: str, end: int) -
             trainer.step(x, y, m)
             seen += int(m.sum())
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([seen], pa.int64()), pa.array([trainer.flat.tobytes()], pa.binary())], names=["k", "seen", "params"])
+            yield rows(seen, trainer.flat)
+
+    def rows(seen: int, flat: np.ndarray) -> pa.RecordBatch:
+        """A model as rows of PIECE parameters."""
+        cut = [flat[at : at + PIECE].tobytes() for at in range(0, len(flat), PIECE)]
+        return pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([seen] * len(cut), pa.int64()), pa.array(cut, pa.binary())], names=["k", "seen", "params"])
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(A.size(math.isqrt(len(table.counts)))), 0
+        total, seen = np.zeros(len(shared.value[1])), 0
         for b in batches:
-            for n, raw in zip(b.column("seen").to_pylist(), b.column("params").to_pylist()):
-                total += n * np.frombuffer(raw, dtype=np.float32).astype(np.float64)
-                seen += n
+            for k, n, raw in zip(*(b.column(c).to_pylist() for c in ("k", "seen", "params"))):
+                piece = np.frombuffer(raw, dtype=np.float32)
+                total[k * PIECE : k * PIECE + len(piece)] += n * piece.astype(np.float64)
+                seen += n if k == 0 else 0
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([seen], pa.int64()), pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())], names=["k", "seen", "params"])
+            yield rows(seen, (total / seen).astype(np.float32))
 
     schema = "k int, seen bigint, params binary"
-    share = training.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("train")), F.lit(SHARE)) == 0)
-    models = materialize(share.select("text").mapInArrow(run, schema), "models")
-    # Averages of averages: each task folds the models of its own files, the driver those few that are left.
-    means = models.mapInArrow(mean, schema).collect()
+    small_batches(spark)
+    models = materialize(training.select("text").mapInArrow(run, schema), "models")
+    # Averages of averages: FOLDS tasks fold the models of all others, the driver theirs. Rows of a model stay in one file, but a
+    # file may be cut between tasks, so sums are taken by piece.
+    means = models.coalesce(FOLDS).mapInArrow(mean, schema).collect()
     if means:
-        seen = np.array([r["seen"] for r in means], dtype=float)
-        flat = np.average([np.frombuffer(bytes(r["params"]), dtype=np.float32) for r in means], axis=0, weights=seen).astype(np.float32)
+        total, seen = np.zeros(len(flat)), np.zeros(len(flat))
+        for r in means:
+            piece = np.frombuffer(bytes(r["params"]), dtype=np.float32)
+            at = slice(r["k"] * PIECE, r["k"] * PIECE + len(piece))
+            total[at] += r["seen"] * piece.astype(np.float64)
+            seen[at] += r["seen"]
+        flat = (total / np.maximum(seen, 1)).astype(np.float32)
     return table, flat
 
 
-def word_log_probs(packed: list[list[bytes]], table: Table, params: A.Params) -> list[np.ndarray]:
-    """For each text, given as the packed ids of its words: the network's natural log probability of each word, then of the end."""
+def log_probs(packed: list[bytes], table: Table, params: A.Params) -> list[float]:
+    """The network's natural log probability of each text, given as its packed ids, with its end."""
     if not packed:
         return []
-    parts, bounds, within = [], [], []
-    for words in packed:
-        joined = b"".join(words)
-        parts.append(A.windows(table.sequence(joined)))
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) // 4
-        bounds.append(np.concatenate(([0], np.cumsum(sizes))))
-        within.append(np.append(table.within[np.frombuffer(joined, dtype="<u4")], 0.0))
+    parts = [A.windows(table.sequence(ids)) for ids in packed]
     x, y, m = (np.concatenate(p) for p in zip(*parts))
     got = [A.log_probs(params, x[i : i + A.BATCH], y[i : i + A.BATCH], m[i : i + A.BATCH]) for i in range(0, len(x), A.BATCH)]
-    flat, at, out = np.concatenate(got) + np.concatenate(within), 0, []
-    for b in bounds:
-        n = int(b[-1]) + 1
-        out.append(np.add.reduceat(flat[at : at + n], b))
-        at += n
-    return out
+    ends = np.cumsum([len(ids) // 4 + 1 for ids in packed])
+    sums = np.add.reduceat(np.concatenate(got), np.concatenate(([0], ends[:-1])))
+    return [s + float(table.within[np.frombuffer(ids, dtype="<u4")].sum()) for s, ids in zip(sums.tolist(), packed)]
 
 
 def score(docs: DataFrame, path: str, end: int, folds: int = 7, held_out: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and network_score of every row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     src = docs.select("doc_id", "text")
     part = fold("doc_id", folds)
@@ -297,66 +300,53 @@ def score(docs: DataFrame, path: str, end: int, folds: int = 7, held_out: int =
         least = b
     frequent = octave >= least
     base_of = lambda n: math.log10((n + 1) / (total + distinct + 1))
-    share_of = lambda n: n / max(1, total)
     known = {r["token"].encode(): r["n"] for r in words.filter(frequent).collect()}  # FREQUENT words at most
     shared = spark.sparkContext.broadcast((table, flat, known))
     none = len(known)
 
     def batch(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        table, flat, known = shared.value
+        table, flat, _ = shared.value
         params, rd = A.prepare(flat), reader(path)
-        place, base_at, share_at = _lookup(shared, base_of, share_of)
+        place, base_at = _lookup(shared, base_of)
         for p in text_slices(b, limit=1 << 20):
             texts = [rd.words(t) for t in p.column("text").to_pylist()]
-            nets = word_log_probs([rd.packed(ws) for ws in texts], table, params)
-            n, n_known, base, mixed, network, rare, rare_net = [], [], [], [], [], [], []
-            for ws, net in zip(texts, nets):
+            net = [v / math.log(10) for v in log_probs([b"".join(rd.packed(ws)) for ws in texts], table, params)]
+            n, n_known, base, rare, times = [], [], [], [], []
+            for ws in texts:
                 at = np.fromiter(map(place, ws, repeat(none)), dtype=np.int64, count=len(ws))
-                missing = at == none
-                p_net = np.exp(net)
-                p_word = np.append(share_at[at], share_of(ends))
-                logs = np.log10(np.maximum(MIX * p_net + (1 - MIX) * p_word, 1e-300))
-                far = np.append(missing, False)
+                far = Counter(ws[i] for i in np.flatnonzero(at == none).tolist())
                 n.append(len(ws) + 1)
-                n_known.append(len(ws) - int(missing.sum()) + (ends > 0))
+                n_known.append(len(ws) - far.total() + (ends > 0))
                 base.append(float(base_at[at].sum()) + base_of(ends))
-                mixed.append(float(logs[~far].sum()))
-                network.append(float(net.sum()) / math.log(10))
-                rare.append([ws[i] for i in np.flatnonzero(missing).tolist()])
-                rare_net.append(net[far] / math.log(10))
-            rows = [p.column("doc_id"), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), *(pa.array(c, pa.float64()) for c in (base, mixed, network))]
-            yield pa.RecordBatch.from_arrays([*rows, pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(rare_net, pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "n_known", "base", "mixed", "network_score", "rare", "rare_net"])
+                rare.append(list(far))
+                times.append(list(far.values()))
+            rows = [p.column("doc_id"), pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(net, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*rows, pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))], names=["doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    one = map_batches(src, batch, f"doc_id {kind}, n_tokens bigint, n_known bigint, base double, mixed double, network_score double, rare array<string>, rare_net array<double>")
+    one = map_batches(src, batch, f"doc_id {kind}, n_tokens bigint, n_known bigint, base double, score double, rare array<string>, times array<bigint>")
     one = materialize(one.withColumn("row", F.monotonically_increasing_id()), "scored")
     others = words.filter(~frequent).select("token", "n")
-    met = one.select("row", F.explode(F.arrays_zip("rare", "rare_net")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.rare_net").alias("net"))
+    met = one.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
     met = met.join(others, "token", "left")
-    term = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
-    mix = F.when(F.col("n").isNull(), F.col("net") + math.log10(MIX)).otherwise(F.log10(MIX * F.pow(F.lit(10.0), "net") + (1 - MIX) * F.col("n") / max(1, total)))
-    sums = met.groupBy("row").agg(F.sum(term).alias("rare_base"), F.sum(mix).alias("rare_mixed"), F.count("n").alias("rare_known"))
-    out = one.drop("rare", "rare_net").join(sums, "row", "left")
+    term = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(total + distinct + 1)))
+    sums = met.groupBy("row").agg(F.sum(term).alias("rare_base"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("rare_known"))
+    out = one.drop("rare", "times").join(sums, "row", "left")
     plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias
     return out.select(
         "doc_id", (part == held_out).alias("held_out"), "n_tokens", plus("n_known", "rare_known")("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        plus("base", "rare_base")("base_score"), plus("mixed", "rare_mixed")("score"), "network_score",
+        plus("base", "rare_base")("base_score"), "score",
     )
 
 
 _tables: dict[int, tuple] = {}
 
 
-def _lookup(shared, base_of, share_of) -> tuple:
-    """(place of a word, base term at each place, corpus share at each place); the place after the last is for other words and adds nothing."""
+def _lookup(shared, base_of) -> tuple:
+    """(place of a word, base term at each place); the place after the last is for other words and adds nothing."""
     key = id(shared.value)
     if key not in _tables:
         _tables.clear()
         known = shared.value[2]
-        values = list(known.values())
-        _tables[key] = (
-            {w: i for i, w in enumerate(known)}.get,
-            np.array([*map(base_of, values), 0.0]),
-            np.array([*map(share_of, values), 0.0]),
-        )
+        _tables[key] = ({w: i for i, w in enumerate(known)}.get, np.array([*map(base_of, known.values()), 0.0]))
     return _tables[key]

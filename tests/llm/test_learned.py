@@ -221,10 +221,49 @@ def test_fast_scores_are_the_plain_softmax():
     assert attention.log_probs(attention.prepare(flat), x, y, m) == pytest.approx(np.array(want), abs=1e-4)
 
 
+def test_score_of_a_text_against_a_plain_softmax(tokenizer_path):
+    """Whole texts, id by id, with the context that windows give; the probabilities of all next ids sum to 1."""
+    rd = lm.reader(tokenizer_path)
+    texts = ["", "The one and the other, the1 the.", "some words " * 40, "unmet ids: zyx"]
+    met = Counter(i for t in texts[:3] for i in np.frombuffer(rd.ids(t), dtype="<u4").tolist())
+    table = lm.Table(dict(met), rd.codec.bytes_of, 50256)
+    flat = attention.start(table.counts, seed=3)
+    p, groups = attention.unpack(flat), math.isqrt(len(table.counts))
+
+    def next_ids(before):
+        """Log probability of every slot after these inputs, written out."""
+        h = [p["e"][i] + p["pos"][k] for k, i in enumerate(before)]
+        q, ks, vs = h[-1] @ p["q"], [x @ p["k"] for x in h], [x @ p["v"] for x in h]
+        w = np.exp([q @ k / math.sqrt(attention.D) for k in ks])
+        state = h[-1] + sum(a * v for a, v in zip(w / w.sum(), vs)) @ p["o"]
+        a = state @ p["gw"] + p["gb"]
+        a = a - np.log(np.exp(a).sum())
+        inner = [state @ p["mw"][g] + p["mb"][g] for g in range(groups)]
+        return np.concatenate([a[g] + z - np.log(np.exp(z).sum()) for g, z in enumerate(inner)])
+
+    got = lm.log_probs([rd.ids(t) for t in texts], table, attention.prepare(flat))
+    for t, g in zip(texts, got):
+        ids = np.frombuffer(rd.ids(t), dtype="<u4")
+        seq, want = table.sequence(rd.ids(t)), 0.0
+        for at in range(1, len(seq)):
+            first = 0 if at <= attention.T else -(-(at - attention.T) // attention.STRIDE) * attention.STRIDE
+            logs = next_ids(seq[first:at])
+            want += logs[seq[at]]
+            if at < 4:
+                every = logs[table.slot[sorted(rd.codec.bytes_of)]] + table.within[sorted(rd.codec.bytes_of)]
+                spare = set(range(len(table.counts))) - set(table.slot.tolist())
+                assert np.exp(every).sum() + np.exp(logs[sorted(spare)]).sum() == pytest.approx(1, abs=1e-4)
+        assert g == pytest.approx(want + table.within[ids].sum(), abs=1e-2)
+
+
+def test_training_windows_hold_every_target_once():
+    for n in (2, 5, attention.T + 1, attention.T + 2, 200):
+        x, y, m = attention.training_windows(np.arange(n))
+        assert sorted(y[m].tolist()) == list(range(1, n)) and (y[m] - x[m] == 1).all()
+
+
 def test_language_model(spark, labelled, tokenizer_path, monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT", 20)  # most words take the way by join
-    monkeypatch.setattr(lm, "WARM_STEPS", 40)
-    monkeypatch.setattr(lm, "SHARE", 2)
     docs, _ = labelled
     got = lm.score(docs, tokenizer_path, 50256).collect()
     assert len(got) == docs.count()
