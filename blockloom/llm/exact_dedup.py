@@ -189,5 +189,5 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     row = free_name(docs, "__row")
     numbered = with_row_id(docs, "numbered", row)
     as_id = numbered.select(F.struct(F.col("doc_id").alias("d"), F.col(row).alias("r")).alias("doc_id"), "text")
-    kept = exact_groups(as_id).filter("kept").select(F.col("doc_id.r").alias(row))
-    return numbered.join(kept, row, "left_semi").drop(row)
+    gone = materialize(exact_groups(as_id).filter("NOT kept").select(F.col("doc_id.r").alias(row)), "copies")
+    return numbered.join(gone, row, "left_anti").drop(row)
