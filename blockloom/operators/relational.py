@@ -7,13 +7,15 @@ document, or map-side-combined aggregates, and leaves the physical strategy to S
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import kinds
 from ..functions import columns as C
-from .lineage import cut
 from .spans import around, smallest_around
 
 DOC = ["pair_id", "side"]
@@ -35,35 +37,73 @@ def sides(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
 # -- forests -------------------------------------------------------------------------------
 
 
-def ancestors(blocks: DataFrame, most: int = 64) -> DataFrame:
-    """(pair_id, side, id, depth, up_id, up_kind, up_name) for every ancestor that exists; level by level, one join each.
+def ancestors(blocks: DataFrame) -> DataFrame:
+    """(pair_id, side, id, depth, up_id, up_kind, up_name, found) for every ancestor, nearest first.
 
-    `most` bounds the levels against parents that form a ring.
+    A parent that isn't among the blocks ends the way: its row has found = false, and the kind and
+    name of its scope key. Of blocks with one id the last counts. A ring ends where it closes.
+    Nothing crosses a document, so parents are walked within one: a single shuffle by (pair_id,
+    side), of these columns alone, sorted and read as a stream; any depth, and memory in proportion
+    to a batch and one document.
     """
-    slim = cut(blocks.select(*DOC, "id", "kind", "name", "parent"))
-    nodes = slim.select(*DOC, *(F.col(c).alias(f"up_{c}") for c in ("id", "kind", "name", "parent")))
-    step = lambda rows, up: rows.select(*DOC, "id", F.col(up).alias("up_id")).join(nodes, [*DOC, "up_id"])
-    level = cut(step(slim.filter("parent <> ''"), "parent").withColumn("depth", F.lit(1)))
-    out, depth = level, 1
-    while depth < most and not (up := level.filter("up_parent <> ''")).isEmpty():
-        depth += 1
-        level = cut(step(up, "up_parent").withColumn("depth", F.lit(depth)))
-        out = out.unionByName(level)
-    return out.drop("up_parent")
+
+    def walk(rows: pa.Table) -> pa.RecordBatch:
+        """Ancestors of the blocks of whole documents."""
+        docs = list(zip(*(rows.column(c).to_pylist() for c in DOC)))
+        ids, kinds_of, names, parents = (rows.column(c).to_pylist() for c in ("id", "kind", "name", "parent"))
+        at = {(d, b): i for i, (d, b) in enumerate(zip(docs, ids))}
+        row, depth, ups, keys = [], [], [], []
+        for i in at.values():
+            doc, up, seen = docs[i], parents[i], {ids[i]}
+            while up and up not in seen:
+                k = at.get((doc, up))
+                row.append(i)
+                depth.append(len(seen))
+                ups.append(up)
+                keys.append(k)
+                seen.add(up)
+                up = None if k is None else parents[k]
+        of = lambda values: pa.array([None if k is None else values[k] for k in keys], pa.string())
+        own = [rows.column(c).take(pa.array(row, pa.int64())).combine_chunks() for c in (*DOC, "id")]
+        made = [pa.array(depth, pa.int32()), pa.array(ups, pa.string()), of(kinds_of), of(names), pa.array([k is not None for k in keys], pa.bool_())]
+        return pa.RecordBatch.from_arrays([*own, *made], names=[*DOC, "id", "depth", "up_id", "up_kind", "up_name", "found"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the document that may go on
+        for b in batches:
+            last = tuple(b.column(c)[-1].as_py() for c in DOC) if b.num_rows else None
+            n = b.num_rows
+            while n and tuple(b.column(c)[n - 1].as_py() for c in DOC) == last:
+                n -= 1
+            first = tuple(held[0].column(c)[0].as_py() for c in DOC) if held else last
+            if n or first != last:
+                yield walk(pa.Table.from_batches([*held, b.slice(0, n)]))
+                held = []
+            if b.num_rows > n:
+                held.append(b.slice(n))
+        if held:
+            yield walk(pa.Table.from_batches(held))
+
+    slim = blocks.select(*DOC, "id", "kind", "name", "parent")
+    own = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in (*DOC, "id"))
+    return slim.repartition(*DOC).sortWithinPartitions(*DOC).mapInArrow(run, f"{own}, depth int, up_id string, up_kind string, up_name string, found boolean")
 
 
 def scope_paths(blocks: DataFrame) -> DataFrame:
-    """(pair_id, side, id, scope_path): kind:name of the ancestors that aren't namespaces, outermost first."""
-    up = ancestors(blocks).filter("up_kind <> 'namespace'")
-    key = F.concat_ws(":", "up_kind", "up_name")
-    found = up.groupBy(*DOC, "id").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), key.alias("k")))).alias("p"))
-    found = found.select(*DOC, "id", F.array_join(F.col("p.k"), ">").alias("scope_path"))
-    return blocks.select(*DOC, "id").join(found, [*DOC, "id"], "left").fillna("", ["scope_path"])
+    """(pair_id, side, id, scope_path): kind:name of the ancestors that aren't namespaces, outermost first.
+
+    A parent that isn't there begins the path with its scope key.
+    """
+    up = ancestors(blocks).filter("NOT found OR up_kind <> 'namespace'")
+    key = F.when(F.col("found"), F.concat_ws(":", "up_kind", "up_name")).otherwise(C.scope_key("up_id"))
+    path = up.groupBy(*DOC, "id").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), key.alias("k")))).alias("p"))
+    path = path.select(*DOC, "id", F.array_join(F.col("p.k"), ">").alias("scope_path"))
+    return blocks.select(*DOC, "id").join(path, [*DOC, "id"], "left").fillna("", ["scope_path"])
 
 
 def scope_stamps(blocks: DataFrame) -> DataFrame:
     """(pair_id, side, id, scope): names of the enclosing namespaces and classes, A::B."""
-    up = ancestors(blocks).filter("up_kind IN ('namespace', 'class') AND up_name <> ''")
+    up = ancestors(blocks).filter("found AND up_kind IN ('namespace', 'class') AND up_name <> ''")
     found = up.groupBy(*DOC, "id").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), F.col("up_name").alias("n")))).alias("p"))
     found = found.select(*DOC, "id", F.array_join(F.col("p.n"), "::").alias("scope"))
     return blocks.select(*DOC, "id").join(found, [*DOC, "id"], "left").fillna("", ["scope"])
@@ -71,20 +111,14 @@ def scope_stamps(blocks: DataFrame) -> DataFrame:
 
 def root_level(blocks: DataFrame) -> DataFrame:
     """(pair_id, side, id, is_root): only namespaces above; a parent that isn't there makes a block no root."""
-    known = blocks.select(*DOC, F.col("id").alias("up_id"), F.lit(True).alias("there")).distinct()
-    up = ancestors(blocks)
-    bad = up.groupBy(*DOC, "id").agg(F.max(F.col("up_kind") != "namespace").alias("other"))
-    chain = blocks.select(*DOC, "id", F.col("parent").alias("up_id")).unionByName(
-        up.join(blocks.select(*DOC, F.col("id").alias("up_id"), F.col("parent").alias("next")), [*DOC, "up_id"]).select(*DOC, "id", F.col("next").alias("up_id"))
-    )
-    lost = chain.filter("up_id IS NOT NULL AND up_id <> ''").join(known, [*DOC, "up_id"], "left_anti").select(*DOC, "id", F.lit(True).alias("lost")).distinct()
-    out = blocks.select(*DOC, "id").join(bad, [*DOC, "id"], "left").join(lost, [*DOC, "id"], "left")
-    return out.select(*DOC, "id", (~F.coalesce("other", F.lit(False)) & F.col("lost").isNull()).alias("is_root"))
+    bad = ancestors(blocks).groupBy(*DOC, "id").agg(F.bool_or(~F.col("found") | (F.col("up_kind") != "namespace")).alias("bad"))
+    out = blocks.select(*DOC, "id").join(bad, [*DOC, "id"], "left")
+    return out.select(*DOC, "id", (~F.coalesce("bad", F.lit(False))).alias("is_root"))
 
 
 def orphaned(blocks: DataFrame, matched: DataFrame) -> DataFrame:
     """(pair_id, side, id) of blocks whose nearest ancestor that is no namespace has no partner. matched: pair_id, side, id."""
-    near = ancestors(blocks).filter("up_kind <> 'namespace'").groupBy(*DOC, "id").agg(F.min_by("up_id", "depth").alias("near"))
+    near = ancestors(blocks).filter("found AND up_kind <> 'namespace'").groupBy(*DOC, "id").agg(F.min_by("up_id", "depth").alias("near"))
     return near.join(matched.select(*DOC, F.col("id").alias("near")), [*DOC, "near"], "left_anti").select(*DOC, "id")
 
 
@@ -107,11 +141,18 @@ def unique_comment_pairs(blocks: DataFrame) -> DataFrame:
 
 
 def nearest_comment_pairs(blocks: DataFrame) -> DataFrame:
-    """(pair_id, old_id, new_id): each old comment's nearest new one of equal text by order among comments, lower order first."""
-    ordinals = comment_ordinals(blocks).filter("ordinal >= 0").join(blocks.select(*DOC, "id", "source"), [*DOC, "id"])
-    old = ordinals.filter("side = 'old'").select("pair_id", "source", F.col("id").alias("old_id"), F.col("ordinal").alias("o"))
-    new = ordinals.filter("side = 'new'").select("pair_id", "source", F.col("id").alias("new_id"), F.col("ordinal").alias("n"))
-    return old.join(new, ["pair_id", "source"]).groupBy("pair_id", "old_id").agg(F.min_by("new_id", F.struct(F.abs(F.col("o") - F.col("n")), "n")).alias("new_id"))
+    """(pair_id, old_id, new_id): each old comment's nearest new one of equal text by order among comments, lower order first.
+
+    Both sides are merged by order within their text, and each old comment looks at the last new one
+    up to it and the first one after it: no pairs are made.
+    """
+    at = comment_ordinals(blocks).filter("ordinal >= 0").join(blocks.select(*DOC, "id", "source"), [*DOC, "id"])
+    new = F.when(F.col("side") == "new", F.struct("ordinal", "id"))
+    order = W.partitionBy("pair_id", "source").orderBy("ordinal", F.col("side").desc())  # of equal order the old one comes first
+    same = F.first(new, True).over(order.rowsBetween(0, W.unboundedFollowing)).alias("after")
+    met = at.select("pair_id", "side", "id", "ordinal", F.last(new, True).over(order.rowsBetween(W.unboundedPreceding, 0)).alias("before"), same)
+    near = F.when(F.col("after").isNull() | (F.col("ordinal") - F.col("before.ordinal") <= F.col("after.ordinal") - F.col("ordinal")), F.col("before.id")).otherwise(F.col("after.id"))
+    return met.filter("side = 'old' AND (before IS NOT NULL OR after IS NOT NULL)").select("pair_id", F.col("id").alias("old_id"), near.alias("new_id"))
 
 
 def residual(blocks: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -178,8 +178,14 @@ _up = WITH + """up AS (
     UNION ALL SELECT u.pair_id, u.side, u.id, u.depth + 1, p.id, p.kind, p.name, p.parent FROM up u JOIN b p ON p.pair_id = u.pair_id AND p.side = u.side AND p.id = u.up_parent)"""
 
 
-@query(_up + """ SELECT b.pair_id, b.side, b.id, coalesce(string_agg(up_kind || ':' || up_name, '>' ORDER BY depth DESC) FILTER (up_kind <> 'namespace'), '') AS scope_path
-    FROM b LEFT JOIN up USING (pair_id, side, id) GROUP BY ALL""")
+#: Steps of the scope path: ancestors that aren't namespaces, and before them the scope key of a parent that isn't there.
+_steps = _up + """, ends AS (SELECT pair_id, side, id, depth, up_parent AS gone FROM up UNION ALL SELECT pair_id, side, id, 0, parent FROM b),
+    steps AS (SELECT pair_id, side, id, depth, up_kind || ':' || up_name AS k FROM up WHERE up_kind <> 'namespace'
+              UNION ALL SELECT e.pair_id, e.side, e.id, e.depth + 1, regexp_replace(e.gone, '^(.+):[0-9]+$', '\\1') FROM ends e LEFT JOIN b x ON x.pair_id = e.pair_id AND x.side = e.side AND x.id = e.gone WHERE e.gone <> '' AND x.id IS NULL)"""
+
+
+@query(_steps + """ SELECT b.pair_id, b.side, b.id, coalesce(string_agg(k, '>' ORDER BY depth DESC), '') AS scope_path
+    FROM b LEFT JOIN steps USING (pair_id, side, id) GROUP BY ALL""")
 def scope_paths(spark, d):
     """Ancestor paths without namespaces."""
     return R.scope_paths(blocks(spark, d))
@@ -200,8 +206,8 @@ def root_level(spark, d):
     return R.root_level(blocks(spark, d))
 
 
-_paths = _up + """, sp AS (SELECT b.pair_id, b.side, b.id, b.kind, b.name, coalesce(string_agg(up_kind || ':' || up_name, '>' ORDER BY depth DESC) FILTER (up_kind <> 'namespace'), '') AS scope_path
-    FROM b LEFT JOIN up USING (pair_id, side, id) GROUP BY ALL),
+_paths = _steps + """, sp AS (SELECT b.pair_id, b.side, b.id, b.kind, b.name, coalesce(string_agg(k, '>' ORDER BY depth DESC), '') AS scope_path
+    FROM b LEFT JOIN steps USING (pair_id, side, id) GROUP BY ALL),
     ep AS (SELECT pair_id, kind, name, scope_path, min(id) FILTER (side = 'old') AS old_id, min(id) FILTER (side = 'new') AS new_id FROM sp WHERE name <> '' GROUP BY ALL
            HAVING count(*) FILTER (side = 'old') = 1 AND count(*) FILTER (side = 'new') = 1),
     used AS (SELECT pair_id, 'old' AS side, old_id AS id FROM ep UNION SELECT pair_id, 'new', new_id FROM ep)"""
@@ -315,7 +321,7 @@ def skipped_lines(spark, d):
     return R.skipped_lines(lines, kept.select("pair_id", "side", F.col("start_byte").alias("s"), F.col("end_byte").alias("e")))
 
 
-@query(WITH + """x AS (SELECT 1) SELECT c.pair_id, c.side, c.id, c.parent AS up_id, p.kind AS up_kind FROM b c JOIN b p ON p.pair_id = c.pair_id AND p.side = c.side AND p.id = c.parent""")
+@query(f"WITH b AS MATERIALIZED ({_blocks})" + """ SELECT c.pair_id, c.side, c.id, c.parent AS up_id, p.kind AS up_kind FROM b c JOIN b p ON p.pair_id = c.pair_id AND p.side = c.side AND p.id = c.parent""")
 def parent_lookup(spark, d):
     """Parents by id."""
     b = blocks(spark, d)

@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 from blockloom.cli import git_arguments, main
+from blockloom.operators import relational as R
 from blockloom.operators.spans import around
 from blockloom.options import Options
 from blockloom.plans import review as V
@@ -92,3 +93,42 @@ def test_command_line(tmp_path, capsys):
     seven = ["p.c", str(a), "0", "1", str(b), "2", "3"]
     assert main(["--git", *seven]) == 0
     assert "--skip-unchanged" not in git_arguments(seven, {"BLOCKLOOM_KEEP_UNCHANGED": "1"}) and "--word-diff" in git_arguments(seven, {"BLOCKLOOM_WORD_DIFF": "1"})
+
+
+def test_ancestors_of_any_depth_rings_and_lost_parents(spark):
+    """A hundred levels, rings, a parent that isn't there and documents cut by batches, against plain walks."""
+    rows = [("a", "old", f"class:c{i}:{i}", "namespace" if i % 10 == 9 else "class", f"c{i}", f"class:c{i - 1}:{i - 1}" if i else "function:gone:5") for i in range(100)]
+    rows += [("a", "new", f"class:r{i}:{i}", "class", f"r{i}", f"class:r{(i + 1) % 3}:{(i + 1) % 3}") for i in range(3)]
+    rows += [(f"d{k}", "old", f"class:x:{i}", "class", "x", "class:x:0" if i else "") for k in range(30) for i in range(3)]
+    blocks = spark.createDataFrame(rows, "pair_id string, side string, id string, kind string, name string, parent string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {(r.pair_id, r.side, r.id): r.scope_path for r in R.scope_paths(blocks).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+    by = {(p, s, i): (k, n, up) for p, s, i, k, n, up in rows}
+    for p, s, i, _, _, up in rows:
+        out, seen = [], {i}
+        while up and up not in seen:
+            seen.add(up)
+            kind, name, after = by.get((p, s, up), (None, None, None))
+            if kind != "namespace":
+                out.append(up.rsplit(":", 1)[0] if kind is None else f"{kind}:{name}")
+            up = after
+        assert got[p, s, i] == ">".join(reversed(out))
+    assert got["a", "old", "class:c99:99"].startswith("function:gone>class:c0>class:c1>")
+
+
+def test_nearest_comments_against_all_pairs(spark):
+    import random
+
+    r = random.Random(8)
+    rows = [(p, s, i, f"comment:{s}{i}", "comment", r.choice("ab")) for p in range(6) for s in ("old", "new") for i in range(r.randint(0, 9))]
+    blocks = spark.createDataFrame(rows, "pair_id long, side string, block_ix int, id string, kind string, source string")
+    got = {(x.pair_id, x.old_id): x.new_id for x in R.nearest_comment_pairs(blocks).collect()}
+    want = {}
+    for p, s, i, b, _, t in rows:
+        near = sorted((abs(i - j), j, c) for q, z, j, c, _, u in rows if (q, z, u) == (p, "new", t))
+        if s == "old" and near:
+            want[p, b] = near[0][2]
+    assert got == want
