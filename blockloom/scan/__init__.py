@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..kernels.blocks import Document
 from .bash import BashScanner
 from .cfamily import scan_c
+from .common import nesting
 from .ecma import EcmaScanner
 from .golang import GoScanner
 
@@ -29,12 +30,13 @@ def detect(name: str) -> str | None:
 
 def extract(src: str, language: str, macros: bool = False) -> Document:
     """Blocks of a Latin-1 text of raw bytes. `macros`: function-like macros are a kind of their own."""
-    if language in ("ts", "tsx", "js", "jsx"):
-        return EcmaScanner(src, language).document()
-    if language == "go":
-        return GoScanner(src).document()
-    if language == "bash":
-        return BashScanner(src).document()
-    if language in ("c", "cpp", "h"):
-        return scan_c(src, language, macros)
-    raise ValueError(f"no scanner for {language}")
+    with nesting(src):
+        if language in ("ts", "tsx", "js", "jsx"):
+            return EcmaScanner(src, language).document()
+        if language == "go":
+            return GoScanner(src).document()
+        if language == "bash":
+            return BashScanner(src).document()
+        if language in ("c", "cpp", "h"):
+            return scan_c(src, language, macros)
+        raise ValueError(f"no scanner for {language}")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_right
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from ..kernels.blocks import Block, Document
@@ -12,6 +15,22 @@ OPEN, CLOSE = "([{", ")]}"
 PARTNER = dict(zip(OPEN, CLOSE))
 
 
+#: Frames that one level of nesting takes at most; a level has at least one character.
+FRAMES = 12
+
+
+@contextmanager
+def nesting(src: str) -> Iterator[None]:
+    """Let the walks of a text go as deep as it can nest. Their calls are Python to Python, whose frames are on the heap (from Python 3.11 on), not on the stack of the process."""
+    before = sys.getrecursionlimit()
+    if sys.version_info >= (3, 11):
+        sys.setrecursionlimit(min(before + FRAMES * len(src), (1 << 31) - 1))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
 @dataclass
 class Token:
     type: str  # word, number, text, mark, comment, or a scanner's own

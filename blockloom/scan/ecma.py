@@ -145,7 +145,7 @@ class EcmaScanner(Scanner):
             if isinstance(part, Token):
                 self.jsx_blocks(part, parent, inner)
             else:
-                self.code(*part, parent, inner)
+                self.code(part[0], part[1], parent, inner)
 
     def template_blocks(self, ts: list[Token], i: int, parent: str, inner: bool) -> None:
         t = ts[i]
@@ -154,7 +154,7 @@ class EcmaScanner(Scanner):
             for s, e, name in elements(body):
                 self.add("template", name, t.start + 1 + s, t.start + 1 + e)
         for hole in t.value:
-            self.code(*hole, parent, inner)
+            self.code(hole[0], hole[1], parent, inner)
 
     def statement_start(self, ts: list[Token], i: int, lo: int) -> bool:
         k = i - 1
