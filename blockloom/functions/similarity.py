@@ -58,6 +58,14 @@ def block_similarity(a: dict[str, str], b: dict[str, str], named: bool = True) -
     return matching.NAME * name + matching.BODY * closeness(F.col(a["body"]), F.col(b["body"])) + matching.KIND * C.kind_similarity(a["kind"], b["kind"])
 
 
+def shown_similarity(a: dict[str, str], b: dict[str, str]) -> Column:
+    """Similarity as reported: blocks that are only numbered, or have no name at all, count as equally named."""
+    kinds = F.col(a["kind"]), F.col(b["kind"])
+    numbered = (kinds[0] == kinds[1]) & C.is_ordinal(a["kind"], a["name"]) & C.is_ordinal(b["kind"], b["name"])
+    name = F.when(numbered, 1.0).otherwise(name_similarity(a["name"], b["name"], 1.0))
+    return matching.NAME * name + matching.BODY * closeness(F.col(a["body"]), F.col(b["body"])) + matching.KIND * C.kind_similarity(*kinds)
+
+
 def similarity_bound(a: dict[str, str], b: dict[str, str]) -> Column:
     """No pair is more similar than this; it needs lengths only, so pairs below a threshold never reach the kernel."""
     la, lb = F.octet_length(F.col(a["body"])), F.octet_length(F.col(b["body"]))
@@ -67,4 +75,4 @@ def similarity_bound(a: dict[str, str], b: dict[str, str]) -> Column:
     return matching.NAME * name + matching.BODY * body + matching.KIND * C.kind_similarity(a["kind"], b["kind"])
 
 
-__all__ = ["osa_distance", "element_text", "lexical_tokens", "lcs_length", "marked_words", "closeness", "name_similarity", "block_similarity", "similarity_bound"]
+__all__ = ["osa_distance", "element_text", "lexical_tokens", "lcs_length", "marked_words", "closeness", "name_similarity", "block_similarity", "shown_similarity", "similarity_bound"]

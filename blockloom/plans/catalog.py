@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import kinds
 from ..functions import columns as C
 from ..functions import similarity as S
-
+from ..kernels import matching
 from ..operators import relational as R
 from ..options import Options
 from ..scan import EXTENSIONS
@@ -137,9 +137,9 @@ def own_line_positions(spark, d):
     return table(spark, d, "documents").withColumn("pos", pos).select("doc_id", "pos", C.own_line("text", "pos").alias("own_line"))
 
 
-#: Exact restricted edit distance of short strings in SQL: one list per row of the table, row after row.
+#: Exact restricted edit distance of the UTF-8 bytes of short strings in SQL: one list per row of the table, row after row.
 _OSA = """
-    s AS (SELECT k, a, b, string_split(a, '') AS x, string_split(b, '') AS y FROM n),
+    s AS (SELECT k, regexp_extract_all(hex(encode(a)), '..') AS x, regexp_extract_all(hex(encode(b)), '..') AS y FROM n),
     t AS (
         SELECT k, 0 AS i, range(len(y) + 1) AS r1, range(len(y) + 1) AS r2, x, y FROM s
         UNION ALL
@@ -160,17 +160,48 @@ def name_similarities(spark, d):
     return p.select("p_partkey", S.osa_distance(C.folded_name("p_name"), C.folded_name("b")).alias("distance"), F.round(S.name_similarity("p_name", "b"), 9).alias("similarity"))
 
 
-@query()
+#: Closeness of every pair of n by its key.
+_CLOSE = _OSA + """, near AS (SELECT k, CASE WHEN len(x) = 0 AND len(y) = 0 THEN NULL WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE 1 - r1[-1] / greatest(len(x), len(y)) END AS v FROM t WHERE i = len(x))"""
+_fold = lambda name: f"lower(regexp_replace({name}, '[^A-Za-z0-9]', '', 'g'))"
+_turn_pairs = r"""c AS (SELECT conv_id, turn, lag(role) OVER w AS name0, role AS name1, trim(regexp_replace(lag(text) OVER w, '\s+', ' ', 'g')) AS body0, trim(regexp_replace(text, '\s+', ' ', 'g')) AS body1
+        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    d AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS k, strlen(body0) AS m, strlen(body1) AS n FROM c WHERE body0 IS NOT NULL AND body1 IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {_turn_pairs}, f AS (SELECT *, {_fold("name0")} AS f0, {_fold("name1")} AS f1 FROM d),
+    likely AS (SELECT * FROM f WHERE {matching.BODY} * least(m, n) / greatest(m, n, 1) + {matching.NAME} * CASE WHEN f0 = '' AND f1 = '' THEN 0.5 ELSE least(length(f0), length(f1)) / greatest(length(f0), length(f1)) END + {matching.KIND} * 0.6 >= 0.5),
+    n AS (SELECT 2 * k AS k, f0 AS a, f1 AS b FROM likely UNION ALL SELECT 2 * k + 1, body0, body1 FROM likely), {_CLOSE}
+    SELECT conv_id, turn, round({matching.NAME} * coalesce(p.v, 0.5) + {matching.BODY} * coalesce(q.v, 0) + {matching.KIND} * 0.6, 9) AS similarity, round({matching.BODY} * coalesce(q.v, 0) + {matching.KIND} * 0.6, 9) AS as_comments
+    FROM likely l JOIN near p ON p.k = 2 * l.k JOIN near q ON q.k = 2 * l.k + 1
+    UNION ALL SELECT conv_id, turn, NULL, NULL FROM f ANTI JOIN likely USING (conv_id, turn)""")
 def turn_similarities(spark, d):
-    """Similarity of consecutive turns as blocks and as comments; pairs that can't reach 0.5 never reach the kernel."""
+    """Similarity of all consecutive turns as blocks and as comments; null where lengths say that it is under 0.5, so that such pairs never reach the kernel."""
     w = W.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, d, "conversations").withColumn("before", F.lag("text").over(w)).withColumn("r0", F.lag("role").over(w)).filter("before IS NOT NULL")
+    c = table(spark, d, "conversations").withColumn("before", F.lag("text").over(w)).withColumn("r0", F.lag("role").over(w)).filter("before IS NOT NULL AND text IS NOT NULL")
     c = c.select("conv_id", "turn", F.col("r0").alias("name0"), F.col("role").alias("name1"), C.collapsed("before").alias("body0"), C.collapsed("text").alias("body1"), F.lit("function").alias("kind0"), F.lit("method").alias("kind1"))
     a, b = ({k: f"{k}{i}" for k in ("name", "body", "kind")} for i in (0, 1))
-    c = c.filter(S.similarity_bound(a, b) >= 0.5)
+    c = c.withColumn("likely", S.similarity_bound(a, b) >= 0.5)
+    c = c.select("conv_id", "turn", "name1", "body1", "kind0", "kind1", *(F.when(F.col("likely"), F.col(k)).alias(k) for k in ("name0", "body0")))  # the kernel leaves nulls
     return c.select("conv_id", "turn", F.round(S.block_similarity(a, b), 9).alias("similarity"), F.round(S.block_similarity(a, b, False), 9).alias("as_comments"))
 
 
+#: Parts as pairs of blocks: both numbered, both unnamed, one numbered, both named; some of other kinds.
+_shown = """SELECT p_partkey AS k, 'function' AS kind0, CASE WHEN p_partkey % 3 = 0 THEN 'method' ELSE 'function' END AS kind1,
+    CASE p_partkey % 4 WHEN 0 THEN concat('function.', p_size) WHEN 1 THEN '' WHEN 2 THEN 'function.07' ELSE p_brand END AS name0,
+    CASE p_partkey % 4 WHEN 0 THEN concat('function.', p_partkey) WHEN 1 THEN '' ELSE p_type END AS name1, p_name AS body0, concat(p_name, ' ', p_brand) AS body1 FROM part"""
+
+
+@query(f"""WITH RECURSIVE d AS ({_shown}), n AS (SELECT 2 * k AS k, {_fold("name0")} AS a, {_fold("name1")} AS b FROM d UNION ALL SELECT 2 * k + 1, body0, body1 FROM d), {_CLOSE}
+    SELECT d.k AS p_partkey, round({matching.NAME} * CASE WHEN kind0 = kind1 AND regexp_full_match(name0, 'function[.][0-9]*') AND regexp_full_match(name1, 'function[.][0-9]*') THEN 1 ELSE coalesce(p.v, 1) END
+        + {matching.BODY} * coalesce(q.v, 0) + {matching.KIND} * CASE WHEN kind0 = kind1 THEN 1 ELSE 0.6 END, 9) AS shown
+    FROM d JOIN near p ON p.k = 2 * d.k JOIN near q ON q.k = 2 * d.k + 1""")
+def shown_similarities(spark, d):
+    """Similarity as reported, numbered and unnamed blocks counting as equally named."""
+    table(spark, d, "part").createOrReplaceTempView("shown_part")
+    a, b = ({k: f"{k}{i}" for k in ("name", "body", "kind")} for i in (0, 1))
+    return spark.sql(_shown.replace("FROM part", "FROM shown_part")).select(F.col("k").alias("p_partkey"), F.round(S.shown_similarity(a, b), 9).alias("shown"))
+
+
 # -- forests -------------------------------------------------------------------------------
 
 _up = WITH + """up AS (
