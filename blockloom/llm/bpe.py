@@ -33,7 +33,7 @@ from .common import map_batches
 LONG = 256
 #: Entries of the word memory of a worker; when it is full it starts again.
 WORDS_KEPT = 300_000
-LIBRARY_WORDS_KEPT = 100_000
+LIBRARY_WORDS_KEPT = 200_000
 #: Fixed: the pre-token pattern that byte-level tokenizer files leave to the library.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -68,11 +68,14 @@ class Codec:
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.pattern = regex.compile(PATTERN)
         self.words: dict[str, bytes] = {"": b""}
+        self.short = self.merge_short
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one pre-token's parts after all merges."""
-        if len(word) > LONG:
-            return self.merge_long(word)
+        return self.short(word) if len(word) <= LONG else self.merge_long(word)
+
+    def merge_short(self, word: bytes) -> list[int]:
+        """merge() for short pre-tokens: the adjacent ranks in one array, scanned for the least."""
         parts = [self.byte_ids[x] for x in word]
         get, merged, none = self.ranks.get, self.merged, len(self.merged)
         ranks = [get(x << 32 | y, none) for x, y in zip(parts, parts[1:])]
@@ -111,18 +114,27 @@ class Codec:
                 heapq.heappush(heap, (x, h))
         return [p for p in part if p >= 0]
 
+    def _learn(self, w: str) -> bytes:
+        """Ids of one pre-token that isn't remembered, as bytes; short ones are remembered from now on."""
+        word, known = w.encode(), self.words
+        if len(word) > LONG:
+            got = array("I", self.merge_long(word)).tobytes()
+        else:
+            got = array("I", self.short(word)).tobytes()
+        if len(w) <= LONG:
+            if len(known) >= self.keep:
+                known.clear()
+                known[""] = b""
+            known[w] = got
+        return got
+
     def _new(self, words: list[str]) -> bytes:
         """Little-endian 32-bit ids of pre-tokens, from memory where known."""
         known, out = self.words, []
         for w in words:
             got = known.get(w)
             if got is None:
-                got = array("I", self.merge(w.encode())).tobytes()
-                if len(w) <= LONG:
-                    if len(known) >= self.keep:
-                        known.clear()
-                        known[""] = b""
-                    known[w] = got
+                got = self._learn(w)
             out.append(got)
         return b"".join(out)
 
@@ -132,8 +144,8 @@ class Codec:
         for w in words:
             got = known.get(w)
             if got is None:
-                if w.isalpha() or (w[:1] == " " and w[1:].isalpha()):
-                    got = self._new([w])
+                if (w[1:] if w[0] == " " else w).isalpha():
+                    got = self._learn(w)
                 else:
                     got = self._new(self.pattern.findall(w))
                     if len(w) <= LONG and len(known) < self.keep:
@@ -188,17 +200,11 @@ class LibraryCodec(Codec):
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
-        self.library = None
         if all(a < b for a, b in zip(self.merged, self.merged[1:])):
             import tiktoken
 
             made = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=self.ids, special_tokens={})
-            self.library = getattr(made, "_encode_single_piece", None)  # not a public name: without it words are merged here
-
-    def merge(self, word: bytes) -> list[int]:
-        if self.library is None or len(word) > LONG:
-            return super().merge(word)
-        return self.library(word)
+            self.short = getattr(made, "_encode_single_piece", self.merge_short)  # not a public name: without it words are merged here
 
 
 @lru_cache(maxsize=2)
