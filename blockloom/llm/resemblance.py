@@ -1,10 +1,12 @@
 """Near copies by resemblance: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates. Each distinct shingle set gets ROWS * BANDS minimum hashes, hashed together in BANDS
-bands. Two sets of similarity s share a band with probability 1 - (1 - s^ROWS)^BANDS, which is
-0.99995 at 0.8 and more above. A candidate is dropped if the set sizes rule 0.8 out (exact) or
-fewer than AGREE of its minima agree (4.5 standard deviations under what 0.8 gives). What is left
-is settled by the whole shingle sets, so no link is wrong.
+Candidates. Operator 6 comes first: fingerprints (simhash.py) are linked by pigeonring within its
+radius, and what it links is tested here by the whole sets. That finds the closest copies only, so
+the others are sought further: each distinct shingle set gets ROWS * BANDS minimum hashes, hashed
+together in BANDS bands. Two sets of similarity s share a band with probability
+1 - (1 - s^ROWS)^BANDS, which is 0.99995 at 0.8 and more above. A candidate is dropped if the set
+sizes rule 0.8 out (exact) or fewer than AGREE of its minima agree (4.5 standard deviations under
+what 0.8 gives). What is left is settled by the whole shingle sets, so no link is wrong.
 
 Large groups. Every bucket is first linked to its smallest member only, and components are taken;
 later pairs are drawn only from buckets that still hold two components, and only across them,
@@ -29,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import free_name, map_batches, materialize, with_row_id
 from .components import components
 
@@ -80,7 +83,7 @@ def similar(a: bytes, b: bytes) -> bool:
 
 
 def _signatures(b: pa.RecordBatch) -> pa.RecordBatch:
-    digests, sizes, low, bands = [], [], [], []
+    digests, sizes, low, bands, prints = [], [], [], [], []
     for text in b.column("text").to_pylist():
         h = shingles(text)
         m = minima(h)
@@ -89,8 +92,9 @@ def _signatures(b: pa.RecordBatch) -> pa.RecordBatch:
         sizes.append(len(h))
         low.append((m & 255).astype(np.uint8).tobytes())
         bands.append(np.array([xxhash.xxh64_intdigest(raw[4 * ROWS * i : 4 * ROWS * (i + 1)], i) for i in range(BANDS)], dtype=np.uint64).view(np.int64))
-    cols = [b.column("row"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(low, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays(cols, names=["row", "digest", "size", "low", "bands"])
+        prints.append(simhash.fingerprint(text))
+    cols = [b.column("row"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(low, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(prints, pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, names=["row", "digest", "size", "low", "bands", "fp"])
 
 
 def _sets(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -127,6 +131,16 @@ def _links(pairs: DataFrame, heads: DataFrame, rows: DataFrame) -> DataFrame:
     return materialize(map_batches(whole, _filtered(similar), "x bigint, y bigint"), "similar")
 
 
+def _by_fingerprints(heads: DataFrame) -> DataFrame:
+    """Pairs (x, y) of rows whose fingerprints operator 6 links: the first rows of two that differ, the first and each other row of one."""
+    first = materialize(heads.groupBy("fp").agg(F.min("row").alias("least")), "fingerprints")
+    near = simhash.links(first.select("fp")).withColumnsRenamed({"x": "u", "y": "v"})
+    side = lambda at, fp: first.select(F.col("fp").alias(fp), F.col("least").alias(at))
+    apart = near.join(side("a", "u"), "u").join(side("b", "v"), "v").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    equal = heads.join(first, "fp").filter("row <> least").select(F.col("least").alias("x"), F.col("row").alias("y"))
+    return apart.union(equal).distinct()
+
+
 def _mixed(keys: DataFrame) -> DataFrame:
     """Rows of (row, band, val, root) whose val is met in two roots or more, with how many rows it has and one of them."""
     drawn = F.min_by("row", F.xxhash64("row", "val")).alias("drawn")
@@ -180,14 +194,15 @@ def _rarest(keys: DataFrame, rows: DataFrame) -> DataFrame:
 
 def near_groups(rows: DataFrame) -> DataFrame:
     """(row, root) of every row of (row bigint, text): root is the smallest row that can be reached by similar texts."""
-    signed = materialize(map_batches(rows.select("row", "text"), _signatures, "row bigint, digest binary, size bigint, low binary, bands array<bigint>"), "signatures")
+    signed = materialize(map_batches(rows.select("row", "text"), _signatures, "row bigint, digest binary, size bigint, low binary, bands array<bigint>, fp bigint"), "signatures")
     same = materialize(signed.select("row", "digest").join(signed.groupBy("digest").agg(F.min("row").alias("vertex")), "digest").select("row", "vertex"), "same-sets")
     heads = signed.join(same.filter("row = vertex").select("row"), "row", "left_semi")
     heads = materialize(heads.drop("digest"), "heads")
     keys = heads.select("row", F.posexplode("bands").alias("band", "val"))
     met = keys.groupBy("val").agg(F.count("*").alias("n"), F.min("row").alias("least")).filter("n > 1").drop("n")
     keys = materialize(keys.join(met, "val"), "buckets")
-    links = _links(keys.filter("row <> least").select(F.col("least").alias("x"), F.col("row").alias("y")).distinct(), heads, rows)
+    links = _links(_by_fingerprints(heads), heads, rows)
+    links = links.union(_links(keys.filter("row <> least").select(F.col("least").alias("x"), F.col("row").alias("y")).distinct(), heads, rows))
 
     roots = materialize(components(links, "x", "y"), "roots")
     keys = keys.drop("least").join(roots, F.col("row") == F.col("vertex"), "left").select("row", "band", "val", F.coalesce("root", "row").alias("root"))

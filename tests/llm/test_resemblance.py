@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from blockloom.llm import resemblance
+from blockloom.llm import resemblance, simhash
 
 
 def plain_shingles(text):
@@ -77,3 +77,31 @@ def test_stage_drops_texts_that_differ_in_some_words(spark):
     last = {g: i for i, g in enumerate(plain_groups(texts))}  # the largest i has the smallest doc_id
     assert kept.columns == docs.columns and {r.root for r in kept.collect()} == set(last.values())
     assert corpus_pipeline.drop_near_copies(spark, docs.filter("false"), "").count() == 0
+
+
+def test_operator_6_links_the_closest_copies(spark, monkeypatch):
+    """The first candidates are those that pigeonring links: the pairs of all fingerprints within its radius, up to components."""
+    r, texts = random.Random(8), near_copies(seed=3, groups=6)
+    for _ in range(12):
+        words = [f"v{r.randrange(5000)}" for _ in range(300)]
+        texts += [" ".join(words), " ".join(words[:-1] + ["other"]), " ".join(["another"] + words[1:])]
+    sets, prints = [frozenset(plain_shingles(t)) for t in texts], [simhash.fingerprint(t) & (2**64 - 1) for t in texts]
+    first = [i for i, s in enumerate(sets) if s not in sets[:i]]
+    seen, found = [], resemblance._by_fingerprints
+    monkeypatch.setattr(resemblance, "_by_fingerprints", lambda heads: seen.append(found(heads)) or seen[-1])
+    got = {p.row: p.root for p in resemblance.near_groups(spark.createDataFrame(list(enumerate(texts)), "row bigint, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_groups(texts)
+    pairs = {(p.x, p.y) for p in seen[0].collect()}
+    near = {(i, j) for j in first for i in first if i < j and (prints[i] ^ prints[j]).bit_count() <= simhash.RADIUS}
+    assert any(prints[i] != prints[j] for i, j in near) and any(prints[i] == prints[j] for i, j in near)
+    connected = lambda links: {frozenset(g) for g in vertices_together(links)}
+    assert pairs <= near and connected(pairs) == connected(near)
+
+
+def vertices_together(links):
+    """Vertices of each component of a set of links."""
+    group = {}
+    for a, b in links:
+        both = group.get(a, {a}) | group.get(b, {b})
+        group.update((v, both) for v in both)
+    return group.values()
