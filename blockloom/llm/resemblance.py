@@ -8,16 +8,16 @@ together in BANDS bands. Two sets of similarity s share a band with probability
 sizes rule 0.8 out (exact) or fewer than AGREE of its minima agree (4.5 standard deviations under
 what 0.8 gives). What is left is settled by the whole shingle sets, so no link is wrong.
 
-Large groups. Every bucket is first linked to its smallest member only, and components are taken;
-later pairs are drawn only from buckets that still hold two components, and only across them,
-which loses nothing. Of those, buckets up to BUCKET give all pairs. Larger ones are cut by each
-of the next SPLITS bands too, and parts of them that are still larger are compared with one
-member, drawn by hash in each; this only joins most of what belongs together early. The members
-of large buckets that hold two components even then are settled by prefix filtering, which loses
-no pair of them: shingles are ordered, first those that only one component holds (which make no
-pair, and are only counted), then by how many of these texts hold them, and two sets that are
-similar share one of the first fifth (and one more) of each. The place of the first that they
-share bounds their similarity before a pair is made.
+Large groups. Pairs are only drawn across components, which loses nothing. First every bucket, and
+then its parts by each of the next SPLITS bands, compares one member of each component that it
+holds with one of the commonest there: no more pairs than rows, and each time components are taken
+again. Of the buckets that hold two components even then, those of up to BUCKET give all pairs. The
+members of larger ones are settled by prefix filtering, which loses no pair of them: shingles are
+ordered, first those that only one component holds (which make no pair, and are only counted), then
+by how many of these texts hold them, and two sets that are similar share one of the first fifth
+(and one more) of each. The place of the first that they share bounds their similarity before a
+pair is made. Some of these pairs of each two components are tested first, the others only while
+their components are apart.
 
 Defined results: words are cut and lower-cased as in simhash.py; texts of up to five words are one
 shingle, null and blank texts are equal; texts are used whole.
@@ -42,8 +42,10 @@ ROWS, BANDS = 5, 25
 AGREE = 80
 #: Members of a bucket up to which all its pairs are candidates.
 BUCKET = 64
-#: Further bands by which a larger bucket is cut.
+#: Further bands by which buckets are cut.
 SPLITS = 4
+#: Pairs of each two components that are tested before the others.
+DRAWN = (4, 64)
 #: Rows of a shared shingle that meet in one part.
 SHARE = 1024
 #: Shingles whose minima are taken at once.
@@ -141,17 +143,49 @@ def _by_fingerprints(heads: DataFrame) -> DataFrame:
     return apart.union(equal).distinct()
 
 
+def _rooted(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of (row, band, val), with the root of each by the links so far, whose val is met in two roots or more."""
+    roots = materialize(components(links, "x", "y"), "roots")
+    return _mixed(keys.select("row", "band", "val").join(roots, F.col("row") == F.col("vertex"), "left").select("row", "band", "val", F.coalesce("root", "row").alias("root")))
+
+
 def _mixed(keys: DataFrame) -> DataFrame:
-    """Rows of (row, band, val, root) whose val is met in two roots or more, with how many rows it has and one of them."""
-    drawn = F.min_by("row", F.xxhash64("row", "val")).alias("drawn")
-    several = keys.groupBy("val").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), drawn).filter("lo <> hi")
-    return materialize(keys.join(several.select("val", "n", "drawn"), "val"), "mixed")
+    """Rows of (row, band, val, root) whose val is met in two roots or more, with how many rows it has."""
+    several = keys.groupBy("val").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    return materialize(keys.join(several.select("val", "n"), "val"), "mixed")
+
+
+def _cut(keys: DataFrame, heads: DataFrame) -> DataFrame:
+    """keys with each val cut by each of the next SPLITS bands."""
+    cuts = F.array(*(F.xxhash64("val", F.element_at("bands", F.pmod(F.col("band") + i, F.lit(BANDS)) + 1)) for i in range(1, SPLITS + 1)))
+    return keys.join(heads.select("row", "bands"), "row").select("row", "root", F.explode(cuts).alias("val"))
+
+
+def _met_once(keys: DataFrame) -> DataFrame:
+    """Pairs (x, y): of each val, one row of the root with most rows there, with one row of each other root."""
+    one = keys.groupBy("val", "root").agg(F.count("*").alias("n"), F.min_by("row", F.xxhash64("row", "val")).alias("one"))
+    most = one.groupBy("val").agg(F.max_by("one", F.struct("n", "root")).alias("most"))
+    return one.join(most, "val").filter("one <> most").select(F.least("one", "most").alias("x"), F.greatest("one", "most").alias("y")).distinct()
 
 
-def _across(keys: DataFrame) -> DataFrame:
-    """All pairs of a val that are in different roots."""
-    x, y = (keys.select("val", F.col("row").alias(c), F.col("root").alias(f"r{c}")) for c in "xy")
-    return x.join(y, "val").filter("x < y AND rx <> ry").select("x", "y")
+def _settled(pairs: DataFrame, links: DataFrame, heads: DataFrame, rows: DataFrame) -> DataFrame:
+    """links, and enough of the similar pairs to connect all that pairs and links connect: what is in one component is not tested."""
+    pairs = materialize(pairs, "pairs")
+    for most in (*DRAWN, None):
+        roots = materialize(components(links, "x", "y"), "roots")
+        for c in "xy":
+            pairs = pairs.join(roots.select(F.col("vertex").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+        pairs = materialize(pairs.filter("rx <> ry"), "apart")
+        if pairs.isEmpty():
+            return links
+        drawn = pairs.select("x", "y")
+        if most:
+            h = F.xxhash64("x", "y")
+            drawn = pairs.groupBy(F.least("rx", "ry"), F.greatest("rx", "ry"), F.pmod(h, F.lit(most))).agg(F.min_by(F.struct("x", "y"), h).alias("p")).select("p.x", "p.y")
+            drawn = materialize(drawn, "drawn")
+        links = links.union(_links(drawn, heads, rows))
+        pairs = pairs.select("x", "y").join(drawn, ["x", "y"], "left_anti")
+    return links
 
 
 def _first_met(keys: DataFrame, heads: DataFrame) -> DataFrame:
@@ -198,28 +232,22 @@ def near_groups(rows: DataFrame) -> DataFrame:
     same = materialize(signed.select("row", "digest").join(signed.groupBy("digest").agg(F.min("row").alias("vertex")), "digest").select("row", "vertex"), "same-sets")
     heads = signed.join(same.filter("row = vertex").select("row"), "row", "left_semi")
     heads = materialize(heads.drop("digest"), "heads")
-    keys = heads.select("row", F.posexplode("bands").alias("band", "val"))
-    met = keys.groupBy("val").agg(F.count("*").alias("n"), F.min("row").alias("least")).filter("n > 1").drop("n")
-    keys = materialize(keys.join(met, "val"), "buckets")
     links = _links(_by_fingerprints(heads), heads, rows)
-    links = links.union(_links(keys.filter("row <> least").select(F.col("least").alias("x"), F.col("row").alias("y")).distinct(), heads, rows))
-
-    roots = materialize(components(links, "x", "y"), "roots")
-    keys = keys.drop("least").join(roots, F.col("row") == F.col("vertex"), "left").select("row", "band", "val", F.coalesce("root", "row").alias("root"))
-    keys = _mixed(keys)
-    large = keys.filter(F.col("n") > BUCKET).join(heads.select("row", "bands"), "row")
-    cuts = F.array(*(F.xxhash64("val", F.element_at("bands", F.pmod(F.col("band") + i, F.lit(BANDS)) + 1)) for i in range(1, SPLITS + 1)))
-    parts = _mixed(large.select("row", "band", "root", F.explode(cuts).alias("val")))
-    stars = parts.filter((F.col("n") > BUCKET) & (F.col("row") != F.col("drawn"))).select(F.least("row", "drawn").alias("x"), F.greatest("row", "drawn").alias("y"))
-    pairs = _first_met(keys.filter(F.col("n") <= BUCKET), heads).union(_across(parts.filter(F.col("n") <= BUCKET))).union(stars).distinct()
-    links = links.union(_links(pairs, heads, rows))
 
-    roots = materialize(components(links, "x", "y"), "roots")
-    left = _mixed(keys.filter(F.col("n") > BUCKET).select("row", "val").join(roots, F.col("row") == F.col("vertex"), "left").select("row", "val", F.coalesce("root", "row").alias("root")))
+    keys = heads.select("row", F.posexplode("bands").alias("band", "val"))
+    keys = keys.join(keys.groupBy("val").agg(F.count("*").alias("n")).filter("n > 1").select("val"), "val")
+    keys = _rooted(materialize(keys, "buckets"), links)
+    links = links.union(_links(_met_once(keys), heads, rows))
+    keys = _rooted(keys, links)
+    if SPLITS:
+        links = links.union(_links(_met_once(_cut(keys, heads)), heads, rows))
+        keys = _rooted(keys, links)
+
+    links = links.union(_links(_first_met(keys.filter(F.col("n") <= BUCKET), heads), heads, rows))
+    left = _rooted(keys.filter(F.col("n") > BUCKET), links)
     if not left.isEmpty():
-        links = links.union(_links(_rarest(left.select("row", "root"), rows).distinct(), heads, rows))
-        roots = materialize(components(links, "x", "y"), "roots")
-    return same.join(roots, "vertex", "left").select("row", F.coalesce("root", "vertex").alias("root"))
+        links = _settled(_rarest(left.select("row", "root"), rows).distinct(), links, heads, rows)
+    return same.join(materialize(components(links, "x", "y"), "roots"), "vertex", "left").select("row", F.coalesce("root", "vertex").alias("root"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:

@@ -105,3 +105,20 @@ def vertices_together(links):
         both = group.get(a, {a}) | group.get(b, {b})
         group.update((v, both) for v in both)
     return group.values()
+
+
+def test_pairs_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch):
+    """Copies that are similar to some of the others only: every link is kept, and far fewer than all pairs are tested."""
+    r = random.Random(9)
+    template, texts = [f"w{i}" for i in range(150)], []
+    for _ in range(320):
+        words = list(template)
+        for _ in range(r.randint(0, 5)):
+            words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    tested, links = [], resemblance._links
+    monkeypatch.setattr(resemblance, "_links", lambda pairs, heads, rows: tested.append(pairs.count()) or links(pairs, heads, rows))
+    got = {p.row: p.root for p in resemblance.near_groups(spark.createDataFrame(list(enumerate(texts)), "row bigint, text string")).collect()}
+    want = plain_groups(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(tested) < len(texts) ** 2 // 12
