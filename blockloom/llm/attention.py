@@ -91,20 +91,39 @@ def forward(p: Params, x: np.ndarray) -> tuple:
     q, k, v = h @ p["q"], h @ p["k"], h @ p["v"]
     s = np.matmul(q, k.transpose(0, 2, 1))
     s *= np.float32(D**-0.5)
-    s += _CAUSAL
-    s -= s.max(axis=2, keepdims=True)
+    s = _moderate(s, _CAUSAL)
     np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
+    s /= _row_sums(s)[..., None]
     a = np.matmul(s, v)
     return h + a @ p["o"], (h, q, k, v, s, a)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _row_sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[-1], dtype=z.dtype)
+
+
+def _moderate(z: np.ndarray, plus: np.ndarray | None = None) -> np.ndarray:
+    """z (and plus) less the greatest of each row where any number is so large or small that exp could leave its range; in place."""
+    far = z.max(initial=0) > 60 or z.min(initial=0) < -60
+    if plus is not None:
+        z += plus
+    if far:
+        z -= z.max(axis=-1, keepdims=True)
     return z
 
 
+def _losses(z: np.ndarray, target: np.ndarray, n: int) -> tuple[float, np.ndarray]:
+    """Sum over rows of the negative log-softmax at the targets, and its derivative by z over n; z is overwritten."""
+    rows = np.arange(len(z))
+    z = _moderate(z)
+    got = z[rows, target]
+    d = np.exp(z, out=z)
+    sums = _row_sums(d)
+    d *= (1 / (n * sums))[:, None]
+    d[rows, target] -= 1 / n
+    return float((np.log(sums) - got).sum(dtype=np.float64)), d
+
+
 def prepare(flat: np.ndarray) -> Params:
     """Parameters for scoring: products of matrices that follow one another are taken once."""
     p = unpack(flat)
@@ -118,13 +137,18 @@ def log_probs(p: Params, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> np.n
     out at the end, and only the targets' logits are kept.
     """
     h = p["e"][x] + p["pos"]
-    s = np.matmul(h @ p["qk"], h.transpose(0, 2, 1))
-    np.minimum(s, 60, out=s)
-    s += _CAUSAL
-    np.exp(s, out=s)
-    state = np.matmul(s, h @ p["vo"])
-    state /= s.sum(axis=2, keepdims=True)
-    state += h
+    whole = mask[:, : T - STRIDE].any(axis=1)
+    state = np.empty_like(h)
+    for rows, first in ((whole, 0), (~whole, T - STRIDE)):  # later windows are asked for their last places only
+        some = h[rows]
+        s = np.matmul(some[:, first:] @ p["qk"], some.transpose(0, 2, 1))
+        np.minimum(s, 60, out=s)
+        s += _CAUSAL[first:]
+        np.exp(s, out=s)
+        asked = np.matmul(s, some @ p["vo"])
+        asked /= _row_sums(s)[..., None]
+        asked += some[:, first:]
+        state[rows, first:] = asked
     slot, groups = y[mask], len(p["gb"])
     group = slot // groups
     order = np.argsort(group.astype(np.uint8), kind="stable")
@@ -155,49 +179,48 @@ def gradient(p: Params, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple
     flat = np.zeros(size(groups), dtype=np.float32)
     g = unpack(flat)
     full, (h, q, k, v, s, a) = forward(p, x)
-    state, slot = full[mask], y[mask]
-    n = max(1, len(slot))
+    flat_of = lambda m: m.reshape(-1, D)
+    slot = y[mask]
+    order = np.argsort((slot // groups).astype(np.uint8), kind="stable")  # by groups, so that each is a slice
+    slot, place = slot[order], np.flatnonzero(mask)[order]
+    state, n = flat_of(full)[place], max(1, len(slot))
     group, member = slot // groups, slot % groups
-    rows = np.arange(len(slot))
-    z = _log_softmax(state @ p["gw"] + p["gb"])
-    loss = -z[rows, group].sum()
-    d = np.exp(z)
-    d[rows, group] -= 1
-    d /= n
+    bounds = np.searchsorted(group, np.arange(groups + 1))
+    z = state @ p["gw"]
+    z += p["gb"]
+    loss, d = _losses(z, group, n)
     g["gw"] += state.T @ d
-    g["gb"] += d.sum(axis=0)
+    g["gb"] += _row_sums(d.T)
     ds = d @ p["gw"].T
-    order = np.argsort(group, kind="stable")
-    bounds = np.searchsorted(group[order], np.arange(groups + 1))
     for i in range(groups):
-        at = order[bounds[i] : bounds[i + 1]]
-        if not len(at):
+        at = slice(bounds[i], bounds[i + 1])
+        if at.start == at.stop:
             continue
-        z = _log_softmax(state[at] @ p["mw"][i] + p["mb"][i])
-        r = np.arange(len(at))
-        loss -= z[r, member[at]].sum()
-        d = np.exp(z)
-        d[r, member[at]] -= 1
-        d /= n
+        z = state[at] @ p["mw"][i]
+        z += p["mb"][i]
+        more, d = _losses(z, member[at], n)
+        loss += more
         g["mw"][i] += state[at].T @ d
-        g["mb"][i] += d.sum(axis=0)
+        g["mb"][i] += _row_sums(d.T)
         ds[at] += d @ p["mw"][i].T
     dfull = np.zeros_like(full)
-    dfull[mask] = ds
-    flat_of = lambda m: m.reshape(-1, D)
+    flat_of(dfull)[place] = ds
     g["o"] += flat_of(a).T @ flat_of(dfull)
     da = dfull @ p["o"].T
     dv = np.matmul(s.transpose(0, 2, 1), da)
     dsm = np.matmul(da, v.transpose(0, 2, 1))
-    dsm = s * (dsm - (dsm * s).sum(axis=2, keepdims=True)) * np.float32(D**-0.5)
-    dq, dk = np.matmul(dsm, k), np.matmul(dsm.transpose(0, 2, 1), q)
-    dh = dfull + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-    for name, dx in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] += flat_of(h).T @ flat_of(dx)
-    g["pos"] += dh.sum(axis=0)
-    ids = x.reshape(-1)
+    dsm -= np.einsum("bij,bij->bi", da, a)[..., None]  # the sum over j of dsm and s
+    dsm *= s
+    dsm *= np.float32(D**-0.5)
+    inner = np.concatenate([np.matmul(dsm, k), np.matmul(dsm.transpose(0, 2, 1), q), dv], axis=2)
+    dh = flat_of(dfull)
+    dh += inner.reshape(-1, 3 * D) @ np.concatenate([p["q"], p["k"], p["v"]], axis=1).T
+    for name, dx in zip("qkv", np.split(flat_of(h).T @ inner.reshape(-1, 3 * D), 3, axis=1)):
+        g[name] += dx
+    g["pos"] += _row_sums(dh.reshape(len(x), -1).T).reshape(T, D)
+    ids = x.reshape(-1).astype(np.uint16)  # SLOTS at most; sorted by digits
     order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+    first = np.flatnonzero(np.diff(ids[order].astype(np.int32), prepend=-1))
     g["e"][ids[order[first]]] = np.add.reduceat(flat_of(dh)[order], first, axis=0)
     return float(loss) / n, flat
 

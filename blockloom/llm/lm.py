@@ -192,6 +192,11 @@ def warm_up(rows: list[np.ndarray], table: Table) -> np.ndarray:
     return trainer.flat
 
 
+def draws(doc_id: int | None, text: str | None) -> np.ndarray:
+    """A number from 0 to 1 for each window that a text can have: it has no more ids than bytes, a first space and an end."""
+    return np.random.default_rng(crc32(f"{doc_id} {text}".encode())).random(len((text or "").encode()) // A.T + 2)
+
+
 def drawn_windows(training: DataFrame, table: Table, path: str, cap: int) -> DataFrame:
     """(at, cells): about cap windows from all places of all texts of (doc_id, text), drawn by a hash that a rerun repeats."""
     spark = training.sparkSession
@@ -202,9 +207,11 @@ def drawn_windows(training: DataFrame, table: Table, path: str, cap: int) -> Dat
         rd, table = reader(path), shared.value
         for p in text_slices(b, limit=1 << 20):
             for doc_id, text in zip(p.column("doc_id").to_pylist(), p.column("text").to_pylist()):
+                at = draws(doc_id, text)
+                if at.min() >= chance:
+                    continue  # no window of this text is drawn, however many it has
                 w = A.training_windows(table.sequence(rd.ids(text)))
-                r = np.random.default_rng(crc32(f"{doc_id} {text}".encode()))
-                at = r.random(len(w[0]))
+                at = at[: len(w[0])]
                 mine = np.flatnonzero(at < chance)
                 if len(mine):
                     cells = np.stack([c[mine] for c in w], axis=1).astype("<i4")

@@ -327,6 +327,36 @@ def test_first_windows_come_from_all_places(spark, tokenizer_path):
     assert 300 < len(rows) < 700 and 0.35 < late / len(rows) < 0.75
 
 
+def test_texts_have_a_draw_for_each_window(tokenizer_path):
+    """So a text without a low draw need not be read as ids."""
+    r, rd = random.Random(3), lm.reader(tokenizer_path)
+    for text in (None, "", " ", "a", "\x00\x01" * 40, "\u00e9\u4e16\U0001f600" * 70, *(" ".join(chr(r.randrange(33, 900)) for _ in range(n)) for n in range(1, 200))):
+        table = lm.Table({}, rd.codec.bytes_of, 50256)
+        assert len(attention.training_windows(table.sequence(rd.ids(text)))[0]) <= len(lm.draws(7, text))
+    assert (lm.draws(7, "ab" * 64)[:4] == np.random.default_rng(crc32(("7 " + "ab" * 64).encode())).random(4)).all()
+
+
+def test_later_windows_compute_only_what_they_score(monkeypatch):
+    r, shapes, sums = np.random.default_rng(4), [], attention._row_sums
+    x, y, m = attention.windows(r.integers(0, attention.SLOTS, 10 * attention.T))
+    monkeypatch.setattr(attention, "_row_sums", lambda z: shapes.append(z.shape) or sums(z))
+    attention.log_probs(attention.prepare(attention.start(np.ones(attention.SLOTS))), x, y, m)
+    assert sum(s[0] * s[1] for s in shapes if len(s) == 3) == attention.T + (len(x) - 1) * attention.STRIDE
+
+
+def test_loss_with_numbers_beyond_the_range_of_exp():
+    r = np.random.default_rng(6)
+    flat = attention.start(np.ones(16)) * np.float32(60)
+    x, y = r.integers(0, 16, (2, 5, attention.T))
+    mask = np.ones(x.shape, dtype=bool)
+    loss, g = attention.gradient(attention.unpack(flat), x, y, mask)
+    want, _ = attention.gradient(attention.unpack(flat.astype(np.float64)), x, y, mask)
+    assert np.isfinite(g).all() and loss == pytest.approx(want, rel=1e-3)
+    z = np.array([[300.0, -300.0, 10.0], [0.0, -400.0, 1.0]], dtype=np.float32)
+    got, d = attention._losses(z.copy(), np.array([1, 2]), 1)
+    assert got == pytest.approx(600 + math.log1p(math.exp(-1)), rel=1e-6) and abs(d.sum(axis=1)).max() < 1e-6
+
+
 def test_rarer_languages_are_learned_too(spark, labelled, monkeypatch):
     monkeypatch.setattr(langid, "LANGUAGES", 1)
     model = langid.learn(labelled[0])
