@@ -1,7 +1,7 @@
 """Connected components of a link table, in rounds of equi-joins (alternating large and small stars).
 
 Every round rewrites each vertex's links towards its smallest neighbour; the table never grows
-past one link per vertex and neighbour, and stays in the shared folder between rounds. Nothing
+past one link per vertex and neighbour, and stays in the shared folder from one round to the next. Nothing
 but two totals a round reaches the driver.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import delete, scratch_path
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -27,17 +27,25 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _written(e: DataFrame) -> tuple[DataFrame, str]:
+    path = scratch_path(e.sparkSession, "links")
+    e.write.parquet(path)
+    return e.sparkSession.read.schema(e.schema).parquet(path), path
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(vertex, root): root is the smallest vertex that can be reached; vertices without a link to another are absent.
 
     Self-links, repeated links and both directions are allowed; nulls are not links.
     """
     e = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    e = materialize(e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
+    e, path = _written(e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = None
     while True:
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state["n"] == 0 or state == before:
             return e.select(F.col("u").alias("vertex"), F.col("v").alias("root")).union(e.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct())
         before = state
-        e = materialize(_small_star(_large_star(e)), "links")
+        last = path
+        e, path = _written(_small_star(_large_star(e)))
+        delete(e.sparkSession, last)  # many rounds would fill the shared folder

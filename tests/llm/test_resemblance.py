@@ -1,10 +1,11 @@
 """The near-copy stage against brute force over all pairs of texts."""
 
+import os
 import random
 
 import corpus_pipeline
 import pytest
-from blockloom.llm import resemblance, simhash
+from blockloom.llm import components, resemblance, simhash
 
 
 def plain_shingles(text):
@@ -122,3 +123,11 @@ def test_pairs_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch):
     want = plain_groups(texts)
     assert [got[i] for i in range(len(texts))] == want
     assert sum(tested) < len(texts) ** 2 // 12
+
+
+def test_components_leave_one_table(spark, monkeypatch):
+    made, path = [], components.scratch_path
+    monkeypatch.setattr(components, "scratch_path", lambda *a: made.append(path(*a)) or made[-1])
+    got = components.components(spark.createDataFrame([(i, i + 1) for i in range(9)], "x long, y long"), "x", "y")
+    assert len(made) > 2 and {r.root for r in got.collect()} == {0} and got.count() == 10
+    assert [os.path.exists(p.removeprefix("file:")) for p in made] == [False] * (len(made) - 1) + [True]
