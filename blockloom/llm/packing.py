@@ -20,9 +20,11 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,7 +92,10 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece of every row."""
+    """doc_id, piece, start, length, ids_crc32 of every piece of every row, with its task and number.
+
+    They are numbered by the worker that makes them: a second one for each task would hold its memory beside the codec's.
+    """
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         c, end = codec(path), np.array([end_id], dtype="<u4").tobytes()
@@ -110,28 +115,27 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), batch, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return map_batches(docs.select("doc_id", "text"), batch, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, local bigint", _numbered)
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with their task's number and their own among the task's rows of the same length."""
+    task, seen = TaskContext.get().partitionId(), defaultdict(int)
+    for b in batches:
+        out = []
+        for x in b.column("length").to_pylist():
+            out.append(seen[x])
+            seen[x] += 1
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([task] * len(out), pa.int32()), pa.array(out, pa.int64())], names=[*b.schema.names, "task", "local"])
 
 
 def _ranked(rows: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """rows with rank (0, 1, ... within its length, over all tasks), and the histogram of lengths.
+    """rows with rank (0, 1, ... within its length, over all tasks) instead of task and local, and the histogram of lengths.
 
-    Each task numbers its own rows as it writes them; the counts per (task, length) then give
-    each task its start. Those counts are at most tasks x capacity small rows.
+    Each task has numbered its own rows; the counts per (task, length) then give each task its
+    start. Those counts are at most tasks x capacity small rows.
     """
-
-    def number(b):
-        seen: dict[int, int] = defaultdict(int)
-        for batch in b:
-            out = []
-            for x in batch.column("length").to_pylist():
-                out.append(seen[x])
-                seen[x] += 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "local"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    tagged = rows.withColumn("task", F.spark_partition_id()).mapInArrow(number, f"{schema}, task int, local bigint")
-    tagged = materialize(tagged, "pieces")
+    tagged = materialize(rows, "pieces")
     counts = materialize(tagged.groupBy("length", "task").agg(F.count("*").alias("n")), "piece-counts")
     starts = counts.selectExpr("length", "task", "sum(n) OVER (PARTITION BY length ORDER BY task) - n AS before")
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -140,8 +144,11 @@ def _ranked(rows: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     return ranked, totals
 
 
-def pack(rows: DataFrame, capacity: int) -> DataFrame:
-    """rows (with a length column, 1 to capacity) with sequence_id and offset by best-fit decreasing."""
+def pack(rows: DataFrame, capacity: int, numbered: bool = False) -> DataFrame:
+    """rows (with a length column, 1 to capacity) with sequence_id and offset by best-fit decreasing; numbered: they come from pieces()."""
+    if not numbered:
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+        rows = rows.mapInArrow(_numbered, f"{schema}, task int, local bigint")
     ranked, totals = _ranked(rows)
     by_length: dict[int, list] = defaultdict(list)
     for run in plan(totals, capacity):
@@ -166,5 +173,5 @@ def pack(rows: DataFrame, capacity: int) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Every piece of every row with its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    out = pack(pieces(docs, path, capacity, end_id), capacity)
+    out = pack(pieces(docs, path, capacity, end_id), capacity, numbered=True)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

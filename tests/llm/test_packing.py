@@ -76,3 +76,15 @@ def test_documents(spark, tokenizer_path):
         assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and spans[-1][1] <= capacity
     assert len(fill) == len(plain_best_fit([x.length for x in got], capacity))
     assert P.pack_documents(docs.filter("false"), tokenizer_path).count() == 0
+
+
+def test_pieces_take_one_worker_a_task(spark, tokenizer_path, monkeypatch):
+    plans, keep = {}, P.materialize
+    monkeypatch.setattr(P, "materialize", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and keep(df, name))
+    docs = spark.createDataFrame([(i, "a b c " * (i % 3), i) for i in range(12)], "doc_id long, text string, length int").repartition(3)
+    got = P.pack_documents(docs, tokenizer_path, 16)
+    assert plans["pieces"].count("MapInArrow") == 1
+    rows = got.selectExpr("doc_id", "length AS `a length`", "length").repartition(2)
+    again = P.pack(rows, 16)  # rows that don't come from pieces()
+    assert again.columns == ["length", "doc_id", "a length", "sequence_id", "offset"]
+    assert again.select("sequence_id", "offset").distinct().count() == rows.count()
