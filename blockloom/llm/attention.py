@@ -87,15 +87,26 @@ def training_windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def forward(p: Params, x: np.ndarray) -> tuple:
     """States (windows x T x D) and what backward needs."""
-    h = p["e"][x] + p["pos"]
-    q, k, v = h @ p["q"], h @ p["k"], h @ p["v"]
+    h = p["e"][x]
+    h += p["pos"]
+    q, k, v = np.split((_rows(h) @ _qkv(p)).reshape(*x.shape, 3 * D), 3, axis=2)  # one product of all places; views
     s = np.matmul(q, k.transpose(0, 2, 1))
     s *= np.float32(D**-0.5)
     s = _moderate(s, _CAUSAL)
     np.exp(s, out=s)
     s /= _row_sums(s)[..., None]
     a = np.matmul(s, v)
-    return h + a @ p["o"], (h, q, k, v, s, a)
+    out = (_rows(a) @ p["o"]).reshape(h.shape)
+    out += h
+    return out, (h, q, k, v, s, a)
+
+
+def _rows(m: np.ndarray) -> np.ndarray:
+    return m.reshape(-1, D)
+
+
+def _qkv(p: Params) -> np.ndarray:
+    return np.concatenate([p["q"], p["k"], p["v"]], axis=1)
 
 
 def _row_sums(z: np.ndarray) -> np.ndarray:
@@ -179,11 +190,10 @@ def gradient(p: Params, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple
     flat = np.zeros(size(groups), dtype=np.float32)
     g = unpack(flat)
     full, (h, q, k, v, s, a) = forward(p, x)
-    flat_of = lambda m: m.reshape(-1, D)
     slot = y[mask]
     order = np.argsort((slot // groups).astype(np.uint8), kind="stable")  # by groups, so that each is a slice
     slot, place = slot[order], np.flatnonzero(mask)[order]
-    state, n = flat_of(full)[place], max(1, len(slot))
+    state, n = _rows(full)[place], max(1, len(slot))
     group, member = slot // groups, slot % groups
     bounds = np.searchsorted(group, np.arange(groups + 1))
     z = state @ p["gw"]
@@ -204,24 +214,26 @@ def gradient(p: Params, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple
         g["mb"][i] += _row_sums(d.T)
         ds[at] += d @ p["mw"][i].T
     dfull = np.zeros_like(full)
-    flat_of(dfull)[place] = ds
-    g["o"] += flat_of(a).T @ flat_of(dfull)
-    da = dfull @ p["o"].T
-    dv = np.matmul(s.transpose(0, 2, 1), da)
+    _rows(dfull)[place] = ds
+    g["o"] += _rows(a).T @ _rows(dfull)
+    da = (_rows(dfull) @ p["o"].T).reshape(dfull.shape)
     dsm = np.matmul(da, v.transpose(0, 2, 1))
     dsm -= np.einsum("bij,bij->bi", da, a)[..., None]  # the sum over j of dsm and s
     dsm *= s
     dsm *= np.float32(D**-0.5)
-    inner = np.concatenate([np.matmul(dsm, k), np.matmul(dsm.transpose(0, 2, 1), q), dv], axis=2)
-    dh = flat_of(dfull)
-    dh += inner.reshape(-1, 3 * D) @ np.concatenate([p["q"], p["k"], p["v"]], axis=1).T
-    for name, dx in zip("qkv", np.split(flat_of(h).T @ inner.reshape(-1, 3 * D), 3, axis=1)):
+    inner = np.empty((*x.shape, 3 * D), dtype=da.dtype)  # by q, k and v
+    for i, (left, right) in enumerate(((dsm, k), (dsm.transpose(0, 2, 1), q), (s.transpose(0, 2, 1), da))):
+        np.matmul(left, right, out=inner[..., i * D : (i + 1) * D])
+    inner = inner.reshape(-1, 3 * D)
+    dh = _rows(dfull)
+    dh += inner @ _qkv(p).T
+    for name, dx in zip("qkv", np.split(_rows(h).T @ inner, 3, axis=1)):
         g[name] += dx
     g["pos"] += _row_sums(dh.reshape(len(x), -1).T).reshape(T, D)
     ids = x.reshape(-1).astype(np.uint16)  # SLOTS at most; sorted by digits
     order = np.argsort(ids, kind="stable")
     first = np.flatnonzero(np.diff(ids[order].astype(np.int32), prepend=-1))
-    g["e"][ids[order[first]]] = np.add.reduceat(flat_of(dh)[order], first, axis=0)
+    g["e"][ids[order[first]]] = np.add.reduceat(_rows(dh)[order], first, axis=0)
     return float(loss) / n, flat
 
 

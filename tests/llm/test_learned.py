@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 from collections import Counter
 from zlib import crc32
 
@@ -344,6 +345,17 @@ def test_later_windows_compute_only_what_they_score(monkeypatch):
     assert sum(s[0] * s[1] for s in shapes if len(s) == 3) == attention.T + (len(x) - 1) * attention.STRIDE
 
 
+def test_gradient_copies_no_products():
+    """The products by q, k and v are made in place, not beside one another and then joined."""
+    r, flat = np.random.default_rng(1), attention.start(np.ones(16))
+    x, y = r.integers(0, 16, (2, attention.BATCH, attention.T))
+    tracemalloc.start()
+    attention.gradient(attention.unpack(flat), x, y, np.ones(x.shape, dtype=bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 17.5 * x.size * attention.D * 4
+
+
 def test_loss_with_numbers_beyond_the_range_of_exp():
     r = np.random.default_rng(6)
     flat = attention.start(np.ones(16)) * np.float32(60)
