@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, lm, packing, quality, resampling, rules, sharding, simhash, toxicity
+from . import bpe, exact_dedup, langid, lm, negatives, packing, quality, resampling, rules, sharding, simhash, toxicity
 from .common import documents, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -51,6 +51,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language(documents(spark, sf_dir))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -66,11 +70,13 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language": op10_language,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_resampling": op12_resampling,
 }
 
 ORACLES = {
     "op4_quality_rules": rules.SQL,
+    "op11_hard_negatives": negatives.SQL,
     "op12_resampling": resampling.SQL,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
