@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, lm, negatives, packing, quality, resampling, rules, sharding, simhash, toxicity
+from . import bpe, exact_dedup, langid, lm, negatives, packing, quality, resampling, rules, sharding, simhash, substrings, toxicity
 from .common import documents, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -59,6 +59,10 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
@@ -72,12 +76,14 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_resampling": op12_resampling,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLES = {
     "op4_quality_rules": rules.SQL,
     "op11_hard_negatives": negatives.SQL,
     "op12_resampling": resampling.SQL,
+    "op13_suffix_dedup": substrings.SQL,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                row_number() OVER (same ORDER BY doc_id DESC) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
