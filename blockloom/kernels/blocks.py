@@ -80,7 +80,3 @@ class Document:
     blocks: list[Block] = field(default_factory=list)
     errors: int = 0
 
-
-def smallest(blocks, inside) -> Block | None:
-    """The smallest block that passes inside(); the lower id among equals."""
-    return min((b for b in blocks if inside(b)), key=lambda b: (b.size, b.id), default=None)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 from ..kinds import COLLAPSIBLE, ELEMENT, FUNCTION_LIKE
-from .blocks import Block, Pair, smallest
+from .blocks import Block, Pair
+from .spans import smallest_around
 
 _blank = " \t\r\n"
 SIDES = ("old", "new")
@@ -31,17 +32,20 @@ class _Side:
         self.reference: dict[str, str] = {}
         self.texts: Counter = Counter()
         self.ids: set[str] = set()
+        code = [b for b in blocks if b.kind != "comment"]
+        place = {b: i for i, b in enumerate(code)}
+        spans = [(b.start, b.end, b.id) for b in code]
+        elements = [b for b in code if not b.parent and b.kind in ELEMENT]
+        comments = [b for b in blocks if b.kind == "comment"]
         for b in blocks:
             if b.parent:
                 self.inside[b.parent].append(b)
-            elif b.kind in ELEMENT:
-                up = smallest(blocks, lambda x: x is not b and x.kind != "comment" and x.holds(b))
-                if up is not None:
-                    self.inside[up.id].append(b)
-            if b.kind == "comment":
-                up = smallest(blocks, lambda x: x.kind != "comment" and x.start <= b.start < x.end)
-                if up is not None:
-                    self.comments[up.id].append(b)
+        for b, up in zip(elements, smallest_around(spans, [(b.start, max(b.end, b.start + 1), place[b]) for b in elements])):
+            if up is not None:
+                self.inside[code[up].id].append(b)
+        for b, up in zip(comments, smallest_around(spans, [(b.start, b.start + 1, None) for b in comments])):
+            if up is not None:
+                self.comments[code[up].id].append(b)
         for found in self.inside.values():
             found.sort(key=lambda b: (b.start, b.id))
         for p in pairs:
@@ -216,22 +220,21 @@ def attach_prefixes(pairs: list[Pair]) -> list[Pair]:
 def suppress_enclosed(pairs: list[Pair]) -> list[Pair]:
     """Drop comments that a function's own diff shows: in any function of their side, or matched within one pair."""
     owner = {s: {p.side(s).id: p for p in pairs if p.side(s) is not None} for s in SIDES}
-    functions = {s: [p.side(s) for p in owner[s].values() if p.side(s).kind in FUNCTION_LIKE and p.side(s).size > 0] for s in SIDES}
-
-    def around(s: str, c: Block | None) -> Pair | None:
-        if c is None:
-            return None
-        f = smallest(functions[s], lambda f: f.holds(c) and (f.start, f.end) != (c.start, c.end))
-        return owner[s][f.id] if f is not None else None
+    around: dict[str, dict[Block, Pair]] = {}
+    for s in SIDES:
+        functions = [p.side(s) for p in owner[s].values() if p.side(s).kind in FUNCTION_LIKE and p.side(s).size > 0]
+        comments = [p.side(s) for p in pairs if p.side(s) is not None and p.is_comment()]
+        found = smallest_around([(f.start, f.end, f.id) for f in functions], [(c.start, max(c.end, c.start), None) for c in comments], strict=True)
+        around[s] = {c: owner[s][functions[i].id] for c, i in zip(comments, found) if i is not None}
 
     def hidden(p: Pair) -> bool:
         if not p.is_comment():
             return False
         if not p.both:
-            return around("old" if p.new is None else "new", p.any) is not None
+            return p.any in around["old" if p.new is None else "new"]
         if p.old.kind != "comment" or p.new.kind != "comment":
             return False
-        a, b = around("old", p.old), around("new", p.new)
+        a, b = around["old"].get(p.old), around["new"].get(p.new)
         return a is not None and a is b
 
     return [p for p in pairs if not hidden(p)]

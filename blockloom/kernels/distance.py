@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+
+def _shared(a: bytes, b: bytes) -> int:
+    """Length of the common beginning, by halving: slices are compared whole."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
 
 
 def osa(a: bytes, b: bytes, cutoff: int | None = None) -> int:
     """Edits (insert, delete, replace, swap of neighbours, no byte edited twice) from a to b.
 
-    With a cutoff, distances above it are all cutoff + 1. Common ends are trimmed; the rest is
-    one pass over the longer text with the shorter one's column held in big integers.
+    With a cutoff, distances above it are all cutoff + 1, and the pass ends as soon as that is
+    certain. Common ends are trimmed; the rest is one pass over the longer text with the shorter
+    one's column held in big integers.
     """
     limit = max(len(a), len(b)) if cutoff is None else cutoff
     if a == b:
         return 0
-    lead, most = 0, min(len(a), len(b))
-    while lead < most and a[lead] == b[lead]:
-        lead += 1
+    lead = _shared(a, b)
     a, b = a[lead:], b[lead:]
-    tail, most = 0, min(len(a), len(b))
-    while tail < most and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
+    tail = _shared(a[::-1], b[::-1])
     if tail:
         a, b = a[:-tail], b[:-tail]
     if len(a) < len(b):
@@ -34,6 +41,7 @@ def osa(a: bytes, b: bytes, cutoff: int | None = None) -> int:
         where[c] = where.get(c, 0) | 1 << i
     full, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
     up, down, zero, before, score = full, 0, 0, 0, len(b)
+    left = len(a)  # bytes to come; each lowers the score by one at most
     for c in a:
         match = where.get(c, 0)
         swap = ((~zero & match) << 1) & before
@@ -43,14 +51,20 @@ def osa(a: bytes, b: bytes, cutoff: int | None = None) -> int:
             score += 1
         elif minus & top:
             score -= 1
+        left -= 1
+        if score - left > limit:
+            return limit + 1
         plus, minus = (plus << 1 | 1) & full, (minus << 1) & full
         up, down, before = (minus | ~(zero | plus)) & full, plus & zero, match
     return min(score, limit + 1)
 
 
-@lru_cache(maxsize=100_000)
-def closeness(a: bytes, b: bytes) -> float:
-    """1 - distance / longer length; 0 if either is empty, 1 if equal."""
+def closeness(a: bytes, b: bytes, least: float = 0.0) -> float:
+    """1 - distance / longer length; 0 if either is empty, 1 if equal. Values below `least` may come as any that is below it."""
     if not a or not b:
         return 0.0
-    return 1.0 if a == b else 1 - osa(a, b) / max(len(a), len(b))
+    if a == b:
+        return 1.0
+    longest = max(len(a), len(b))
+    cutoff = None if least <= 0 else int((1 - least) * longest + 1e-6) + 1
+    return 1 - osa(a, b, cutoff) / longest

@@ -8,10 +8,11 @@ from collections import defaultdict
 from collections.abc import Callable, Iterable
 
 from ..kinds import ELEMENT, HOISTABLE, eligible, kind_similarity
-from .assignment import INELIGIBLE, best_pairs
+from .assignment import INELIGIBLE, best_edges
 from .blocks import Block, Pair, text
 from .distance import closeness
 from .elements import element_text, plain_text
+from .spans import smallest_around
 
 #: Weights of name, body and kind in the similarity of two blocks.
 NAME, BODY, KIND = 0.35, 0.50, 0.15
@@ -103,35 +104,48 @@ class Side:
                 return False
         return True
 
-    def comment_scope(self, c: Block) -> str:
-        """Kind and name of the smallest block around a comment's first byte; the first among equals."""
-        around = [b for b in self.blocks if b.kind != "comment" and b.start <= c.start < b.end]
-        best = min(around, key=lambda b: (b.size, b.index), default=None)
-        return f"{best.kind}\0{best.name}" if best else ""
+    def comment_scopes(self, comments: list[Block]) -> dict[Block, str]:
+        """Kind and name of the smallest block around each comment's first byte; the first among equals."""
+        code = [b for b in self.blocks if b.kind != "comment"]
+        found = smallest_around([(b.start, b.end, b.index) for b in code], [(c.start, c.start + 1, None) for c in comments])
+        return {c: "" if i is None else f"{code[i].kind}\0{code[i].name}" for c, i in zip(comments, found)}
 
 
 class Matcher:
     def __init__(self, old: list[Block], new: list[Block], threshold: float = 0.5) -> None:
         self.old, self.new = Side(old), Side(new)
         self.threshold = clamp(threshold)
-        self.pairs: list[Pair] = []
+        self._numbers: dict[bytes, int] = {}
+        self._known: dict[tuple[int, int], tuple[float, float]] = {}
+
+    def _close(self, a: Block, b: Block, least: float = 0.0) -> float:
+        """Closeness of bodies, remembered by their texts' numbers; below `least` any value below it."""
+        key = (self._number(self.old.body(a)), self._number(self.new.body(b)))
+        known, bound = self._known.get(key, (0.0, 2.0))  # exact from its bound on
+        if bound > max(least, 0.0) and known < bound:
+            known = closeness(self.old.body(a), self.new.body(b), least)
+            self._known[key] = known, max(least, 0.0)
+        return known
+
+    def _number(self, body: bytes) -> int:
+        return self._numbers.setdefault(body, len(self._numbers))
 
     def similarity(self, a: Block, b: Block, named: bool = True) -> float:
         name = name_similarity(a.name, b.name) if named else 0.0
-        return NAME * name + BODY * closeness(self.old.body(a), self.new.body(b)) + KIND * kind_similarity(a.kind, b.kind)
+        return NAME * name + BODY * self._close(a, b) + KIND * kind_similarity(a.kind, b.kind)
 
     def bounded(self, a: Block, b: Block, threshold: float, named: bool = True) -> float:
-        """similarity(), or INELIGIBLE without computing it where even equal bodies of these lengths stay below the threshold."""
+        """similarity(), or INELIGIBLE where it is below the threshold; bodies are compared only as far as that takes."""
         la, lb = len(self.old.body(a)), len(self.new.body(b))
-        name = name_similarity(a.name, b.name) if named else 0.0
-        most = NAME * name + BODY * (min(la, lb) / max(la, lb, 1)) + KIND * kind_similarity(a.kind, b.kind)
-        return self.similarity(a, b, named) if most >= threshold - 1e-9 else INELIGIBLE
+        rest = (NAME * name_similarity(a.name, b.name) if named else 0.0) + KIND * kind_similarity(a.kind, b.kind)
+        need = (threshold - rest) / BODY - 1e-9
+        if min(la, lb) / max(la, lb, 1) < need or self._close(a, b, need) < need:
+            return INELIGIBLE
+        return self.similarity(a, b, named)
 
     def assign(self, old: list[Block], new: list[Block], threshold: float, score: Callable[[Block, Block], float], stage: str, match_type: str, confidence: float | None = None) -> list[Pair]:
-        if not old or not new:
-            return []
-        table = [[score(a, b) for b in new] for a in old]
-        out = [Pair(old[i], new[j], s if confidence is None else confidence, match_type, stage) for i, j, s in best_pairs(table, threshold)]
+        edges = [(i, j, s) for i, a in enumerate(old) for j, b in enumerate(new) if (s := score(a, b)) != INELIGIBLE and s >= threshold]
+        out = [Pair(old[i], new[j], s if confidence is None else confidence, match_type, stage) for i, j, s in best_edges(edges)]
         self.take(out)
         return out
 
@@ -161,7 +175,7 @@ class Matcher:
         is_comment = lambda b: b.kind == "comment"
         old, new = self.old.rest(is_comment), self.new.rest(is_comment)
         place = {b: i for side in (old, new) for i, b in enumerate(side)}
-        where = {b: self.old.comment_scope(b) for b in old} | {b: self.new.comment_scope(b) for b in new}
+        where = self.old.comment_scopes(old) | self.new.comment_scopes(new)
         same: dict[str, list[Block]] = defaultdict(list)
         for b in new:
             same[b.source].append(b)

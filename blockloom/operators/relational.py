@@ -7,7 +7,7 @@ document, or map-side-combined aggregates, and leaves the physical strategy to S
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .. import kinds
 from ..functions import columns as C
-from .spans import around, smallest_around
+from . import spans
+from .documents import documents_of, per_document
 
 DOC = ["pair_id", "side"]
 
@@ -37,89 +38,98 @@ def sides(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
 # -- forests -------------------------------------------------------------------------------
 
 
-def ancestors(blocks: DataFrame) -> DataFrame:
-    """(pair_id, side, id, depth, up_id, up_kind, up_name, found) for every ancestor, nearest first.
+def forest(blocks: DataFrame, *carried: str) -> DataFrame:
+    """(pair_id, side, id, the carried columns, scope_path, scope, is_root, container) of every block: what is above it.
 
-    A parent that isn't among the blocks ends the way: its row has found = false, and the kind and
-    name of its scope key. Of blocks with one id the last counts. A ring ends where it closes.
-    Nothing crosses a document, so parents are walked within one: a single shuffle by (pair_id,
-    side), of these columns alone, sorted and read as a stream; any depth, and memory in proportion
-    to a batch and one document.
+    scope_path: kind:name of the ancestors that aren't namespaces, outermost first; a parent that
+    isn't among the blocks begins it with its scope key. scope: names of the namespaces and classes
+    above, A::B. is_root: only namespaces are above. container: id of the nearest ancestor that is
+    no namespace. Of blocks with one id the last counts; a ring of parents ends where it closes.
+
+    Each block's row is made from its parent's, whatever the depth, in one pass over whole
+    documents and one shuffle.
     """
+    own = list(dict.fromkeys([*DOC, "id", *carried]))
+    slim = blocks.select(*own, *(c for c in ("kind", "name", "parent") if c not in own))
 
     def walk(rows: pa.Table) -> pa.RecordBatch:
-        """Ancestors of the blocks of whole documents."""
-        docs = list(zip(*(rows.column(c).to_pylist() for c in DOC)))
-        ids, kinds_of, names, parents = (rows.column(c).to_pylist() for c in ("id", "kind", "name", "parent"))
-        at = {(d, b): i for i, (d, b) in enumerate(zip(docs, ids))}
-        row, depth, ups, keys = [], [], [], []
-        for i in at.values():
-            doc, up, seen = docs[i], parents[i], {ids[i]}
-            while up and up not in seen:
-                k = at.get((doc, up))
-                row.append(i)
-                depth.append(len(seen))
-                ups.append(up)
-                keys.append(k)
-                seen.add(up)
-                up = None if k is None else parents[k]
-        of = lambda values: pa.array([None if k is None else values[k] for k in keys], pa.string())
-        own = [rows.column(c).take(pa.array(row, pa.int64())).combine_chunks() for c in (*DOC, "id")]
-        made = [pa.array(depth, pa.int32()), pa.array(ups, pa.string()), of(kinds_of), of(names), pa.array([k is not None for k in keys], pa.bool_())]
-        return pa.RecordBatch.from_arrays([*own, *made], names=[*DOC, "id", "depth", "up_id", "up_kind", "up_name", "found"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows of the document that may go on
-        for b in batches:
-            last = tuple(b.column(c)[-1].as_py() for c in DOC) if b.num_rows else None
-            n = b.num_rows
-            while n and tuple(b.column(c)[n - 1].as_py() for c in DOC) == last:
-                n -= 1
-            first = tuple(held[0].column(c)[0].as_py() for c in DOC) if held else last
-            if n or first != last:
-                yield walk(pa.Table.from_batches([*held, b.slice(0, n)]))
-                held = []
-            if b.num_rows > n:
-                held.append(b.slice(n))
-        if held:
-            yield walk(pa.Table.from_batches(held))
-
-    slim = blocks.select(*DOC, "id", "kind", "name", "parent")
-    own = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in (*DOC, "id"))
-    return slim.repartition(*DOC).sortWithinPartitions(*DOC).mapInArrow(run, f"{own}, depth int, up_id string, up_kind string, up_name string, found boolean")
+        made: list[tuple] = []
+        columns = [rows.column(c).to_pylist() for c in ("id", "kind", "name", "parent")]
+        for lo, hi in documents_of(rows, DOC):
+            made += list(_above(*(c[lo:hi] for c in columns)))
+        types = (pa.string(), pa.string(), pa.bool_(), pa.string())
+        found = [pa.array(c, t) for c, t in zip(zip(*made), types)]
+        return pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks() for c in own), *found], names=[*own, *_ABOVE])
+
+    kept = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in own)
+    return per_document(slim, DOC, walk, f"{kept}, scope_path string, scope string, is_root boolean, container string")
+
+
+_ABOVE = ("scope_path", "scope", "is_root", "container")
+_ROOT = ("", "", True, None)
+
+
+def _above(ids: list[str], kind: list[str], name: list[str], parent: list[str]) -> list[tuple]:
+    """What is above each block of one document, in the order of _ABOVE."""
+    at = {b: i for i, b in enumerate(ids)}
+
+    def under(i: int, above: tuple) -> tuple:
+        """What children of block i have above them, given what i has."""
+        path, scope, root, container = above
+        if kind[i] in ("namespace", "class") and name[i]:
+            scope = f"{scope}::{name[i]}" if scope else name[i]
+        if kind[i] == "namespace":
+            return path, scope, root, container
+        step = ":".join(v for v in (kind[i], name[i]) if v is not None)
+        return f"{path}>{step}" if path else step, scope, False, ids[i]
+
+    known: dict[int, tuple] = {}
+    ringed: dict[int, tuple] = {}  # where a ring closes depends on the block a way begins with
+    for i in at.values():
+        if i in known:
+            continue
+        way, seen = [i], {i}
+        while (up := parent[way[-1]]) and (k := at.get(up)) is not None and k not in seen and k not in known:
+            way.append(k)
+            seen.add(k)
+        ring = bool(up) and k is not None and k in seen
+        if not up:
+            above = _ROOT
+        elif k is None:
+            above = (_scope_key.sub(r"\1", up), "", False, None)
+        else:
+            above = _ROOT if ring else under(k, known[k])
+        for j in reversed(way):
+            if not ring:
+                known[j] = above
+            elif j == i:
+                ringed[j] = above
+            above = under(j, above)
+    return [(known.get(at[b]) or ringed[at[b]]) for b in ids]
+
+
+_scope_key = re.compile(r"(?s)^(.+):[0-9]+$")
 
 
 def scope_paths(blocks: DataFrame) -> DataFrame:
-    """(pair_id, side, id, scope_path): kind:name of the ancestors that aren't namespaces, outermost first.
-
-    A parent that isn't there begins the path with its scope key.
-    """
-    up = ancestors(blocks).filter("NOT found OR up_kind <> 'namespace'")
-    key = F.when(F.col("found"), F.concat_ws(":", "up_kind", "up_name")).otherwise(C.scope_key("up_id"))
-    path = up.groupBy(*DOC, "id").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), key.alias("k")))).alias("p"))
-    path = path.select(*DOC, "id", F.array_join(F.col("p.k"), ">").alias("scope_path"))
-    return blocks.select(*DOC, "id").join(path, [*DOC, "id"], "left").fillna("", ["scope_path"])
+    """(pair_id, side, id, scope_path); see forest()."""
+    return forest(blocks).select(*DOC, "id", "scope_path")
 
 
 def scope_stamps(blocks: DataFrame) -> DataFrame:
     """(pair_id, side, id, scope): names of the enclosing namespaces and classes, A::B."""
-    up = ancestors(blocks).filter("found AND up_kind IN ('namespace', 'class') AND up_name <> ''")
-    found = up.groupBy(*DOC, "id").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), F.col("up_name").alias("n")))).alias("p"))
-    found = found.select(*DOC, "id", F.array_join(F.col("p.n"), "::").alias("scope"))
-    return blocks.select(*DOC, "id").join(found, [*DOC, "id"], "left").fillna("", ["scope"])
+    return forest(blocks).select(*DOC, "id", "scope")
 
 
 def root_level(blocks: DataFrame) -> DataFrame:
     """(pair_id, side, id, is_root): only namespaces above; a parent that isn't there makes a block no root."""
-    bad = ancestors(blocks).groupBy(*DOC, "id").agg(F.bool_or(~F.col("found") | (F.col("up_kind") != "namespace")).alias("bad"))
-    out = blocks.select(*DOC, "id").join(bad, [*DOC, "id"], "left")
-    return out.select(*DOC, "id", (~F.coalesce("bad", F.lit(False))).alias("is_root"))
+    return forest(blocks).select(*DOC, "id", "is_root")
 
 
 def orphaned(blocks: DataFrame, matched: DataFrame) -> DataFrame:
     """(pair_id, side, id) of blocks whose nearest ancestor that is no namespace has no partner. matched: pair_id, side, id."""
-    near = ancestors(blocks).filter("found AND up_kind <> 'namespace'").groupBy(*DOC, "id").agg(F.min_by("up_id", "depth").alias("near"))
-    return near.join(matched.select(*DOC, F.col("id").alias("near")), [*DOC, "near"], "left_anti").select(*DOC, "id")
+    near = forest(blocks).filter("container IS NOT NULL")
+    return near.join(matched.select(*DOC, F.col("id").alias("container")), [*DOC, "container"], "left_anti").select(*DOC, "id").distinct()
 
 
 # -- pairing -------------------------------------------------------------------------------
@@ -127,7 +137,7 @@ def orphaned(blocks: DataFrame, matched: DataFrame) -> DataFrame:
 
 def unique_exact_pairs(blocks: DataFrame) -> DataFrame:
     """(pair_id, old_id, new_id, kind, name, scope_path) where an identity occurs once on each side."""
-    named = blocks.filter("name <> ''").join(scope_paths(blocks), [*DOC, "id"])
+    named = forest(blocks, "kind", "name").filter("name <> ''")
     key = ["pair_id", "kind", "name", "scope_path"]
     per = named.groupBy(*key).agg(*(f(F.when(F.col("side") == s, F.col("id"))).alias(f"{s}_{n}") for s in ("old", "new") for n, f in (("id", F.min), ("count", F.count))))
     return per.filter("old_count = 1 AND new_count = 1").select("pair_id", "old_id", "new_id", "kind", "name", "scope_path")
@@ -171,50 +181,33 @@ def correlated(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
 # -- spans ---------------------------------------------------------------------------------
 
 
-def _spans(blocks: DataFrame) -> DataFrame:
-    return blocks.select(*DOC, F.col("id").alias("up_id"), F.col("kind").alias("up_kind"), F.col("block_ix").alias("up_ix"), F.col("start_byte").alias("s"), F.col("end_byte").alias("e"))
+def _found(blocks: DataFrame, of: str) -> DataFrame:
+    return spans.enclosing(blocks, of).select(*DOC, "id", F.col(of).alias("up_id")).filter("up_id IS NOT NULL")
 
 
 def comment_owners(blocks: DataFrame) -> DataFrame:
     """(pair_id, side, id, up_id): smallest block around each comment's first byte; the lower id among equals."""
-    points = blocks.filter("kind = 'comment' AND start_byte < end_byte").select(*DOC, "id", "start_byte")
-    return smallest_around(points, _spans(blocks).filter("up_kind <> 'comment'"), DOC, "start_byte", "s", "e", "up_id", "up_id", [*DOC, "id"])
+    return _found(blocks, spans.OWNER)
 
 
 def comment_scopes(blocks: DataFrame) -> DataFrame:
     """The same by order of extraction among equals: the owner whose kind and name are a comment's scope."""
-    points = blocks.filter("kind = 'comment'").select(*DOC, "id", "start_byte")
-    return smallest_around(points, _spans(blocks).filter("up_kind <> 'comment'"), DOC, "start_byte", "s", "e", "up_id", "up_ix", [*DOC, "id"])
+    return _found(blocks, spans.SCOPE)
 
 
 def element_owners(blocks: DataFrame) -> DataFrame:
     """(pair_id, side, id, up_id): smallest other block whose span holds all of a parentless element."""
-    points = blocks.filter(C.in_set("kind", kinds.ELEMENT) & (F.coalesce("parent", F.lit("")) == "") & (F.col("start_byte") < F.col("end_byte")))
-    points = points.select(*DOC, "id", "start_byte", "end_byte")
-    return smallest_around(points, _spans(blocks), DOC, "start_byte", "s", "e", "up_id", "up_id", [*DOC, "id"], (F.col("end_byte") <= F.col("e")) & (F.col("up_id") != F.col("id")))
+    return _found(blocks, spans.ELEMENT)
 
 
 def enclosing_functions(blocks: DataFrame) -> DataFrame:
     """(pair_id, side, id, up_id): smallest function around all of each comment, other than of the very same span."""
-    points = blocks.filter("kind = 'comment'").select(*DOC, "id", "start_byte", "end_byte")
-    inside = (F.col("end_byte") <= F.col("e")) & ~((F.col("start_byte") == F.col("s")) & (F.col("end_byte") == F.col("e")))
-    return smallest_around(points, _spans(blocks).filter(C.in_set("up_kind", kinds.FUNCTION_LIKE)), DOC, "start_byte", "s", "e", "up_id", "up_id", [*DOC, "id"], inside)
+    return _found(blocks, spans.FUNCTION)
 
 
 def moved_comments(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     """(pair_id, old_id, new_id, moved) of matched comments: whether the smallest matched block around differs between sides."""
-    code = pairs.withColumn("seq", F.concat_ws("|", "old_id", "new_id"))
-    kind = blocks.select(*DOC, "id", "kind", "start_byte", "end_byte")
-    found = pairs.select("pair_id", "old_id", "new_id")
-    comment = found.join(kind.filter("side = 'old' AND kind = 'comment'").select("pair_id", F.col("id").alias("old_id")), ["pair_id", "old_id"])
-    homes = {}
-    for side in ("old", "new"):
-        at = kind.filter(F.col("side") == side)
-        spans = code.join(at.filter("kind <> 'comment'").select("pair_id", F.col("id").alias(f"{side}_id"), F.col("start_byte").alias("s"), F.col("end_byte").alias("e")), ["pair_id", f"{side}_id"]).select("pair_id", "seq", "s", "e")
-        points = comment.join(at.select("pair_id", F.col("id").alias(f"{side}_id"), "start_byte"), ["pair_id", f"{side}_id"])
-        homes[side] = smallest_around(points, spans, ["pair_id"], "start_byte", "s", "e", "seq", "seq", ["pair_id", "old_id", "new_id"]).withColumnRenamed("seq", f"{side}_home")
-    out = comment.join(homes["old"], ["pair_id", "old_id", "new_id"], "left").join(homes["new"], ["pair_id", "old_id", "new_id"], "left")
-    return out.select("pair_id", "old_id", "new_id", (~F.col("old_home").eqNullSafe(F.col("new_home"))).alias("moved"))
+    return spans.homes_differ(blocks, pairs)
 
 
 def nested_members(blocks: DataFrame, one_sided: DataFrame) -> DataFrame:
@@ -224,10 +217,9 @@ def nested_members(blocks: DataFrame, one_sided: DataFrame) -> DataFrame:
     return rows.join(classes, ["pair_id", "parent"]).filter("s <= start_byte AND end_byte <= e").select(*DOC, "id").distinct()
 
 
-def skipped_lines(lines: DataFrame, spans: DataFrame) -> DataFrame:
+def skipped_lines(lines: DataFrame, skipped: DataFrame) -> DataFrame:
     """Lines (pair_id, side, line_no, lo, hi) whose text lies inside one span (pair_id, side, s, e)."""
-    met = around(lines.filter("lo < hi"), spans, DOC, "lo", "s", "e")
-    return met.filter("hi <= e").select(*DOC, "line_no").distinct()
+    return spans.held(lines.filter("lo < hi"), skipped, DOC, "lo", "hi", "s", "e").select(*DOC, "line_no").distinct()
 
 
 # -- windows -------------------------------------------------------------------------------

@@ -1,42 +1,112 @@
-"""Joins of positions with the spans around them.
+"""Joins of places with the spans around them: one shuffle, one sweep per document.
 
-A span of length up to 2^L lies in at most two cells of size 2^L, so spans are joined with
-positions on (keys, level, cell): spans give one or two rows, positions one row per level that
-occurs. No pair of a span and a position outside its cells is ever formed, however large a
-document is.
+The smallest span around a place is found by kernels.spans within whole documents. Whether any
+span holds a place needs no Python: of the spans that start no later, the one that ends last
+decides, a running maximum.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Levels of cells: spans of up to 2^39 bytes.
-LEVELS = 40
+from .. import kinds
+from ..kernels.spans import smallest_around
+from .documents import documents_of, per_document
 
+#: Names of the blocks around a block that enclosing() can find.
+OWNER, SCOPE, ELEMENT, FUNCTION = "owner", "scope_owner", "element_owner", "function"
 
-def _celled(spans: DataFrame, start: str, end: str) -> DataFrame:
-    level = F.greatest(F.ceil(F.log2(F.greatest(F.col(end) - F.col(start), F.lit(1)))), F.lit(0)).cast("int")
-    at = spans.filter(F.col(start) < F.col(end)).withColumn("__level", level)
-    first, last = (F.expr(f"shiftright(CAST({x} AS BIGINT), __level)") for x in (start, f"{end} - 1"))
-    return at.withColumn("__cell", F.explode(F.array_distinct(F.array(first, last))))
 
+def _around(rows: dict[str, list], of: str) -> list[int | None]:
+    """Per block of one document the block around it in one of the four senses, where it has that sense."""
+    kind, start, end = rows["kind"], rows["start_byte"], rows["end_byte"]
+    every = range(len(kind))
+    if of == ELEMENT:
+        asked = [i for i in every if kind[i] in kinds.ELEMENT and not rows["parent"][i] and start[i] < end[i]]
+        held, reach, own = every, end, True
+    else:
+        asked = [i for i in every if kind[i] == "comment" and (of != OWNER or start[i] < end[i])]
+        held = [i for i in every if (kind[i] in kinds.FUNCTION_LIKE if of == FUNCTION else kind[i] != "comment")]
+        reach, own = (end if of == FUNCTION else [s + 1 for s in start]), False
+    tie = rows["block_ix"] if of == SCOPE else rows["id"]
+    spans = [(start[i], end[i], tie[i]) for i in held]
+    places = [(start[i], reach[i], i if own else None) for i in asked]
+    out: list[int | None] = [None] * len(kind)
+    for i, found in zip(asked, smallest_around(spans, places, of == FUNCTION)):
+        out[i] = None if found is None else held[found]
+    return out
 
-def around(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, start: str, end: str) -> DataFrame:
-    """Rows of points joined with every span [start, end) around point. Columns other than keys must differ."""
-    cells = _celled(spans, start, end)
-    used = sorted(r["__level"] for r in cells.select("__level").distinct().limit(LEVELS).collect())  # at most LEVELS small numbers
-    levels = F.array(*map(F.lit, used)).cast("array<int>")
-    probe = points.withColumn("__level", F.explode(levels)).withColumn("__cell", F.expr(f"shiftright(CAST({point} AS BIGINT), __level)"))
-    met = probe.join(cells, [*keys, "__level", "__cell"])
-    return met.filter((F.col(start) <= F.col(point)) & (F.col(point) < F.col(end))).drop("__level", "__cell")
 
+def enclosing(blocks: DataFrame, *of: str) -> DataFrame:
+    """(pair_id, side, id, and a column for each of `of`): ids of the blocks around comments and elements, null where none is.
 
-def smallest_around(points: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, start: str, end: str, take: str, tie: str, by: Sequence[str], where: Column | None = None) -> DataFrame:
-    """Per row of points (named by the columns `by`) the value `take` of the smallest span around it; the lower tie among equals."""
-    met = around(points, spans, keys, point, start, end)
-    if where is not None:
-        met = met.filter(where)
-    return met.groupBy(*by).agg(F.min_by(take, F.struct(F.col(end) - F.col(start), F.col(tie))).alias(take))
+    owner: smallest block around a comment's first byte, the lower id among equals. scope_owner:
+    the same, the first extracted among equals. element_owner: smallest other block that holds all
+    of an element without a parent. function: smallest function around all of a comment, other
+    than of the very same span.
+    """
+    keys = ["pair_id", "side"]
+    slim = blocks.select(*keys, "id", "kind", "parent", "block_ix", *(F.col(c).cast("long").alias(c) for c in ("start_byte", "end_byte")))
+
+    def sweep(table: pa.Table) -> pa.RecordBatch:
+        found: dict[str, list] = {c: [] for c in of}
+        columns = {c: table.column(c).to_pylist() for c in table.column_names if c not in keys}
+        for lo, hi in documents_of(table, keys):
+            rows = {c: v[lo:hi] for c, v in columns.items()}
+            for c in of:
+                found[c] += [None if i is None else rows["id"][i] for i in _around(rows, c)]
+        own = [table.column(c).combine_chunks() for c in (*keys, "id")]
+        return pa.RecordBatch.from_arrays([*own, *(pa.array(found[c], pa.string()) for c in of)], names=[*keys, "id", *of])
+
+    own = ", ".join(f"{c} {slim.schema[c].dataType.simpleString()}" for c in (*keys, "id"))
+    return per_document(slim, keys, sweep, ", ".join([own, *(f"{c} string" for c in of)]))
+
+
+def homes_differ(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair_id, old_id, new_id, moved) of matched comments: whether the smallest matched block around differs between sides.
+
+    Blocks and pairs of both sides meet once, by pair_id.
+    """
+    none = F.lit(None)
+    b = blocks.select("pair_id", F.lit(0).alias("is_pair"), "side", "id", none.cast("string").alias("new_id"), (F.col("kind") == "comment").alias("comment"), *(F.col(c).cast("long").alias(c) for c in ("start_byte", "end_byte")))
+    p = pairs.select("pair_id", F.lit(1).alias("is_pair"), none.cast("string").alias("side"), F.col("old_id").alias("id"), "new_id", none.cast("boolean").alias("comment"), none.cast("long").alias("start_byte"), none.cast("long").alias("end_byte"))
+
+    def sweep(table: pa.Table) -> pa.RecordBatch:
+        out: list[tuple] = []
+        columns = [table.column(c).to_pylist() for c in table.column_names]
+        for lo, hi in documents_of(table, ["pair_id"]):
+            at: dict[tuple, tuple] = {}
+            matched = []
+            for pair_id, is_pair, side, block, new, comment, start, end in zip(*(c[lo:hi] for c in columns)):
+                if is_pair:
+                    matched.append((block, new))
+                else:
+                    at[side, block] = comment, start, end
+            comments = [m for m in matched if ("old", m[0]) in at and at["old", m[0]][0] and ("new", m[1]) in at]
+            homes = []
+            for k, side in enumerate(("old", "new")):
+                code = [(m, at[side, m[k]]) for m in matched if (side, m[k]) in at and not at[side, m[k]][0]]
+                spans = [(s, e, f"{m[0]}|{m[1]}") for m, (_, s, e) in code]
+                places = [(at[side, m[k]][1], at[side, m[k]][1] + 1, None) for m in comments]
+                homes.append([None if f is None else spans[f][2] for f in smallest_around(spans, places)])
+            out += [(pair_id, *m, a != z) for m, a, z in zip(comments, *homes)]
+        types = (table.schema.field("pair_id").type, pa.string(), pa.string(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, types)], names=["pair_id", "old_id", "new_id", "moved"])
+
+    kind = blocks.schema["pair_id"].dataType.simpleString()
+    return per_document(b.unionByName(p), ["pair_id"], sweep, f"pair_id {kind}, old_id string, new_id string, moved boolean")
+
+
+def held(places: DataFrame, spans: DataFrame, keys: Sequence[str], lo: str, hi: str, start: str, end: str) -> DataFrame:
+    """Rows of places whose [lo, hi) lies inside one of the spans [start, end) of its keys."""
+    fields = F.struct(*(F.col(c) for c in places.columns))
+    a = spans.filter(F.col(start) < F.col(end)).select(*keys, F.col(start).cast("long").alias("__at"), F.lit(0).alias("__last"), F.col(end).cast("long").alias("__end"), F.lit(None).cast(places.select(fields.alias("f")).schema["f"].dataType).alias("__row"))
+    b = places.select(*keys, F.col(lo).cast("long").alias("__at"), F.lit(1).alias("__last"), F.lit(None).cast("long").alias("__end"), fields.alias("__row"))
+    furthest = F.max("__end").over(W.partitionBy(*keys).orderBy("__at", "__last").rowsBetween(W.unboundedPreceding, 0))
+    met = a.unionByName(b).withColumn("__furthest", furthest).filter("__last = 1")
+    return met.filter(F.col(f"__row.{hi}") <= F.col("__furthest")).select("__row.*")

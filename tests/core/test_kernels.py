@@ -1,12 +1,14 @@
 import itertools
 import random
 import sys
+import tracemalloc
 
 import pytest
-from blockloom.kernels.assignment import best_pairs
+from blockloom.kernels.assignment import best_edges, best_pairs
 from blockloom.kernels.distance import osa
 from blockloom.kernels.elements import element_text
 from blockloom.kernels.lines import ADD, CTX, DEL, align, diff_lines, increasing, word_diff
+from blockloom.kernels.spans import smallest_around
 from blockloom.kernels.tokens import formatting_only
 from blockloom.scan import extract
 from hypothesis import given, settings
@@ -58,6 +60,44 @@ def test_assignment_is_the_best_of_all():
         assert sum(s for _, _, s in got) == pytest.approx(best)
 
 
+def test_assignment_of_many_sparse_pairs():
+    """Thousands of rows in one component; among equal pairs the lowest are made."""
+    n = 4000
+    assert best_edges([(i, j, 0.9 if i == j else 0.6) for i in range(n) for j in (i, i + 1) if j < n]) == [(i, i, 0.9) for i in range(n)]
+    assert best_edges([(i, i + 1, 0.8) for i in range(n)] + [(i, i, 0.7) for i in range(n)]) == [(i, i + 1, 0.8) for i in range(n)]
+    assert best_pairs([[0.85] * 120 for _ in range(100)], 0.5) == [(i, i, 0.85) for i in range(100)]
+    assert best_edges([]) == [] and best_pairs([], 0) == best_pairs([[]], 0) == []
+
+
+def test_alignment_of_long_lists_in_little_memory():
+    r = random.Random(3)
+    a = [r.randrange(4000) for _ in range(12_000)]
+    b = [v if r.random() < 0.8 else r.randrange(4000) for v in a]
+    tracemalloc.start()
+    steps = align(a, b)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [a[i] for i, _ in steps if i >= 0] == a and [b[j] for _, j in steps if j >= 0] == b
+    assert sum(i >= 0 and j >= 0 for i, j in steps) > 8000 and most < 12_000 * 800  # all rows at once take 18 MB
+
+
+def plain_smallest(spans, places, strict):
+    out = []
+    for start, reach, own in places:
+        around = [(e - s, t, i) for i, (s, e, t) in enumerate(spans) if s <= start and e >= reach and s < e and i != own and not (strict and (s, e) == (start, reach))]
+        out.append(min(around)[2] if around else None)
+    return out
+
+
+def test_smallest_spans_around():
+    r = random.Random(9)
+    for case in range(400):
+        spans = [(s := r.randint(0, 12), s + r.randint(0, 9), r.randint(0, 2)) for _ in range(r.randint(0, 12))]
+        places = [(s := r.randint(0, 14), s + r.randint(0, 6), r.choice([None, r.randrange(12)])) for _ in range(r.randint(0, 8))]
+        places += [(s, e, i) for i, (s, e, _) in enumerate(spans)]
+        assert smallest_around(spans, places, case % 2 == 0) == plain_smallest(spans, places, case % 2 == 0)
+
+
 @given(st.lists(st.sampled_from("abc "), max_size=12), st.lists(st.sampled_from("abc "), max_size=12))
 @settings(max_examples=200, deadline=None)
 def test_alignment_rebuilds_both_and_is_longest(a, b):

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 from blockloom.cli import git_arguments, main
 from blockloom.operators import relational as R
-from blockloom.operators.spans import around
+from blockloom.operators.spans import held
 from blockloom.options import Options
 from blockloom.plans import review as V
 from blockloom.plans.catalog import ORACLES, QUERIES
@@ -32,13 +32,13 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(tuple(value(r[c]) for c in columns) for r in got.collect()) == sorted(tuple(value(r[i]) for i in at) for r in want.fetchall())
 
 
-def test_spans_are_joined_by_cells_not_by_a_nested_loop(spark):
-    spans = spark.createDataFrame([(1, 0, 100, "a"), (1, 40, 41, "b"), (1, 30, 60, "c"), (2, 0, 10, "d"), (1, 5, 5, "empty")], "k int, s long, e long, name string")
-    points = spark.createDataFrame([(1, p) for p in (0, 29, 30, 40, 41, 59, 99, 100)] + [(3, 1)], "k int, p long")
-    met = around(points, spans, ["k"], "p", "s", "e")
-    want = {(p, n) for p in (0, 29, 30, 40, 41, 59, 99, 100) for s, e, n in ((0, 100, "a"), (40, 41, "b"), (30, 60, "c")) if s <= p < e}
-    assert {(r.p, r.name) for r in met.collect()} == want
-    assert "NestedLoop" not in met._jdf.queryExecution().toString() and "Cartesian" not in met._jdf.queryExecution().toString()
+def test_places_held_by_a_span(spark):
+    spans = spark.createDataFrame([(1, 0, 100), (1, 40, 41), (1, 30, 60), (2, 0, 10), (1, 5, 5), (4, 0, 9)], "k int, s long, e long")
+    places = spark.createDataFrame([(1, p, p + n) for p in (0, 29, 30, 40, 59, 99, 100) for n in (1, 5, 70)] + [(3, 1, 2), (2, 0, 10), (2, 0, 11)], "k int, lo long, hi long")
+    got = {tuple(r) for r in held(places, spans, ["k"], "lo", "hi", "s", "e").collect()}
+    want = {tuple(r) for r in places.collect() if any(k == r.k and s <= r.lo and r.hi <= e for k, s, e in ((1, 0, 100), (1, 30, 60), (2, 0, 10)))}
+    assert got == want and len(want) > 5
+    assert "Python" not in held(places, spans, ["k"], "lo", "hi", "s", "e")._jdf.queryExecution().toString()
 
 
 def test_tables_of_reviews(spark):
