@@ -7,15 +7,14 @@ import re
 from collections import defaultdict
 from collections.abc import Callable, Iterable
 
-from ..kinds import ELEMENT, HOISTABLE, eligible, kind_similarity
+from ..kinds import ELEMENT, HOISTABLE, kind_similarity
 from .assignment import INELIGIBLE, best_edges
 from .blocks import Block, Pair, text
 from .distance import closeness
 from .elements import element_text, plain_text
+from .similar import BODY, KIND, NAME, SimilarIndex, name_closeness
 from .spans import smallest_around
 
-#: Weights of name, body and kind in the similarity of two blocks.
-NAME, BODY, KIND = 0.35, 0.50, 0.15
 _offset = re.compile(r"(?s)^(.+):[0-9]+$")
 _fold = re.compile(r"[^A-Za-z0-9]")
 
@@ -32,10 +31,7 @@ def fold_name(name: str) -> str:
 
 def name_similarity(a: str, b: str, unnamed: float = 0.5) -> float:
     """Similarity of names by letters and digits; `unnamed` where neither has any."""
-    a, b = fold_name(a), fold_name(b)
-    if not a and not b:
-        return unnamed
-    return closeness(a.encode(), b.encode())
+    return name_closeness(fold_name(a).encode(), fold_name(b).encode(), unnamed)
 
 
 def is_ordinal(kind: str, name: str) -> bool:
@@ -116,16 +112,14 @@ class Matcher:
         self.old, self.new = Side(old), Side(new)
         self.threshold = clamp(threshold)
         self._numbers: dict[bytes, int] = {}
-        self._known: dict[tuple[int, int], tuple[float, float]] = {}
+        self._known: dict[tuple[int, int], float] = {}
 
-    def _close(self, a: Block, b: Block, least: float = 0.0) -> float:
-        """Closeness of bodies, remembered by their texts' numbers; below `least` any value below it."""
+    def _close(self, a: Block, b: Block) -> float:
+        """Closeness of bodies, remembered by their texts' numbers."""
         key = (self._number(self.old.body(a)), self._number(self.new.body(b)))
-        known, bound = self._known.get(key, (0.0, 2.0))  # exact from its bound on
-        if bound > max(least, 0.0) and known < bound:
-            known = closeness(self.old.body(a), self.new.body(b), least)
-            self._known[key] = known, max(least, 0.0)
-        return known
+        if key not in self._known:
+            self._known[key] = closeness(self.old.body(a), self.new.body(b))
+        return self._known[key]
 
     def _number(self, body: bytes) -> int:
         return self._numbers.setdefault(body, len(self._numbers))
@@ -134,18 +128,12 @@ class Matcher:
         name = name_similarity(a.name, b.name) if named else 0.0
         return NAME * name + BODY * self._close(a, b) + KIND * kind_similarity(a.kind, b.kind)
 
-    def bounded(self, a: Block, b: Block, threshold: float, named: bool = True) -> float:
-        """similarity(), or INELIGIBLE where it is below the threshold; bodies are compared only as far as that takes."""
-        la, lb = len(self.old.body(a)), len(self.new.body(b))
-        rest = (NAME * name_similarity(a.name, b.name) if named else 0.0) + KIND * kind_similarity(a.kind, b.kind)
-        need = (threshold - rest) / BODY - 1e-9
-        if min(la, lb) / max(la, lb, 1) < need or self._close(a, b, need) < need:
-            return INELIGIBLE
-        return self.similarity(a, b, named)
-
-    def assign(self, old: list[Block], new: list[Block], threshold: float, score: Callable[[Block, Block], float], stage: str, match_type: str, confidence: float | None = None) -> list[Pair]:
-        edges = [(i, j, s) for i, a in enumerate(old) for j, b in enumerate(new) if (s := score(a, b)) != INELIGIBLE and s >= threshold]
-        out = [Pair(old[i], new[j], s if confidence is None else confidence, match_type, stage) for i, j, s in best_edges(edges)]
+    def assign(self, old: list[Block], new: list[Block], score: Callable[[Block, Block], float], stage: str, match_type: str) -> list[Pair]:
+        """The best pairs of a table that no threshold bounds; scores below 0 are no pairs."""
+        return self.paired(old, new, [(i, j, s) for i, a in enumerate(old) for j, b in enumerate(new) if (s := score(a, b)) >= 0], stage, match_type)
+
+    def paired(self, old: list[Block], new: list[Block], edges: list[tuple[int, int, float]], stage: str, match_type: str) -> list[Pair]:
+        out = [Pair(old[i], new[j], s, match_type, stage) for i, j, s in best_edges(edges)]
         self.take(out)
         return out
 
@@ -154,9 +142,14 @@ class Matcher:
             self.old.free.discard(p.old)
             self.new.free.discard(p.new)
 
-    def by_similarity(self, old: list[Block], new: list[Block], stage: str) -> list[Pair]:
-        score = lambda a, b: self.bounded(a, b, self.threshold) if eligible(a.kind, b.kind) else INELIGIBLE
-        return self.assign(old, new, self.threshold, score, stage, "similarity")
+    def by_similarity(self, old: list[Block], new: list[Block], stage: str, named: bool = True) -> list[Pair]:
+        """The best pairs among those at the threshold, which an index over the new blocks finds."""
+        if not old or not new:
+            return []
+        shape = lambda side, b: (b.kind, fold_name(b.name).encode(), side.body(b))
+        index = SimilarIndex([shape(self.new, b) for b in new], self.threshold, named)
+        edges = [(i, j, s) for i, a in enumerate(old) for j, s in index.near(*shape(self.old, a))]
+        return self.paired(old, new, edges, stage, "similarity")
 
     def exact_names(self) -> list[Pair]:
         """Same kind, name and scope; several with one identity are told apart by their bodies."""
@@ -167,7 +160,7 @@ class Matcher:
                     groups[b.kind, b.name, side.scope[b]][k].append(b)
         found = []
         for old, new in groups.values():
-            found += self.assign(old, new, 0.0, self.similarity, "1", "exact_name")
+            found += self.assign(old, new, self.similarity, "1", "exact_name")
         return sorted(found, key=lambda p: p.old.index)
 
     def exact_comments(self) -> list[Pair]:
@@ -226,7 +219,7 @@ class Matcher:
         found = []
         for old, new in groups.values():
             score = lambda a, b: self.similarity(a, b) if orphan[a] and orphan[b] else INELIGIBLE
-            found += self.assign(old, new, 0.0, score, "3d", "exact_name")
+            found += self.assign(old, new, score, "3d", "exact_name")
         return found
 
     def run(self) -> list[Pair]:
@@ -240,6 +233,6 @@ class Matcher:
         rescued = self.hoisted()
         pairs += rescued + self.below(rescued, "3d")
         comment = lambda b: b.kind == "comment"
-        pairs += self.assign(self.old.rest(comment), self.new.rest(comment), self.threshold, lambda a, b: self.bounded(a, b, self.threshold, False), "4", "similarity")
+        pairs += self.by_similarity(self.old.rest(comment), self.new.rest(comment), "4", False)
         pairs += [Pair(None, b) for b in self.new.rest(lambda b: True)]
         return pairs + [Pair(b, None) for b in self.old.rest(lambda b: True)]

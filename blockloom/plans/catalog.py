@@ -13,6 +13,7 @@ from ..functions import columns as C
 from ..functions import similarity as S
 from ..kernels import matching
 from ..operators import relational as R
+from ..operators.similar import assigned, similar_pairs
 from ..options import Options
 from ..scan import EXTENSIONS
 from ..scan.ecma import LIFECYCLE
@@ -202,6 +203,50 @@ def shown_similarities(spark, d):
     return spark.sql(_shown.replace("FROM part", "FROM shown_part")).select(F.col("k").alias("p_partkey"), F.round(S.shown_similarity(a, b), 9).alias("shown"))
 
 
+#: Parts as blocks of two versions: of each size, those of even keys against those of odd ones.
+_PART_BLOCKS = """SELECT p_partkey AS id, p_size AS pair_id, p_partkey % 2 AS side, p_name || ' of ' || p_type || ' ' || CAST(CAST(floor(p_retailprice) AS INT) AS STRING) AS body,
+    CASE p_partkey % 10 WHEN 4 THEN 'method' WHEN 5 THEN 'method' WHEN 6 THEN 'class' WHEN 7 THEN 'class' WHEN 8 THEN 'concept' WHEN 9 THEN 'concept' ELSE 'function' END AS kind,
+    CASE WHEN p_partkey % 7 < 2 THEN '' ELSE p_brand END AS name FROM {part}"""
+_part_blocks = _PART_BLOCKS.format(part="part")
+
+
+def _similar_sql(named: bool) -> str:
+    """The full table of pairs of equal size, every pair compared whose lengths allow it."""
+    kind = "CASE WHEN x.kind = y.kind THEN 1.0 WHEN x.kind IN ('function', 'method') AND y.kind IN ('function', 'method') THEN 0.6 ELSE 0.3 END"
+    share = "CASE WHEN greatest(length({0}), length({1})) = 0 THEN {2} ELSE least(length({0}), length({1})) / greatest(length({0}), length({1})) END"
+    f, g = _fold("x.name"), _fold("y.name")
+    bound = f"{matching.BODY} * {share.format('x.body', 'y.body', 0)} + {matching.KIND} * {kind}" + (f" + {matching.NAME} * {share.format(f, g, 0.5)}" if named else "")
+    total = f"{matching.NAME} * coalesce(u.v, 0.5) + " if named else ""
+    return f"""WITH RECURSIVE b AS ({_part_blocks}), p AS (SELECT row_number() OVER () AS k, x.pair_id, x.id AS old_id, y.id AS new_id, {kind} AS ks, {f} AS f, {g} AS g, x.body AS body0, y.body AS body1
+        FROM b x JOIN b y ON x.pair_id = y.pair_id AND x.side = 0 AND y.side = 1 AND (x.kind = y.kind OR NOT (x.kind = 'concept' OR y.kind = 'concept')) WHERE {bound} >= 0.5 - 1e-9),
+        n AS (SELECT 2 * k AS k, f AS a, g AS b FROM p UNION ALL SELECT 2 * k + 1, body0, body1 FROM p), {_CLOSE}
+        SELECT pair_id, old_id, new_id, round(s, 9) AS similarity FROM (SELECT p.*, {total}{matching.BODY} * coalesce(w.v, 0) + {matching.KIND} * ks AS s FROM p JOIN near u ON u.k = 2 * p.k JOIN near w ON w.k = 2 * p.k + 1) WHERE s >= 0.5"""
+
+
+def _part_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    b = made(spark, d, _PART_BLOCKS, "part")
+    return b.filter("side = 0"), b.filter("side = 1")
+
+
+@query(_similar_sql(True))
+def similar_blocks(spark, d):
+    """All pairs of blocks of a pair of versions that are similar at the threshold, by an inverted index."""
+    return similar_pairs(*_part_sides(spark, d), ["pair_id"]).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(_similar_sql(False))
+def similar_comments(spark, d):
+    """The same between comments, whose names count for nothing."""
+    return similar_pairs(*_part_sides(spark, d), ["pair_id"], named=False).withColumn("similarity", F.round("similarity", 9))
+
+
+@query()
+def assigned_blocks(spark, d):
+    """A1, A2: the one-to-one pairs with the largest total among similar blocks."""
+    found = similar_pairs(*_part_sides(spark, d), ["pair_id"])
+    return assigned(found, ["pair_id"], "old_id", "new_id").withColumn("similarity", F.round("similarity", 9))
+
+
 # -- forests -------------------------------------------------------------------------------
 
 _up = WITH + """up AS (
