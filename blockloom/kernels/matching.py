@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable
 from ..kinds import ELEMENT, HOISTABLE, kind_similarity
 from .assignment import INELIGIBLE, best_edges
 from .blocks import Block, Pair, text
+from .comments import equal_comments
 from .distance import closeness
 from .elements import element_text, plain_text
 from .similar import BODY, KIND, NAME, SimilarIndex, name_closeness
@@ -167,21 +168,10 @@ class Matcher:
         """Equal comments, first within the same container, then anywhere; the nearest in order among the comments left."""
         is_comment = lambda b: b.kind == "comment"
         old, new = self.old.rest(is_comment), self.new.rest(is_comment)
-        place = {b: i for side in (old, new) for i, b in enumerate(side)}
         where = self.old.comment_scopes(old) | self.new.comment_scopes(new)
-        same: dict[str, list[Block]] = defaultdict(list)
-        for b in new:
-            same[b.source].append(b)
-        found = []
-        for in_scope in (True, False):
-            for a in old:
-                if a not in self.old.free or not a.source:
-                    continue
-                choice = [b for b in same[a.source] if b in self.new.free and (not in_scope or where[a] == where[b])]
-                if choice:
-                    b = min(choice, key=lambda b: (abs(place[a] - place[b]), b.index))
-                    found.append(Pair(a, b, 1.0, "similarity", "2"))
-                    self.take(found[-1:])
+        at = equal_comments(*([(i, b.source, where[b]) for i, b in enumerate(side)] for side in (old, new)))
+        found = [Pair(old[i], new[j], 1.0, "similarity", "2") for i, j in at]
+        self.take(found)
         return found
 
     def below(self, pairs: list[Pair], stage: str) -> list[Pair]:

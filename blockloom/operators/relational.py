@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import kinds
 from ..functions import columns as C
+from ..kernels.lines import increasing
 from . import spans
 from .documents import documents_of, per_document
 
@@ -150,6 +151,11 @@ def unique_comment_pairs(blocks: DataFrame) -> DataFrame:
     return per.filter("old_count = 1 AND new_count = 1").select("pair_id", "old_id", "new_id")
 
 
+def exact_comment_pairs(blocks: DataFrame) -> DataFrame:
+    """(pair_id, old_id, new_id) of comments of equal text, however often it occurs: each used once, nearest first."""
+    return spans.equal_comment_pairs(blocks)
+
+
 def nearest_comment_pairs(blocks: DataFrame) -> DataFrame:
     """(pair_id, old_id, new_id): each old comment's nearest new one of equal text by order among comments, lower order first.
 
@@ -210,6 +216,30 @@ def moved_comments(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     return spans.homes_differ(blocks, pairs)
 
 
+def moved_blocks(order: DataFrame) -> DataFrame:
+    """(pair_id, block, moved) of matched blocks (pair_id, block, old_at, new_at): whether a block is off the longest run that keeps its order.
+
+    Blocks are ranked by their place in the new version (old_at among equals) and read in order of the old one
+    (new_at, then block among equals); of several longest runs the one that patience sorting ends with counts.
+    """
+    rank = F.row_number().over(W.partitionBy("pair_id").orderBy("new_at", "old_at", "block"))
+    ranked = order.withColumn("rank", rank).select("pair_id", "old_at", "new_at", "block", "rank")
+    kinds_of = [order.schema[c].dataType.simpleString() for c in ("pair_id", "block")]
+
+    def mark(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        moved = [False] * table.num_rows
+        columns = [table.column(c).to_pylist() for c in ("old_at", "new_at", "block", "rank")]
+        for lo, hi in documents_of(table, ["pair_id"]):
+            by_old = sorted(range(lo, hi), key=lambda i: tuple(c[i] for c in columns[:3]))
+            for i, on in zip(by_old, increasing([columns[3][i] for i in by_old])):
+                moved[i] = not on
+        own = [table.column(c).combine_chunks() for c in ("pair_id", "block")]
+        return pa.RecordBatch.from_arrays([*own, pa.array(moved, pa.bool_())], names=["pair_id", "block", "moved"])
+
+    return per_document(ranked, ["pair_id"], mark, f"pair_id {kinds_of[0]}, block {kinds_of[1]}, moved boolean")
+
+
 def nested_members(blocks: DataFrame, one_sided: DataFrame) -> DataFrame:
     """(pair_id, side, id) of one-sided blocks whose parent is a class of either side that holds their span."""
     classes = blocks.filter("kind = 'class' AND start_byte < end_byte").select("pair_id", F.col("id").alias("parent"), F.col("start_byte").alias("s"), F.col("end_byte").alias("e"))

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import kinds
+from ..kernels.comments import equal_comments
 from ..kernels.spans import smallest_around
 from .documents import documents_of, per_document
 
@@ -102,6 +103,34 @@ def homes_differ(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     return per_document(b.unionByName(p), ["pair_id"], sweep, f"pair_id {kind}, old_id string, new_id string, moved boolean")
 
 
+def equal_comment_pairs(blocks: DataFrame) -> DataFrame:
+    """(pair_id, old_id, new_id) of comments of equal text, each used once: first within blocks of one kind and name, then anywhere.
+
+    Old comments choose in their order, the nearest by order among comments; both versions meet
+    once, by pair_id. Texts of blocks other than comments aren't shuffled.
+    """
+    slim = blocks.select("pair_id", "side", "block_ix", "id", "kind", "name", *(F.col(c).cast("long").alias(c) for c in ("start_byte", "end_byte")), F.when(F.col("kind") == "comment", F.col("source")).alias("text"))
+    names = ["pair_id", "old_id", "new_id"]
+
+    def choose(table: pa.Table) -> pa.RecordBatch:
+        out: list[tuple] = []
+        columns = {c: table.column(c).to_pylist() for c in table.column_names}
+        for lo, hi in documents_of(table, ["pair_id"]):
+            sides = []
+            for side in ("old", "new"):
+                at = sorted((i for i in range(lo, hi) if columns["side"][i] == side), key=columns["block_ix"].__getitem__)
+                rows = {c: [v[i] for i in at] for c, v in columns.items()}
+                around = _around(rows, SCOPE)
+                where = lambda i: None if i is None else (rows["kind"][i], rows["name"][i])  # noqa: B023, E731
+                comments = [i for i, k in enumerate(rows["kind"]) if k == "comment"]
+                sides.append([(n, rows["text"][i], where(around[i]), rows["id"][i]) for n, i in enumerate(comments)])
+            out += [(columns["pair_id"][lo], sides[0][i][3], sides[1][j][3]) for i, j in equal_comments(*([c[:3] for c in s] for s in sides))]
+        types = (table.schema.field("pair_id").type, pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, types)], names=names)
+
+    return per_document(slim, ["pair_id"], choose, f"pair_id {blocks.schema['pair_id'].dataType.simpleString()}, old_id string, new_id string")
+
+
 def held(places: DataFrame, spans: DataFrame, keys: Sequence[str], lo: str, hi: str, start: str, end: str) -> DataFrame:
     """Rows of places whose [lo, hi) lies inside one of the spans [start, end) of its keys."""
     fields = F.struct(*(F.col(c) for c in places.columns))

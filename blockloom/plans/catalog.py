@@ -334,6 +334,24 @@ def nearest_comments(spark, d):
     return R.nearest_comment_pairs(blocks(spark, d))
 
 
+#: Old comments choose one after the other, within their container's kind and name first, then anywhere; what is used is a list that grows.
+_GREEDY = WITH + """o AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY block_ix) - 1 AS n FROM b WHERE kind = 'comment'),
+    w AS (SELECT c.pair_id, c.side, c.n, c.id, c.source, coalesce((SELECT u.kind || chr(9) || u.name FROM b u WHERE u.pair_id = c.pair_id AND u.side = c.side AND u.kind <> 'comment' AND u.start_byte <= c.start_byte AND c.start_byte < u.end_byte
+           ORDER BY u.end_byte - u.start_byte, u.block_ix LIMIT 1), '') AS place FROM o c WHERE source <> ''),
+    l AS (SELECT pair_id, source, list({'n': n, 'id': id, 'place': place} ORDER BY n) FILTER (side = 'old') AS olds, list({'n': n, 'id': id, 'place': place} ORDER BY n) FILTER (side = 'new') AS news FROM w GROUP BY 1, 2),
+    t AS (SELECT pair_id, source, olds, news, 0::BIGINT AS step, []::BIGINT[] AS used, []::BIGINT[] AS done, NULL::BIGINT AS i, NULL::BIGINT AS got FROM l WHERE olds IS NOT NULL AND news IS NOT NULL
+          UNION ALL SELECT pair_id, source, olds, news, step + 1, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, CASE WHEN pick IS NULL THEN done ELSE list_append(done, turn) END, turn, pick
+          FROM (SELECT *, step % len(olds) + 1 AS turn, CASE WHEN list_contains(done, step % len(olds) + 1) THEN NULL ELSE list_sort(list_transform(list_filter(news, lambda x: NOT list_contains(used, x.n) AND (step >= len(olds) OR x.place = olds[step % len(olds) + 1].place)),
+                lambda x: {'d': abs(x.n - olds[step % len(olds) + 1].n), 'n': x.n}))[1].n END AS pick FROM t WHERE step < 2 * len(olds)))
+    SELECT pair_id, olds[i].id AS old_id, list_filter(news, lambda x: x.n = got)[1].id AS new_id FROM t WHERE got IS NOT NULL"""
+
+
+@query(_GREEDY)
+def equal_comments(spark, d):
+    """Comments of equal text, repeated ones too, each used once."""
+    return R.exact_comment_pairs(blocks(spark, d))
+
+
 # -- spans ---------------------------------------------------------------------------------
 
 
@@ -397,7 +415,11 @@ def skipped_lines(spark, d):
     return R.skipped_lines(lines, kept.select("pair_id", "side", F.col("start_byte").alias("s"), F.col("end_byte").alias("e")))
 
 
-@query(f"WITH b AS MATERIALIZED ({_blocks})" + """ SELECT c.pair_id, c.side, c.id, c.parent AS up_id, p.kind AS up_kind FROM b c JOIN b p ON p.pair_id = c.pair_id AND p.side = c.side AND p.id = c.parent""")
+#: A parent is the block before, where its id is the one named: an order's blocks look up one place back, so no join is needed.
+_PARENTS = f"""SELECT pair_id, side, id, parent AS up_id, up_kind FROM (SELECT *, lag(id) OVER w AS up_id, lag(kind) OVER w AS up_kind FROM ({_blocks}) WINDOW w AS (PARTITION BY pair_id, side ORDER BY block_ix)) WHERE parent = up_id"""
+
+
+@query(_PARENTS)
 def parent_lookup(spark, d):
     """Parents by id."""
     b = blocks(spark, d)
@@ -466,6 +488,22 @@ def order_kept(spark, d):
     return seq.select("l_orderkey", F.size("seq").cast("long").alias("blocks"), F.size(piles).cast("long").alias("kept"))
 
 
+#: Matched blocks of an order by their places in both versions.
+_ORDER = """SELECT l_orderkey AS pair_id, l_linenumber AS old_at, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_linenumber) AS new_at,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS block FROM {lineitem}"""
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT pair_id, list(new_at ORDER BY old_at, new_at, block) AS v, list(block ORDER BY old_at, new_at, block) AS k FROM ({_ORDER.format(lineitem='lineitem')}) GROUP BY 1),
+    t AS (SELECT pair_id, v, k, 0::BIGINT AS i, []::BIGINT[] AS tops, []::BIGINT[] AS ends, []::BIGINT[] AS back FROM s
+          UNION ALL SELECT pair_id, v, k, i + 1, list_concat(list_concat(tops[:p], [v[i + 1]]), tops[p + 2:]), list_concat(list_concat(ends[:p], [i + 1]), ends[p + 2:]), list_append(back, coalesce(CASE WHEN p > 0 THEN ends[p] END, 0))
+          FROM (SELECT *, len(list_filter(tops, lambda x: x < v[i + 1])) AS p FROM t WHERE i < len(v))),
+    w AS (SELECT pair_id, ends[-1] AS i, back FROM t WHERE i = len(v) UNION ALL SELECT pair_id, back[i], back FROM w WHERE back[i] > 0)
+    SELECT s.pair_id, s.k[n] AS block, w.i IS NULL AS moved FROM (SELECT pair_id, k, unnest(range(1, len(k) + 1)) AS n FROM s) s LEFT JOIN w ON w.pair_id = s.pair_id AND w.i = s.n""")
+def moved_blocks(spark, d):
+    """Which blocks are off the longest run that keeps its order."""
+    return R.moved_blocks(made(spark, d, _ORDER, "lineitem"))
+
+
 # -- aggregates ----------------------------------------------------------------------------
 
 

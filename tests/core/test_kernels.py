@@ -5,6 +5,7 @@ import tracemalloc
 
 import pytest
 from blockloom.kernels.assignment import best_edges, best_pairs
+from blockloom.kernels.comments import equal_comments
 from blockloom.kernels.distance import osa
 from blockloom.kernels.elements import element_text
 from blockloom.kernels.lines import ADD, CTX, DEL, align, diff_lines, increasing, word_diff
@@ -81,6 +82,23 @@ def test_alignment_of_long_lists_in_little_memory():
     assert sum(i >= 0 and j >= 0 for i, j in steps) > 8000 and most < 12_000 * 800  # all rows at once take 18 MB
 
 
+def test_equal_comments_against_plain_choice():
+    r = random.Random(10)
+    for _ in range(300):
+        old, new = ([(i, r.choice(["a", "b", "", "c"]), r.choice("xy")) for i in sorted(r.sample(range(30), r.randint(0, 14)))] for _ in range(2))
+        free, want, done = set(range(len(new))), [], set()
+        for inside in (True, False):
+            for i, (n, text, where) in enumerate(old):
+                near = sorted((abs(n - new[j][0]), new[j][0], j) for j in free if text and new[j][1] == text and (not inside or new[j][2] == where))
+                if i not in done and near:
+                    want.append((i, near[0][2]))
+                    free.discard(near[0][2])
+                    done.add(i)
+        assert equal_comments(old, new) == want
+    many = [(i, "// same", None) for i in range(20_000)]
+    assert equal_comments(many, many) == [(i, i) for i in range(20_000)]
+
+
 def plain_smallest(spans, places, strict):
     out = []
     for start, reach, own in places:
