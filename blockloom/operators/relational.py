@@ -314,6 +314,13 @@ def line_similarity(lines: DataFrame) -> DataFrame:
     return lines.groupBy("pair_id").agg(F.floor(100 * F.count_if(F.col("type") == "ctx") / n).cast("long").alias("similarity"), F.bool_or(F.col("type") != "ctx").alias("has_changes"))
 
 
+def shown_percent(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(pair_id, similarity, has_changes) of whole-file pairs (pair_id, confidence): of their lines, or the confidence where nothing was diffed."""
+    met = pairs.select("pair_id", "confidence").join(line_similarity(lines), "pair_id", "left")
+    without = F.rint(F.col("confidence") * 100).cast("long")
+    return met.select("pair_id", F.coalesce("similarity", without).alias("similarity"), F.coalesce("has_changes", F.lit(False)).alias("has_changes"))
+
+
 def summary(pairs: DataFrame) -> DataFrame:
     """Counters per pair_id of rows with state, is_rename, has_changes, ws_only, moved, same_source, supplemental."""
     both = F.col("state") == "matched"
@@ -355,10 +362,33 @@ def first_shown(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*DOC, "content").agg(F.min("seq").alias("seq"))
 
 
-def supplement(lines: DataFrame, shown: DataFrame, covered: DataFrame) -> DataFrame:
-    """Lines (pair_id, side, line_no, content) that no pair shows at a place it owns. covered: pair_id, side, line_no."""
-    hit = lines.join(shown.select(*DOC, "content").distinct(), [*DOC, "content"], "left_semi").join(covered.select(*DOC, "line_no").distinct(), [*DOC, "line_no"], "left_semi")
-    return lines.join(hit.select(*DOC, "line_no"), [*DOC, "line_no"], "left_anti")
+def supplement(lines: DataFrame, shown: DataFrame, owned: DataFrame, skipped: DataFrame, skip_context: bool = False) -> DataFrame:
+    """Lines of whole files that no pair of blocks accounts for.
+
+    lines: pair_id, side, line_no, type, content, lo, hi (byte range without the blanks around).
+    shown: pair_id, side, content of what pairs show. owned: pair_id, side, first, last, is_comment
+    (lines of shown blocks). skipped: pair_id, side, s, e (bytes of blocks that were left out as unchanged).
+
+    A line goes if (a) it is context and skip_context is set, (b) its bytes lie in a skipped block,
+    (c) its content is shown and its place owned, or (d) its trimmed content is shown and its
+    place owned by a comment. Places are looked up in the union of intervals (spans.held).
+    """
+    key = [*DOC, "line_no"]
+    rows = lines.withColumn("next", F.col("line_no") + 1)
+    spans_of = owned.select(*DOC, "first", (F.col("last") + 1).alias("after"), "is_comment")
+    placed = lambda what: spans.held(rows.select(*key, "next", "content"), what.select(*DOC, "first", "after"), DOC, "line_no", "next", "first", "after")
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    gone = [
+        skipped_lines(lines.select(*key, "lo", "hi"), skipped),
+        placed(spans_of).join(shown.select(*DOC, "content").distinct(), [*DOC, "content"], "left_semi").select(*key),
+        placed(spans_of.filter("is_comment")).select(*key, trimmed("content").alias("t")).filter("t <> ''").join(shown.select(*DOC, trimmed("content").alias("t")).distinct(), [*DOC, "t"], "left_semi").select(*key),
+    ]
+    if skip_context:
+        gone.append(lines.filter("type = 'ctx'").select(*key))
+    hidden = gone[0]
+    for rest in gone[1:]:
+        hidden = hidden.unionByName(rest)
+    return lines.join(hidden.distinct(), key, "left_anti").select(*key, "content")
 
 
 def unique_names(blocks: DataFrame) -> DataFrame:

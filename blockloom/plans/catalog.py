@@ -513,6 +513,13 @@ def line_similarities(spark, d):
     return R.line_similarity(made(spark, d, LINES, "lineitem"))
 
 
+@query(f"WITH l AS ({_lines}), s AS (SELECT pair_id, floor(100 * count(*) FILTER (type = 'ctx') / count(*))::BIGINT AS n, bool_or(type <> 'ctx') AS c FROM l WHERE pair_id % 3 <> 0 GROUP BY 1) SELECT o_orderkey AS pair_id, coalesce(n, round_even(100 * (o_orderkey % 7) / 7.0::DOUBLE, 0)::BIGINT) AS similarity, coalesce(c, false) AS has_changes FROM orders LEFT JOIN s ON pair_id = o_orderkey")
+def shown_percents(spark, d):
+    """Percent of whole-file pairs, of which every third has no lines."""
+    pairs = table(spark, d, "orders").select(F.col("o_orderkey").alias("pair_id"), ((F.col("o_orderkey") % 7) / 7.0).alias("confidence"))
+    return R.shown_percent(pairs, made(spark, d, LINES, "lineitem").filter("pair_id % 3 <> 0"))
+
+
 @query(f"""WITH p AS ({_pairs}) SELECT pair_id, count(*) FILTER (state = 'added') AS added, count(*) FILTER (state = 'removed') AS removed, count(*) FILTER (state = 'matched') AS matched,
     count(*) FILTER (m AND ws_only AND (NOT has_changes OR NOT is_rename)) AS whitespace, count(*) FILTER (m AND has_changes AND NOT (ws_only AND NOT is_rename)) AS changed,
     count(*) FILTER (m AND is_rename AND (has_changes OR NOT ws_only)) AS renamed, count(*) FILTER (m AND NOT has_changes AND NOT ws_only AND NOT is_rename AND (NOT same_source OR moved)) AS moved,
@@ -552,12 +559,37 @@ def first_shown(spark, d):
     return R.first_shown(made(spark, d, LINES, "lineitem").withColumnRenamed("line_seq", "seq"))
 
 
-@query(f"WITH l AS ({_lines}), s AS (SELECT DISTINCT pair_id, side, content FROM l WHERE type <> 'ctx') SELECT l.pair_id, l.side, l.line_seq AS line_no, l.content FROM l WHERE NOT (l.type <> 'add' AND EXISTS (SELECT 1 FROM s WHERE s.pair_id = l.pair_id AND s.side = l.side AND s.content = l.content))")
+#: Lines of a supplement: an order's lines, some with blanks around their content.
+_SUPPLEMENT = """SELECT pair_id, side, line_seq AS line_no, type, CASE WHEN line_seq % 3 = 0 THEN '  ' || content || ' ' ELSE content END AS content, line_seq * 10 + 2 AS lo, line_seq * 10 + 6 AS hi FROM (""" + LINES + """) l"""
+_supplement = _SUPPLEMENT.format(lineitem="lineitem")
+
+
+def _supplement_sql(context: str) -> str:
+    at = "x.pair_id = l.pair_id AND x.side = l.side"
+    return WITH + f"""l AS ({_supplement}), s AS (SELECT DISTINCT pair_id, side, content, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS t FROM l WHERE type <> 'ctx'),
+    o AS (SELECT pair_id, side, start_line AS lo, end_line AS hi, kind = 'comment' AS c FROM b WHERE block_ix % 2 = 1), k AS (SELECT pair_id, side, start_byte AS s, end_byte AS e FROM b WHERE block_ix % 4 = 0)
+    SELECT pair_id, side, line_no, content FROM l WHERE NOT ({context} OR EXISTS (SELECT 1 FROM k x WHERE {at} AND x.s <= l.lo AND l.hi <= x.e)
+        OR (EXISTS (SELECT 1 FROM s x WHERE {at} AND x.content = l.content) AND EXISTS (SELECT 1 FROM o x WHERE {at} AND l.line_no BETWEEN x.lo AND x.hi))
+        OR (EXISTS (SELECT 1 FROM s x WHERE {at} AND x.t = regexp_replace(l.content, '^\\s+|\\s+$', '', 'g')) AND EXISTS (SELECT 1 FROM o x WHERE {at} AND x.c AND l.line_no BETWEEN x.lo AND x.hi)))"""
+
+
+def _supplement_of(spark: SparkSession, d: str, skip_context: bool) -> DataFrame:
+    b, lines = blocks(spark, d), made(spark, d, _SUPPLEMENT, "lineitem")
+    owned = b.filter("block_ix % 2 = 1").select("pair_id", "side", F.col("start_line").alias("first"), F.col("end_line").alias("last"), (F.col("kind") == "comment").alias("is_comment"))
+    skipped = b.filter("block_ix % 4 = 0").select("pair_id", "side", F.col("start_byte").alias("s"), F.col("end_byte").alias("e"))
+    return R.supplement(lines, lines.filter("type <> 'ctx'").select("pair_id", "side", "content"), owned, skipped, skip_context)
+
+
+@query(_supplement_sql("false"))
 def supplement_lines(spark, d):
-    """Lines that no pair shows at a place it owns."""
-    lines = made(spark, d, LINES, "lineitem").withColumnRenamed("line_seq", "line_no")
-    shown = lines.filter("type <> 'ctx'")
-    return R.supplement(lines.select("pair_id", "side", "line_no", "content"), shown, lines.filter("type <> 'add'"))
+    """Lines that no pair shows at a place it owns, or skips: rules b, c and d."""
+    return _supplement_of(spark, d, False)
+
+
+@query(_supplement_sql("l.type = 'ctx'"))
+def supplement_changes(spark, d):
+    """M9: the same where context is left out as well (rule a)."""
+    return _supplement_of(spark, d, True)
 
 
 @query(WITH + "x AS (SELECT 1) SELECT pair_id, side, name, min(id) AS id FROM b WHERE kind = 'class' AND name <> '' GROUP BY 1, 2, 3 HAVING count(DISTINCT id) = 1")
