@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+#: For each byte the table that makes it a one and all others a zero.
+_ONLY = [b"0" * c + b"1" + b"0" * (255 - c) for c in range(256)]
+
 
 def _shared(a: bytes, b: bytes) -> int:
     """Length of the common beginning, by halving: slices are compared whole."""
@@ -19,7 +22,7 @@ def osa(a: bytes, b: bytes, cutoff: int | None = None) -> int:
     """Edits (insert, delete, replace, swap of neighbours, no byte edited twice) from a to b.
 
     With a cutoff, distances above it are all cutoff + 1, and the pass ends as soon as that is
-    certain. Common ends are trimmed; the rest is one pass over the longer text with the shorter
+    certain. Common ends are trimmed; the rest is one pass over the shorter text with the longer
     one's column held in big integers.
     """
     limit = max(len(a), len(b)) if cutoff is None else cutoff
@@ -30,20 +33,19 @@ def osa(a: bytes, b: bytes, cutoff: int | None = None) -> int:
     tail = _shared(a[::-1], b[::-1])
     if tail:
         a, b = a[:-tail], b[:-tail]
-    if len(a) < len(b):
+    if len(a) > len(b):
         a, b = b, a
-    if len(a) - len(b) > limit:
+    if len(b) - len(a) > limit:
         return limit + 1
-    if not b:
-        return len(a)
-    where: dict[int, int] = {}
-    for i, c in enumerate(b):
-        where[c] = where.get(c, 0) | 1 << i
+    if not a:
+        return len(b)
+    reverse = b[::-1]
+    where = {c: int(reverse.translate(_ONLY[c]), 2) for c in set(a)}  # bit i: b[i] is c
     full, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
     up, down, zero, before, score = full, 0, 0, 0, len(b)
     left = len(a)  # bytes to come; each lowers the score by one at most
     for c in a:
-        match = where.get(c, 0)
+        match = where[c]
         swap = ((~zero & match) << 1) & before
         zero = ((((match & up) + up) ^ up) | match | down | swap) & full
         plus, minus = (down | ~(zero | up)) & full, zero & up
