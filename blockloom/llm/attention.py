@@ -153,8 +153,7 @@ def log_probs(p: Params, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> np.n
     for rows, first in ((whole, 0), (~whole, T - STRIDE)):  # later windows are asked for their last places only
         some = h[rows]
         s = np.matmul(some[:, first:] @ p["qk"], some.transpose(0, 2, 1))
-        np.minimum(s, 60, out=s)
-        s += _CAUSAL[first:]
+        s = _moderate(s, _CAUSAL[first:])
         np.exp(s, out=s)
         asked = np.matmul(s, some @ p["vo"])
         asked /= _row_sums(s)[..., None]
@@ -166,21 +165,19 @@ def log_probs(p: Params, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> np.n
     slot, group = slot[order], group[order]
     state = state.reshape(-1, D)[np.flatnonzero(mask)[order]]
     rows = np.arange(len(slot))
-    z = state @ p["gw"] + p["gb"]
-    got = z[rows, group]
-    z = np.exp(z, out=z)
-    sums = z.sum(axis=1)
+    z = _moderate(state @ p["gw"] + p["gb"])
+    got = z[rows, group].astype(np.float64)
+    got -= np.log(np.exp(z, out=z).sum(axis=1, dtype=np.float64))
     bounds = np.searchsorted(group, np.arange(groups + 1))
     for g in range(groups):
         at = slice(bounds[g], bounds[g + 1])
         if at.start < at.stop:
             z = state[at] @ p["mw"][g]
-            z += p["mb"][g]
+            z = _moderate(z + p["mb"][g])
             got[at] += z[rows[: at.stop - at.start], slot[at] - g * groups]
-            np.exp(z, out=z)
-            sums[at] *= z.sum(axis=1)
+            got[at] -= np.log(np.exp(z, out=z).sum(axis=1, dtype=np.float64))
     out = np.empty(len(slot), dtype=np.float64)
-    out[order] = got - np.log(sums)
+    out[order] = got
     return out
 
 

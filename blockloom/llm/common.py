@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -54,6 +55,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point in time, for tidy()."""
+    return len(_made)
+
+
+def tidy(since: int) -> None:
+    """Delete the scratch tables written since a mark but the last one, which holds what they were for."""
+    for spark, path in _made[since:-1]:
+        delete(spark, path)
+    del _made[since:-1]
+
+
+def latest() -> str:
+    """Where the scratch table written last is."""
+    return _made[-1][1]
+
+
+def scrap(path: str) -> None:
+    """Delete one scratch table."""
+    for spark, at in [m for m in _made if m[1] == path]:
+        delete(spark, at)
+        _made.remove((spark, at))
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, the files of a write's shuffles go as soon as it is done; the session's setting comes back after it."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def fold(doc_id: str | Column, parts: int) -> Column:
     """crc32 of doc_id as text, modulo parts; -1 for a null id, which belongs to no fold."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -19,6 +19,8 @@ by how many of these texts hold them, and two sets that are similar share one of
 pair is made. Some of these pairs of each two components are tested first, the others only while
 their components are apart.
 
+Scratch tables go as soon as what reads them is written, and the files of shuffles with each write.
+
 Defined results: words are cut and lower-cased as in simhash.py; texts of up to five words are one
 shingle, null and blank texts are equal; texts are used whole.
 """
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import free_name, map_batches, materialize, with_row_id
+from .common import cleaning, free_name, latest, map_batches, mark, materialize, scrap, tidy, with_row_id
 from .components import components
 
 SHINGLE = 5
@@ -122,7 +124,8 @@ def _agree(a: bytes, b: bytes) -> bool:
 
 
 def _links(pairs: DataFrame, heads: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (x, y) that are similar by their whole sets."""
+    """The pairs (x, y) that are similar by their whole sets. What it takes to find them is deleted."""
+    since = mark()
     side = lambda df, at, name, *more: df.select(F.col("row").alias(at), F.col(name[0]).alias(name[1]), *more)
     both = pairs.join(side(heads, "x", ("low", "a"), F.col("size").alias("m")), "x").join(side(heads, "y", ("low", "b"), F.col("size").alias("n")), "y")
     both = both.filter(5 * F.least("m", "n") >= 4 * F.greatest("m", "n")).select("x", "y", "a", "b")
@@ -130,7 +133,9 @@ def _links(pairs: DataFrame, heads: DataFrame, rows: DataFrame) -> DataFrame:
     met = likely.select(F.col("x").alias("row")).union(likely.select("y")).distinct()
     held = materialize(map_batches(_texts(rows, met), _sets, "row bigint, held binary"), "shingles")
     whole = likely.join(side(held, "x", ("held", "a")), "x").join(side(held, "y", ("held", "b")), "y").select("x", "y", "a", "b")
-    return materialize(map_batches(whole, _filtered(similar), "x bigint, y bigint"), "similar")
+    found = materialize(map_batches(whole, _filtered(similar), "x bigint, y bigint"), "similar")
+    tidy(since)
+    return found
 
 
 def _by_fingerprints(heads: DataFrame) -> DataFrame:
@@ -145,8 +150,11 @@ def _by_fingerprints(heads: DataFrame) -> DataFrame:
 
 def _rooted(keys: DataFrame, links: DataFrame) -> DataFrame:
     """Rows of (row, band, val), with the root of each by the links so far, whose val is met in two roots or more."""
+    since = mark()
     roots = materialize(components(links, "x", "y"), "roots")
-    return _mixed(keys.select("row", "band", "val").join(roots, F.col("row") == F.col("vertex"), "left").select("row", "band", "val", F.coalesce("root", "row").alias("root")))
+    mixed = _mixed(materialize(keys.select("row", "band", "val").join(roots, F.col("row") == F.col("vertex"), "left").select("row", "band", "val", F.coalesce("root", "row").alias("root")), "rooted"))
+    tidy(since)
+    return mixed
 
 
 def _mixed(keys: DataFrame) -> DataFrame:
@@ -169,13 +177,18 @@ def _met_once(keys: DataFrame) -> DataFrame:
 
 
 def _settled(pairs: DataFrame, links: DataFrame, heads: DataFrame, rows: DataFrame) -> DataFrame:
-    """links, and enough of the similar pairs to connect all that pairs and links connect: what is in one component is not tested."""
-    pairs = materialize(pairs, "pairs")
+    """links, and (pairs being the scratch table written last) enough of the similar pairs to connect all that pairs and links connect: what is in one component is not tested."""
+    done = [latest()]  # tables of the round before
     for most in (*DRAWN, None):
+        since = mark()
         roots = materialize(components(links, "x", "y"), "roots")
         for c in "xy":
             pairs = pairs.join(roots.select(F.col("vertex").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
         pairs = materialize(pairs.filter("rx <> ry"), "apart")
+        tidy(since)
+        for path in done:
+            scrap(path)
+        done = [latest()]
         if pairs.isEmpty():
             return links
         drawn = pairs.select("x", "y")
@@ -183,6 +196,7 @@ def _settled(pairs: DataFrame, links: DataFrame, heads: DataFrame, rows: DataFra
             h = F.xxhash64("x", "y")
             drawn = pairs.groupBy(F.least("rx", "ry"), F.greatest("rx", "ry"), F.pmod(h, F.lit(most))).agg(F.min_by(F.struct("x", "y"), h).alias("p")).select("p.x", "p.y")
             drawn = materialize(drawn, "drawn")
+            done.append(latest())
         links = links.union(_links(drawn, heads, rows))
         pairs = pairs.select("x", "y").join(drawn, ["x", "y"], "left_anti")
     return links
@@ -229,24 +243,33 @@ def _rarest(keys: DataFrame, rows: DataFrame) -> DataFrame:
 def near_groups(rows: DataFrame) -> DataFrame:
     """(row, root) of every row of (row bigint, text): root is the smallest row that can be reached by similar texts."""
     signed = materialize(map_batches(rows.select("row", "text"), _signatures, "row bigint, digest binary, size bigint, low binary, bands array<bigint>, fp bigint"), "signatures")
+    signed_at = latest()
     same = materialize(signed.select("row", "digest").join(signed.groupBy("digest").agg(F.min("row").alias("vertex")), "digest").select("row", "vertex"), "same-sets")
     heads = signed.join(same.filter("row = vertex").select("row"), "row", "left_semi")
     heads = materialize(heads.drop("digest"), "heads")
+    scrap(signed_at)
     links = _links(_by_fingerprints(heads), heads, rows)
 
+    since = mark()
     keys = heads.select("row", F.posexplode("bands").alias("band", "val"))
     keys = keys.join(keys.groupBy("val").agg(F.count("*").alias("n")).filter("n > 1").select("val"), "val")
     keys = _rooted(materialize(keys, "buckets"), links)
-    links = links.union(_links(_met_once(keys), heads, rows))
-    keys = _rooted(keys, links)
-    if SPLITS:
-        links = links.union(_links(_met_once(_cut(keys, heads)), heads, rows))
+    tidy(since)
+    for cut in (False, True)[: 1 + bool(SPLITS)]:
+        keys_at = latest()
+        links = links.union(_links(_met_once(_cut(keys, heads) if cut else keys), heads, rows))
         keys = _rooted(keys, links)
+        scrap(keys_at)
 
+    keys_at = latest()
     links = links.union(_links(_first_met(keys.filter(F.col("n") <= BUCKET), heads), heads, rows))
     left = _rooted(keys.filter(F.col("n") > BUCKET), links)
+    scrap(keys_at)
     if not left.isEmpty():
-        links = _settled(_rarest(left.select("row", "root"), rows).distinct(), links, heads, rows)
+        since = mark()
+        pairs = materialize(_rarest(left.select("row", "root"), rows).distinct(), "pairs")
+        tidy(since)
+        links = _settled(pairs, links, heads, rows)
     return same.join(materialize(components(links, "x", "y"), "roots"), "vertex", "left").select("row", F.coalesce("root", "vertex").alias("root"))
 
 
@@ -255,7 +278,11 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     row = free_name(docs, "__row")
     numbered = with_row_id(docs, "numbered", row)
     named = numbered.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
-    found = materialize(near_groups(numbered.select(F.col(row).alias("row"), "text")).join(named, "row"), "near-groups")
-    kept = found.groupBy("root").agg(F.min(F.struct("id", "row")).alias("least")).select(F.col("least.row").alias("row"))
-    gone = materialize(found.join(kept, "row", "left_anti").select(F.col("row").alias(row)), "near-copies")
+    with cleaning(docs.sparkSession):
+        since = mark()
+        found = materialize(near_groups(numbered.select(F.col(row).alias("row"), "text")).join(named, "row"), "near-groups")
+        tidy(since)
+        kept = found.groupBy("root").agg(F.min(F.struct("id", "row")).alias("least")).select(F.col("least.row").alias("row"))
+        gone = materialize(found.join(kept, "row", "left_anti").select(F.col("row").alias(row)), "near-copies")
+        tidy(since)
     return numbered.join(gone, row, "left_anti").drop(row)

@@ -12,6 +12,11 @@ is rewritten once per tier. Merging needs no shuffle: Spark reads the shards of
 coalesces to as many tasks as there are target files. The driver holds a line per live shard
 (about 200 bytes for each 128 MB at rest).
 
+Arrivals may differ in their columns: every shard names its schema, kept in a file of its own, and
+only shards of one schema are merged, so no column is lost and none changes its type at rest. A
+read gives the columns of all shards, null where a shard lacks one; columns that changed their
+type come as the type that Spark's union finds for both, and a read fails where there is none.
+
 Commit: new shards and parts are written first, then the manifest with the next version is
 written to a temporary name and renamed, which fails if that version exists. Readers use the
 highest version, so they see either all of a commit or nothing; a lost race is reported and
@@ -21,11 +26,12 @@ leaves only files that no manifest lists. On stores without such a rename, give
 Defined results: rows are kept whole and unchanged with all columns and nulls; an empty
 arrival adds no shard; texts of any length stay in one row; repeated rows are kept; shards of
 equal size stay in the order of their paths; columns of rows may have any names, those of the
-result included.
+result included, and may come, go or change their type from one arrival to the next.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections import defaultdict
@@ -34,6 +40,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import scratch_path
 
@@ -49,6 +56,7 @@ class Shard:
     bytes: int
     rows: int
     tier: int
+    schema: str = ""  # digest that names the file of its schema
     part: str = ""
 
 
@@ -87,7 +95,18 @@ class Store:
         if not version:
             return []
         parts = json.loads(self._get(f"manifest-{version:010d}.json"))["parts"]
-        return [Shard(*x, part) for part in parts for x in json.loads(self._get(part))]
+        return [Shard(*(x + [""])[:5], part) for part in parts for x in json.loads(self._get(part))]
+
+    def _parts(self, version: int) -> list[str]:
+        return json.loads(self._get(f"manifest-{version:010d}.json"))["parts"] if version else []
+
+    def _keep_schema(self, schema: StructType) -> str:
+        """Write a schema once, under its digest."""
+        text = schema.json()
+        name = hashlib.sha256(text.encode()).hexdigest()[:16]
+        if not self.fs.exists(self._path(f"{self.root}/schema-{name}.json")):
+            self._rename(f"{self.root}/schema-{name}.json", text.encode())
+        return name
 
     def _get(self, name: str) -> str:
         stream = self.fs.open(self._path(f"{self.root}/{name}"))
@@ -118,10 +137,14 @@ class Store:
         for s in shards:
             now[s.part].add(s.path)
         parts = [p for p in before if before[p] == now[p]]
-        fresh = [s for s in shards if s.part not in parts]
+        return self._publish(base, parts, [s for s in shards if s.part not in parts])
+
+    def _publish(self, base: int, parts: list[str], fresh: list[Shard]) -> int:
+        """Version base + 1: the shards of these parts, and fresh ones."""
+        parts = list(parts)
         for at in range(0, len(fresh), PART):
             parts.append(f"part-{uuid.uuid4().hex}.json")
-            self._put(f"{self.root}/{parts[-1]}", json.dumps([[s.path, s.bytes, s.rows, s.tier] for s in fresh[at : at + PART]]).encode())
+            self._put(f"{self.root}/{parts[-1]}", json.dumps([[s.path, s.bytes, s.rows, s.tier, s.schema] for s in fresh[at : at + PART]]).encode())
         if not self.publish(f"{self.root}/manifest-{base + 1:010d}.json", json.dumps({"version": base + 1, "parts": parts}).encode()):
             raise CommitConflict(f"version {base + 1} exists")
         return base + 1
@@ -135,22 +158,23 @@ class Store:
             if s.getPath().getName().startswith("part-"):
                 files[s.getPath().getName()] = (s.getPath().toString(), s.getLen())
         found = self.spark.read.schema(rows.schema).parquet(folder).groupBy(F.col("_metadata.file_name").alias("f")).count().collect()
-        return [Shard(*files[r["f"]], r["count"], self.tier(files[r["f"]][1])) for r in sorted(found, key=lambda r: r["f"])]
+        schema = self._keep_schema(rows.schema)
+        return [Shard(*files[r["f"]], r["count"], self.tier(files[r["f"]][1]), schema) for r in sorted(found, key=lambda r: r["f"])]
 
     def append(self, rows: DataFrame) -> int:
-        """Add an arrival as small immutable shards, one for each task that reads it."""
+        """Add an arrival as small immutable shards, one for each task that reads it; the parts of the list so far are named again, not read."""
         base = (self.versions() or [0])[-1]
-        return self.commit(base, self.manifest(base) + self._write(rows))
+        return self._publish(base, self._parts(base), self._write(rows))
 
     def compact(self) -> int:
-        """Merge every tier that has FANOUT shards or more, until none has; one commit per round."""
+        """Merge every tier that has FANOUT shards or more of one schema, until none has; one commit per round."""
         base = (self.versions() or [0])[-1]
         while True:
             live = self.manifest(base)
             tiers = defaultdict(list)
             for s in live:
-                tiers[s.tier].append(s)
-            runs = [v for t, v in sorted(tiers.items()) if t < 99 and len(v) >= FANOUT]
+                tiers[s.tier, s.schema].append(s)
+            runs = [v for (t, _), v in sorted(tiers.items()) if t < 99 and len(v) >= FANOUT]
             if not runs:
                 return base
             merged, gone = [], set()
@@ -161,7 +185,17 @@ class Store:
             base = self.commit(base, [s for s in live if s.path not in gone] + merged)
 
     def _read(self, shards: list[Shard]) -> DataFrame:
-        return self.spark.read.parquet(*(s.path for s in shards))
+        """Rows of shards with the columns of all of them: each schema is read as it was written, columns that it lacks are null."""
+        by_schema: dict[str, list[str]] = defaultdict(list)
+        for s in shards:
+            by_schema[s.schema].append(s.path)
+        out = None
+        for name, paths in by_schema.items():
+            reader = self.spark.read
+            reader = reader.schema(StructType.fromJson(json.loads(self._get(f"schema-{name}.json")))) if name else reader.option("mergeSchema", "true")
+            rows = reader.parquet(*paths)
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        return out
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """All rows of a version; None for a store without rows."""

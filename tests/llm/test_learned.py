@@ -222,6 +222,17 @@ def test_fast_scores_are_the_plain_softmax():
     assert attention.log_probs(attention.prepare(flat), x, y, m) == pytest.approx(np.array(want), abs=1e-4)
 
 
+@pytest.mark.parametrize("scale", [1, 30])
+def test_scores_stay_finite_and_agree_with_training(scale):
+    """Parameters thirty times as large give logits far outside the range of exp."""
+    flat = attention.start(np.arange(attention.SLOTS)) * np.float32(scale)
+    x, y, m = attention.windows(np.random.default_rng(6).integers(0, attention.SLOTS, 300))
+    got = attention.log_probs(attention.prepare(flat), x, y, m)
+    loss, _ = attention.gradient(attention.unpack(flat), x, y, m)
+    assert np.isfinite(got).all() and (got < 1e-3 * scale).all()
+    assert -got.mean() == pytest.approx(loss, rel=1e-3)
+
+
 def test_score_of_a_text_against_a_plain_softmax(tokenizer_path):
     """Whole texts, id by id, with the context that windows give; the probabilities of all next ids sum to 1."""
     rd = lm.reader(tokenizer_path)

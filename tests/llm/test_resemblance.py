@@ -131,3 +131,28 @@ def test_components_leave_one_table(spark, monkeypatch):
     got = components.components(spark.createDataFrame([(i, i + 1) for i in range(9)], "x long, y long"), "x", "y")
     assert len(made) > 2 and {r.root for r in got.collect()} == {0} and got.count() == 10
     assert [os.path.exists(p.removeprefix("file:")) for p in made] == [False] * (len(made) - 1) + [True]
+
+
+def test_scratch_tables_go_as_they_are_used(spark, tmp_path, monkeypatch):
+    """Near copies in large groups: when the stage is done, the numbered rows and the rows that go are all that is left of it."""
+    import random
+
+    from blockloom.llm import common
+
+    r = random.Random(2)
+    base = [f"w{r.randrange(500)}" for _ in range(120)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(r.randint(0, 8)):
+            words[r.randrange(len(words))] = f"v{r.randrange(50)}"
+        texts.append((i, " ".join(words)))
+    monkeypatch.setattr(resemblance, "BUCKET", 8)
+    monkeypatch.setattr(common, "scratch_root", lambda spark: str(tmp_path))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = resemblance.keep_one_of_each(docs).count()
+    assert 0 < kept < 150
+    left = sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir())
+    assert left == ["near-copies", "numbered"]
+    size = lambda name: sum(f.stat().st_size for p in tmp_path.glob(f"{name}-*") for f in p.glob("*.parquet"))
+    assert size("near-copies") < size("numbered")

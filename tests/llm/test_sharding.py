@@ -83,3 +83,32 @@ def test_query_shape_for_clashing_columns_nulls_and_empty_tables(spark):
     assert got.columns == ["doc_id", "shard", "shard_rows", "tier", "version"]
     assert sorted(r.doc_id for r in got.collect()) == [1, 1, 7, 8]
     assert sharding.shard_documents(rows.filter("false")).count() == 0
+
+
+def test_columns_that_come_go_and_change(spark, tmp_path, monkeypatch):
+    """Compaction merges shards of one schema only: nothing that an arrival brought is lost, in any version."""
+    monkeypatch.setattr(sharding, "SMALLEST", 64)
+    store = Store(spark, str(tmp_path / "s"), target=1 << 20)
+    arrivals = [("a long, b string", (1, "x")), ("a long, b string, extra double", (2, "y", 0.5)), ("a long", (3,)), ("a int, b string", (4, "z"))]
+    want = []
+    for k in range(5):
+        for schema, row in arrivals:
+            store.append(spark.createDataFrame([(row[0] + 10 * k, *row[1:])], schema).coalesce(1))
+            want.append((row[0] + 10 * k, row[1] if len(row) > 1 else None, row[2] if len(row) > 2 else None))
+    before, after = store.versions()[-1], store.compact()
+    assert len(store.manifest(after)) < len(store.manifest(before)) == 20
+    assert len({s.schema for s in store.manifest(after)}) == 4
+    for version in (before, after):
+        assert sorted(tuple(r[c] for c in ("a", "b", "extra")) for r in store.read(version).collect()) == sorted(want)
+    store.vacuum()
+    assert store.read().count() == 20
+
+
+def test_an_append_reads_no_list(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    store.append(docs(spark, range(3)))
+    got = []
+    real = store._get
+    monkeypatch.setattr(store, "_get", lambda name: got.append(name) or real(name))
+    store.append(docs(spark, range(3, 6)))
+    assert got == ["manifest-0000000001.json"] and store.read().count() == 6
