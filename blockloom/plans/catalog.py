@@ -18,8 +18,7 @@ from ..options import Options
 from ..scan import EXTENSIONS
 from ..scan.ecma import LIFECYCLE
 from . import review as V
-from .fixtures import code_pairs
-from .inputs import BLOCKS, DOCUMENT_PAIRS, LINES, NAMES, PAIRS, document_pairs, made, table
+from .inputs import BLOCKS, DOCUMENT_PAIRS, LINES, NAMES, PAIRS, PROGRAMS, document_pairs, made, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,13 +119,16 @@ _kinds = "(VALUES " + ", ".join(f"('{k}')" for k, _, _ in kinds.KINDS) + ")"
 _same_set = " OR ".join(f"(a.k IN {_in(s)} AND b.k IN {_in(s)})" for s in (kinds.CALLABLE, kinds.VALUE, kinds.ELEMENT))
 
 
-@query(f"""SELECT a.k AS a, b.k AS b, a.k = b.k OR NOT (a.k IN {_in(kinds.ISOLATED)} OR b.k IN {_in(kinds.ISOLATED)}) AS eligible, a.k = b.k OR {_same_set} AS compatible,
-    CASE WHEN a.k = b.k THEN 1.0::DOUBLE WHEN {_same_set} THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END AS similarity FROM {_kinds} a(k), {_kinds} b(k)""")
+@query(WITH + f"""x AS (SELECT 1) SELECT o.pair_id, o.block_ix, a.k AS a, b.k AS b, a.k = b.k OR NOT (a.k IN {_in(kinds.ISOLATED)} OR b.k IN {_in(kinds.ISOLATED)}) AS eligible, a.k = b.k OR {_same_set} AS compatible,
+    CASE WHEN a.k = b.k THEN 1.0::DOUBLE WHEN {_same_set} THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END AS similarity
+    FROM b o JOIN b n ON n.pair_id = o.pair_id AND n.block_ix = o.block_ix AND o.side = 'old' AND n.side = 'new' JOIN {_kinds} a(k) ON a.k = o.kind JOIN {_kinds} b(k) ON b.k = CASE WHEN o.block_ix % 4 = 0 THEN 'concept' WHEN o.block_ix % 7 = 0 THEN 'variable' ELSE n.kind END""")
 def kind_matrix(spark, d):
-    """Which kinds may pair, and how alike they are (a fixed table of 22 kinds)."""
-    names = F.array(*(F.lit(k) for k, _, _ in kinds.KINDS))
-    rows = spark.range(1).select(F.explode(names).alias("a")).select("a", F.explode(names).alias("b"))
-    return rows.select("a", "b", C.eligible("a", "b").alias("eligible"), C.compatible("a", "b").alias("compatible"), C.kind_similarity("a", "b").alias("similarity"))
+    """Whether the blocks at one place of two versions may pair by their kinds, and how alike those are."""
+    b = blocks(spark, d)
+    old, new = (b.filter(F.col("side") == s).select("pair_id", "block_ix", F.col("kind").alias(c)) for s, c in (("old", "a"), ("new", "b")))
+    other = F.when(F.col("block_ix") % 4 == 0, "concept").when(F.col("block_ix") % 7 == 0, "variable").otherwise(F.col("b"))
+    rows = old.join(new, ["pair_id", "block_ix"]).withColumn("b", other)
+    return rows.select("pair_id", "block_ix", "a", "b", C.eligible("a", "b").alias("eligible"), C.compatible("a", "b").alias("compatible"), C.kind_similarity("a", "b").alias("similarity"))
 
 
 @query(r"""SELECT doc_id, strlen(head)::BIGINT AS pos, regexp_full_match(regexp_extract(head, '[^\n]*$'), '[ \t\r]*') AS own_line FROM (
@@ -198,9 +200,8 @@ _shown = """SELECT p_partkey AS k, 'function' AS kind0, CASE WHEN p_partkey % 3
     FROM d JOIN near p ON p.k = 2 * d.k JOIN near q ON q.k = 2 * d.k + 1""")
 def shown_similarities(spark, d):
     """Similarity as reported, numbered and unnamed blocks counting as equally named."""
-    table(spark, d, "part").createOrReplaceTempView("shown_part")
     a, b = ({k: f"{k}{i}" for k in ("name", "body", "kind")} for i in (0, 1))
-    return spark.sql(_shown.replace("FROM part", "FROM shown_part")).select(F.col("k").alias("p_partkey"), F.round(S.shown_similarity(a, b), 9).alias("shown"))
+    return made(spark, d, _shown.replace("FROM part", "FROM {part}"), "part").select(F.col("k").alias("p_partkey"), F.round(S.shown_similarity(a, b), 9).alias("shown"))
 
 
 #: Parts as blocks of two versions: of each size, those of even keys against those of odd ones.
@@ -678,29 +679,49 @@ def matched_blocks(spark, d):
 # -- code ----------------------------------------------------------------------------------
 
 
-@query()
+_programs = f"SELECT *, CASE WHEN pair_id % 3 = 0 THEN 1 ELSE 0 END AS grow, CASE WHEN pair_id % 5 = 0 THEN 1 ELSE 0 END AS ren, CASE WHEN pair_id % 5 = 0 THEN 'price' ELSE 'cost' END AS new_function FROM ({PROGRAMS.format(part='part')})"
+#: What the blocks of those programs have to be: a constant up to its first semicolon, and a function after an empty line.
+_program_blocks = f"""SELECT pair_id, side, ix::INT AS block_ix, CASE ix WHEN 0 THEN 'constant' ELSE 'function' END AS kind, CASE ix WHEN 0 THEN 'size' || pair_id ELSE f END AS name, '' AS scope, '' AS parent,
+    CASE ix WHEN 0 THEN 0 ELSE strpos(src, ';') + 2 END::BIGINT AS start_byte, CASE ix WHEN 0 THEN strpos(src, ';') ELSE strlen(src) - 1 END::BIGINT AS end_byte,
+    CASE ix WHEN 0 THEN 0 ELSE 2 END::BIGINT AS start_line, CASE ix WHEN 0 THEN 0 ELSE 4 END::BIGINT AS end_line, src
+    FROM (SELECT pair_id, 'old' AS side, old_src AS src, 'cost' AS f FROM ({_programs}) UNION ALL SELECT pair_id, 'new', new_src, new_function FROM ({_programs})), (VALUES (0), (1)) v(ix)"""
+_closeness = "CASE WHEN a.src = b.src THEN 1.0::DOUBLE ELSE 1 - levenshtein(a.src, b.src) / greatest(strlen(a.src), strlen(b.src))::DOUBLE END"
+
+
+def programs(spark: SparkSession, d: str) -> DataFrame:
+    """Two versions of a program for each part."""
+    return made(spark, d, PROGRAMS, "part")
+
+
+@query(f"SELECT pair_id, side, block_ix, kind, name, scope, parent, start_byte, end_byte, start_line, end_line FROM ({_program_blocks})")
 def code_blocks(spark, d):
-    """EX1-EX23, IO5-IO7: blocks of sources in every language."""
-    return V.blocks(code_pairs(spark)).select("pair_id", "side", "block_ix", "kind", "name", "scope", "parent", "start_byte", "end_byte", "start_line", "end_line")
+    """EX1-EX7, EX11, EX19, EX22, IO5: blocks of two versions of every program."""
+    return V.blocks(programs(spark, d)).select("pair_id", "side", "block_ix", "kind", "name", "scope", "parent", "start_byte", "end_byte", "start_line", "end_line")
 
 
-@query()
+@query(f"""WITH k AS (SELECT pair_id, block_ix, side, kind, name, substr(src, start_byte + 1, end_byte - start_byte) AS src FROM ({_program_blocks})), g AS ({_programs}),
+    m AS (SELECT a.pair_id, a.block_ix AS pair_seq, a.kind AS k, a.name AS o, b.name AS n, a.src <> b.src AS has_changes,
+          floor(100 * (0.35::DOUBLE * CASE WHEN a.name = b.name THEN 1.0::DOUBLE ELSE 1 - levenshtein(a.name, b.name) / greatest(strlen(a.name), strlen(b.name))::DOUBLE END + 0.5::DOUBLE * {_closeness} + 0.15::DOUBLE))::INT AS similarity
+          FROM k a JOIN k b ON a.pair_id = b.pair_id AND a.block_ix = b.block_ix AND a.side = 'old' AND b.side = 'new')
+    SELECT pair_id, pair_seq, CASE WHEN o = n THEN '1' ELSE '3a' END AS stage, CASE WHEN o = n THEN 'exact_name' ELSE 'similarity' END AS match_type, k AS old_kind, k AS new_kind, o AS old_name, n AS new_name, similarity, CASE WHEN has_changes THEN 'changed' ELSE '' END AS tags, has_changes, false AS supplemental FROM m
+    UNION ALL SELECT pair_id, 2, 'whole', 'similarity', 'unknown', 'unknown', old_name, new_name, CASE WHEN grow + ren = 0 THEN 100 ELSE 100 * (5 - 2 * grow - ren) // (5 + 2 * grow + ren) END::INT, CASE WHEN grow + ren > 0 THEN 'changed' ELSE '' END, grow + ren > 0, true FROM g""")
 def code_review(spark, d):
-    """Entry A: whole reviews of code, one row per pair of blocks."""
-    rows = V.review(code_pairs(spark)).select("pair_id", F.explode("pairs").alias("p"))
+    """Entry A: whole reviews of programs, one row per pair of blocks."""
+    rows = V.review(programs(spark, d)).select("pair_id", F.explode("pairs").alias("p"))
     return rows.select("pair_id", "p.pair_seq", "p.stage", "p.match_type", "p.old_kind", "p.new_kind", "p.old_name", "p.new_name", "p.similarity", F.array_join("p.tags", ",").alias("tags"), "p.has_changes", "p.supplemental")
 
 
 @query()
 def code_reports(spark, d):
     """IO8, M1-M9: the text reports, line by line."""
-    return V.reports(code_pairs(spark), Options(skip_unchanged=True))
+    return V.reports(programs(spark, d), Options(skip_unchanged=True))
 
 
-@query()
+@query(f"""SELECT pair_id, 0::BIGINT AS added, 0::BIGINT AS removed, ren::BIGINT AS renamed, 0::BIGINT AS moved, (grow + greatest(grow, ren))::BIGINT AS changed, 2::BIGINT AS matched, (2 - grow - greatest(grow, ren))::BIGINT AS unchanged, 0::BIGINT AS whitespace,
+    0::INT AS old_parse_errors, 0::INT AS new_parse_errors, false AS fallback FROM ({_programs})""")
 def code_summaries(spark, d):
-    """A3: summaries of code reviews."""
-    return V.summaries(code_pairs(spark))
+    """A3: summaries of reviews of programs."""
+    return V.summaries(programs(spark, d))
 
 
 __all__ = ["QUERIES", "ORACLES", "oracles", "queries"]

@@ -51,6 +51,19 @@ PAIRS = """
     FROM {lineitem}
 """
 
+#: Two versions of a small program for each part, in scripts and in C: every third part changes its size, every fifth renames its function.
+PROGRAMS = """
+    SELECT pair_id, name AS old_name, head || CAST(s AS STRING) || middle || 'cost' || tail || CAST(s AS STRING) || foot AS old_src,
+           name AS new_name, head || CAST(s + grow AS STRING) || middle || CASE WHEN pair_id % 5 = 0 THEN 'price' ELSE 'cost' END || tail || CAST(s + grow AS STRING) || foot AS new_src
+    FROM (
+        SELECT p_partkey AS pair_id, p_size AS s, CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS grow, CASE WHEN p_partkey % 2 = 0 THEN 'part.js' ELSE 'part.c' END AS name,
+               CASE WHEN p_partkey % 2 = 0 THEN 'const size' || CAST(p_partkey AS STRING) || ' = ' ELSE 'static const int size' || CAST(p_partkey AS STRING) || ' = ' END AS head,
+               CASE WHEN p_partkey % 2 = 0 THEN ';' || chr(10) || chr(10) || 'function ' ELSE ';' || chr(10) || chr(10) || 'int ' END AS middle,
+               CASE WHEN p_partkey % 2 = 0 THEN '(n) ' ELSE '(int n) ' END || chr(123) || chr(10) || '  return n * ' AS tail, ';' || chr(10) || chr(125) || chr(10) AS foot
+        FROM {part}
+    ) t
+"""
+
 #: Names of source files.
 NAMES = """
     SELECT p_partkey, 'dir.d/' || replace(p_name, ' ', '_') || CASE p_partkey % 12 WHEN 0 THEN '.ts' WHEN 1 THEN '.TSX' WHEN 2 THEN '.mjs' WHEN 3 THEN '.go' WHEN 4 THEN '.sh' WHEN 5 THEN '.c'
