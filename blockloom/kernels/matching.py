@@ -13,9 +13,11 @@ from .blocks import Block, Pair, text
 from .comments import equal_comments
 from .distance import closeness
 from .elements import element_text, plain_text
-from .similar import BODY, KIND, NAME, SimilarIndex, name_closeness
+from .similar import BODY, KIND, NAME, SimilarIndex, name_closeness, reaches
 from .spans import smallest_around
 
+#: Pairs of blocks up to which an index isn't worth making.
+FEW = 256
 _offset = re.compile(r"(?s)^(.+):[0-9]+$")
 _fold = re.compile(r"[^A-Za-z0-9]")
 
@@ -144,12 +146,16 @@ class Matcher:
             self.new.free.discard(p.new)
 
     def by_similarity(self, old: list[Block], new: list[Block], stage: str, named: bool = True) -> list[Pair]:
-        """The best pairs among those at the threshold, which an index over the new blocks finds."""
+        """The best pairs among those at the threshold, which an index over the new blocks finds (few pairs are all tested)."""
         if not old or not new:
             return []
         shape = lambda side, b: (b.kind, fold_name(b.name).encode(), side.body(b))
-        index = SimilarIndex([shape(self.new, b) for b in new], self.threshold, named)
-        edges = [(i, j, s) for i, a in enumerate(old) for j, s in index.near(*shape(self.old, a))]
+        x, y = [shape(self.old, b) for b in old], [shape(self.new, b) for b in new]
+        if len(x) * len(y) <= FEW:
+            edges = [(i, j, s) for i, a in enumerate(x) for j, b in enumerate(y) if (s := reaches(a, b, self.threshold, named)) is not None]
+        else:
+            index = SimilarIndex(y, self.threshold, named)
+            edges = [(i, j, s) for i, a in enumerate(x) for j, s in index.near(*a)]
         return self.paired(old, new, edges, stage, "similarity")
 
     def exact_names(self) -> list[Pair]:

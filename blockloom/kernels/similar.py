@@ -33,6 +33,22 @@ def name_closeness(a: bytes, b: bytes, unnamed: float = UNNAMED) -> float:
     return unnamed if not a and not b else closeness(a, b)
 
 
+def reaches(a: tuple[str, bytes, bytes], b: tuple[str, bytes, bytes], threshold: float, named: bool = True) -> float | None:
+    """The similarity of two blocks (kind, folded name, body) if it is the threshold or more; bodies are compared only as far as that takes."""
+    if not eligible(a[0], b[0]):
+        return None
+    name = name_closeness(a[1], b[1]) if named else 0.0
+    kind = KIND * kind_similarity(a[0], b[0])
+    least = (threshold - NAME * name - kind) / BODY - _SLACK
+    if min(len(a[2]), len(b[2])) < least * max(len(a[2]), len(b[2])):
+        return None
+    close = closeness(a[2], b[2], least)
+    if close < least:
+        return None
+    total = NAME * name + BODY * close + kind
+    return total if total >= threshold else None
+
+
 def _tokens(text: bytes, field: int) -> np.ndarray:
     """A code for each byte of a text: the field, the byte, and its number among equal bytes."""
     data = np.sort(np.frombuffer(text, dtype=np.uint8)).astype(np.int64)
@@ -98,19 +114,9 @@ class SimilarIndex:
             share = self._share(self.names, self.name_size, at, name)
             most += NAME * np.where((self.name_size[at] == 0) & (not name), UNNAMED, share)
         for i in at[most >= self.need].tolist():
-            other, its_name, its_body = self.blocks[i]
-            if not eligible(kind, other):
-                continue
-            rest = KIND * kind_similarity(kind, other) + (NAME * name_closeness(name, its_name) if self.named else 0.0)
-            least = (self.threshold - rest) / BODY - _SLACK
-            close = closeness(body, its_body, least)
-            if close >= least:
-                total = self._sum(kind, other, name, its_name, close)
-                if total >= self.threshold:
-                    yield i, total
-
-    def _sum(self, kind: str, other: str, name: bytes, its_name: bytes, close: float) -> float:
-        return NAME * (name_closeness(name, its_name) if self.named else 0.0) + BODY * close + KIND * kind_similarity(kind, other)
+            total = reaches((kind, name, body), self.blocks[i], self.threshold, self.named)
+            if total is not None:
+                yield i, total
 
     @staticmethod
     def _share(counts: np.ndarray, size: np.ndarray, at: np.ndarray, text: bytes) -> np.ndarray:
