@@ -111,6 +111,32 @@ def bounded_sample(df: DataFrame, key: str, cap: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) < share).limit(cap)
 
 
+#: Rows of one key that meet in a part of a dealt join.
+SHARE = 512
+#: Hashes of keys by which a dealt join tells those of many rows.
+SLOTS = 1 << 14
+
+
+def dealt_join(rows: DataFrame, groups: DataFrame, on: list[str], n: str, by: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with groups, which has one row for each key `on` and in the column n how many rows may hold it.
+
+    A key of n rows is dealt over about n / SHARE parts by the columns `by` of rows, and its row of groups is repeated in
+    each. Rows are told to be dealt by a slot, which is a hash of their key: the slots in which a key has more than SHARE
+    rows are broadcast, SLOTS rows of two numbers at most whatever the tables' size. Keys that share a slot with such a
+    key are dealt as it is, which changes no result. groups is read twice, so it should be a written table.
+    """
+    slot = F.pmod(F.xxhash64(*on), F.lit(SLOTS))
+    hot = groups.filter(F.col(n) > SHARE).groupBy(slot.alias("__slot")).agg(F.max(F.ceil(F.col(n) / SHARE)).alias("__shares"))
+
+    def placed(df: DataFrame, share) -> DataFrame:
+        shares = F.coalesce("__shares", F.lit(1))
+        return df.withColumn("__slot", slot).join(F.broadcast(hot), "__slot", "left").withColumn("__share", share(shares)).drop("__slot", "__shares")
+
+    mine = placed(rows, lambda shares: F.pmod(F.xxhash64(*by), shares))
+    its = placed(groups, lambda shares: F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
+    return mine.join(its, [*on, "__share"], how).drop("__share")
+
+
 #: Rows that Spark hands to Python at once, where the session keeps Spark's own default: some MB of text.
 BATCH_ROWS = 512
 _ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, map_batches, materialize, with_row_id
+from .common import cleaning, dealt_join, free_name, map_batches, mark, materialize, tidy, with_row_id
 
 #: Two primes just under 2^31 and a base for each.
 PRIMES = (2147483647, 2147483629)
@@ -37,8 +37,6 @@ SLAB = 2048
 COMPARE_BYTES = 1 << 16
 #: Rows of a group that are compared with one copy of the representative's chunks.
 ROWS_PER_COPY = 64
-#: Places over which the texts of one key are dealt when candidates are looked up.
-SALTS = 16
 
 _POWERS = np.array([[pow(b, CHUNK - 1 - i, p) for b, p in zip(BASES, PRIMES)] for i in range(CHUNK)], dtype=np.float64)
 
@@ -154,17 +152,16 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     Three passes: fingerprints of all rows; texts of candidate rows, found by an equi-join on
     (length, fingerprint); their chunkwise comparison. Texts without a candidate partner are
     shuffled at most once (not at all where the candidate keys are few enough for Spark's own
-    size-checked broadcast).
+    size-checked broadcast). Copies of one text are dealt over parts by their number.
     """
     src = docs.select("doc_id", "text")
     key = ["n_bytes", "fp"]
     prints = materialize(with_fingerprints(src, ["doc_id"]), "fingerprints")
     shared = materialize(prints.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1"), "shared-fingerprints")
-    single = prints.join(shared, key, "left_anti")
-    # Texts meet the shared keys in SALTS places a key: a row of a few bytes per key and place, beside two texts or more.
-    salted = with_fingerprints(src, ["doc_id", "text"]).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    met = salted.join(shared.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*key, "salt"])
-    rows = with_row_id(met.drop("salt"), "candidates", "row")
+    numbered = lambda df: df.withColumn("__at", F.monotonically_increasing_id())  # noqa: E731  (rows as they are read: equal doc_ids are dealt apart)
+    single = dealt_join(numbered(prints), shared, key, "n", ["__at"], "left_anti")
+    met = dealt_join(numbered(with_fingerprints(src, ["doc_id", "text"])), shared, key, "n", ["__at"])
+    rows = with_row_id(met.drop("__at"), "candidates", "row")
     done, todo = None, rows
     while True:
         met = materialize(_verify(todo), "compared")
@@ -189,5 +186,8 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     row = free_name(docs, "__row")
     numbered = with_row_id(docs, "numbered", row)
     as_id = numbered.select(F.struct(F.col("doc_id").alias("d"), F.col(row).alias("r")).alias("doc_id"), "text")
-    gone = materialize(exact_groups(as_id).filter("NOT kept").select(F.col("doc_id.r").alias(row)), "copies")
+    with cleaning(docs.sparkSession):
+        since = mark()
+        gone = materialize(exact_groups(as_id).filter("NOT kept").select(F.col("doc_id.r").alias(row)), "copies")
+        tidy(since)
     return numbered.join(gone, row, "left_anti").drop(row)

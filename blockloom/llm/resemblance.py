@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cleaning, free_name, latest, map_batches, mark, materialize, scrap, tidy, with_row_id
+from .common import cleaning, dealt_join, free_name, latest, map_batches, mark, materialize, scrap, tidy, with_row_id
 from .components import components
 
 SHINGLE = 5
@@ -160,7 +160,7 @@ def _rooted(keys: DataFrame, links: DataFrame) -> DataFrame:
 def _mixed(keys: DataFrame) -> DataFrame:
     """Rows of (row, band, val, root) whose val is met in two roots or more, with how many rows it has."""
     several = keys.groupBy("val").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    return materialize(keys.join(several.select("val", "n"), "val"), "mixed")
+    return materialize(dealt_join(keys, materialize(several.select("val", "n"), "several"), ["val"], "n", ["row"]), "mixed")
 
 
 def _cut(keys: DataFrame, heads: DataFrame) -> DataFrame:
@@ -171,9 +171,10 @@ def _cut(keys: DataFrame, heads: DataFrame) -> DataFrame:
 
 def _met_once(keys: DataFrame) -> DataFrame:
     """Pairs (x, y): of each val, one row of the root with most rows there, with one row of each other root."""
-    one = keys.groupBy("val", "root").agg(F.count("*").alias("n"), F.min_by("row", F.xxhash64("row", "val")).alias("one"))
-    most = one.groupBy("val").agg(F.max_by("one", F.struct("n", "root")).alias("most"))
-    return one.join(most, "val").filter("one <> most").select(F.least("one", "most").alias("x"), F.greatest("one", "most").alias("y")).distinct()
+    one = materialize(keys.groupBy("val", "root").agg(F.count("*").alias("n"), F.min_by("row", F.xxhash64("row", "val")).alias("one")), "one-of-each")
+    most = materialize(one.groupBy("val").agg(F.max_by("one", F.struct("n", "root")).alias("most"), F.count("*").alias("roots")), "commonest")
+    met = dealt_join(one, most, ["val"], "roots", ["root"]).filter("one <> most")
+    return met.select(F.least("one", "most").alias("x"), F.greatest("one", "most").alias("y")).distinct()
 
 
 def _settled(pairs: DataFrame, links: DataFrame, heads: DataFrame, rows: DataFrame) -> DataFrame:
@@ -228,7 +229,7 @@ def _rarest(keys: DataFrame, rows: DataFrame) -> DataFrame:
     at = held.join(keys.distinct(), "row").select("row", "root", F.size("shingles").alias("m"), F.explode("shingles").alias("s"))
     at = materialize(at, "left-shingles")
     met = at.groupBy("s").agg(F.count("*").alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    met = at.join(materialize(met.select("s", "f"), "met-shingles"), "s")
+    met = dealt_join(at, materialize(met.select("s", "f"), "met-shingles"), ["s"], "f", ["row"])
     alone = F.col("m") - F.count("*").over(Window.partitionBy("row"))  # shingles of one root, which come first in the order
     rare = met.withColumn("place", alone + F.row_number().over(Window.partitionBy("row").orderBy("f", "s")))
     rare = rare.filter("place <= m - floor((4 * m + 4) / 5) + 1")
@@ -256,8 +257,10 @@ def near_groups(rows: DataFrame) -> DataFrame:
     keys = _rooted(materialize(keys, "buckets"), links)
     tidy(since)
     for cut in (False, True)[: 1 + bool(SPLITS)]:
-        keys_at = latest()
-        links = links.union(_links(_met_once(_cut(keys, heads) if cut else keys), heads, rows))
+        keys_at, since = latest(), mark()
+        found = _links(_met_once(_cut(keys, heads) if cut else keys), heads, rows)
+        tidy(since)
+        links = links.union(found)
         keys = _rooted(keys, links)
         scrap(keys_at)
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, map_batches, materialize, with_row_id
+from .common import dealt_join, free_name, map_batches, materialize, with_row_id
 from .components import components
 
 SHINGLE = 3
@@ -149,12 +149,12 @@ def links(fps: DataFrame) -> DataFrame:
 def near_groups(rows: DataFrame, key: str) -> DataFrame:
     """key, fp and component_id (smallest key whose fingerprint can be reached) of every row."""
     fps = materialize(with_fingerprint(rows, key), "simhashes")
-    distinct = materialize(fps.groupBy("fp").agg(F.min(key).alias("least")), "distinct-simhashes")
+    distinct = materialize(fps.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")), "distinct-simhashes")
     roots = materialize(components(links(distinct.select("fp")), "x", "y"), "roots")
-    grouped = distinct.join(roots, distinct["fp"] == roots["vertex"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    grouped = distinct.join(roots, distinct["fp"] == roots["vertex"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = grouped.join(smallest, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select(key, "fp", "component_id")
+    by_fp = materialize(grouped.join(smallest, "root").select("fp", "n", "component_id"), "named-simhashes")
+    return dealt_join(fps, by_fp, ["fp"], "n", [key]).select(key, "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

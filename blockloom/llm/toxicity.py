@@ -23,8 +23,8 @@ letters, the word is also read with the letters in place. A quotation mark left
 its line.
 
 Defined results: null and empty texts have no hits and get the score of such documents; with
-no usable labels every score is 0; repeated rows are scored each; texts are scored whole; ties
-of terms go by count, then by letters; an empty table gives no rows; other columns may have any
+no usable labels every score is 0; repeated rows are scored each, and of rows that share a doc_id
+the greatest text is learned from; texts are scored whole; ties of terms go by count, then by letters; an empty table gives no rows; other columns may have any
 names, those of the result included.
 """
 
@@ -318,6 +318,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int
     usable = usable.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("toxic"))
     drawn = F.broadcast(bounded_sample(usable, "doc_id", SAMPLE))  # at most SAMPLE rows of two numbers
     sample = docs.select("doc_id", "text").join(drawn, "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"), F.max("toxic").alias("toxic"))  # SAMPLE texts at most
     lexicon = lexicon_of(sample)
     if not lexicon.next[0]:
         return Scorer(lexicon, [-30.0, 0, 0, 0, 0])
@@ -328,7 +329,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int
         return pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array(got[:, i], pa.float64()) for i in range(len(FEATURES)))], names=["toxic", *FEATURES])
 
     made = map_batches(sample.select("text", "toxic"), rows, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
-    grouped = made.groupBy("toxic", *FEATURES).count().limit(4 * SAMPLE).collect()
+    grouped = made.groupBy("toxic", *FEATURES).count().orderBy("toxic", *FEATURES).collect()  # SAMPLE rows of numbers at most
     data = np.array([[r[f] for f in FEATURES] for r in grouped])
     y, n = np.array([float(r["toxic"]) for r in grouped]), np.array([r["count"] for r in grouped])
     return Scorer(lexicon, fit_logistic(np.repeat(data, n, axis=0), np.repeat(y, n)).tolist())
