@@ -148,11 +148,35 @@ def _by_fingerprints(heads: DataFrame) -> DataFrame:
     return apart.union(equal).distinct()
 
 
-def _rooted(keys: DataFrame, links: DataFrame) -> DataFrame:
+class Joined:
+    """What is linked so far, as a written table of (x, y): each vertex x and the root y of its component.
+
+    add() takes further links in. Components start from these stars and the new links, so that earlier links are never
+    gone through again; the table before and the scratch tables since a mark are deleted.
+    """
+
+    def __init__(self):
+        self.links = self.path = None
+
+    def add(self, links: DataFrame, since: int) -> None:
+        before = self.path
+        links = links if before is None else self.links.union(links)
+        self.links = materialize(components(links, "x", "y").select(F.col("vertex").alias("x"), F.col("root").alias("y")), "roots")
+        self.path = latest()
+        tidy(since)
+        if before:
+            scrap(before)
+
+    def root(self, row: str, name: str) -> DataFrame:
+        """(row, name): the root of each vertex; vertices without a link are absent."""
+        return self.links.select(F.col("x").alias(row), F.col("y").alias(name))
+
+
+def _rooted(keys: DataFrame, joined: Joined) -> DataFrame:
     """Rows of (row, band, val), with the root of each by the links so far, whose val is met in two roots or more."""
     since = mark()
-    roots = materialize(components(links, "x", "y"), "roots")
-    mixed = _mixed(materialize(keys.select("row", "band", "val").join(roots, F.col("row") == F.col("vertex"), "left").select("row", "band", "val", F.coalesce("root", "row").alias("root")), "rooted"))
+    rooted = keys.select("row", "band", "val").join(joined.root("row", "root"), "row", "left").select("row", "band", "val", F.coalesce("root", "row").alias("root"))
+    mixed = _mixed(materialize(rooted, "rooted"))
     tidy(since)
     return mixed
 
@@ -177,30 +201,30 @@ def _met_once(keys: DataFrame) -> DataFrame:
     return met.select(F.least("one", "most").alias("x"), F.greatest("one", "most").alias("y")).distinct()
 
 
-def _settled(pairs: DataFrame, links: DataFrame, heads: DataFrame, rows: DataFrame) -> DataFrame:
-    """links, and (pairs being the scratch table written last) enough of the similar pairs to connect all that pairs and links connect: what is in one component is not tested."""
+def _settled(pairs: DataFrame, joined: Joined, heads: DataFrame, rows: DataFrame) -> None:
+    """Add to joined enough of the similar pairs (the scratch table written last) to connect all that they connect: what is in one component is not tested."""
     done = [latest()]  # tables of the round before
     for most in (*DRAWN, None):
         since = mark()
-        roots = materialize(components(links, "x", "y"), "roots")
         for c in "xy":
-            pairs = pairs.join(roots.select(F.col("vertex").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+            pairs = pairs.join(joined.root(c, f"r{c}"), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
         pairs = materialize(pairs.filter("rx <> ry"), "apart")
         tidy(since)
         for path in done:
             scrap(path)
         done = [latest()]
         if pairs.isEmpty():
-            return links
+            break
         drawn = pairs.select("x", "y")
         if most:
             h = F.xxhash64("x", "y")
             drawn = pairs.groupBy(F.least("rx", "ry"), F.greatest("rx", "ry"), F.pmod(h, F.lit(most))).agg(F.min_by(F.struct("x", "y"), h).alias("p")).select("p.x", "p.y")
             drawn = materialize(drawn, "drawn")
             done.append(latest())
-        links = links.union(_links(drawn, heads, rows))
+        since = mark()
+        joined.add(_links(drawn, heads, rows), since)
         pairs = pairs.select("x", "y").join(drawn, ["x", "y"], "left_anti")
-    return links
+    scrap(done[0])
 
 
 def _first_met(keys: DataFrame, heads: DataFrame) -> DataFrame:
@@ -249,31 +273,31 @@ def near_groups(rows: DataFrame) -> DataFrame:
     heads = signed.join(same.filter("row = vertex").select("row"), "row", "left_semi")
     heads = materialize(heads.drop("digest"), "heads")
     scrap(signed_at)
-    links = _links(_by_fingerprints(heads), heads, rows)
+    since = mark()
+    joined = Joined()
+    joined.add(_links(_by_fingerprints(heads), heads, rows), since)
 
     since = mark()
     keys = heads.select("row", F.posexplode("bands").alias("band", "val"))
     keys = keys.join(keys.groupBy("val").agg(F.count("*").alias("n")).filter("n > 1").select("val"), "val")
-    keys = _rooted(materialize(keys, "buckets"), links)
+    keys = _rooted(materialize(keys, "buckets"), joined)
     tidy(since)
     for cut in (False, True)[: 1 + bool(SPLITS)]:
         keys_at, since = latest(), mark()
-        found = _links(_met_once(_cut(keys, heads) if cut else keys), heads, rows)
-        tidy(since)
-        links = links.union(found)
-        keys = _rooted(keys, links)
+        joined.add(_links(_met_once(_cut(keys, heads) if cut else keys), heads, rows), since)
+        keys = _rooted(keys, joined)
         scrap(keys_at)
 
-    keys_at = latest()
-    links = links.union(_links(_first_met(keys.filter(F.col("n") <= BUCKET), heads), heads, rows))
-    left = _rooted(keys.filter(F.col("n") > BUCKET), links)
+    keys_at, since = latest(), mark()
+    joined.add(_links(_first_met(keys.filter(F.col("n") <= BUCKET), heads), heads, rows), since)
+    left = _rooted(keys.filter(F.col("n") > BUCKET), joined)
     scrap(keys_at)
     if not left.isEmpty():
         since = mark()
         pairs = materialize(_rarest(left.select("row", "root"), rows).distinct(), "pairs")
         tidy(since)
-        links = _settled(pairs, links, heads, rows)
-    return same.join(materialize(components(links, "x", "y"), "roots"), "vertex", "left").select("row", F.coalesce("root", "vertex").alias("root"))
+        _settled(pairs, joined, heads, rows)
+    return same.join(joined.root("vertex", "root"), "vertex", "left").select("row", F.coalesce("root", "vertex").alias("root"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
