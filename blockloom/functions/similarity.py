@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import kinds
 from ..kernels import distance, elements, matching, tokens
 from ..kernels.lines import align, word_diff
 from . import columns as C
@@ -23,6 +24,12 @@ def element_text(source: pd.Series) -> pd.Series:
     return source.map(lambda s: None if s is None else elements.element_text(s))
 
 
+def comparison_text(kind: str | Column, source: str | Column) -> Column:
+    """The text by which blocks are compared: canonical for elements, else with white space collapsed."""
+    src = F.col(source) if isinstance(source, str) else source
+    return F.when(C.in_set(kind, kinds.ELEMENT), element_text(src)).otherwise(C.collapsed(src))
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def lexical_tokens(source: pd.Series, language: pd.Series) -> pd.Series:
     return pd.Series([None if s is None else [t.encode("latin-1").decode("utf-8", "replace") for t in tokens.tokens(s.encode().decode("latin-1"), v or "")] for s, v in zip(source, language)])
@@ -60,10 +67,10 @@ def block_similarity(a: dict[str, str], b: dict[str, str], named: bool = True) -
 
 def shown_similarity(a: dict[str, str], b: dict[str, str]) -> Column:
     """Similarity as reported: blocks that are only numbered, or have no name at all, count as equally named."""
-    kinds = F.col(a["kind"]), F.col(b["kind"])
-    numbered = (kinds[0] == kinds[1]) & C.is_ordinal(a["kind"], a["name"]) & C.is_ordinal(b["kind"], b["name"])
+    both = F.col(a["kind"]), F.col(b["kind"])
+    numbered = (both[0] == both[1]) & C.is_ordinal(a["kind"], a["name"]) & C.is_ordinal(b["kind"], b["name"])
     name = F.when(numbered, 1.0).otherwise(name_similarity(a["name"], b["name"], 1.0))
-    return matching.NAME * name + matching.BODY * closeness(F.col(a["body"]), F.col(b["body"])) + matching.KIND * C.kind_similarity(*kinds)
+    return matching.NAME * name + matching.BODY * closeness(F.col(a["body"]), F.col(b["body"])) + matching.KIND * C.kind_similarity(*both)
 
 
 def similarity_bound(a: dict[str, str], b: dict[str, str]) -> Column:
@@ -75,4 +82,4 @@ def similarity_bound(a: dict[str, str], b: dict[str, str]) -> Column:
     return matching.NAME * name + matching.BODY * body + matching.KIND * C.kind_similarity(a["kind"], b["kind"])
 
 
-__all__ = ["osa_distance", "element_text", "lexical_tokens", "lcs_length", "marked_words", "closeness", "name_similarity", "block_similarity", "shown_similarity", "similarity_bound"]
+__all__ = ["osa_distance", "element_text", "comparison_text", "lexical_tokens", "lcs_length", "marked_words", "closeness", "name_similarity", "block_similarity", "shown_similarity", "similarity_bound"]

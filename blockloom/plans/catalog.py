@@ -14,6 +14,7 @@ from ..functions import similarity as S
 from ..kernels import matching
 from ..operators import relational as R
 from ..operators.similar import assigned, similar_pairs
+from ..operators.stages import staged_pairs
 from ..options import Options
 from ..scan import EXTENSIONS
 from ..scan.ecma import LIFECYCLE
@@ -676,6 +677,12 @@ def matched_blocks(spark, d):
     return V.match_blocks(b).select("pair_id", "pair_seq", "stage", "old_ix", "new_ix", F.round("confidence", 9).alias("confidence"), "match_type")
 
 
+@query()
+def staged_blocks(spark, d):
+    """The same pairs by a chain of plans, stage after stage and level after level."""
+    return staged_pairs(blocks(spark, d)).withColumn("confidence", F.round("confidence", 9))
+
+
 # -- code ----------------------------------------------------------------------------------
 
 

@@ -6,6 +6,10 @@ from blockloom.kernels import similar as K
 from blockloom.kernels.assignment import best_edges
 from blockloom.kinds import eligible, kind_similarity
 from blockloom.operators import similar as S
+from blockloom.operators import stages as STAGES
+from blockloom.operators.scratch import Scratch
+from blockloom.operators.stages import staged_pairs
+from blockloom.plans import review as V
 
 KINDS = ["function", "method", "class", "concept", "comment", "jsx", "constant", "variable"]
 
@@ -82,3 +86,84 @@ def test_assignment_of_joined_pairs(spark):
         want += [(g, f"o{i}", f"n{j}", s) for i, j, s in best_edges((int(a[1:]), int(b[1:]), s) for h, a, b, s in edges if h == g)]
     assert got == sorted(want)
     assert S.assigned(frame.filter("false"), ["g"], "a", "b").count() == 0
+
+
+# -- stages as plans -------------------------------------------------------------------------
+
+BLOCK = "pair_id string, side string, block_ix int, id string, kind string, name string, parent string, start_byte long, end_byte long, source string"
+
+
+def versions(pair, seed, n=14):
+    """Two versions of a tree of blocks with few names, so that identities repeat, scopes differ and functions are hoisted."""
+    r = random.Random(seed)
+    rows = []
+    for side in ("old", "new"):
+        ids = []
+        for i in range(n):
+            kind = r.choice(["function", "method", "class", "namespace", "comment", "comment", "jsx", "constant", "concept"])
+            name = "" if kind == "comment" or r.random() < 0.2 else r.choice(["load", "save", "Load_", "x", f"only{side}", f"{side}er"])
+            up = r.choice([*ids[-4:], "", "class:gone:9"]) if ids else ""
+            text = r.choice(["// note", "// other  note", f"// {side} is a longer note", ""]) if kind == "comment" else r.choice(["a + b", "return  a+b;", "<b onClick={f}/>", "", "for (x of y) { z(x); }"])
+            start = 10 * i
+            rows.append((pair, side, i, f"{kind}:{name}:{start}", kind, name, up, start, start + r.choice([8, 18, 38]), text))
+            ids.append(rows[-1][3])
+    return rows
+
+
+def as_rows(df):
+    return sorted((r.pair_id, r.stage, r.old_ix if r.old_ix is not None else -1, r.new_ix if r.new_ix is not None else -1, round(r.confidence, 12), r.match_type) for r in df.collect())
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.0])
+def test_stages_give_the_rows_of_the_kernel(spark, threshold):
+    blocks = spark.createDataFrame([row for k in range(40) for row in versions(f"p{k}", k)], BLOCK)
+    got = as_rows(staged_pairs(blocks, threshold))
+    assert got == as_rows(V.match_blocks(blocks, threshold))
+    if threshold == 0.5:
+        assert {s for _, s, *_ in got} >= {"1", "2", "3a", "3b", "3c", "3d", "4", "added", "removed"}
+
+
+def test_large_groups_are_looked_through_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(STAGES, "SHARE", 4)
+    monkeypatch.setattr(S, "SHARE", 3)
+    blocks = spark.createDataFrame([row for k in range(6) for row in versions(f"p{k}", 90 + k, 30)], BLOCK)
+    assert as_rows(staged_pairs(blocks)) == as_rows(V.match_blocks(blocks))
+
+
+def test_children_meet_level_after_level(spark):
+    """Renamed parents, whose renamed children pair under them and nowhere else."""
+    rows = []
+    for side, names in (("old", "abcdef"), ("new", "uvwxyz")):
+        up = ""
+        for i, n in enumerate(names):
+            rows.append(("p", side, i, f"class:{n}:{i}", "class", n, up, i, 100 - i, "class body of some length " + "inner " * (6 - i)))
+            up = rows[-1][3]
+    got = as_rows(staged_pairs(spark.createDataFrame(rows, BLOCK)))
+    assert [(s, a, b) for _, s, a, b, *_ in got] == [("3a", 0, 0)] + [("3b", i, i) for i in range(1, 6)]
+
+
+def test_identities_that_repeat(spark):
+    """Of equal names the bodies decide, a block more on one side stays alone, and equal totals go to the first."""
+    rows = [("p", "old", i, f"function:f:{i}", "function", "f", "", i, i + 1, t) for i, t in enumerate(["alpha()", "beta()", "beta()"])]
+    rows += [("p", "new", i, f"function:f:{i}", "function", "f", "", i, i + 1, t) for i, t in enumerate(["beta()", "alpha()"])]
+    got = as_rows(staged_pairs(spark.createDataFrame(rows, BLOCK)))
+    assert [r[1:4] for r in got] == [("1", 0, 1), ("1", 1, 0), ("removed", 2, -1)]
+
+
+def test_stages_of_odd_rows(spark):
+    """Nulls in any column, other columns, a ring of parents, and no rows."""
+    rows = versions("p", 3)
+    odd = [(None, "old", 1, "function:f:1", "function", "f", "", 0, 1, "x"), ("p", None, 1, "function:f:1", "function", "f", "", 0, 1, "x"), ("p", "old", None, "q", "function", "f", "", 0, 1, "x"), ("p", "new", 77, None, "function", "f", "", 0, 1, "x")]
+    blank = [("q", s, 0, "unknown::0", None, None, None, 0, 1, None) for s in ("old", "new")]
+    ring = [("r", s, i, f"class:{n}:{i}", "class", n, f"class:{m}:{1 - i}", i, 9, "text") for s in ("old", "new") for i, (n, m) in enumerate(("ab", "ba"))]
+    blocks = spark.createDataFrame(rows + odd + blank + ring, BLOCK).selectExpr("*", "'x' AS __n", "1 AS under", "'y' AS similarity")
+    got = as_rows(staged_pairs(blocks))
+    assert [r for r in got if r[0] == "p"] == as_rows(V.match_blocks(spark.createDataFrame(rows, BLOCK)))
+    assert [r[:4] for r in got if r[0] == "q"] == [("q", "added", -1, 0), ("q", "removed", 0, -1)]
+    assert [r[:4] for r in got if r[0] == "r"] == [("r", "1", 0, 0), ("r", "1", 1, 1)]
+    assert staged_pairs(spark.createDataFrame([], BLOCK)).count() == 0
+    with Scratch(spark) as scratch:
+        kept = scratch.keep(blocks, "kept")
+        path = scratch.paths[0]
+        assert kept.count() == blocks.count()
+    assert not spark._jvm.java.io.File(path.removeprefix("file:")).exists()
