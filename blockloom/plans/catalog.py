@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import kinds
 from ..functions import columns as C
 from ..functions import similarity as S
+from ..functions import tables
 from ..kernels import matching
 from ..operators import relational as R
 from ..operators.similar import assigned, similar_pairs
@@ -706,6 +707,14 @@ def code_blocks(spark, d):
     return V.blocks(programs(spark, d)).select("pair_id", "side", "block_ix", "kind", "name", "scope", "parent", "start_byte", "end_byte", "start_line", "end_line")
 
 
+@query(f"SELECT pair_id, side, block_ix, kind, name, scope, parent, start_byte, end_byte, start_line, end_line FROM ({_program_blocks})")
+def lateral_blocks(spark, d):
+    """EX1, EX22, IO5: the same blocks by the table function, each text joined with its own."""
+    tables.register(spark, "blockloom_blocks")
+    sides = "SELECT pair_id, 'old' AS side, old_src AS src, old_name AS file FROM {p} UNION ALL SELECT pair_id, 'new', new_src, new_name FROM {p}"
+    return spark.sql(f"SELECT pair_id, side, block_ix, kind, name, scope, parent, start_byte, end_byte, start_line, end_line FROM ({sides}) f, LATERAL blockloom_blocks(f.src, f.file)", p=programs(spark, d))
+
+
 @query(f"""WITH k AS (SELECT pair_id, block_ix, side, kind, name, substr(src, start_byte + 1, end_byte - start_byte) AS src FROM ({_program_blocks})), g AS ({_programs}),
     m AS (SELECT a.pair_id, a.block_ix AS pair_seq, a.kind AS k, a.name AS o, b.name AS n, a.src <> b.src AS has_changes,
           floor(100 * (0.35::DOUBLE * CASE WHEN a.name = b.name THEN 1.0::DOUBLE ELSE 1 - levenshtein(a.name, b.name) / greatest(strlen(a.name), strlen(b.name))::DOUBLE END + 0.5::DOUBLE * {_closeness} + 0.15::DOUBLE))::INT AS similarity

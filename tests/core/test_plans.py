@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 from blockloom.cli import git_arguments, main
+from blockloom.functions import tables
 from blockloom.operators import relational as R
 from blockloom.operators.spans import held
 from blockloom.options import Options
@@ -55,6 +56,17 @@ def test_tables_of_reviews(spark):
     assert V.review(odd).count() == 2 and V.review(odd.filter("false")).count() == 0
 
 
+def test_blocks_as_a_table_function(spark):
+    tables.register(spark)
+    pairs = code_pairs(spark)
+    got = spark.sql("SELECT f.pair_id, 'new' AS side, b.* FROM {p} f, LATERAL blocks(f.new_src, f.new_name) b", p=pairs)
+    want = V.blocks(pairs).filter("side = 'new'")
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    for odd in ("NULL, 'a.ts'", "'const x = 1;', NULL", "'const x = 1;', 'a.quux'", "'', 'a.c'"):
+        assert spark.sql(f"SELECT * FROM blocks({odd})").count() == 0
+    assert [r.name for r in spark.sql("SELECT * FROM blocks('const x = 1;', 'a.ts')").collect()] == ["x"]
+
+
 def test_files_tables_and_reports(spark, tmp_path):
     for side, k in (("old", 1), ("new", 2)):
         (tmp_path / side / "d").mkdir(parents=True)
