@@ -33,6 +33,24 @@ BLOCKS = """
     ) i
 """
 
+#: Both versions of an order's lines, as BLOCKS reads them.
+_BOTH = """
+                SELECT *, 'old' AS side, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS block_ix FROM {lineitem}
+                UNION ALL
+                SELECT *, 'new' AS side, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_linenumber) AS block_ix FROM {lineitem}
+"""
+
+#: The same rows from one shuffle: a line gets both of its numbers and gives a block of each version.
+_BOTH_AT_ONCE = """
+                SELECT l.*, e.side, e.block_ix FROM (
+                    SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS old_ix,
+                           row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_linenumber) AS new_ix FROM {lineitem}
+                ) l LATERAL VIEW inline(array(named_struct('side', 'old', 'block_ix', old_ix), named_struct('side', 'new', 'block_ix', new_ix))) e AS side, block_ix
+"""
+
+#: BLOCKS for Spark, which plans it with one shuffle; the oracle reads BLOCKS itself.
+BLOCKS_AT_ONCE = BLOCKS.replace(_BOTH, _BOTH_AT_ONCE)
+
 #: Lines of a diff: an order's lines, each kept, removed or added.
 LINES = """
     SELECT l_orderkey AS pair_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS BIGINT) AS line_seq, CASE WHEN l_suppkey % 2 = 0 THEN 'old' ELSE 'new' END AS side,
