@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -139,3 +139,19 @@ def held(places: DataFrame, spans: DataFrame, keys: Sequence[str], lo: str, hi:
     furthest = F.max("__end").over(W.partitionBy(*keys).orderBy("__at", "__last").rowsBetween(W.unboundedPreceding, 0))
     met = a.unionByName(b).withColumn("__furthest", furthest).filter("__last = 1")
     return met.filter(F.col(f"__row.{hi}") <= F.col("__furthest")).select("__row.*")
+
+
+def held_among(rows: DataFrame, by: Sequence[str], place: tuple[Column, Sequence[Column], Column, Column], span: tuple[Column, Sequence[Column], Column, Column]) -> DataFrame:
+    """The rows whose place lies inside the span of one of the rows.
+
+    place: whether a row has one, its keys besides the columns `by`, lo and hi; span: the same with start and end. Both
+    are made from one reading of the rows, where held() reads two tables.
+    """
+    none = F.lit(None).cast("long")
+    at = lambda what, last, reach, end: F.when(what[0], F.struct(*(k.alias(f"__k{i}") for i, k in enumerate(what[1])), what[2].cast("long").alias("__at"), F.lit(last).alias("__last"), reach.alias("__reach"), end.alias("__end")))
+    ask = at(place, 1, place[3].cast("long"), none)
+    give = at((span[0] & (span[2] < span[3]), *span[1:]), 0, none, span[3].cast("long"))
+    events = rows.select("*", F.explode(F.array(give, ask)).alias("__e")).filter("__e IS NOT NULL").select(*rows.columns, "__e.*")
+    order = W.partitionBy(*by, *(f"__k{i}" for i in range(len(place[1])))).orderBy("__at", "__last").rowsBetween(W.unboundedPreceding, 0)
+    met = events.withColumn("__furthest", F.max("__end").over(order)).filter("__last = 1 AND __reach <= __furthest")
+    return met.select(*rows.columns)
