@@ -99,6 +99,16 @@ def made(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in tables})
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over as many tasks as a shuffle has, four for each core at least.
+
+    For small rows of which each is much work: a table of some MB is read by few tasks, and adaptive plans join a
+    shuffle without a number into few as well.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), key)
+
+
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document against the first one (lowest doc_id) with the same opening line: near copies of one another.
 
