@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +38,35 @@ def lexical_tokens(source: pd.Series, language: pd.Series) -> pd.Series:
     return pd.Series([None if s is None else [t.encode("latin-1").decode("utf-8", "replace") for t in tokens.tokens(s.encode().decode("latin-1"), v or "")] for s, v in zip(source, language)])
 
 
+def lexical_changes(rows: DataFrame, text: str, before: str) -> DataFrame:
+    """rows without their two texts, with tokens int and formatting_only boolean; null where a text is.
+
+    formatting_only: the texts differ and have the same tokens. A row's tokens are counted and let go before the next
+    row is read, so memory holds those of two texts; a text that the row before had already isn't read again.
+    """
+    kept = [c for c in rows.columns if c not in (text, before)]
+
+    def read(s: str | None) -> list[str] | None:
+        return None if s is None else [t.encode("latin-1").decode("utf-8", "replace") for t in tokens.tokens(s.encode().decode("latin-1"), "")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        for b in batches:
+            count: list[int | None] = []
+            same: list[bool | None] = []
+            for x, y in zip(b.column(text), b.column(before)):
+                x, y = x.as_py(), y.as_py()
+                old = last[1] if y == last[0] else None
+                last = x, read(x)
+                count.append(None if x is None else len(last[1]))
+                same.append(None if x is None or y is None else x != y and last[1] == (read(y) if old is None else old))
+            made = [pa.array(count, pa.int32()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *made], names=[*kept, "tokens", "formatting_only"])
+
+    own = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.mapInArrow(run, f"{own}, tokens int, formatting_only boolean")
+
+
 @F.pandas_udf(T.LongType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two arrays."""
@@ -82,4 +114,4 @@ def similarity_bound(a: dict[str, str], b: dict[str, str]) -> Column:
     return matching.NAME * name + matching.BODY * body + matching.KIND * C.kind_similarity(a["kind"], b["kind"])
 
 
-__all__ = ["osa_distance", "element_text", "comparison_text", "lexical_tokens", "lcs_length", "marked_words", "closeness", "name_similarity", "block_similarity", "shown_similarity", "similarity_bound"]
+__all__ = ["osa_distance", "element_text", "comparison_text", "lexical_tokens", "lexical_changes", "lcs_length", "marked_words", "closeness", "name_similarity", "block_similarity", "shown_similarity", "similarity_bound"]
