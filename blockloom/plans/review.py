@@ -173,9 +173,15 @@ def line_diff(pairs: DataFrame, options: Options = Options()) -> DataFrame:
 
 def reports(pairs: DataFrame, options: Options = Options()) -> DataFrame:
     """(pair_id, line_seq, text): the report of every pair, line by line."""
-    lines = F.split("report", "\n", -1)
-    return review(pairs, options).select("pair_id", F.posexplode(lines).alias("line_seq", "text"))
+    made = _per_pair(pairs, "report string", lambda old_name, old, new_name, new: [dict(report=kernel.review(old, new, old_name, new_name, options).text())])
+    return made.select("pair_id", F.posexplode(F.split("report", "\n", -1)).alias("line_seq", "text"))
 
 
 def summaries(pairs: DataFrame, options: Options = Options()) -> DataFrame:
-    return review(pairs, options).select("pair_id", "summary.*", "old_parse_errors", "new_parse_errors", "fallback")
+    """The counters of every pair's summary, its parse errors and whether its lines were compared whole; no lines leave the kernel."""
+
+    def rows(old_name: str, old: str, new_name: str, new: str) -> list[dict]:
+        r = kernel.review(old, new, old_name, new_name, options)
+        return [dict(**r.report.summary(), old_parse_errors=r.errors[0], new_parse_errors=r.errors[1], fallback=r.fallback)]
+
+    return _per_pair(pairs, ", ".join([*(f"{c} bigint" for c in COUNTERS), "old_parse_errors int, new_parse_errors int, fallback boolean"]), rows)
