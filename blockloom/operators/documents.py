@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 _SIZE = "__size"
 
 
+def many_tasks(spark: SparkSession) -> int:
+    """Tasks for rows of which each is much work: as many as a shuffle has, four for each core at least. Adaptive plans join small shuffles without a number into few."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def per_document(rows: DataFrame, keys: Sequence[str], fn: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
     """fn of tables of whole documents (rows of equal keys, neighbours; several documents at a time).
 

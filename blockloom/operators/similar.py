@@ -2,8 +2,10 @@
 
 Blocks meet only within their keys, through an inverted index over the tokens that a pair at the
 threshold must share (kernels.similar): no table of all pairs is made, and pairs below the
-threshold leave no row. The old blocks of a large group are dealt into shares, each with its own
-index of the new ones, so that no group is one task's work alone.
+threshold leave no row. Blocks of equal kind, folded name and text are one class and compared once.
+The old classes of a large group are dealt into shares, each with its own index of the new ones,
+so that no group is one task's work alone. Pairs of copies are made from pairs of classes by the
+plan at the very end; an assignment takes classes with their members and makes no such pairs.
 """
 
 from __future__ import annotations
@@ -11,59 +13,122 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..kernels.assignment import best_edges
+from ..kernels.assignment import best_copies, best_edges
 from ..kernels.similar import SimilarIndex
+from .documents import many_tasks
 
-#: Old blocks of a share.
+#: Old classes of a share.
 SHARE = 1024
+#: Members of a class that are one row: bounds the pairs that a row of two of them gives.
+MEMBERS = 1024
 
 
-def similar_pairs(old: DataFrame, new: DataFrame, keys: Sequence[str], threshold: float = 0.5, named: bool = True) -> DataFrame:
-    """(keys, old_id, new_id, similarity) of all blocks of equal keys whose similarity is `threshold` or more.
-
-    Both sides have the keys, id, kind, name and body (the text that is compared). Without
-    `named` names count for nothing, as between comments. Null names and bodies count as empty,
-    rows with a null id or key take no part; a threshold above 1 finds nothing.
-    """
-    limit = min(max(threshold, 0.0), 1.0) if threshold == threshold else 1.0
+def _classed(side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, id, kind, name, body, class): the rows that take part; class is the digest of kind, folded name and body."""
+    text = lambda c: F.encode(F.coalesce(c, F.lit("")), "utf-8")
+    able = side.dropna(subset=["id", *keys])
+    rows = able.select(*keys, "id", "kind", text(C.folded_name(F.coalesce("name", F.lit("")))).alias("name"), text(F.col("body")).alias("body"))
+    kind = F.coalesce(F.concat(F.lit("k"), "kind"), F.lit(""))
+    sizes = F.concat_ws(":", F.length(F.encode(kind, "utf-8")), F.length("name"), kind)
+    return rows.withColumn("class", F.unhex(F.sha2(F.concat(F.encode(sizes, "utf-8"), "name", "body"), 256)))
 
-    def sided(side: DataFrame) -> DataFrame:
-        text = lambda c: F.encode(F.coalesce(c, F.lit("")), "utf-8")
-        able = side.filter(F.col("id").isNotNull())
-        for k in keys:
-            able = able.filter(F.col(k).isNotNull())
-        return able.select(*keys, "id", "kind", text(C.folded_name(F.coalesce("name", F.lit("")))).alias("name"), text(F.col("body")).alias("body"))
 
-    a, b = sided(old), sided(new)
+def _similar_classes(a: DataFrame, b: DataFrame, keys: Sequence[str], threshold: float, named: bool) -> DataFrame:
+    """(keys, old_class, new_class, similarity) of the classes of _classed() whose similarity is `threshold` or more."""
+    limit = min(max(threshold, 0.0), 1.0) if threshold == threshold else 1.0
+    one_each = lambda side: side.groupBy(*keys, "class").agg(*(F.first(c).alias(c) for c in ("kind", "name", "body")))
+    a, b = one_each(a), one_each(b)
     shares = a.groupBy(*keys).agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
     deal = F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
-    a = a.join(shares, list(keys)).withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int")).drop("shares")
+    a = a.join(shares, list(keys)).withColumn("share", F.pmod(F.xxhash64("class"), F.col("shares")).cast("int")).drop("shares")
     b = b.join(shares, list(keys)).select("*", deal).drop("shares")
     b = b.select(*(F.col(c).alias(f"new_{c}") for c in b.columns))  # both sides may come from one table
-
-    id_types = [old.schema["id"].dataType.simpleString(), new.schema["id"].dataType.simpleString()]
-    key_types = [old.schema[k].dataType.simpleString() for k in keys]
-    names = [*keys, "old_id", "new_id", "similarity"]
+    names = [*keys, "old_class", "new_class", "similarity"]
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
-        fields = [*(x.schema.field(k).type for k in keys), x.schema.field("id").type, y.schema.field("new_id").type, pa.float64()]
+        fields = [*(x.schema.field(k).type for k in keys), pa.binary(), pa.binary(), pa.float64()]
         found: list[tuple] = []
         if x.num_rows and y.num_rows:
             index = SimilarIndex(list(zip(*(y.column(f"new_{c}").to_pylist() for c in ("kind", "name", "body")))), limit, named)
-            ids = y.column("new_id").to_pylist()
+            ids = y.column("new_class").to_pylist()
             key = [x.column(k)[0].as_py() for k in keys]
-            for i, *block in zip(*(x.column(c).to_pylist() for c in ("id", "kind", "name", "body"))):
+            for i, *block in zip(*(x.column(c).to_pylist() for c in ("class", "kind", "name", "body"))):
                 found += [(*key, i, ids[j], s) for j, s in index.near(*block)]
         columns = zip(*found) if found else [[]] * len(names)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, fields)], names=names)
 
-    schema = ", ".join(f"{c} {t}" for c, t in zip(names, [*key_types, *id_types, "double"]))
-    by = [*keys, "share"]
-    return a.groupBy(*by).cogroup(b.groupBy(*(f"new_{c}" for c in by))).applyInArrow(meet, schema)
+    schema = ", ".join([*(f"{k} {a.schema[k].dataType.simpleString()}" for k in keys), "old_class binary, new_class binary, similarity double"])
+    by, new_by = [*keys, "share"], [*(f"new_{k}" for k in keys), "new_share"]
+    n = many_tasks(a.sparkSession)  # a few MB of blocks are many comparisons
+    return a.repartition(n, *by).groupBy(*by).cogroup(b.repartition(n, *new_by).groupBy(*new_by)).applyInArrow(meet, schema)
+
+
+def _members(side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, class, chunk, ids): the ids of each class, MEMBERS a row at most."""
+    place = F.row_number().over(W.partitionBy(*keys, "class").orderBy("id"))
+    chunk = F.floor((place - 1) / MEMBERS).cast("int").alias("chunk")
+    return side.select(*keys, "class", "id", chunk).groupBy(*keys, "class", "chunk").agg(F.collect_list("id").alias("ids"))
+
+
+def similar_pairs(old: DataFrame, new: DataFrame, keys: Sequence[str], threshold: float = 0.5, named: bool = True, digits: int | None = None) -> DataFrame:
+    """(keys, old_id, new_id, similarity) of all blocks of equal keys whose similarity is `threshold` or more.
+
+    Both sides have the keys, id, kind, name and body (the text that is compared). Without
+    `named` names count for nothing, as between comments. Null names and bodies count as empty,
+    rows with a null id or key take no part; a threshold above 1 finds nothing. With `digits`
+    similarities are rounded, once for all copies of two blocks.
+    """
+    a, b = _classed(old, keys), _classed(new, keys)
+    met = _similar_classes(a, b, keys, threshold, named)
+    if digits is not None:
+        met = met.withColumn("similarity", F.round("similarity", digits))
+    for s, side in (("old", a), ("new", b)):
+        met = met.join(_members(side, keys).withColumnsRenamed({"class": f"{s}_class", "chunk": f"{s}_chunk", "ids": f"{s}_ids"}), [*keys, f"{s}_class"])
+    # Rows of few bytes give up to MEMBERS * MEMBERS pairs each.
+    dealt = met.repartition(many_tasks(old.sparkSession), "old_class", "new_class", "old_chunk", "new_chunk")
+    some = dealt.select(*keys, F.explode("old_ids").alias("old_id"), "new_ids", "similarity")
+    return some.select(*keys, "old_id", F.explode("new_ids").alias("new_id"), "similarity")
+
+
+def assigned_similar(old: DataFrame, new: DataFrame, keys: Sequence[str], threshold: float = 0.5, named: bool = True) -> DataFrame:
+    """assigned() of similar_pairs(), from classes and their members: pairs of copies are never made.
+
+    A task holds the blocks of a group and the pairs of its classes. Ids are unique within a side's keys.
+    """
+    sides = {"old": _classed(old, keys), "new": _classed(new, keys)}
+    met = _similar_classes(*sides.values(), keys, threshold, named)
+    none = F.lit(None)
+    kind = {s: side.schema["id"].dataType.simpleString() for s, side in sides.items()}
+    rows = met.select(*keys, "old_class", "new_class", "similarity", *(none.cast(kind[s]).alias(f"{s}_id") for s in sides))
+    for s, side in sides.items():
+        own = side.select(*keys, F.col("class").alias(f"{s}_class"), F.col("id").alias(f"{s}_id"))
+        rows = rows.unionByName(own, allowMissingColumns=True)
+    names = [*keys, "old_id", "new_id", "similarity"]
+
+    def solve(t: pa.Table) -> pa.Table:
+        pairs = t.filter(pc.is_valid(t.column("similarity")))
+        sides, places = [], []
+        for s in ("old", "new"):
+            mine = t.filter(pc.is_valid(t.column(f"{s}_id"))).select([f"{s}_class", f"{s}_id"])
+            mine = sorted(zip(mine.column(1).to_pylist(), mine.column(0).to_pylist()))
+            place = {c: i for i, c in enumerate(dict.fromkeys(c for _, c in mine))}
+            sides.append([i for i, _ in mine])
+            places.append((place, [place[c] for _, c in mine]))
+        (rows, row_class), (columns, column_class) = places
+        edges = ((rows[i], columns[j], s) for i, j, s in zip(*(pairs.column(c).to_pylist() for c in ("old_class", "new_class", "similarity"))))
+        best = best_copies(edges, row_class, column_class)
+        own = t.select(list(keys)).take(pa.array([0] * len(best), pa.int64()))
+        made = [pa.array([sides[0][i] for i, _, _ in best], t.schema.field("old_id").type), pa.array([sides[1][j] for _, j, _ in best], t.schema.field("new_id").type), pa.array([s for *_, s in best], pa.float64())]
+        return pa.Table.from_arrays([*(own.column(k) for k in keys), *made], names=names)
+
+    schema = ", ".join([*(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys), f"old_id {kind['old']}, new_id {kind['new']}, similarity double"])
+    return rows.repartition(many_tasks(old.sparkSession), *keys).groupBy(*keys).applyInArrow(solve, schema)
 
 
 def assigned(edges: DataFrame, keys: Sequence[str], row: str, column: str, similarity: str = "similarity") -> DataFrame:

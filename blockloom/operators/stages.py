@@ -29,7 +29,7 @@ from ..kernels.similar import SimilarIndex, reaches
 from .documents import documents_of, per_document
 from .relational import DOC, forest
 from .scratch import Scratch
-from .similar import assigned, similar_pairs
+from .similar import assigned_similar
 from .spans import equal_comment_pairs
 
 #: Blocks of a group from which it is looked through in shares.
@@ -103,8 +103,8 @@ def best_similar(blocks: DataFrame, keys: Sequence[str], threshold: float = 0.5,
     sizes = slim.groupBy(*keys).agg(F.count("*").alias("__n"), F.countDistinct("side").alias("__sides")).filter("__sides = 2").drop("__sides")
     sized = slim.join(sizes, list(keys))
     large = sized.filter(F.col("__n") > SHARE).withColumnRenamed("block_ix", "id").drop("__n")
-    found = similar_pairs(large.filter("side = 'old'"), large.filter("side = 'new'"), keys, limit, named)
-    dealt = assigned(found, keys, "old_id", "new_id").withColumnsRenamed({"old_id": "old_ix", "new_id": "new_ix"})
+    found = assigned_similar(large.filter("side = 'old'"), large.filter("side = 'new'"), keys, limit, named)
+    dealt = found.withColumnsRenamed({"old_id": "old_ix", "new_id": "new_ix"})
     return _streamed(sized.filter(F.col("__n") <= SHARE), keys, near).unionByName(dealt)
 
 

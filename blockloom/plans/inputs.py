@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.documents import many_tasks
+
 #: Blocks of an order: kinds, spans that hold one another, unnamed ones, and parents that exist, miss or are roots.
 BLOCKS = """
     SELECT pair_id, side, block_ix, id, kind, name, scope_own,
@@ -105,8 +107,7 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     For small rows of which each is much work: a table of some MB is read by few tasks, and adaptive plans join a
     shuffle without a number into few as well.
     """
-    spark = rows.sparkSession
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), key)
+    return rows.repartition(many_tasks(rows.sparkSession), key)
 
 
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 
 import pytest
 from blockloom.kernels import similar as K
-from blockloom.kernels.assignment import best_edges
+from blockloom.kernels.assignment import best_copies, best_edges
 from blockloom.kinds import eligible, kind_similarity
 from blockloom.operators import similar as S
 from blockloom.operators import stages as STAGES
@@ -167,3 +167,35 @@ def test_stages_of_odd_rows(spark):
         path = scratch.paths[0]
         assert kept.count() == blocks.count()
     assert not spark._jvm.java.io.File(path.removeprefix("file:")).exists()
+
+
+def copies(spark, n, seed):
+    """Blocks of two groups, most of them copies of others."""
+    r = random.Random(seed)
+    some = some_blocks(7, seed)
+    return [(r.choice("xy"), seed * 1000 + i, *r.choice(some)) for i in range(n)]
+
+
+@pytest.mark.parametrize("members", [2, 1024])
+def test_copies_are_compared_once_and_all_paired(spark, monkeypatch, members):
+    monkeypatch.setattr(S, "MEMBERS", members)
+    old, new = copies(spark, 60, 3), copies(spark, 50, 4)
+    new += [(g, i + 5000, *block) for g, i, *block in old[:20]]
+    frames = [spark.createDataFrame([(g, i, k, n.decode(), b.decode()) for g, i, k, n, b in side], "g string, id long, kind string, name string, body string") for side in (old, new)]
+    want = sorted((a[0], a[1], b[1], s) for a in old for b in new if a[0] == b[0] and (s := plain(a[2:], b[2:], 0.5, True)) is not None)
+    assert sorted(map(tuple, S.similar_pairs(*frames, ["g"]).collect())) == want
+    classes = {(g, *a, *b) for g, i, *a in old for h, j, *b in new if g == h and plain(tuple(a), tuple(b), 0.5, True) is not None}
+    assert S._similar_classes(*(S._classed(f, ["g"]) for f in frames), ["g"], 0.5, True).count() == len(classes) < len(want)
+    edges = spark.createDataFrame(want, "g string, old_id long, new_id long, similarity double")
+    assert sorted(map(tuple, S.assigned_similar(*frames, ["g"]).collect())) == sorted(map(tuple, S.assigned(edges, ["g"], "old_id", "new_id").collect()))
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_assignment_of_copies_is_that_of_all_pairs(seed):
+    r = random.Random(seed)
+    m, n = r.randint(1, 5), r.randint(1, 5)
+    rows, columns = ([r.randrange(k) for _ in range(r.randint(1, 12))] for k in (m, n))
+    values = r.choice([[0.5, 0.6, 1.0], [0.0, 0.5], [0.1 * i for i in range(10)], [0.5, 0.75, 0.625]])
+    pairs = {(i, j): r.choice(values) for i in sorted(set(rows)) for j in sorted(set(columns)) if r.random() < 0.7}
+    full = [(i, j, pairs[a, b]) for i, a in enumerate(rows) for j, b in enumerate(columns) if (a, b) in pairs]
+    assert best_copies([(i, j, s) for (i, j), s in pairs.items()], rows, columns) == best_edges(full)
