@@ -18,6 +18,7 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import kinds
@@ -37,6 +38,11 @@ SHARE = 2048
 _IX = ["pair_id", "old_ix", "new_ix"]
 
 
+def _met(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join whose sides grow with the corpus, by sorting: ten MB of packed pairs that Spark would broadcast are many times that in the driver, and every stage joins anew."""
+    return a.hint("merge").join(b.hint("merge"), list(on), how)
+
+
 def _streamed(blocks: DataFrame, keys: Sequence[str], edges: Callable[[list, list], list[tuple[int, int, float]]]) -> DataFrame:
     """(keys, old_ix, new_ix, similarity): the best of the edges that `edges` gives for the old and new blocks (kind, folded name, body) of equal keys.
 
@@ -100,8 +106,8 @@ def best_similar(blocks: DataFrame, keys: Sequence[str], threshold: float = 0.5,
         return [(i, j, s) for i, a in enumerate(old) for j, s in index.near(*a)]
 
     slim = blocks.select(*keys, "side", "block_ix", "kind", "name", "body")
-    sizes = slim.groupBy(*keys).agg(F.count("*").alias("__n"), F.countDistinct("side").alias("__sides")).filter("__sides = 2").drop("__sides")
-    sized = slim.join(sizes, list(keys))
+    whole = W.partitionBy(*keys)
+    sized = slim.dropna(subset=list(keys)).withColumns({"__n": F.count("*").over(whole), "__both": F.min("side").over(whole) < F.max("side").over(whole)}).filter("__both").drop("__both")
     large = sized.filter(F.col("__n") > SHARE).withColumnRenamed("block_ix", "id").drop("__n")
     found = assigned_similar(large.filter("side = 'old'"), large.filter("side = 'new'"), keys, limit, named)
     dealt = found.withColumnsRenamed({"old_id": "old_ix", "new_id": "new_ix"})
@@ -115,7 +121,7 @@ def nodes(blocks: DataFrame) -> DataFrame:
     made = forest(shaped, "block_ix", "kind", "name", "parent", "body")
     for up in ("parent", "container"):
         ids = shaped.select(*DOC, F.col("id").alias(up), F.col("block_ix").alias(f"{up}_ix"))
-        made = made.join(ids, [*DOC, up], "left")
+        made = _met(made, ids, [*DOC, up], "left")
     return made.select(*DOC, "block_ix", "id", "kind", "name", "body", "scope_path", "is_root", "parent_ix", "container_ix")
 
 
@@ -138,7 +144,7 @@ class _Run:
         self.found: list[DataFrame] = []
 
     def rest(self) -> DataFrame:
-        return self.all.join(_used(_union(self.found)), [*DOC, "block_ix"], "left_anti") if self.found else self.all
+        return _met(self.all, _used(_union(self.found)), [*DOC, "block_ix"], "left_anti") if self.found else self.all
 
     def add(self, pairs: DataFrame, stage: str, match_type: str = "similarity") -> DataFrame:
         """Write the pairs (pair_id, old_ix, new_ix, similarity) of a stage and count their blocks as used."""
@@ -152,7 +158,7 @@ class _Run:
         front = pairs
         while True:
             under = _union([front.select("pair_id", F.lit(s).alias("side"), F.col(f"{s}_ix").alias("parent_ix"), F.col("old_ix").alias("under")) for s in ("old", "new")])
-            met = children.join(under, [*DOC, "parent_ix"])
+            met = _met(children, under, [*DOC, "parent_ix"])
             front = self.add(best_similar(met, ["pair_id", "under"], self.threshold), stage)
             if front.isEmpty():
                 self.found.pop()
@@ -171,12 +177,12 @@ def staged_pairs(blocks: DataFrame, threshold: float = 0.5) -> DataFrame:
         run = _Run(scratch, blocks, threshold)
         run.add(best_of_all(run.all.filter("name <> ''"), ["pair_id", "kind", "name", "scope_path"]), "1", "exact_name")
 
-        gone = _used(run.found[0]).join(run.all.filter("kind = 'comment'"), [*DOC, "block_ix"], "left_semi")
+        gone = _met(_used(run.found[0]), run.all.filter("kind = 'comment'"), [*DOC, "block_ix"], "left_semi")
         able = blocks.dropna(subset=[*DOC, "block_ix", "id"]).fillna("", ["name", "source"])
-        equal = equal_comment_pairs(able.join(gone, [*DOC, "block_ix"], "left_anti"))
+        equal = equal_comment_pairs(_met(able, gone, [*DOC, "block_ix"], "left_anti"))
         for s in ("old", "new"):
             ids = run.all.filter((F.col("kind") == "comment") & (F.col("side") == s)).select("pair_id", F.col("id").alias(f"{s}_id"), F.col("block_ix").alias(f"{s}_ix"))
-            equal = equal.join(ids, ["pair_id", f"{s}_id"])
+            equal = _met(equal, ids, ["pair_id", f"{s}_id"])
         run.add(equal.withColumn("similarity", F.lit(1.0)), "2")
 
         run.add(best_similar(run.rest().filter("kind <> 'comment' AND is_root"), ["pair_id"], threshold), "3a")
@@ -185,7 +191,8 @@ def staged_pairs(blocks: DataFrame, threshold: float = 0.5) -> DataFrame:
 
         rest = run.rest()
         single = rest.select(*DOC, F.col("block_ix").alias("container_ix"))
-        hoistable = rest.filter((F.col("name") != "") & C.in_set("kind", kinds.HOISTABLE)).join(single, [*DOC, "container_ix"], "left_semi")
+        hoistable = rest.filter((F.col("name") != "") & C.in_set("kind", kinds.HOISTABLE))
+        hoistable = _met(hoistable, single, [*DOC, "container_ix"], "left_semi")
         run.below(run.add(best_of_all(hoistable, ["pair_id", "name"]), "3d", "exact_name"), "3d")
         run.add(best_similar(run.rest().filter("kind = 'comment'"), ["pair_id"], threshold, False), "4")
 

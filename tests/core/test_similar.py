@@ -199,3 +199,16 @@ def test_assignment_of_copies_is_that_of_all_pairs(seed):
     pairs = {(i, j): r.choice(values) for i in sorted(set(rows)) for j in sorted(set(columns)) if r.random() < 0.7}
     full = [(i, j, pairs[a, b]) for i, a in enumerate(rows) for j, b in enumerate(columns) if (a, b) in pairs]
     assert best_copies([(i, j, s) for (i, j), s in pairs.items()], rows, columns) == best_edges(full)
+
+
+def test_stages_broadcast_nothing_that_grows(spark):
+    """The driver would hold each broadcast side, unpacked; these are small enough for Spark to choose that by itself."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    blocks = V.blocks(spark.createDataFrame([(1, "a.js", "function f() { return 1; }\nfunction g() {}", "a.js", "function h() { return 2; }\nfunction g() {}")], "pair_id long, old_name string, old_src string, new_name string, new_src string"))
+    with Scratch(spark) as scratch:
+        run = STAGES._Run(scratch, blocks, 0.5)
+        run.add(STAGES.best_of_all(run.all.filter("name <> ''"), ["pair_id", "kind", "name", "scope_path"]), "1", "exact_name")
+        rest = run.rest()
+        for df in (STAGES.nodes(blocks), rest, rest.filter("is_root")):
+            assert "Join" in plan(df) and "BroadcastHashJoin" not in plan(df)
+        assert sorted(tuple(x) for x in rest.select("side", "name").collect()) == [("new", "h"), ("old", "f")]
