@@ -12,11 +12,11 @@ from .lines import Line
 
 
 def raw(text: str) -> str:
-    return text.encode("utf-8", "surrogateescape").decode("latin-1")
+    return text if text.isascii() else text.encode("utf-8", "surrogateescape").decode("latin-1")
 
 
 def text(source: str) -> str:
-    return source.encode("latin-1").decode("utf-8", "replace")
+    return source if source.isascii() else source.encode("latin-1").decode("utf-8", "replace")
 
 
 @dataclass(eq=False)

@@ -18,7 +18,10 @@ def plain_text(source: str) -> str:
 
 
 def element_text(source: str) -> str:
+    s = plain_text(source)
+    if not any(c in s for c in ' <"$/'):
+        return s  # every rule below takes one of them
     lowered = lambda m: m[1] + m[2].lower()
-    s = _listener.sub(r"{\1}", plain_text(source)).replace("${", "{")
+    s = _listener.sub(r"{\1}", s).replace("${", "{")
     s = _event.sub(lowered, _prefixed.sub(lowered, _quoted.sub(r"{\1}", s)))
     return _closer.sub(">", s.replace("/>", ">"))

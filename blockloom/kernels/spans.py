@@ -10,6 +10,9 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Sequence
 
+#: Spans times places up to which they are simply compared.
+FEW = 64
+
 
 def smallest_around(spans: Sequence[tuple[int, int, object]], places: Sequence[tuple[int, int, int | None]], strict: bool = False) -> list[int | None]:
     """Per place (start, reach, own) the number of the smallest span (start, end, tie) that starts no later and ends no earlier than reach.
@@ -17,6 +20,8 @@ def smallest_around(spans: Sequence[tuple[int, int, object]], places: Sequence[t
     The lower tie comes first among spans of one size; `own` numbers a span that isn't meant. If
     strict, a span of the very place (start and reach) isn't either. Empty spans hold nothing.
     """
+    if len(spans) * len(places) <= FEW:
+        return [_plainly(spans, *place, strict) for place in places]
     ends = sorted({e for s, e, _ in spans if s < e})
     n = len(ends)
     best: list[list[tuple]] = [[] for _ in range(n + 1)]
@@ -66,3 +71,13 @@ def smallest_around(spans: Sequence[tuple[int, int, object]], places: Sequence[t
                 found = before[i]
             out[p] = None if found is None else found[2]
     return out
+
+
+def _plainly(spans: Sequence[tuple[int, int, object]], start: int, reach: int, own: int | None, strict: bool) -> int | None:
+    """The same for one place, by looking at every span."""
+    best = None
+    for number, (s, e, tie) in enumerate(spans):
+        if s <= start and e >= reach and s < e and number != own and not (strict and s == start and e == reach):
+            if best is None or (e - s, tie, number) < best:
+                best = (e - s, tie, number)
+    return None if best is None else best[2]

@@ -120,19 +120,19 @@ def match_blocks(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     names = ["pair_id", "pair_seq", "stage", "old_ix", "new_ix", "confidence", "match_type"]
     kind = rows.schema["pair_id"].dataType.simpleString()
 
-    def match(pair_id, found: list[dict]) -> Iterator[tuple]:
+    def match(pair_id, found: list[tuple]) -> Iterator[tuple]:
         sides: dict[str, list[Block]] = {"old": [], "new": []}
         ix: dict[Block, int] = {}
-        for r in found:
-            b = Block(r["kind"], raw(r["name"] or ""), r["start_byte"], r["end_byte"], raw(r["source"] or ""), raw(r["parent"] or ""), id=raw(r["id"]))
-            ix[b] = r["block_ix"]
-            sides[r["side"]].append(b)
+        for _, side, block_ix, block_id, kind, name, parent, start, end, source in found:
+            b = Block(kind, raw(name or ""), start, end, raw(source or ""), raw(parent or ""), id=raw(block_id))
+            ix[b] = block_ix
+            sides[side].append(b)
         for i, p in enumerate(Matcher(sides["old"], sides["new"], threshold).run()):
             yield pair_id, i, p.stage or ("added" if p.old is None else "removed"), ix.get(p.old), ix.get(p.new), p.confidence, p.match_type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        held: list[dict] = []
+        held: list[tuple] = []
         at = None
 
         def batch() -> pa.RecordBatch:
@@ -141,11 +141,11 @@ def match_blocks(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
 
         for b in batches:
             id_type = b.schema.field("pair_id").type
-            for r in b.to_pylist():
-                if held and r["pair_id"] != at:
+            for r in zip(*(b.column(c).to_pylist() for c in need)):
+                if held and r[0] != at:
                     out += match(at, held)
                     held = []
-                at = r["pair_id"]
+                at = r[0]
                 held.append(r)
             if len(out) > 10_000:
                 yield batch()

@@ -4,7 +4,10 @@ import sys
 import tracemalloc
 
 import pytest
+from blockloom.kernels import elements, matching
+from blockloom.kernels import spans as kernel_spans
 from blockloom.kernels.assignment import best_edges, best_pairs
+from blockloom.kernels.blocks import Block
 from blockloom.kernels.comments import equal_comments
 from blockloom.kernels.distance import osa
 from blockloom.kernels.elements import element_text
@@ -232,3 +235,33 @@ def test_texts_nest_to_any_depth(name):
     shallow, deep = (extract(text(n), language) for n in (20, 10_000))
     assert sys.getrecursionlimit() == before
     assert (shallow.errors > 0) == (deep.errors > 0) and len(deep.blocks) >= len(shallow.blocks)
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_few_spans_are_compared_as_many_are_swept(monkeypatch, strict):
+    r = random.Random(8)
+    for _ in range(300):
+        spans = [(s, s + r.randint(0, 9), i // 2) for i, s in enumerate(r.choices(range(12), k=r.randint(0, 7)))]
+        places = [(s, s + r.randint(0, 5), r.choice([None, 0, 3])) for s in r.choices(range(14), k=r.randint(0, 8))]
+        monkeypatch.setattr(kernel_spans, "FEW", 64)
+        few = kernel_spans.smallest_around(spans, places, strict)
+        monkeypatch.setattr(kernel_spans, "FEW", -1)
+        assert few == kernel_spans.smallest_around(spans, places, strict)
+
+
+def test_matching_asks_only_what_can_pair(monkeypatch):
+    """Comments on one side only need no places, and the path of a parent is made once for all its children."""
+    monkeypatch.setattr(matching.Side, "comment_scopes", lambda *_: pytest.fail("no comments to pair"))
+    asked = []
+    path = matching.Side._path
+    monkeypatch.setattr(matching.Side, "_path", lambda self, at: asked.append(at) or path(self, at))
+    old = [Block("class", "C", 0, 90, "class C"), *(Block("method", f"m{i}", i, i + 1, f"m{i}", "class:C:0") for i in range(1, 9)), Block("comment", "", 40, 41, "// x")]
+    new = [Block("class", "C", 0, 90, "class C"), *(Block("method", f"m{i}", i, i + 1, f"m{i}", "class:C:0") for i in range(1, 9))]
+    found = matching.Matcher(old, new).run()
+    assert [(p.stage, p.both) for p in found] == [("1", True)] * 9 + [("", False)] and sorted(asked) == ["", "", "class:C:0", "class:C:0"]
+
+
+def test_plain_sources_are_their_own_element_texts():
+    for s in ("", "abc", "a  b", 'x"{y}"', "${z}", "a/>", "tab\tx", " y ?a", "<a onClick=1></a>", "bool:x", "onClick"):
+        with_space = elements.element_text(s + " <")
+        assert elements.element_text(s) + (" <" if s else "<") == with_space
