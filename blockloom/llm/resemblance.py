@@ -139,13 +139,19 @@ def _links(pairs: DataFrame, heads: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _by_fingerprints(heads: DataFrame) -> DataFrame:
-    """Pairs (x, y) of rows whose fingerprints operator 6 links: the first rows of two that differ, the first and each other row of one."""
+    """Pairs (x, y) of rows whose fingerprints operator 6 links: the first rows of two that differ, the first and each other row of one.
+
+    They are written, for the scratch tables that they come from don't outlast this.
+    """
+    since = mark()
     first = materialize(heads.groupBy("fp").agg(F.min("row").alias("least")), "fingerprints")
     near = simhash.links(first.select("fp")).withColumnsRenamed({"x": "u", "y": "v"})
     side = lambda at, fp: first.select(F.col("fp").alias(fp), F.col("least").alias(at))
     apart = near.join(side("a", "u"), "u").join(side("b", "v"), "v").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     equal = heads.join(first, "fp").filter("row <> least").select(F.col("least").alias("x"), F.col("row").alias("y"))
-    return apart.union(equal).distinct()
+    pairs = materialize(apart.union(equal).distinct(), "near-prints")
+    tidy(since)
+    return pairs
 
 
 class Joined:
@@ -273,9 +279,8 @@ def near_groups(rows: DataFrame) -> DataFrame:
     heads = signed.join(same.filter("row = vertex").select("row"), "row", "left_semi")
     heads = materialize(heads.drop("digest"), "heads")
     scrap(signed_at)
-    since = mark()
-    joined = Joined()
-    joined.add(_links(_by_fingerprints(heads), heads, rows), since)
+    near, joined = _by_fingerprints(heads), Joined()
+    joined.add(_links(near, heads, rows), mark())
 
     since = mark()
     keys = heads.select("row", F.posexplode("bands").alias("band", "val"))
