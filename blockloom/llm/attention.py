@@ -10,6 +10,7 @@ to GROUPS, which holds every id of the tokenizer.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -19,6 +20,12 @@ GROUPS = MEMBERS = 225
 SLOTS = GROUPS * MEMBERS
 #: Windows of a batch: bounds the memory of the forward pass.
 BATCH = 512
+#: Windows that go through attention at once, and places through a softmax.
+WINDOWS, PLACES = 32, 512
+#: Rows of a block of a long product.
+BLOCK = 256
+#: An id of more places in a batch is summed by itself.
+OFTEN = 16
 #: Parameters that Adam takes at once.
 CELLS = 1 << 15
 _CAUSAL = np.where(np.tri(T, dtype=bool), 0.0, -1e9).astype(np.float32)
@@ -87,26 +94,60 @@ def training_windows(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def forward(p: Params, x: np.ndarray) -> tuple:
     """States (windows x T x D) and what backward needs."""
-    h = p["e"][x]
+    r = {name: np.empty((*x.shape, n), dtype=p["e"].dtype) for name, n in _ROOM.items()}
+    _attend(p, _qkv(p), x, r)
+    return r["state"], (r["h"], *_thirds(r["qkv"]), r["s"], r["a"])
+
+
+#: What attention keeps of each place for the way back, and how many numbers of it.
+_ROOM = {"h": D, "qkv": 3 * D, "s": T, "a": D, "state": D}
+
+
+@lru_cache(maxsize=1)
+def _room(windows: int, dtype: np.dtype) -> dict[str, np.ndarray]:
+    """Memory that every batch of training uses again: arrays of this size would go back to the system after each, page by page."""
+    return {name: np.empty((windows, T, n), dtype=dtype) for name, n in {**_ROOM, "sorted": D, "ds": D}.items()}
+
+
+def _attend(p: Params, qkv: np.ndarray, x: np.ndarray, r: dict[str, np.ndarray]) -> None:
+    """Attention of some windows, written into r; q comes out times D ** -0.5."""
+    h, s, a, state = r["h"], r["s"], r["a"], r["state"]
+    np.take(p["e"], x, axis=0, out=h, mode="clip")
     h += p["pos"]
-    q, k, v = np.split((_rows(h) @ _qkv(p)).reshape(*x.shape, 3 * D), 3, axis=2)  # one product of all places; views
-    s = np.matmul(q, k.transpose(0, 2, 1))
-    s *= np.float32(D**-0.5)
-    s = _moderate(s, _CAUSAL)
+    np.matmul(h, qkv, out=r["qkv"])
+    q, k, v = _thirds(r["qkv"])
+    np.matmul(q, _turned(k), out=s)
+    _moderate(s, _CAUSAL)
     np.exp(s, out=s)
-    s /= _row_sums(s)[..., None]
-    a = np.matmul(s, v)
-    out = (_rows(a) @ p["o"]).reshape(h.shape)
-    out += h
-    return out, (h, q, k, v, s, a)
+    s *= (1 / _row_sums(s))[..., None]
+    np.matmul(s, v, out=a)
+    np.matmul(a, p["o"], out=state)
+    state += h
 
 
 def _rows(m: np.ndarray) -> np.ndarray:
     return m.reshape(-1, D)
 
 
+def _turned(m: np.ndarray) -> np.ndarray:
+    """Each window's matrix transposed, in memory of its own: a product with that is twice as fast as one with a view."""
+    return np.ascontiguousarray(m.transpose(0, 2, 1))
+
+
+def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b over the rows of both, by blocks that the library multiplies without copying them first."""
+    n = len(a) // BLOCK * BLOCK
+    some, more = (m[:n].reshape(-1, BLOCK, m.shape[1]) for m in (a, b))
+    return np.matmul(some.transpose(0, 2, 1), more).sum(axis=0) + a[n:].T @ b[n:]
+
+
+def _thirds(m: np.ndarray) -> tuple[np.ndarray, ...]:
+    return m[..., :D], m[..., D : 2 * D], m[..., 2 * D :]
+
+
 def _qkv(p: Params) -> np.ndarray:
-    return np.concatenate([p["q"], p["k"], p["v"]], axis=1)
+    """q (times D ** -0.5), k and v side by side."""
+    return np.concatenate([p["q"] * p["q"].dtype.type(D**-0.5), p["k"], p["v"]], axis=1)
 
 
 def _row_sums(z: np.ndarray) -> np.ndarray:
@@ -147,93 +188,137 @@ def log_probs(p: Params, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> np.n
     The same numbers as from forward(), with fewer passes over memory: softmax sums are divided
     out at the end, and only the targets' logits are kept.
     """
-    h = p["e"][x] + p["pos"]
+    state = np.empty((*x.shape, D), dtype=p["e"].dtype)
     whole = mask[:, : T - STRIDE].any(axis=1)
-    state = np.empty_like(h)
-    for rows, first in ((whole, 0), (~whole, T - STRIDE)):  # later windows are asked for their last places only
-        some = h[rows]
-        s = np.matmul(some[:, first:] @ p["qk"], some.transpose(0, 2, 1))
-        s = _moderate(s, _CAUSAL[first:])
-        np.exp(s, out=s)
-        asked = np.matmul(s, some @ p["vo"])
-        asked /= _row_sums(s)[..., None]
-        asked += some[:, first:]
-        state[rows, first:] = asked
+    for which, first in ((np.flatnonzero(whole), 0), (np.flatnonzero(~whole), T - STRIDE)):  # later windows are asked for their last places only
+        for at in range(0, len(which), WINDOWS):
+            rows = which[at : at + WINDOWS]
+            h = np.take(p["e"], x[rows], axis=0, mode="clip")
+            h += p["pos"]
+            last = h[:, first:]
+            s = np.matmul(np.matmul(last, p["qk"]), _turned(h))
+            s = _moderate(s, _CAUSAL[first:])
+            np.exp(s, out=s)
+            asked = np.matmul(s, h)
+            asked *= (1 / _row_sums(s))[..., None]
+            state[rows, first:] = np.matmul(asked, p["vo"]) + last
     slot, groups = y[mask], len(p["gb"])
-    group = slot // groups
-    order = np.argsort(group.astype(np.uint8), kind="stable")
-    slot, group = slot[order], group[order]
-    state = state.reshape(-1, D)[np.flatnonzero(mask)[order]]
-    rows = np.arange(len(slot))
-    z = _moderate(state @ p["gw"] + p["gb"])
-    got = z[rows, group].astype(np.float64)
-    got -= np.log(np.exp(z, out=z).sum(axis=1, dtype=np.float64))
-    bounds = np.searchsorted(group, np.arange(groups + 1))
+    order = np.argsort((slot // groups).astype(np.uint8), kind="stable")  # by groups, so that each is a slice
+    slot = slot[order]
+    group, member = np.divmod(slot, groups)
+    state = np.take(_rows(state), np.flatnonzero(mask)[order], axis=0, mode="clip")
+    got = np.empty(len(slot), dtype=np.float64)
+    for at in range(0, len(slot), PLACES):
+        part = slice(at, at + PLACES)
+        got[part] = _log_softmax(state[part] @ p["gw"], p["gb"], group[part])
+    bounds = np.searchsorted(group, np.arange(groups + 1)).tolist()
     for g in range(groups):
-        at = slice(bounds[g], bounds[g + 1])
-        if at.start < at.stop:
-            z = state[at] @ p["mw"][g]
-            z = _moderate(z + p["mb"][g])
-            got[at] += z[rows[: at.stop - at.start], slot[at] - g * groups]
-            got[at] -= np.log(np.exp(z, out=z).sum(axis=1, dtype=np.float64))
+        for at in range(bounds[g], bounds[g + 1], PLACES):
+            part = slice(at, min(at + PLACES, bounds[g + 1]))
+            got[part] += _log_softmax(state[part] @ p["mw"][g], p["mb"][g], member[part])
     out = np.empty(len(slot), dtype=np.float64)
     out[order] = got
     return out
 
 
+def _log_softmax(z: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log-softmax of z + bias at the targets, one a row; z is overwritten."""
+    z += bias
+    z = _moderate(z)
+    got = z[np.arange(len(z)), target]
+    return got - np.log(_row_sums(np.exp(z, out=z)))
+
+
 def gradient(p: Params, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, np.ndarray]:
-    """Mean negative log-likelihood of the masked targets and its gradient, flat."""
-    groups = len(p["gb"])
-    flat = np.zeros(size(groups), dtype=np.float32)
-    g = unpack(flat)
-    full, (h, q, k, v, s, a) = forward(p, x)
+    """Mean negative log-likelihood of the masked targets and its gradient, flat.
+
+    Attention goes over WINDOWS windows at a time and the softmax over groups over PLACES places, so
+    that what they touch stays near the processor.
+    """
+    groups, dtype = len(p["gb"]), p["e"].dtype
+    room, flat = _room(max(BATCH, len(x)), dtype), np.zeros(size(groups), dtype=dtype)
+    g, qkv = unpack(flat), _qkv(p)
+    parts = [slice(at, min(at + WINDOWS, len(x))) for at in range(0, len(x), WINDOWS)]
+    for part in parts:
+        _attend(p, qkv, x[part], {name: room[name][part] for name in _ROOM})
+    full = room["state"][: len(x)]
     slot = y[mask]
     order = np.argsort((slot // groups).astype(np.uint8), kind="stable")  # by groups, so that each is a slice
     slot, place = slot[order], np.flatnonzero(mask)[order]
-    state, n = _rows(full)[place], max(1, len(slot))
-    group, member = slot // groups, slot % groups
-    bounds = np.searchsorted(group, np.arange(groups + 1))
-    z = state @ p["gw"]
-    z += p["gb"]
-    loss, d = _losses(z, group, n)
-    g["gw"] += state.T @ d
-    g["gb"] += _row_sums(d.T)
-    ds = d @ p["gw"].T
+    n = max(1, len(slot))
+    state, ds = (_rows(room[name])[: len(slot)] for name in ("sorted", "ds"))
+    np.take(_rows(full), place, axis=0, out=state, mode="clip")
+    group, member = np.divmod(slot, groups)
+    loss = 0.0
+    for at in range(0, len(slot), PLACES):
+        part = slice(at, at + PLACES)
+        loss += _back(state[part], p["gw"], p["gb"], group[part], n, g["gw"], g["gb"], ds[part], False)
+    bounds = np.searchsorted(group, np.arange(groups + 1)).tolist()
     for i in range(groups):
-        at = slice(bounds[i], bounds[i + 1])
-        if at.start == at.stop:
-            continue
-        z = state[at] @ p["mw"][i]
-        z += p["mb"][i]
-        more, d = _losses(z, member[at], n)
-        loss += more
-        g["mw"][i] += state[at].T @ d
-        g["mb"][i] += _row_sums(d.T)
-        ds[at] += d @ p["mw"][i].T
-    dfull = np.zeros_like(full)
-    _rows(dfull)[place] = ds
-    g["o"] += _rows(a).T @ _rows(dfull)
-    da = (_rows(dfull) @ p["o"].T).reshape(dfull.shape)
-    dsm = np.matmul(da, v.transpose(0, 2, 1))
-    dsm -= np.einsum("bij,bij->bi", da, a)[..., None]  # the sum over j of dsm and s
-    dsm *= s
-    dsm *= np.float32(D**-0.5)
-    inner = np.empty((*x.shape, 3 * D), dtype=da.dtype)  # by q, k and v
-    for i, (left, right) in enumerate(((dsm, k), (dsm.transpose(0, 2, 1), q), (s.transpose(0, 2, 1), da))):
-        np.matmul(left, right, out=inner[..., i * D : (i + 1) * D])
-    inner = inner.reshape(-1, 3 * D)
-    dh = _rows(dfull)
-    dh += inner @ _qkv(p).T
-    for name, dx in zip("qkv", np.split(_rows(h).T @ inner, 3, axis=1)):
-        g[name] += dx
-    g["pos"] += _row_sums(dh.reshape(len(x), -1).T).reshape(T, D)
-    ids = x.reshape(-1).astype(np.uint16)  # SLOTS at most; sorted by digits
-    order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.diff(ids[order].astype(np.int32), prepend=-1))
-    g["e"][ids[order[first]]] = np.add.reduceat(_rows(dh)[order], first, axis=0)
+        for at in range(bounds[i], bounds[i + 1], PLACES):
+            part = slice(at, min(at + PLACES, bounds[i + 1]))
+            loss += _back(state[part], p["mw"][i], p["mb"][i], member[part], n, g["mw"][i], g["mb"][i], ds[part], True)
+    if len(place) < x.size:
+        full[:] = 0
+    _rows(full)[place] = ds  # from here on the derivative by the states
+    o, qkv, dqkv = p["o"].T.copy(), qkv.T.copy(), np.zeros((D, 3 * D), dtype=dtype)
+    within = np.empty((WINDOWS, T, 3 * D), dtype=dtype)
+    for part in parts:
+        h, qkvs, s, a, dh = (room[name][part] for name in _ROOM)
+        g["o"] += _cross(_rows(a), _rows(dh))
+        inner = within[: len(h)]  # by q, k and v
+        q, k, v = _thirds(qkvs)
+        da = np.matmul(dh, o)
+        dsm = np.matmul(da, _turned(v))
+        dsm -= _row_sums(np.multiply(da, a, out=a))[..., None]  # the sum over j of dsm and s
+        dsm *= s
+        dq, dk, dv = _thirds(inner)
+        np.matmul(dsm, k, out=dq)
+        np.matmul(dsm.transpose(0, 2, 1), q, out=dk)
+        np.matmul(s.transpose(0, 2, 1), da, out=dv)
+        dqkv += _cross(_rows(h), inner.reshape(-1, 3 * D))
+        dh += np.matmul(inner, qkv)
+    g["q"][:], g["k"][:], g["v"][:] = _thirds(dqkv)
+    g["q"] *= dtype.type(D**-0.5)
+    np.matmul(np.ones(len(x), dtype=dtype), full.reshape(len(x), -1), out=g["pos"].reshape(-1))
+    _sums_by(x.reshape(-1), _rows(full), g["e"])
     return float(loss) / n, flat
 
 
+def _back(state: np.ndarray, w: np.ndarray, b: np.ndarray, target: np.ndarray, n: int, gw: np.ndarray, gb: np.ndarray, ds: np.ndarray, more: bool) -> float:
+    """The loss of one softmax over state @ w + b; its derivatives are added to gw and gb, and to ds if more, which they replace if not."""
+    z = state @ w
+    z += b
+    loss, d = _losses(z, target, n)
+    gw += state.T @ d
+    gb += _row_sums(d.T)
+    if more:
+        ds += d @ w.T
+    else:
+        np.matmul(d, w.T, out=ds)
+    return loss
+
+
+def _sums_by(ids: np.ndarray, rows: np.ndarray, into: np.ndarray) -> None:
+    """into[i] becomes the sum of the rows of id i, for each id there is: frequent ids one by one, all others by their first row, their second and so on."""
+    ids = ids.astype(np.uint16)  # SLOTS at most; sorted by digits
+    order = np.argsort(ids, kind="stable")
+    ids, rows = ids[order], np.take(rows, order, axis=0, mode="clip")
+    first = np.flatnonzero(np.diff(ids.astype(np.int32), prepend=-1))
+    times = np.diff(first, append=len(ids))
+    by = np.argsort(-times, kind="stable")
+    first, times = first[by], times[by]
+    sums = np.empty((len(first), rows.shape[1]), dtype=rows.dtype)
+    above = np.searchsorted(-times, -np.arange(OFTEN + 1)).tolist()  # how many ids have more rows than 0, 1, 2, ...
+    often, ones = above[OFTEN], np.ones(len(ids), dtype=rows.dtype)
+    for i, (at, n) in enumerate(zip(first[:often].tolist(), times[:often].tolist())):
+        np.matmul(ones[:n], rows[at : at + n], out=sums[i])
+    sums[often:] = rows[first[often:]]
+    for k in range(1, OFTEN):
+        sums[often : above[k]] += rows[first[often : above[k]] + k]
+    into[ids[first]] = sums
+
+
 class Trainer:
     """Adam over batches of windows."""
 

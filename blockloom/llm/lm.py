@@ -7,13 +7,15 @@ log10 of the product of its ids' and its end's. The probabilities of all next id
 in use have an entry each, and those that training never met share one evenly.
 
 Passes over the corpus:
-1. Counts of every word and every subword id over all training texts (partial counts per task,
+1. Every text is read as ids once and these are written (coded()); they hold the text's words, led
+   by spaces, so that no later pass reads texts.
+2. Counts of every word and every subword id over all training texts (partial counts per task,
    then one shuffle by word).
-2. Training: a first network is fitted on the driver on windows drawn from all places of all
+3. Training: a first network is fitted on the driver on windows drawn from all places of all
    training texts (WARM_STEPS * WARM_BATCH at most), which only fixes the starting point. Then
    every task trains a copy on its own training texts, all of them whole, and the copies are
    averaged, weighted by how much each has seen.
-3. Scoring: the ids of a text are cut into overlapping windows that score every id once;
+4. Scoring: the ids of a text are cut into overlapping windows that score every id once;
    windows of many texts go through masked attention together.
 
 Word counts are needed for the base only. Words at or above a count threshold, chosen so that
@@ -45,7 +47,7 @@ from pyspark.sql import functions as F
 
 from . import attention as A
 from .bpe import library_codec as codec
-from .common import fold, map_batches, materialize, small_batches, text_slices
+from .common import fold, latest, map_batches, materialize, scrap, small_batches, text_slices
 
 #: Steps of the driver's first model, and windows of a step.
 WARM_STEPS, WARM_BATCH = 500, 64
@@ -54,8 +56,10 @@ WARM_RATE, TASK_RATE = 0.01, 0.001
 FREQUENT = 1 << 17
 #: Partial counts a task holds before it hands them on.
 HELD = 400_000
-#: Words a worker remembers.
+#: Words a worker remembers; those that it last met before are kept for as long again.
 WORDS_KEPT = 150_000
+#: Windows scored at once, and ids whose windows are made at once.
+SCORED, SLICE = 2048, 1 << 18
 #: Parameters in one row of the table of models: bounds a batch of such rows.
 PIECE = 1 << 14
 #: Tasks that average the models.
@@ -66,7 +70,7 @@ class Reader:
     """Words of texts and their packed ids; a bounded memory of words."""
 
     def __init__(self, path: str) -> None:
-        self.codec, self.memory = codec(path), {}
+        self.codec, self.memory, self.before = codec(path), {}, {}
 
     def words(self, text: str | None) -> list[bytes]:
         return (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
@@ -78,10 +82,11 @@ class Reader:
         except KeyError:
             pass
         if len(memory) > WORDS_KEPT:
-            memory.clear()
+            self.before, self.memory = memory, {}
+            memory = self.memory
         for w in words:
             if w not in memory:
-                memory[w] = self.encode(w)
+                memory[w] = self.before.get(w) or self.encode(w)
         return list(map(memory.__getitem__, words))
 
     def encode(self, word: bytes) -> bytes:
@@ -96,43 +101,72 @@ class Reader:
     def ids(self, text: str | None) -> bytes:
         return b"".join(self.packed(self.words(text)))
 
+    def words_of(self, ids: np.ndarray) -> list[bytes]:
+        """The words that ids() read: each is led by a space and holds no other white space of ASCII."""
+        return b"".join(map(self.codec.bytes_of.__getitem__, ids.tolist())).split()
+
 
 @lru_cache(maxsize=2)
 def reader(path: str) -> Reader:
     return Reader(path)
 
 
+def unpacked(cells: bytes) -> np.ndarray:
+    """The ids of a coded text."""
+    return np.frombuffer(cells[1:], dtype=f"<u{cells[0]}")
+
+
+def coded(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, seed and size of every row of (doc_id, text), with ids as wide as the tokenizer needs, and what draws() takes."""
+    if "ids" in docs.columns:
+        return docs
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rd = reader(path)
+        width = 2 if max(rd.codec.bytes_of) < 1 << 16 else 4
+        for p in text_slices(b, limit=1 << 20):
+            ids, seeds, sizes = [], [], []
+            for doc_id, text in zip(p.column("doc_id").to_pylist(), p.column("text").to_pylist()):
+                cells = np.frombuffer(rd.ids(text), dtype="<u4").astype(f"<u{width}")
+                ids.append(bytes([width]) + cells.tobytes())
+                seeds.append(seed(doc_id, text))
+                sizes.append(len((text or "").encode()))
+            yield pa.RecordBatch.from_arrays([p.column("doc_id"), pa.array(ids, pa.binary()), pa.array(seeds, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "ids", "seed", "size"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, ids binary, seed bigint, size bigint")
+
+
 def counts(training: DataFrame, path: str) -> DataFrame:
     """(kind, token, n): kind 0 words, 1 subword ids, 2 the ends of texts, over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rd, words, ends = reader(path), Counter(), 0
-
-        ids = np.zeros(max(rd.codec.bytes_of) + 1, dtype=np.int64)
+        times = np.zeros(max(rd.codec.bytes_of) + 1, dtype=np.int64)
 
         def rows(found: dict[bytes, int]) -> pa.RecordBatch:
-            """The counts held so far; each distinct word's ids are counted as often as the word."""
-            coded = [rd.encode(w) for w in found]
-            times = np.repeat(np.fromiter(found.values(), dtype=np.int64, count=len(found)), np.fromiter(map(len, coded), dtype=np.int64, count=len(found)) // 4)
-            np.add.at(ids, np.frombuffer(b"".join(coded), dtype="<u4"), times)
             return pa.RecordBatch.from_arrays(
                 [pa.array([0] * len(found), pa.int32()), pa.array(found.keys(), pa.binary()).cast(pa.string()), pa.array(found.values(), pa.int64())], names=["kind", "token", "n"]
             )
 
         for b in batches:
-            for text in b.column("text").to_pylist():
-                words.update(rd.words(text))
+            for cells in b.column("ids").to_pylist():
+                ids = unpacked(cells)
+                words.update(rd.words_of(ids))
+                some = np.bincount(ids)
+                times[: len(some)] += some
                 ends += 1
                 if len(words) >= HELD:
                     yield rows(words)
                     words = Counter()
         if words:
             yield rows(words)
-        some = np.flatnonzero(ids)
+        some = np.flatnonzero(times)
         kinds = [1] * len(some) + [2]
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([*map(str, some.tolist()), ""], pa.string()), pa.array([*ids[some].tolist(), ends], pa.int64())], names=["kind", "token", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([*map(str, some.tolist()), ""], pa.string()), pa.array([*times[some].tolist(), ends], pa.int64())], names=["kind", "token", "n"])
 
-    parts = training.select("text").mapInArrow(run, "kind int, token string, n bigint")
+    small_batches(training.sparkSession)
+    parts = coded(training, path).select("ids").mapInArrow(run, "kind int, token string, n bigint")
     return parts.groupBy("kind", "token").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
@@ -152,9 +186,9 @@ class Table:
         self.within[rest] = -math.log(max(1, len(rest)))
         self.counts = np.bincount(self.slot[list(n)], weights=list(n.values()), minlength=slots)
 
-    def sequence(self, packed: bytes) -> np.ndarray:
-        """Slots of end, the ids, end."""
-        ids = np.frombuffer(packed, dtype="<u4")
+    def sequence(self, ids: bytes | np.ndarray) -> np.ndarray:
+        """Slots of end, the ids (or packed ids), end."""
+        ids = np.frombuffer(ids, dtype="<u4") if isinstance(ids, bytes) else ids
         out = np.empty(len(ids) + 2, dtype=np.int32)
         out[0] = out[-1] = self.slot[self.end]
         out[1:-1] = self.slot[ids]
@@ -192,37 +226,44 @@ def warm_up(rows: list[np.ndarray], table: Table) -> np.ndarray:
     return trainer.flat
 
 
+def seed(doc_id: int | None, text: str | None) -> int:
+    return crc32(f"{doc_id} {text}".encode())
+
+
 def draws(doc_id: int | None, text: str | None) -> np.ndarray:
     """A number from 0 to 1 for each window that a text can have: it has no more ids than bytes, a first space and an end."""
-    return np.random.default_rng(crc32(f"{doc_id} {text}".encode())).random(len((text or "").encode()) // A.T + 2)
+    return _draws(seed(doc_id, text), len((text or "").encode()))
+
+
+def _draws(seed: int, size: int) -> np.ndarray:
+    return np.random.default_rng(seed).random(size // A.T + 2)
 
 
 def drawn_windows(training: DataFrame, table: Table, path: str, cap: int) -> DataFrame:
-    """(at, cells): about cap windows from all places of all texts of (doc_id, text), drawn by a hash that a rerun repeats."""
+    """(at, cells): about cap windows from all places of all texts of (doc_id, text), or of their coded(), drawn by a hash that a rerun repeats."""
     spark = training.sparkSession
     shared = spark.sparkContext.broadcast(table)
     chance = cap / max(1.0, table.counts.sum() / A.T)  # texts have a window for each T ids and at most one more
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rd, table = reader(path), shared.value
-        for p in text_slices(b, limit=1 << 20):
-            for doc_id, text in zip(p.column("doc_id").to_pylist(), p.column("text").to_pylist()):
-                at = draws(doc_id, text)
-                if at.min() >= chance:
-                    continue  # no window of this text is drawn, however many it has
-                w = A.training_windows(table.sequence(rd.ids(text)))
-                at = at[: len(w[0])]
-                mine = np.flatnonzero(at < chance)
-                if len(mine):
-                    cells = np.stack([c[mine] for c in w], axis=1).astype("<i4")
-                    yield pa.RecordBatch.from_arrays([pa.array(at[mine]), pa.array([c.tobytes() for c in cells], pa.binary())], names=["at", "cells"])
+        table = shared.value
+        for cells, start, size in zip(*(b.column(c) for c in ("ids", "seed", "size"))):
+            at = _draws(start.as_py(), size.as_py())
+            if at.min() >= chance:
+                continue  # no window of this text is drawn, however many it has
+            w = A.training_windows(table.sequence(unpacked(cells.as_py())))
+            at = at[: len(w[0])]
+            mine = np.flatnonzero(at < chance)
+            if len(mine):
+                drawn = np.stack([c[mine] for c in w], axis=1).astype("<i4")
+                yield pa.RecordBatch.from_arrays([pa.array(at[mine]), pa.array([c.tobytes() for c in drawn], pa.binary())], names=["at", "cells"])
 
-    return map_batches(training.select("doc_id", "text"), run, "at double, cells binary")
+    return map_batches(coded(training, path).select("ids", "seed", "size"), run, "at double, cells binary")
 
 
 def train(training: DataFrame, id_counts: dict[int, int], path: str, end: int) -> tuple[Table, np.ndarray]:
     """The model's table and its averaged parameters."""
-    spark = training.sparkSession
+    spark, training = training.sparkSession, coded(training, path)
     table = Table(id_counts, codec(path).bytes_of, end)
     cap = WARM_STEPS * WARM_BATCH
     drawn = drawn_windows(training, table, path, cap).orderBy("at", "cells").limit(cap).collect()
@@ -230,10 +271,10 @@ def train(training: DataFrame, id_counts: dict[int, int], path: str, end: int) -
     shared = spark.sparkContext.broadcast((table, flat))  # bounded by the tokenizer's ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (table, flat), rd, seen = shared.value, reader(path), 0
+        (table, flat), seen = shared.value, 0
         trainer = A.Trainer(flat, TASK_RATE)
-        texts = (t for b in batches for t in b.column("text").to_pylist())
-        for x, y, m in _batches(table.sequence(rd.ids(t)) for t in texts):
+        texts = (t for b in batches for t in b.column("ids").to_pylist())
+        for x, y, m in _batches(table.sequence(unpacked(t)) for t in texts):
             trainer.step(x, y, m)
             seen += int(m.sum())
         if seen:
@@ -256,7 +297,7 @@ def train(training: DataFrame, id_counts: dict[int, int], path: str, end: int) -
 
     schema = "k int, seen bigint, params binary"
     small_batches(spark)
-    models = materialize(training.select("text").mapInArrow(run, schema), "models")
+    models = materialize(training.select("ids").mapInArrow(run, schema), "models")
     # Averages of averages: FOLDS tasks fold the models of all others, the driver theirs. Rows of a model stay in one file, but a
     # file may be cut between tasks, so sums are taken by piece.
     means = models.coalesce(FOLDS).mapInArrow(mean, schema).collect()
@@ -271,22 +312,35 @@ def train(training: DataFrame, id_counts: dict[int, int], path: str, end: int) -
     return table, flat
 
 
-def log_probs(packed: list[bytes], table: Table, params: A.Params) -> list[float]:
-    """The network's natural log probability of each text, given as its packed ids, with its end."""
+def log_probs(packed: list[bytes | np.ndarray], table: Table, params: A.Params) -> list[float]:
+    """The network's natural log probability of each text, given as its ids or packed ids, with its end."""
     if not packed:
         return []
-    parts = [A.windows(table.sequence(ids)) for ids in packed]
-    x, y, m = (np.concatenate(p) for p in zip(*parts))
-    got = [A.log_probs(params, x[i : i + A.BATCH], y[i : i + A.BATCH], m[i : i + A.BATCH]) for i in range(0, len(x), A.BATCH)]
-    ends = np.cumsum([len(ids) // 4 + 1 for ids in packed])
+    texts = [np.frombuffer(ids, dtype="<u4") if isinstance(ids, bytes) else ids for ids in packed]
+    x, y, m = (np.concatenate(p) for p in zip(*(A.windows(table.sequence(ids)) for ids in texts)))
+    got = [A.log_probs(params, x[i : i + SCORED], y[i : i + SCORED], m[i : i + SCORED]) for i in range(0, len(x), SCORED)]
+    ends = np.cumsum([len(ids) + 1 for ids in texts])
     sums = np.add.reduceat(np.concatenate(got), np.concatenate(([0], ends[:-1])))
-    return [s + float(table.within[np.frombuffer(ids, dtype="<u4")].sum()) for s, ids in zip(sums.tolist(), packed)]
+    return [s + float(table.within[ids].sum()) for s, ids in zip(sums.tolist(), texts)]
+
+
+def _slices(texts: list[np.ndarray]) -> Iterator[slice]:
+    """Runs of texts of at most SLICE ids together (a longer text alone)."""
+    first = total = 0
+    for i, ids in enumerate(texts):
+        if i > first and total + len(ids) > SLICE:
+            yield slice(first, i)
+            first, total = i, 0
+        total += len(ids)
+    if first < len(texts):
+        yield slice(first, len(texts))
 
 
 def score(docs: DataFrame, path: str, end: int, folds: int = 7, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
-    src = docs.select("doc_id", "text")
+    src = materialize(coded(docs.select("doc_id", "text"), path), "coded")
+    written = latest()
     part = fold("doc_id", folds)
     training = src.filter((part >= 0) & (part != held_out))
     found = materialize(counts(training, path), "counts")
@@ -315,9 +369,11 @@ def score(docs: DataFrame, path: str, end: int, folds: int = 7, held_out: int =
         table, flat, _ = shared.value
         params, rd = A.prepare(flat), reader(path)
         place, base_at = _lookup(shared, base_of)
-        for p in text_slices(b, limit=1 << 20):
-            texts = [rd.words(t) for t in p.column("text").to_pylist()]
-            net = [v / math.log(10) for v in log_probs([b"".join(rd.packed(ws)) for ws in texts], table, params)]
+        whole = [unpacked(c) for c in b.column("ids").to_pylist()]
+        for some in _slices(whole):
+            p, ids = b.slice(some.start, some.stop - some.start), whole[some]
+            net = [v / math.log(10) for v in log_probs(ids, table, params)]
+            texts = map(rd.words_of, ids)
             n, n_known, base, rare, times = [], [], [], [], []
             for ws in texts:
                 at = np.fromiter(map(place, ws, repeat(none)), dtype=np.int64, count=len(ws))
@@ -331,8 +387,9 @@ def score(docs: DataFrame, path: str, end: int, folds: int = 7, held_out: int =
             yield pa.RecordBatch.from_arrays([*rows, pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))], names=["doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    one = map_batches(src, batch, f"doc_id {kind}, n_tokens bigint, n_known bigint, base double, score double, rare array<string>, times array<bigint>")
+    one = map_batches(src.select("doc_id", "ids"), batch, f"doc_id {kind}, n_tokens bigint, n_known bigint, base double, score double, rare array<string>, times array<bigint>")
     one = materialize(one.withColumn("row", F.monotonically_increasing_id()), "scored")
+    scrap(written)
     others = words.filter(~frequent).select("token", "n")
     met = one.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
     met = met.join(others, "token", "left")

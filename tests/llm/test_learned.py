@@ -367,6 +367,50 @@ def test_gradient_copies_no_products():
     assert peak < 17.5 * x.size * attention.D * 4
 
 
+def test_training_uses_its_memory_again():
+    """A second batch takes no arrays of its own for all places: the first one's serve it."""
+    r, flat = np.random.default_rng(1), attention.start(np.ones(16))
+    x, y = r.integers(0, 16, (2, attention.BATCH, attention.T))
+    mask = np.ones(x.shape, dtype=bool)
+    _, first = attention.gradient(attention.unpack(flat), x, y, mask)
+    kept = first.copy()
+    tracemalloc.start()
+    attention.gradient(attention.unpack(flat), y, x, mask)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * x.size * attention.D * 4 and (first == kept).all()
+
+
+def test_words_in_use_stay_in_memory(tokenizer_path, monkeypatch):
+    monkeypatch.setattr(lm, "WORDS_KEPT", 50)
+    rd, met = lm.Reader(tokenizer_path), Counter()
+    encode = rd.encode
+    monkeypatch.setattr(rd, "encode", lambda w: met.update([w]) or encode(w))
+    for i in range(600):
+        rd.ids(f"the same words and x{i}")
+    assert met[b"words"] == 1 and met.total() == 604
+
+
+def test_coded_texts_hold_their_words_and_draws(spark, tokenizer_path):
+    texts = ["", None, "Some\tWORDS\x0b\x1c and\u00a0more\u2028 \U0001f600\x00, e\u0301! 12.5%", " \n", "\u00c4rger a\x85b"]
+    docs = spark.createDataFrame([(None if i == 3 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rd, got = lm.reader(tokenizer_path), lm.coded(docs, tokenizer_path).collect()
+    for text, r in zip(texts, got, strict=True):
+        ids = lm.unpacked(bytes(r.ids))
+        assert ids.astype("<u4").tobytes() == rd.ids(text) and rd.words_of(ids) == rd.words(text)
+        assert (lm._draws(r.seed, r["size"]) == lm.draws(r.doc_id, text)).all()
+
+
+@pytest.mark.parametrize("n", [1, 40, 5000])
+def test_sums_of_frequent_and_rare_ids(n):
+    r = np.random.default_rng(n)
+    ids, rows = np.minimum(r.geometric(0.02, n), 400), r.standard_normal((n, attention.D))
+    got, want = np.zeros((2, 401, attention.D))
+    attention._sums_by(ids, rows, got)
+    np.add.at(want, ids, rows)
+    assert got == pytest.approx(want, abs=1e-9)
+
+
 def test_loss_with_numbers_beyond_the_range_of_exp():
     r = np.random.default_rng(6)
     flat = attention.start(np.ones(16)) * np.float32(60)
