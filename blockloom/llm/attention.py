@@ -27,7 +27,9 @@ BLOCK = 256
 #: An id of more places in a batch is summed by itself.
 OFTEN = 16
 #: Parameters that Adam takes at once.
-CELLS = 1 << 15
+CELLS = 1 << 13
+#: A mean of gradients, or of their squares, is exact down to a ten millionth of this.
+TINY = np.float32(1e-25)
 _CAUSAL = np.where(np.tri(T, dtype=bool), 0.0, -1e9).astype(np.float32)
 
 
@@ -325,6 +327,7 @@ class Trainer:
     def __init__(self, flat: np.ndarray, rate: float) -> None:
         self.flat, self.rate = flat.copy(), rate
         self.m, self.v, self.steps = np.zeros_like(flat), np.zeros_like(flat), 0
+        self.some = np.empty(CELLS, dtype=flat.dtype)
 
     def step(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> float:
         loss, g = gradient(unpack(self.flat), x, y, mask)
@@ -333,14 +336,21 @@ class Trainer:
         for at in range(0, len(g), CELLS):  # pieces that stay in the processor's memory
             part = slice(at, at + CELLS)
             d, m, v = g[part], self.m[part], self.v[part]
+            some = self.some[: len(d)]
+            np.multiply(d, 0.1, out=some)
             m *= 0.9
-            m += 0.1 * d
+            m += some
+            m += TINY  # numbers far below it become zero: they change no parameter, and steps with them are slow
+            m -= TINY
             d *= d
+            d *= 0.02
             v *= 0.98
-            v += 0.02 * d
-            d = np.sqrt(v)
-            d += 1e-6
-            np.divide(m, d, out=d)
-            d *= np.float32(self.rate * fix)
-            self.flat[part] -= d
+            v += d
+            v += TINY
+            v -= TINY
+            np.sqrt(v, out=some)
+            some += 1e-6
+            np.divide(m, some, out=some)
+            some *= np.float32(self.rate * fix)
+            self.flat[part] -= some
         return loss

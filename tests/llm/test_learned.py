@@ -401,6 +401,15 @@ def test_coded_texts_hold_their_words_and_draws(spark, tokenizer_path):
         assert (lm._draws(r.seed, r["size"]) == lm.draws(r.doc_id, text)).all()
 
 
+def test_means_of_gradients_end_at_zero():
+    """Those of an id that is not met any more would shrink to numbers that processors are slow with, and stay there."""
+    trainer = attention.Trainer(attention.start(np.ones(16)), 0.001)
+    trainer.m[:], trainer.v[:] = 1e-37, 1e-37
+    for _ in range(40):
+        trainer.step(*np.zeros((2, 3, attention.T), dtype=int), np.zeros((3, attention.T), dtype=bool))
+    assert not trainer.m.any() and not trainer.v.any()
+
+
 @pytest.mark.parametrize("n", [1, 40, 5000])
 def test_sums_of_frequent_and_rare_ids(n):
     r = np.random.default_rng(n)
