@@ -7,7 +7,8 @@ byte of a text, with its number among equal bytes, is a token that weighs its pa
 Blocks can reach the threshold only if common tokens weigh enough in both, so they share one
 of the tokens that are left when each drops its commonest up to that weight: these alone are
 indexed and looked up. The candidates' shared bytes are then counted, and what can still reach
-the threshold is compared.
+the threshold is compared. That is for long bodies: short ones are compared with all others by
+arrays, each distinct text once, which is quicker than to leave any out.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 from ..kinds import eligible, kind_similarity
-from .distance import closeness
+from .distance import WORD, Closeness, closeness
 
 #: Weights of name, body and kind in the similarity of two blocks.
 NAME, BODY, KIND = 0.35, 0.50, 0.15
@@ -125,3 +126,91 @@ class SimilarIndex:
         used = np.flatnonzero(own)
         both = np.minimum(counts[np.ix_(at, used)], own[used]).sum(axis=1)
         return both / np.maximum(np.maximum(size[at], len(text)), 1)
+
+
+#: Numbers that are remembered of names.
+_KNOWN = 1 << 22
+
+
+def _coded(texts: Sequence[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The distinct texts, and the number of each text among them."""
+    place = {t: i for i, t in enumerate(dict.fromkeys(texts))}
+    return list(place), np.array([place[t] for t in texts], dtype=np.int64)
+
+
+class _Short:
+    """Blocks with bodies of WORD bytes at most, to be compared with others of that kind."""
+
+    def __init__(self, blocks: Sequence[tuple[str, bytes, bytes]], threshold: float, named: bool) -> None:
+        kinds, names, bodies = zip(*blocks)
+        self.threshold, self.named = threshold, named
+        self.kinds, self.kind = _coded(kinds)
+        self.names, self.name = _coded(names)
+        bodies, self.body = _coded(bodies)
+        self.body_closeness, self.name_closeness = Closeness(bodies), Closeness(self.names) if named else None
+        self.by_kind: dict[str, np.ndarray] = {}
+        self.by_name: dict[bytes, np.ndarray] = {}
+
+    def _kind(self, kind: str) -> np.ndarray:
+        if kind not in self.by_kind:
+            self.by_kind[kind] = np.array([KIND * kind_similarity(kind, k) if eligible(kind, k) else -np.inf for k in self.kinds])[self.kind]
+        return self.by_kind[kind]
+
+    def _learn(self, names: Sequence[bytes]) -> None:
+        """Remember what names count for; what was known is forgotten when it grows too large."""
+        if not all(n in self.by_name for n in names):
+            if len(self.by_name) * len(self.name) > _KNOWN:
+                self.by_name.clear()
+            names = [n for n in dict.fromkeys(names) if n not in self.by_name]
+            close = self.name_closeness.of(names)
+            for n, row in zip(names, close):
+                if not n:
+                    row = np.array([0.0 if m else UNNAMED for m in self.names])
+                self.by_name[n] = (NAME * row)[self.name]
+
+    def near(self, blocks: Sequence[tuple[str, bytes, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each block the numbers, in order, and similarities of those that reach the threshold; blocks of equal bodies should be neighbours."""
+        bodies, body = _coded([b for *_, b in blocks])
+        close = BODY * self.body_closeness.of(bodies)
+        if self.named:
+            self._learn([n for _, n, _ in blocks])
+        last = -1
+        for (kind, name, _), b in zip(blocks, body.tolist()):
+            if b != last:
+                row, last = close[b][self.body], b
+            total = (self.by_name[name] + row if self.named else row) + self._kind(kind)
+            at = np.flatnonzero(total >= self.threshold)
+            yield at, total[at]
+
+
+def similar_rows(old: Sequence[tuple[str, bytes, bytes]], new: Sequence[tuple[str, bytes, bytes]], threshold: float, named: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of an old block, numbers of new ones in order, similarities) of what reaches the threshold; old blocks in any order, each once.
+
+    Memory holds the new blocks and what one block of old ones has found.
+    """
+    short, long = ([j for j, b in enumerate(new) if (len(b[2]) <= WORD) == s] for s in (True, False))
+    table = _Short([new[j] for j in short], threshold, named) if short else None
+    place = np.array(short, dtype=np.int64)
+    far = SimilarIndex([new[j] for j in long], threshold, named) if long else None
+    near = SimilarIndex([new[j] for j in short], threshold, named) if short and any(len(b[2]) > WORD for b in old) else None
+    order = sorted(range(len(old)), key=lambda i: old[i][2])
+    for lo in range(0, len(order), 64):
+        some = order[lo : lo + 64]
+        quick = [i for i in some if len(old[i][2]) <= WORD]
+        rows = table.near([old[i] for i in quick]) if table and quick else iter(())
+        for i in some:
+            at, s = np.empty(0, dtype=np.int64), np.empty(0)
+            if len(old[i][2]) <= WORD:
+                if table:
+                    at, s = next(rows)
+                    at = place[at]
+                asked = [(far, long)]
+            else:
+                asked = [(near, short), (far, long)]
+            more = [(numbers[j], t) for index, numbers in asked if index for j, t in index.near(*old[i])]
+            if more:
+                at, s = np.concatenate([at, np.array([j for j, _ in more], dtype=np.int64)]), np.concatenate([s, np.array([t for _, t in more])])
+                by = np.argsort(at, kind="stable")
+                at, s = at[by], s[by]
+            if len(at):
+                yield i, at, s

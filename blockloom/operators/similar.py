@@ -1,17 +1,19 @@
 """Similarity join of blocks, and the best one-to-one pairs among what it finds.
 
-Blocks meet only within their keys, through an inverted index over the tokens that a pair at the
-threshold must share (kernels.similar): no table of all pairs is made, and pairs below the
-threshold leave no row. Blocks of equal kind, folded name and text are one class and compared once.
-The old classes of a large group are dealt into shares, each with its own index of the new ones,
-so that no group is one task's work alone. Pairs of copies are made from pairs of classes by the
-plan at the very end; an assignment takes classes with their members and makes no such pairs.
+Blocks meet only within their keys, short ones by arrays, long ones through an inverted index over
+the tokens that a pair at the threshold must share (kernels.similar): no table of all pairs is made,
+and pairs below the threshold leave no row. Blocks of equal kind, folded name and text are one class
+and compared once. The old blocks of a large group are dealt into shares, each with all new ones,
+so that no group is one task's work alone. A task hands on its pairs, those of copies too, as it
+finds them; an assignment takes classes with their members and makes no such pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -20,13 +22,15 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..kernels.assignment import best_copies, best_edges
-from ..kernels.similar import SimilarIndex
+from ..kernels.similar import similar_rows
 from .documents import many_tasks
 
-#: Old classes of a share.
+#: Old blocks of a share.
 SHARE = 1024
-#: Members of a class that are one row: bounds the pairs that a row of two of them gives.
+#: Members of a class that are one row: a class with more is dealt over shares.
 MEMBERS = 1024
+#: Pairs of a batch that a task hands on, about.
+_BATCH = 1 << 16
 
 
 def _classed(side: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -55,11 +59,11 @@ def _similar_classes(a: DataFrame, b: DataFrame, keys: Sequence[str], threshold:
         fields = [*(x.schema.field(k).type for k in keys), pa.binary(), pa.binary(), pa.float64()]
         found: list[tuple] = []
         if x.num_rows and y.num_rows:
-            index = SimilarIndex(list(zip(*(y.column(f"new_{c}").to_pylist() for c in ("kind", "name", "body")))), limit, named)
-            ids = y.column("new_class").to_pylist()
+            blocks = (list(zip(*(t.column(f"{c}{name}").to_pylist() for name in ("kind", "name", "body")))) for t, c in ((x, ""), (y, "new_")))
+            own, ids = x.column("class").to_pylist(), y.column("new_class").to_pylist()
             key = [x.column(k)[0].as_py() for k in keys]
-            for i, *block in zip(*(x.column(c).to_pylist() for c in ("class", "kind", "name", "body"))):
-                found += [(*key, i, ids[j], s) for j, s in index.near(*block)]
+            for i, at, s in similar_rows(*blocks, limit, named):
+                found += [(*key, own[i], ids[j], t) for j, t in zip(at.tolist(), s.tolist())]
         columns = zip(*found) if found else [[]] * len(names)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, fields)], names=names)
 
@@ -70,10 +74,28 @@ def _similar_classes(a: DataFrame, b: DataFrame, keys: Sequence[str], threshold:
 
 
 def _members(side: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, class, chunk, ids): the ids of each class, MEMBERS a row at most."""
+    """(keys, class, chunk, kind, name, body, ids): the ids of each class, MEMBERS a row at most."""
     place = F.row_number().over(W.partitionBy(*keys, "class").orderBy("id"))
     chunk = F.floor((place - 1) / MEMBERS).cast("int").alias("chunk")
-    return side.select(*keys, "class", "id", chunk).groupBy(*keys, "class", "chunk").agg(F.collect_list("id").alias("ids"))
+    block = (F.first(c).alias(c) for c in ("kind", "name", "body"))
+    return side.select("*", chunk).groupBy(*keys, "class", "chunk").agg(*block, F.collect_list("id").alias("ids"))
+
+
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded half up as decimals, which is what Spark's round() does."""
+    scaled = x * 10.0**digits
+    whole = np.rint(scaled)
+    out = whole / 10.0**digits
+    for i in np.flatnonzero(np.abs(np.abs(scaled - whole) - 0.5) < 1e-4).tolist():
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+    return out
+
+
+def _listed(ids: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The values of all lists in one array, where each list begins in it, and how long it is."""
+    sizes = pc.list_value_length(ids).to_numpy().astype(np.int64)
+    flat = pc.list_flatten(ids).combine_chunks()
+    return flat, np.cumsum(sizes) - sizes, sizes
 
 
 def similar_pairs(old: DataFrame, new: DataFrame, keys: Sequence[str], threshold: float = 0.5, named: bool = True, digits: int | None = None) -> DataFrame:
@@ -84,16 +106,50 @@ def similar_pairs(old: DataFrame, new: DataFrame, keys: Sequence[str], threshold
     rows with a null id or key take no part; a threshold above 1 finds nothing. With `digits`
     similarities are rounded, once for all copies of two blocks.
     """
-    a, b = _classed(old, keys), _classed(new, keys)
-    met = _similar_classes(a, b, keys, threshold, named)
-    if digits is not None:
-        met = met.withColumn("similarity", F.round("similarity", digits))
-    for s, side in (("old", a), ("new", b)):
-        met = met.join(_members(side, keys).withColumnsRenamed({"class": f"{s}_class", "chunk": f"{s}_chunk", "ids": f"{s}_ids"}), [*keys, f"{s}_class"])
-    # Rows of few bytes give up to MEMBERS * MEMBERS pairs each.
-    dealt = met.repartition(many_tasks(old.sparkSession), "old_class", "new_class", "old_chunk", "new_chunk")
-    some = dealt.select(*keys, F.explode("old_ids").alias("old_id"), "new_ids", "similarity")
-    return some.select(*keys, "old_id", F.explode("new_ids").alias("new_id"), "similarity")
+    limit = min(max(threshold, 0.0), 1.0) if threshold == threshold else 1.0
+    a, b = (_members(_classed(side, keys), keys) for side in (old, new))
+    shares = old.dropna(subset=["id", *keys]).groupBy(*keys).agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    own = F.pmod(F.xxhash64("class", "chunk"), F.col("shares")).cast("int").alias("share")
+    every = F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
+    a, b = (x.join(shares, list(keys)).select(*keys, deal, "kind", "name", "body", F.col("ids").alias(ids)) for x, deal, ids in ((a, own, "old_ids"), (b, every, "new_ids")))
+    both = a.unionByName(b, allowMissingColumns=True)
+    kind = {s: both.schema[f"{s}_ids"].dataType.elementType.simpleString() for s in ("old", "new")}
+    names = [*keys, "old_id", "new_id", "similarity"]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        x, y = (t.filter(pc.is_valid(t.column(c))) for c in ("old_ids", "new_ids"))
+        key = [t.column(k)[0] for k in keys]
+        blocks = [list(zip(*(side.column(c).to_pylist() for c in ("kind", "name", "body")))) for side in (x, y)]
+        del t
+        (old_ids, old_start, old_size), (new_ids, new_start, new_size) = _listed(x.column("old_ids")), _listed(y.column("new_ids"))
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []  # place of an old id, places of new ids, similarities
+
+        def batch() -> pa.RecordBatch:
+            places = np.repeat([i for i, _, _ in held], [len(at) for _, at, _ in held])
+            columns = [old_ids.take(pa.array(places)), new_ids.take(pa.array(np.concatenate([at for _, at, _ in held]))), pa.array(np.concatenate([s for *_, s in held]))]
+            held.clear()
+            return pa.RecordBatch.from_arrays([*(pa.repeat(k, len(places)) for k in key), *columns], names=names)
+
+        waiting = 0
+        for i, at, s in similar_rows(*blocks, limit, named) if all(blocks) else ():
+            s = s if digits is None else _rounded(s, digits)
+            size = new_size[at]
+            n = int(size.sum())
+            places = np.repeat(new_start[at] - np.cumsum(size) + size, size) + np.arange(n)
+            s = np.repeat(s, size)
+            for member in range(old_start[i], old_start[i] + old_size[i]):
+                held.append((member, places, s))
+                waiting += n
+                if waiting >= _BATCH:
+                    yield batch()
+                    waiting = 0
+        if held:
+            yield batch()
+
+    schema = ", ".join([*(f"{k} {both.schema[k].dataType.simpleString()}" for k in keys), f"old_id {kind['old']}, new_id {kind['new']}, similarity double"])
+    by = [*keys, "share"]
+    return both.repartition(many_tasks(old.sparkSession), *by).groupBy(*by).applyInArrow(meet, schema)  # a few MB of blocks are many comparisons
 
 
 def assigned_similar(old: DataFrame, new: DataFrame, keys: Sequence[str], threshold: float = 0.5, named: bool = True) -> DataFrame:
