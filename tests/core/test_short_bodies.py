@@ -3,6 +3,7 @@ import time
 
 import numpy as np
 import pytest
+from blockloom.kernels import assignment as A
 from blockloom.kernels import distance as D
 from blockloom.kernels import similar as K
 from blockloom.operators import similar as S
@@ -62,3 +63,27 @@ def test_pairs_of_copies_over_batches(spark, monkeypatch):
     frames = [spark.createDataFrame([(g, i, k, n.decode(), b.decode()) for g, i, k, n, b in side], "g string, id string, kind string, name string, body string") for side in (old, new)]
     want = sorted((a[0], a[1], b[1], s) for a in old for b in new if a[0] == b[0] and (s := plain(a[2:], b[2:], 0.5, True)) is not None)
     assert sorted(map(tuple, S.similar_pairs(*frames, ["g"]).collect())) == want
+
+
+def test_classes_that_all_differ_are_assigned_in_little_time():
+    """700 by 700 classes with most pairs allowed, in the same pairs as by single rows; before, each search kept all of them."""
+    r = random.Random(6)
+    near = {i: (np.arange(700, dtype=np.int32), np.array([r.choice([0.5, 0.6, 0.75, 0.8]) for _ in range(700)])) for i in range(700)}
+    pushed = []
+    push = A.heapq.heappush
+    A.heapq.heappush = lambda heap, x: pushed.append(1) or push(heap, x)
+    try:
+        got = A.best_of_classes(near, range(700), range(700))
+    finally:
+        A.heapq.heappush = push
+    assert got == A.best_edges((i, j, s) for i, (at, of) in near.items() for j, s in zip(at.tolist(), of.tolist()))
+    assert len(pushed) < 700 * 700
+
+
+def test_assignment_shuffles_no_pairs(spark):
+    """Pairs of classes are found where they are assigned: the plan has one step of Python."""
+    rows = [("x", i, k, n.decode(), b.decode()) for i, (k, n, b) in enumerate(some_blocks(30, 5))]
+    frame = spark.createDataFrame(rows, "g string, id long, kind string, name string, body string")
+    pairs = S.assigned_similar(frame, frame, ["g"])
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("InArrow") == 1
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, S.assigned(S.similar_pairs(frame, frame, ["g"]), ["g"], "old_id", "new_id").collect()))
