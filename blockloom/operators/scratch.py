@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _left: list[tuple[SparkSession, str]] = []
+#: Whether the files of a query's shuffles go when it ends; otherwise they stay until the driver's memory is tidied.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,12 +45,23 @@ class Scratch:
         return self
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """df written and read back: lineage ends here, and a lost executor costs no step before it."""
+        """df written and read back: lineage ends here, the files of its shuffles go, and a lost executor costs no step before it."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex}"
         self.paths.append(path)
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, name: str) -> None:
+        """Delete the tables of a name; nothing may read them any more."""
+        for path in [p for p in self.paths if p.startswith(f"{self.root}/{name}-")]:
+            _delete(self.spark, path)
+            self.paths.remove(path)
+
     def result(self, df: DataFrame, name: str) -> DataFrame:
         """The same for a table that outlives the block; it goes when the interpreter ends."""
         got = self.keep(df, name)

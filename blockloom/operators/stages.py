@@ -162,6 +162,7 @@ class _Run:
             front = self.add(best_similar(met, ["pair_id", "under"], self.threshold), stage)
             if front.isEmpty():
                 self.found.pop()
+                self.scratch.drop("children")
                 return
 
 
