@@ -118,11 +118,9 @@ def nodes(blocks: DataFrame) -> DataFrame:
     """What stages ask about blocks: pair_id, side, block_ix, id, kind, name, body, scope_path, is_root, parent_ix, container_ix."""
     able = blocks.dropna(subset=[*DOC, "block_ix", "id"]).fillna("", ["name", "parent", "source"]).fillna("unknown", ["kind"])
     shaped = able.select(*DOC, F.col("block_ix").cast("int").alias("block_ix"), "id", "kind", "name", "parent", comparison_text("kind", "source").alias("body"))
-    made = forest(shaped, "block_ix", "kind", "name", "parent", "body")
-    for up in ("parent", "container"):
-        ids = shaped.select(*DOC, F.col("id").alias(up), F.col("block_ix").alias(f"{up}_ix"))
-        made = _met(made, ids, [*DOC, up], "left")
-    return made.select(*DOC, "block_ix", "id", "kind", "name", "body", "scope_path", "is_root", "parent_ix", "container_ix")
+    made = forest(shaped, "block_ix", "kind", "name", "parent", "body", places="block_ix").drop("scope", "container")
+    ids = shaped.select(*DOC, F.col("id").alias("parent"), F.col("block_ix").alias("parent_ix"))
+    return _met(made, ids, [*DOC, "parent"], "left").select(*DOC, "block_ix", "id", "kind", "name", "body", "scope_path", "is_root", "parent_ix", "container_ix")
 
 
 def _union(tables: Sequence[DataFrame]) -> DataFrame:

@@ -30,3 +30,18 @@ def test_children_of_a_stage_go_with_it(spark, monkeypatch):
     monkeypatch.setattr(STAGES.Scratch, "drop", lambda self, name: gone.append(name) or drop(self, name))
     staged_pairs(spark.createDataFrame(versions("p", 1), BLOCK)).count()
     assert gone == ["children", "children"]
+
+
+def test_places_above_a_block_take_one_join(spark):
+    """Containers are known where the forest is walked; rings, missing parents and namespaces included."""
+    ring = [("r", "old", i, f"class:{n}:{i}", "class", n, f"class:{m}:{1 - i}", i, 9, "text") for i, (n, m) in enumerate(("ab", "ba"))]
+    blocks = spark.createDataFrame([row for k in range(12) for row in versions(f"p{k}", 40 + k)] + ring, BLOCK)
+    made = STAGES.nodes(blocks)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1 and "Join" in plan
+    rows = made.collect()
+    of = {(r.pair_id, r.side, r.id): r.block_ix for r in rows}
+    above = STAGES.forest(blocks, "block_ix", "kind", "name", "parent").collect()
+    want = {(r.pair_id, r.side, r.block_ix): (of.get((r.pair_id, r.side, r.parent)), of.get((r.pair_id, r.side, r.container))) for r in above}
+    assert {(r.pair_id, r.side, r.block_ix): (r.parent_ix, r.container_ix) for r in rows} == want
+    assert any(c is not None for _, c in want.values()) and len(rows) == len(want)
